@@ -28,8 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text) and text; doc_id and th name a document even where ids repeat."""
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    """doc_id, text, th (hash of the text) and rk (hash of both). rk and th are never null and name a row's contents,
+    also where ids are null or repeat."""
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), F.xxhash64("text").alias("th"), "text")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", at_most: int = 4_000_000) -> Iterator[pa.RecordBatch]:

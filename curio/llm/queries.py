@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curio.llm import maglev, mixing, rules
+from curio.llm import maglev, media, mixing, packing, quality, rules, simhash, toxicity
 from curio.llm.common import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
 
+def op1_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored in an ISO media container and described from it."""
+    return media.probe(media.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op2_maglev_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document."""
     return maglev.assign(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and the near-duplicate component of every document."""
+    return simhash.hamming_groups(table(spark, sf_dir, "documents"), simhash.exact_plan())
+
+
 def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -24,11 +34,34 @@ def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in a sequence."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The expected grade of every document, from three grades: low quality, good but toxic, good."""
+    docs = table(spark, sf_dir, "documents")
+    rated = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    ratings = table(spark, sf_dir, "labels").where("quality is not null and toxic is not null").select("doc_id", rated.alias("grade"))
+    return quality.grade(docs, quality.fit(docs, ratings))
+
+
 def op9_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict of the quality rules on every document."""
     judged = rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_maglev_shards, op5_systematic_mix, op9_adaptive_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_iso_media, op2_maglev_shards, op3_simhash_groups, op5_systematic_mix, op6_best_fit_packing, op7_toxicity, op8_ordinal_quality, op9_adaptive_rules,
+    )
+}
 ORACLES: dict[str, str] = {}
