@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curio.llm.common import column, slices
+from curio.llm.common import column, cut, slices
 
 # Insults and second-person words of the languages at hand; the labels add to the insults.
 INSULTS = frozenset(
@@ -34,13 +34,19 @@ FEATURES = [
 ]
 
 
+def _terms(token: str) -> tuple[str, ...]:
+    """What the learned lexicon knows a word by: itself, and its first four and five letters, marked by a dot."""
+    return (token, token[:4] + ".", token[:5] + ".") if len(token) > 5 else (token, token[:4] + ".") if len(token) > 4 else (token,)
+
+
 def features(text: str, learned: dict[str, float], reach: int = 6) -> list[float]:
     """One document's features: rates for each word or character, with counts of the rare ones on a log scale."""
     low = text.lower()
     tokens = _TOKEN.findall(low)
     n, chars = max(1, len(tokens)), max(1, len(text))
     fixed = [i for i, t in enumerate(tokens) if t in INSULTS]
-    won = [i for i, t in enumerate(tokens) if t in learned]
+    known = learned.keys()
+    won = {i: max(learned[k] for k in _terms(t) if k in learned) for i, t in enumerate(tokens) if not known.isdisjoint(_terms(t))} if learned else {}
     you = [i for i, t in enumerate(tokens) if t in YOU]
     hits = sorted({*fixed, *won})
     near = 0
@@ -54,7 +60,7 @@ def features(text: str, learned: dict[str, float], reach: int = 6) -> list[float
     upper = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     ends = text.count("!"), text.count("?")
     return [
-        math.log1p(len(tokens)), len(fixed) / n, math.log1p(len(fixed)), len(won) / n, math.log1p(len(won)), sum(learned[tokens[i]] for i in won) / n,
+        math.log1p(len(tokens)), len(fixed) / n, math.log1p(len(fixed)), len(won) / n, math.log1p(len(won)), sum(won.values()) / n,
         len(you) / n, near / n, math.log1p(near), upper / chars, len(_CAPS.findall(text)) / n, ends[0] / n, ends[1] / n,
         sum(map(text.count, ".,;:!?\"'()-*#$%&|")) / chars, sum(map(text.count, "0123456789")) / chars, len(mixed) / n, masked / n,
         len(_LONG_RUN.findall(low)) / n, len(text) / n,
@@ -152,42 +158,47 @@ def _labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> Data
 
 
 def _lexicon(rows: DataFrame, least_docs: int, most_words: int) -> dict[str, float]:
-    """Words that mark the label: word -> log odds, from the documents of rows. At most most_words."""
+    """Terms (words and beginnings of words) that mark the label: term -> log odds, from the documents of rows, equal
+    texts once. The most_words of the largest document count times log odds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words, ys = [], []
             for text, y in zip(column(batch, "text").to_pylist(), column(batch, "y").to_pylist(), strict=True):
-                own = set(_TOKEN.findall((text or "").lower()))
+                own = {k for t in set(_TOKEN.findall((text or "").lower())) for k in _terms(t)}
                 words += own
                 ys += [y] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ys, pa.int32())], names=["word", "y"])
 
+    rows = rows.dropDuplicates(["text"])
     totals = rows.agg(F.sum("y").alias("yes"), F.count(F.lit(1)).alias("n")).first()
     yes, no = totals["yes"] or 0, (totals["n"] or 0) - (totals["yes"] or 0)
     counted = rows.select("text", "y").mapInArrow(run, "word string, y int").groupBy("word").agg(F.sum("y").alias("yes"), F.count(F.lit(1)).alias("n"))
     odds = F.log((F.col("yes") + 0.5) / (yes + 1.0)) - F.log((F.col("n") - F.col("yes") + 0.5) / (no + 1.0))
-    found = counted.where((F.col("yes") >= least_docs) & (odds > 3.0)).select("word", odds.alias("odds"))
-    return {r["word"]: r["odds"] for r in found.orderBy(F.desc("odds"), "word").limit(most_words).collect()}
+    enough = F.greatest(F.lit(least_docs), F.lit(yes / 200))
+    found = counted.where((F.col("yes") >= enough) & (odds > 3.0)).select("word", odds.alias("odds"), (F.col("yes") * odds).alias("weight"))
+    return {r["word"]: r["odds"] for r in found.orderBy(F.desc("weight"), "word").limit(most_words).collect()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20_000, least_docs: int = 8) -> tuple[dict, Trees, tuple]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 30_000, least_docs: int = 5) -> tuple[dict, Trees, tuple]:
     """(lexicon, trees, isotonic knots) from at most `most` labelled rows, none of them held out.
 
-    The lexicon is learned on two parts, the trees on the other two, so that its words' densities are no echo of the
-    same labels; the calibration sees margins of trees that were fitted on the other half of those two parts.
+    The trees see densities of lexicons that were learned on the other half of the rows, so that no word's density
+    echoes the labels it was learned from; scores use the lexicon of both halves. The calibration sees margins of
+    trees that were fitted on other rows.
     """
-    rows = _labelled(docs, labels, label, most)
-    learned = _lexicon(rows.where("part in (1, 2)"), least_docs, 300)
-    measured = score_features(rows.where("part in (3, 4)").select("doc_id", "text", "y"), learned, keep=["y"])
-    found = measured.select("doc_id", "y", "features").orderBy("doc_id", "y").collect()  # at most `most` rows of dense features
+    rows = cut(_labelled(docs, labels, label, most))
+    halves = [rows.where("part in (1, 2)"), rows.where("part in (3, 4)")]
+    lexicons = [_lexicon(half, least_docs, 300) for half in halves]
+    measured = [score_features(half.select("doc_id", "text", "y"), other, keep=["y"]) for half, other in zip(halves, reversed(lexicons), strict=True)]
+    found = measured[0].union(measured[1]).orderBy("doc_id", "y").collect()  # at most `most` rows of dense features
     x = np.array([r["features"] for r in found], float).reshape(-1, len(FEATURES))
     y = np.array([r["y"] for r in found], float)
     fold = np.arange(len(y)) % 4
     cross = np.zeros(len(y))
     for k in range(4):
         cross[fold == k] = Trees().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
-    return learned, Trees().fit(x, y), isotonic(cross, y)
+    return _lexicon(rows, least_docs, 300), Trees().fit(x, y), isotonic(cross, y)
 
 
 def score_features(docs: DataFrame, learned: dict[str, float], keep: list[str]) -> DataFrame:
