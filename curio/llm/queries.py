@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curio.llm import maglev, media, mixing, packing, quality, rules, simhash, toxicity
+from curio.llm import maglev, media, mixing, packing, quality, rules, runindex, simhash, superkmer, toxicity
 from curio.llm.common import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
@@ -26,6 +26,11 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.hamming_groups(table(spark, sf_dir, "documents"), simhash.exact_plan())
 
 
+def op4_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 200 bytes that occur elsewhere."""
+    return runindex.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -58,10 +63,15 @@ def op9_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without windows of 20 words that occurred before."""
+    return superkmer.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_iso_media, op2_maglev_shards, op3_simhash_groups, op5_systematic_mix, op6_best_fit_packing, op7_toxicity, op8_ordinal_quality, op9_adaptive_rules,
+        op1_iso_media, op2_maglev_shards, op3_simhash_groups, op4_run_index, op5_systematic_mix, op6_best_fit_packing, op7_toxicity, op8_ordinal_quality, op9_adaptive_rules, op10_super_kmers,
     )
 }
 ORACLES: dict[str, str] = {}
