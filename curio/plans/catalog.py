@@ -1,10 +1,767 @@
-"""The registered queries and their DuckDB twins."""
+"""The registered queries over the tables at hand, each with its DuckDB twin where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
+from curio.functions import classify as C
+from curio.functions import lists
+from curio.functions import text as T
+from curio.functions import urls as U
+from curio.operators import items as I
+from curio.operators import pages as P
+from curio.operators import query as Q
+from curio.operators import store as S
+from curio.plans import demo as D
+from curio.plans.scratch import cut, new_path
+from curio.sources import tables as R
+from curio.sources.schemas import ITEM_COLUMNS, REPLY_SCHEMA
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+#: A fixed clock: jobs take the time as an argument.
+NOW_SECONDS = D.START + 3_000_000
+NOW_SQL = f"(TIMESTAMP '2023-11-14 22:13:20' + to_seconds({NOW_SECONDS - D.START}))"
+
+
+def now():
+    return F.timestamp_seconds(F.lit(NOW_SECONDS))
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLES[key] = sql.strip()
+        return f
+
+    return add
+
+
+def seconds(c: str):
+    return F.unix_seconds(c).alias(c)
+
+
+def flat(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns with times as seconds and arrays as text, which compare alike everywhere."""
+    kinds = dict(df.dtypes)
+    out = []
+    for c in columns or df.columns:
+        if kinds[c] == "timestamp":
+            out.append(seconds(c))
+        elif kinds[c].startswith("array<string"):
+            out.append(F.array_join(c, "|").alias(c))
+        else:
+            out.append(F.col(c))
+    return df.select(*out)
+
+
+ITEM_FLAT = "id, source_url, final_url, source_app, platform, title, description, author, image_url, remote_image_url, array_to_string(keywords, '|') AS keywords, category, importance_score, notes, status, epoch(created_at)::BIGINT AS created_at"
+ITEM_FLAT_COLUMNS = "id source_url final_url source_app platform title description author image_url remote_image_url keywords category importance_score notes status created_at".split()
+WITH_ITEMS = f"WITH {D.ITEMS_SQL} "
+WITH_EVENTS = f"WITH {D.EVENTS_SQL} "
+DIGEST_ITEM_SQL = "id, title, platform, category, " + D.cut_sql("summary", 140) + " AS summary, epoch(created_at)::BIGINT AS created_at"
+
+# Sources and sinks
+
+
+@query(WITH_ITEMS + f"SELECT {ITEM_FLAT} FROM items")
+def read_items_json(spark, sf):
+    path = new_path(spark, "items")
+    R.write_items_json(D.items(spark, sf), path)
+    return flat(R.read_items_json(spark, path, multi_line=False), *ITEM_FLAT_COLUMNS)
+
+
+@query(WITH_ITEMS + "SELECT count(*) AS n, sum(length(content_text))::BIGINT AS chars, count(source_app) AS apps FROM items")
+def write_items_json(spark, sf):
+    path = new_path(spark, "items")
+    R.write_items_json(D.items(spark, sf), path)
+    back = R.read_items_json(spark, path, multi_line=False)
+    return back.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content_text")).alias("chars"), F.count("source_app").alias("apps"))
+
+
+@query(WITH_ITEMS + "SELECT id, final_url, status, epoch(created_at)::BIGINT AS created_at, title AS item_title, source_app AS item_app, keywords[1] AS item_keyword FROM items")
+def pack_items(spark, sf):
+    field = lambda path, name: F.get_json_object("item", path).alias(name)
+    packed = R.pack_items(D.items(spark, sf))
+    return packed.select("id", "final_url", "status", seconds("created_at"), field("$.title", "item_title"), field("$.source_app", "item_app"), field("$.keywords[0]", "item_keyword"))
+
+
+@query(WITH_ITEMS + f"SELECT {ITEM_FLAT} FROM items")
+def unpack_items(spark, sf):
+    return flat(R.unpack_items(R.pack_items(D.items(spark, sf))), *ITEM_FLAT_COLUMNS)
+
+
+@query(WITH_ITEMS + "SELECT 1::SMALLINT AS schema_version, id, title, epoch(created_at)::BIGINT AS created_at FROM items")
+def read_backup_json(spark, sf):
+    path = new_path(spark, "backup")
+    # One envelope for each source, as a backup of part of the collection.
+    rows = D.items(spark, sf).withColumn("part", F.pmod(F.hash("id"), F.lit(64)))
+    parts = rows.groupBy("part").agg(F.collect_list(F.struct(*ITEM_COLUMNS)).alias("items"))
+    parts.select(F.lit(1).cast("smallint").alias("schema_version"), "items").write.options(**R.WRITTEN).option("maxRecordsPerFile", 1).json(path)
+    return flat(R.read_backup_json(spark, path), "schema_version", "id", "title", "created_at")
+
+
+@query(WITH_ITEMS + "SELECT 1::SMALLINT AS schema_version, (SELECT count(*) FROM items) AS item_count, (SELECT count(*) FROM items WHERE status <> 'archived') AS total")
+def export_json(spark, sf):
+    return Q.export_json(D.items(spark, sf), now()).select("schema_version", "item_count", F.col("digest.total").alias("total"))
+
+
+BLOCK_SQL = f"""'### ' || {D.one_line_sql('title')} || chr(10) || chr(10) || '- Platform: ' || {D.one_line_sql('platform')} || chr(10) || '- Category: ' || {D.one_line_sql('category')} || chr(10)
+ || '- Type: ' || content_type || chr(10) || '- Status: ' || status || chr(10) || '- Importance: ' || importance_score || chr(10) || '- Created: ' || strftime(created_at, '%Y-%m-%d %H:%M:%S') || ' UTC' || chr(10)
+ || '- URL: ' || final_url || chr(10) || CASE WHEN len(keywords) > 0 THEN '- Keywords: ' || array_to_string(keywords, ', ') || chr(10) ELSE '' END || chr(10)
+ || CASE WHEN {D.trim_sql('summary')} = '' THEN '' ELSE {D.one_line_sql('summary')} || chr(10) || chr(10) END
+ || CASE WHEN {D.trim_sql('original_text')} = '' THEN '' ELSE '#### 原文' || chr(10) || chr(10) || {D.trim_sql('original_text')} || chr(10) || chr(10) END
+ || CASE WHEN notes = '' THEN '' ELSE '> Notes: ' || {D.one_line_sql('notes')} || chr(10) || chr(10) END"""
+
+
+@query(WITH_ITEMS + f"SELECT id, {BLOCK_SQL} AS block FROM items")
+def export_markdown(spark, sf):
+    return Q.export_markdown(D.items(spark, sf))
+
+
+SHARES_SQL = "SELECT conv_id, turn, text FROM conversations WHERE role = 'user'"
+
+
+def _shares(spark, sf):
+    """User turns as shares; each also names a page, so that URLs are found."""
+    turns = D.table(spark, sf, "conversations").where("role = 'user'")
+    pages = D.table(spark, sf, "pages").select(F.col("page_id").alias("_page"), F.col("url").alias("_url"))
+    joined = turns.join(pages, F.col("conv_id") == F.col("_page"), "left")
+    text = F.concat_ws(" ", F.coalesce("text", F.lit("")), F.concat(F.lit("见 "), F.col("_url"), F.lit("。")))
+    return joined.select(F.lit(None).cast("string").alias("url"), text.alias("shared_text"), F.lit("app").alias("source_app"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT conv_id) AS conversations FROM conversations WHERE role = 'user'")
+def read_shares(spark, sf):
+    path = new_path(spark, "shares")
+    _shares(spark, sf).withColumn("source_app", (F.col("seq") / 1000).cast("long").cast("string")).select("url", "shared_text", "source_app").write.json(path)
+    return R.read_shares(spark, path).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_app").alias("conversations"))
+
+
+@query("SELECT url AS source_url, url AS final_url, 200 AS http_status, length(html)::BIGINT AS body_chars FROM pages")
+def read_pages(spark, sf):
+    path = new_path(spark, "pages")
+    R.landed(D.table(spark, sf, "pages")).write.parquet(path)
+    return R.read_pages(spark, path).select("source_url", "final_url", "http_status", F.length("body").cast("long").alias("body_chars"))
+
+
+def _rendered(spark, sf):
+    text = F.substring(T.plain_text_preview("html"), 1, 14000)
+    return D.table(spark, sf, "pages").select(
+        (F.col("page_id") % 7 > 0).alias("ok"), F.col("url").alias("source_url"), F.concat("url", F.lit("#done")).alias("final_url"), F.concat(F.lit("Rendered "), "page_id").alias("title"),
+        F.lit("").alias("description"), F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("image_url"), text.alias("content_text"), F.lit("dom").alias("extractor"),
+    )
+
+
+@query("SELECT url AS source_url, 'Rendered ' || page_id AS title FROM pages WHERE page_id % 7 > 0")
+def read_rendered(spark, sf):
+    path = new_path(spark, "rendered")
+    _rendered(spark, sf).write.json(path)
+    return R.read_rendered(spark, path).select("source_url", "title")
+
+
+def _payloads(spark, sf):
+    """Documents as payloads of answers and statuses, found by an id made of doc_id."""
+    docs = D.table(spark, sf, "documents")
+    answer = F.to_json(F.struct(F.struct(F.concat(F.lit("Question "), "doc_id").alias("title")).alias("question"), F.col("text").alias("content"), F.struct(F.col("source").alias("name")).alias("author")))
+    status = F.to_json(F.struct(F.col("text").alias("text_raw"), F.struct(F.col("source").alias("screen_name")).alias("user")))
+    zhihu = F.col("doc_id") % 2 == 0
+    return docs.select(F.when(zhihu, "知乎").otherwise("微博").alias("platform"), (F.col("doc_id") + 10_000_000_000).cast("string").alias("post_id"), F.when(zhihu, answer).otherwise(status).alias("payload"))
+
+
+@query("SELECT CASE WHEN doc_id % 2 = 0 THEN '知乎' ELSE '微博' END AS platform, (doc_id + 10000000000)::VARCHAR AS post_id FROM documents")
+def read_api_payloads(spark, sf):
+    path = new_path(spark, "payloads")
+    _payloads(spark, sf).write.json(path)
+    return R.read_api_payloads(spark, path).select("platform", "post_id")
+
+
+@query(f"SELECT CASE WHEN doc_id % 2 = 0 THEN '知乎' ELSE '微博' END AS platform, (doc_id + 10000000000)::VARCHAR AS post_id, source AS author, {D.clean_sql('text')} AS clean FROM documents WHERE {D.clean_sql('text')} <> '' AND doc_id % 2 = 1")
+def api_metadata(spark, sf):
+    parsed = _payloads(spark, sf).select("platform", "post_id", P.api_parse("platform", "payload").alias("m"))
+    return parsed.where("platform = '微博' and m.description is not null").select("platform", "post_id", F.col("m.author").alias("author"), F.col("m.description").alias("clean"))
+
+
+def _replies(spark, sf):
+    """A model's reply for two of three documents: well formed, or with a field missing."""
+    n = F.col("doc_id")
+    good = F.struct(F.concat(F.lit("summary "), n).alias("summary"), F.lit(" ").alias("category"), F.array(F.col("source"), F.lit(" ")).alias("keywords"), F.array("lang").alias("entities"), F.lit("positive").alias("sentiment"), F.lit("article").alias("content_type"), (n % 256).alias("importance_score"), F.lit("").alias("notes"))
+    bad = F.struct(F.lit("no more").alias("summary"))
+    outer = lambda inner: F.to_json(F.struct(F.array(F.struct(F.struct(F.to_json(inner).alias("content")).alias("message"))).alias("choices")))
+    return D.table(spark, sf, "documents").where(n % 3 > 0).select(F.concat(F.lit("doc-"), n.cast("string")).alias("item_key"), F.when(n % 3 == 1, outer(good)).otherwise(outer(bad)).alias("reply"))
+
+
+@query("SELECT 'doc-' || doc_id AS item_key, CASE WHEN doc_id % 3 = 1 THEN 'summary ' || doc_id ELSE 'no more' END AS summary FROM documents WHERE doc_id % 3 > 0")
+def read_model_replies(spark, sf):
+    path = new_path(spark, "replies")
+    _replies(spark, sf).write.json(path)
+    content = F.get_json_object("reply", "$.choices[0].message.content")
+    return R.read_model_replies(spark, path).select("item_key", F.get_json_object(content, "$.summary").alias("summary"))
+
+
+@query("SELECT 'doc-' || doc_id AS item_key, 'summary ' || doc_id AS summary, '未分类' AS category, source AS keywords, least(doc_id % 256, 100)::SMALLINT AS importance_score FROM documents WHERE doc_id % 3 = 1 AND source IS NOT NULL AND lang IS NOT NULL")
+def normalize_analysis(spark, sf):
+    analysed = _replies(spark, sf).select("item_key", C.normalize_analysis(F.get_json_object("reply", "$.choices[0].message.content")).alias("a")).where("a is not null")
+    return analysed.select("item_key", "a.summary", "a.category", F.array_join("a.keywords", "|").alias("keywords"), "a.importance_score")
+
+
+# Filters
+
+
+@query(WITH_ITEMS + "SELECT id FROM items WHERE status = 'favorite' AND category = '技术' AND contains(lower(title), 'the')")
+def filter_items(spark, sf):
+    found = Q.filter_items(D.items(spark, sf), category="技术", status="favorite", platform="")
+    return found.where(F.lower("title").contains("the")).select("id")
+
+
+HAYSTACK_SQL = "lower(title || ' ' || description || ' ' || summary || ' ' || category || ' ' || platform || ' ' || source_url || ' ' || final_url || ' ' || coalesce(source_app, '') || ' ' || coalesce(author, '') || ' ' || content_type || ' ' || notes || ' ' || array_to_string(keywords, ' ') || ' ' || array_to_string(entities, ' ') || ' ' || content_text)"
+
+
+@query(WITH_ITEMS + f"SELECT id FROM items WHERE contains({HAYSTACK_SQL}, 'src1 link')")
+def search_items(spark, sf):
+    """A needle that runs over a border of fields: author, then content type."""
+    return Q.search_items(D.items(spark, sf), "  SRC1 link ").select("id")
+
+
+@query(WITH_ITEMS + "SELECT id, status FROM items WHERE status <> 'archived'")
+def active_items(spark, sf):
+    return Q.active_items(D.items(spark, sf)).select("id", "status")
+
+
+@query(WITH_ITEMS + "SELECT id, title FROM items WHERE id IN (SELECT 'doc-' || doc_id FROM labels)")
+def get_items(spark, sf):
+    ids = D.table(spark, sf, "labels").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"))
+    return Q.get_items(D.items(spark, sf), ids).select("id", "title")
+
+
+def _faulty(items):
+    n = F.substring_index("id", "-", -1).cast("long")
+    return items.withColumns({"title": F.when(n % 11 == 0, F.lit(" 　")).otherwise(F.col("title")), "status": F.when(n % 13 == 0, F.lit("gone")).otherwise(F.col("status")), "final_url": F.when(n % 17 == 0, F.lit("")).otherwise(F.col("final_url"))})
+
+
+@query("SELECT 'doc-' || doc_id AS id, CASE WHEN doc_id % 17 = 0 THEN 'empty URL' WHEN doc_id % 11 = 0 THEN 'empty title' WHEN doc_id % 13 = 0 THEN 'bad status' END AS reason FROM documents WHERE doc_id IS NOT NULL")
+def validate_import(spark, sf):
+    return Q.validate_import(_faulty(D.items(spark, sf))).select("id", "reason")
+
+
+@query("SELECT doc_id, CASE WHEN quality = 0 THEN 'archived' WHEN toxic = 1 THEN 'hidden' ELSE 'favorite' END AS status, NOT (quality <> 0 AND toxic = 1) AS valid FROM labels")
+def validate_status(spark, sf):
+    status = F.when(F.col("quality") == 0, "archived").when(F.col("toxic") == 1, "hidden").otherwise("favorite")
+    return Q.validate_status(D.table(spark, sf, "labels").select("doc_id", status.alias("status")))
+
+
+@query(WITH_ITEMS + f"SELECT id FROM items WHERE cover_checked_at IS NULL OR cover_checked_at <= {NOW_SQL} - INTERVAL 6 HOURS")
+def covers_due(spark, sf):
+    return S.covers_due(D.items(spark, sf), now()).select("id")
+
+
+@query(WITH_ITEMS + "SELECT id, contains(content_text, '网页验证拦截') OR contains(title, '网页验证拦截') AS blocked FROM items")
+def is_blocked(spark, sf):
+    return D.items(spark, sf).select("id", C.is_blocked("title", "content_text").alias("blocked"))
+
+
+@query(WITH_ITEMS + "SELECT id, CASE WHEN platform = '小红书' AND trim(content_text) <> '' THEN false ELSE platform IN ('今日头条', '小红书') AND length(content_text) < 120 END AS needed FROM items")
+def needs_render(spark, sf):
+    return D.items(spark, sf).select("id", P.needs_render().alias("needed"))
+
+
+@query("SELECT conv_id * 1000 + turn AS seq, CASE WHEN p.page_id IS NULL THEN 'no URL' END AS reject FROM conversations c LEFT JOIN pages p ON p.page_id = c.conv_id WHERE role = 'user'")
+def resolve_requests(spark, sf):
+    return U.resolve_requests(_shares(spark, sf)).select("seq", "reject")
+
+
+@query("SELECT conv_id * 1000 + turn AS seq, CASE WHEN p.page_id IS NULL THEN '' ELSE p.url END AS first_url FROM conversations c LEFT JOIN pages p ON p.page_id = c.conv_id WHERE role = 'user'")
+def extract_urls(spark, sf):
+    found = _shares(spark, sf).select("seq", U.extract_urls("shared_text").alias("urls"))
+    return found.select("seq", F.coalesce(F.try_element_at("urls", F.lit(1)), F.lit("")).alias("first_url"))
+
+
+@query(WITH_ITEMS + f"SELECT {DIGEST_ITEM_SQL} FROM items")
+def project_digest_item(spark, sf):
+    return flat(Q.project_digest_item(D.items(spark, sf)))
+
+
+# Joins and the store
+
+UPSERT_SQL = WITH_EVENTS + """, rows AS (SELECT -1 AS seq, id, final_url, title, category, made FROM store UNION ALL SELECT seq, id, final_url, title, category, made FROM batch)
+SELECT arg_min(id, seq) AS id, final_url, arg_max(title, seq) AS title, arg_max(category, seq) AS category, arg_min(made, seq)::BIGINT AS created_at FROM rows GROUP BY final_url"""
+
+
+@query(UPSERT_SQL)
+def upsert_items(spark, sf):
+    store, _, _ = S.upsert_items(D.event_store(spark, sf), D.event_batch(spark, sf))
+    return flat(store, "id", "final_url", "title", "category", "created_at")
+
+
+REPORT_SQL = WITH_EVENTS + """SELECT count(*)::BIGINT AS imported, (SELECT count(DISTINCT final_url) FROM batch WHERE user_id % 2 = 1)::BIGINT AS created,
+(count(*) - (SELECT count(DISTINCT final_url) FROM batch WHERE user_id % 2 = 1))::BIGINT AS merged, (SELECT count(DISTINCT final_url) FROM batch)::BIGINT AS total FROM batch"""
+
+
+@query(REPORT_SQL)
+def import_report(spark, sf):
+    batch = D.event_batch(spark, sf).withColumns({"source_url": F.col("final_url")})
+    return S.import_items(D.event_store(spark, sf), batch)[2]
+
+
+@query(WITH_EVENTS + "SELECT final_url, arg_min(id, seq) AS id, min(made)::BIGINT AS created_at, arg_max(title, seq) AS title, count(*) AS n FROM batch GROUP BY final_url")
+def first_last_by_url(spark, sf):
+    return flat(S.first_last_by_url(D.event_batch(spark, sf)), "final_url", "id", "created_at", "title", "n")
+
+
+@query(WITH_EVENTS + "SELECT final_url, min(seq) AS seq FROM batch GROUP BY final_url")
+def keep_first_by_position(spark, sf):
+    return S.keep_first_by_position(D.event_batch(spark, sf), "final_url", "seq")
+
+
+def _label_patches(spark, sf):
+    status = F.when(F.col("quality") == 0, "archived").otherwise("favorite")
+    return D.table(spark, sf, "labels").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), status.alias("status"), "quality", "toxic")
+
+
+@query(WITH_ITEMS + f"SELECT i.id, coalesce(CASE WHEN l.doc_id IS NULL THEN NULL WHEN l.quality = 0 THEN 'archived' ELSE 'favorite' END, i.status) AS status, epoch(CASE WHEN l.doc_id IS NULL THEN i.updated_at ELSE {NOW_SQL} END)::BIGINT AS updated_at FROM items i LEFT JOIN labels l ON i.id = 'doc-' || l.doc_id")
+def update_status(spark, sf):
+    return flat(S.update_status(D.items(spark, sf), _label_patches(spark, sf), now())[0], "id", "status", "updated_at")
+
+
+@query(WITH_ITEMS + "SELECT i.id, CASE WHEN l.quality = 1 AND l.toxic = 1 THEN '新' ELSE i.category END AS category, CASE WHEN l.quality = 1 AND l.toxic = 1 THEN 'a|b' ELSE array_to_string(i.keywords, '|') END AS keywords, CASE WHEN l.quality = 1 THEN 'note' ELSE i.notes END AS notes FROM items i LEFT JOIN labels l ON i.id = 'doc-' || l.doc_id")
+def update_metadata(spark, sf):
+    toxic = F.col("toxic") == 1
+    patches = _label_patches(spark, sf).where("quality = 1").select("id", F.when(toxic, " 新 ").alias("category"), F.when(toxic, F.array(F.lit("a"), F.lit(" b "), F.lit(""), F.lit("a"))).alias("keywords"), F.lit(" note").alias("notes"))
+    return flat(S.update_metadata(D.items(spark, sf), patches, now())[0], "id", "category", "keywords", "notes")
+
+
+@query(WITH_ITEMS + f"SELECT i.id, CASE WHEN l.quality = 1 THEN '/media/new.jpg' ELSE i.image_url END AS image_url, i.remote_image_url, epoch(CASE WHEN l.doc_id IS NULL THEN i.cover_checked_at ELSE {NOW_SQL} END)::BIGINT AS cover_checked_at FROM items i LEFT JOIN labels l ON i.id = 'doc-' || l.doc_id")
+def update_cover(spark, sf):
+    none = F.lit(None).cast("string")
+    patches = _label_patches(spark, sf).select("id", F.when(F.col("quality") == 1, "/media/new.jpg").alias("image_url"), none.alias("remote_image_url"), F.lit(None).cast("timestamp").alias("cover_cached_at"), now().alias("cover_checked_at"))
+    return flat(S.update_cover(D.items(spark, sf), patches, now())[0], "id", "image_url", "remote_image_url", "cover_checked_at")
+
+
+@query(WITH_ITEMS + "SELECT id FROM items WHERE id NOT IN (SELECT 'doc-' || doc_id FROM labels)")
+def delete_items(spark, sf):
+    return S.delete_items(D.items(spark, sf), _label_patches(spark, sf))[0].select("id")
+
+
+@query(WITH_ITEMS + "SELECT id, CASE WHEN id IN (SELECT 'doc-' || doc_id FROM labels) THEN 'patched' ELSE title END AS title FROM items")
+def rebuild_store(spark, sf):
+    items = D.items(spark, sf)
+    changed = Q.get_items(items, _label_patches(spark, sf)).withColumn("title", F.lit("patched")).select(*ITEM_COLUMNS)
+    return S.rebuild_store(items, changed).select("id", "title")
+
+
+def _page_metadata(spark, sf):
+    """Seeds for the pages: URLs with a short shared text."""
+    pages = D.table(spark, sf, "pages")
+    return P.seed_metadata(pages.select(F.col("url").alias("source_url"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("看看这个 "), "url")).alias("shared_text")).dropDuplicates(["source_url"]))
+
+
+@query()
+def merge_pages(spark, sf):
+    pages = R.landed(D.table(spark, sf, "pages")).withColumn("http_status", F.when(F.length("body") % 5 == 0, 404).otherwise(200))
+    return P.finish_metadata(P.merge_pages(_page_metadata(spark, sf), pages)).select(*"source_url final_url platform title description author image_url content_text original_text".split())
+
+
+@query()
+def page_metadata(spark, sf):
+    parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse("html", U.platform_for_url("url"), U.xhs_note_id("url")).alias("f"))
+    return parsed.select("page_id", "f.page.title", "f.page.description", "f.page.author", "f.page.image_url", F.length("f.page.content_text").alias("visible"), F.length("f.page.original_text").alias("formatted"))
+
+
+@query()
+def visible_text(spark, sf):
+    parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse("html", F.lit(""), F.lit("")).alias("f"))
+    return parsed.select("page_id", F.col("f.page.content_text").alias("content_text"), F.col("f.page.original_text").alias("original_text"))
+
+
+@query()
+def state_metadata(spark, sf):
+    """Landed pages wrapped as page state of a video platform."""
+    state = F.concat(F.lit("<script>window.__INITIAL_STATE__="), F.to_json(F.struct(F.struct(F.col("url").alias("title"), F.substring(T.plain_text_preview("html"), 1, 500).alias("desc")).alias("videoData"))), F.lit(";</script>"))
+    parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse(state, F.lit("哔哩哔哩"), F.lit("")).alias("f"))
+    return parsed.select("page_id", "f.state.title", "f.state.description", "f.state.original_text")
+
+
+@query()
+def xhs_metadata(spark, sf):
+    """Landed pages wrapped as a note's page state."""
+    state = F.concat(F.lit("<script>window.__S={\"noteDetailMap\":"), F.to_json(F.struct(F.col("url").alias("title"), F.substring(T.plain_text_preview("html"), 1, 500).alias("desc"), F.lit("someone").alias("nickname"))), F.lit("}</script>"))
+    parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse(state, F.lit("小红书"), F.lit("")).alias("f"))
+    return parsed.select("page_id", "f.note.title", "f.note.description", "f.note.author")
+
+
+@query("SELECT page_id, CASE WHEN contains(lower(html), 'byted_acrawler') OR contains(lower(html), '__ac_signature') OR contains(lower(html), '__ac_nonce') THEN 1 WHEN contains(lower(html), 'sina visitor system') OR contains(lower(html), 'visitor.passport.weibo') THEN 2 WHEN contains(lower(html), 'zse-ck') THEN 3 WHEN contains(lower(html), 'captcha') OR contains(lower(html), '访问验证') OR contains(lower(html), '安全验证') THEN 4 ELSE 0 END AS wall FROM pages")
+def access_block_reason(spark, sf):
+    reason = P.access_block_reason("html")
+    wall = F.lit(0)
+    for i, (_, text) in enumerate(lists.WALLS):
+        wall = F.when(reason == text, i + 1).otherwise(wall)
+    return D.table(spark, sf, "pages").select("page_id", wall.alias("wall"))
+
+
+@query(WITH_ITEMS + f"SELECT id, {D.cut_sql('content_text', 160)} AS description, {D.clean_sql('content_text')} AS content_text FROM items WHERE content_text <> ''")
+def merge_platform_metadata(spark, sf):
+    """What a payload says of items that know nothing but their URL."""
+    found = F.struct(F.lit(None).cast("string").alias("title"), T.truncate_chars("content_text", 160).alias("description"), F.col("author"), F.lit(None).cast("string").alias("image_url"), F.col("content_text").alias("original_text"))
+    rows = D.items(spark, sf).where("content_text <> ''").withColumn("found", found).withColumns({"title": F.lit("kept"), "content_text": F.lit("")})
+    merged = P.merge_platform_metadata(rows, "found")
+    return merged.select("id", "description", F.substring("original_text", 1, 1_000_000_000).alias("content_text"))
+
+
+@query("WITH seeds AS (SELECT DISTINCT url, CASE WHEN max(page_id % 7) OVER (PARTITION BY url) > 0 THEN 1 ELSE 0 END AS ok FROM pages) SELECT url AS source_url FROM seeds")
+def merge_rendered(spark, sf):
+    seeds = _page_metadata(spark, sf).withColumns({"title": F.lit(lists.BLOCKED_TITLE)})
+    return P.merge_rendered(seeds, _rendered(spark, sf)).select("source_url")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Question ' || doc_id ELSE title END AS title, source AS author FROM (SELECT *, " + D.cut_sql(D.clean_sql("text"), 80) + " AS title FROM documents) WHERE " + D.clean_sql("text") + " <> ''")
+def merge_api_payloads(spark, sf):
+    docs = D.table(spark, sf, "documents").where(T.clean_text("text") != "")
+    url = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://www.zhihu.com/question/1/answer/"), (F.col("doc_id") + 10_000_000_000).cast("string"))).otherwise(F.concat(F.lit("https://weibo.com/1/"), (F.col("doc_id") + 10_000_000_000).cast("string")))
+    seeds = P.seed_metadata(docs.select("doc_id", url.alias("source_url"), F.lit(None).cast("string").alias("shared_text")))
+    return P.merge_api_payloads(seeds, _payloads(spark, sf)).select("doc_id", "title", "author")
+
+
+@query(WITH_ITEMS + "SELECT id, CASE WHEN CAST(replace(id, 'doc-', '') AS BIGINT) % 3 = 1 THEN 'summary ' || replace(id, 'doc-', '') ELSE CASE WHEN trim(description) <> '' THEN CASE WHEN length(description) > 160 THEN description[1:160] || '...' ELSE description END ELSE '来自 ' || platform || ' 的链接，已保存原始地址。' END END AS summary FROM items")
+def merge_model_replies(spark, sf):
+    items = D.items(spark, sf)
+    rows = items.withColumn("final_url", F.col("id"))
+    analysed = C.merge_model_replies(rows.drop("summary", "category", "keywords", "entities", "sentiment", "content_type", "importance_score", "notes"), _replies(spark, sf))
+    return analysed.select("id", "analysis.summary")
+
+
+@query(WITH_ITEMS + "SELECT id, array_to_string(list_filter([remote_image_url, CASE WHEN image_url NOT LIKE '/media/%' THEN image_url END], lambda u: u IS NOT NULL), '|') AS candidates FROM items")
+def cover_candidates(spark, sf):
+    items = D.items(spark, sf)
+    images = items.limit(0).select(F.col("final_url").alias("url"), "image_url")
+    return flat(S.cover_candidates(items, images))
+
+
+@query(WITH_ITEMS + "SELECT id, CASE WHEN remote_image_url IS NOT NULL AND CAST(replace(id, 'doc-', '') AS BIGINT) % 3 = 0 THEN remote_image_url WHEN image_url NOT LIKE '/media/%' THEN image_url END AS remote_image_url FROM items")
+def pick_cover(spark, sf):
+    items = D.items(spark, sf)
+    n = F.substring_index("id", "-", -1).cast("long")
+    remote = items.where("remote_image_url is not null").select(F.col("remote_image_url").alias("url"), (n % 3 == 0).alias("ok"), F.lit(1000).alias("n_bytes"))
+    stored = items.where("image_url is not null").select(F.col("image_url").alias("url"), F.lit(True).alias("ok"), F.when(F.col("image_url").startswith("/media/"), 99_000_000).otherwise(5).alias("n_bytes"))
+    candidates = S.cover_candidates(items, items.limit(0).select(F.col("final_url").alias("url"), "image_url"))
+    return S.pick_cover(candidates, remote.union(stored))
+
+
+@query(WITH_ITEMS + "SELECT id, source_url || '|' || final_url AS urls FROM items")
+def cover_urls_union(spark, sf):
+    return D.items(spark, sf).select("id", F.array_join(S.cover_urls_union(), "|").alias("urls"))
+
+
+# Counts
+
+
+def _top_sql(c: str, source: str = "items") -> str:
+    return f"SELECT {D.trim_sql(c)} AS label, count(*) AS count FROM {source} WHERE {D.trim_sql(c)} <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"
+
+
+@query("SELECT event_type AS label, count(*) AS count FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def count_by(spark, sf):
+    return Q.count_by(D.table(spark, sf, "events"), "event_type")
+
+
+@query(WITH_ITEMS + _top_sql("category"))
+def count_categories(spark, sf):
+    return Q.count_categories(D.items(spark, sf))
+
+
+@query(f"SELECT {D.platform_sql('url')} AS label, count(*) AS count FROM pages GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def count_platforms(spark, sf):
+    return Q.count_platforms(D.table(spark, sf, "pages").select(U.platform_for_url("url").alias("platform")))
+
+
+@query(WITH_ITEMS + _top_sql("keyword", "(SELECT unnest(keywords) AS keyword FROM items)"))
+def count_keywords(spark, sf):
+    return Q.count_keywords(D.items(spark, sf))
+
+
+DIMS_SQL = f"""dims AS (SELECT 'category' AS dim, {D.trim_sql('category')} AS label FROM items UNION ALL SELECT 'platform', {D.trim_sql('platform')} FROM items UNION ALL SELECT 'keyword', {D.trim_sql('k')} FROM (SELECT unnest(keywords) AS k FROM items)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY count DESC, label) AS place FROM (SELECT dim, label, count(*) AS count FROM dims WHERE label <> '' GROUP BY 1, 2))"""
+
+
+@query(WITH_ITEMS + f", {DIMS_SQL} SELECT dim, label, count, place::INTEGER AS place FROM ranked WHERE place <= 20")
+def top_labels_per_dimension(spark, sf):
+    return Q.top_labels_per_dimension(D.items(spark, sf))
+
+
+@query(WITH_ITEMS + _top_sql("category"))
+def top20(spark, sf):
+    items = D.items(spark, sf)
+    return Q.count_by(items.select("category"), "category", most=20)
+
+
+def _texts(df: DataFrame, *columns: str) -> DataFrame:
+    """Arrays of (label, count) as text."""
+    line = lambda c: F.array_join(F.transform(c, lambda b: F.concat(b["label"], F.lit(":"), b["count"].cast("string"))), "|").alias(c)
+    return df.select(*[line(c) if c in columns else c for c in df.columns])
+
+
+def _buckets_sql(dim: str) -> str:
+    return f"(SELECT string_agg(label || ':' || count, '|' ORDER BY place) FROM ranked WHERE dim = '{dim}' AND place <= 20)"
+
+
+@query(WITH_ITEMS + f", {DIMS_SQL} SELECT (SELECT count(*) FROM items) AS total, {_buckets_sql('category')} AS categories, {_buckets_sql('platform')} AS platforms, {_buckets_sql('keyword')} AS keywords")
+def collection_stats(spark, sf):
+    return _texts(Q.collection_stats(D.items(spark, sf)), "categories", "platforms", "keywords")
+
+
+ACTIVE_SQL = WITH_ITEMS.replace("items AS (", "every AS (").rstrip() + ", items AS (SELECT * FROM every WHERE status <> 'archived') "
+FOCUS_SQL = """'近期收藏主要集中在 ' || (SELECT string_agg(label || ' ' || count, '、' ORDER BY place) FROM ranked WHERE dim = 'category' AND place <= 3) || '，来源多来自 ' || (SELECT string_agg(label, '、' ORDER BY place) FROM ranked WHERE dim = 'platform' AND place <= 2) || '，高频线索包括 ' || (SELECT string_agg(label, '、' ORDER BY place) FROM ranked WHERE dim = 'keyword' AND place <= 4) || '。'"""
+HINTS_SQL = f"""'为「' || (SELECT label FROM ranked WHERE dim = 'category' AND place = 1) || '」建立一个专题清单，方便后续集中复盘。|最近来自「' || (SELECT label FROM ranked WHERE dim = 'platform' AND place = 1) || '」的内容较多，可以定期清理低价值重复收藏。' || CASE WHEN EXISTS (SELECT 1 FROM ranked WHERE dim = 'keyword' AND place <= 20 AND contains(label, '优惠')) THEN '|{lists.HINT_OFFERS}' ELSE '' END"""
+
+
+@query(ACTIVE_SQL + f", {DIMS_SQL} SELECT (SELECT count(*) FROM items) AS total, {FOCUS_SQL} AS focus_summary, {_buckets_sql('category')} AS category_summaries, {HINTS_SQL} AS suggestions, (SELECT string_agg(id, '|' ORDER BY created_at DESC, title, id) FROM (SELECT * FROM items ORDER BY created_at DESC, title, id LIMIT 8)) AS recent")
+def collection_digest(spark, sf):
+    digest = Q.collection_digest(D.items(spark, sf), now())
+    recent = F.array_join(F.transform("recent_items", lambda r: r["id"]), "|").alias("recent")
+    return _texts(digest, "category_summaries").select("total", "focus_summary", "category_summaries", F.array_join("suggestions", "|").alias("suggestions"), recent)
+
+
+@query(ACTIVE_SQL + f", {DIMS_SQL} SELECT {FOCUS_SQL} AS focus_summary")
+def focus_summary(spark, sf):
+    return Q.collection_stats(Q.active_items(D.items(spark, sf))).select(Q.focus_summary().alias("focus_summary"))
+
+
+@query(ACTIVE_SQL + f", {DIMS_SQL} SELECT {HINTS_SQL} AS suggestions")
+def digest_suggestions(spark, sf):
+    return Q.collection_stats(Q.active_items(D.items(spark, sf))).select(F.array_join(Q.digest_suggestions(), "|").alias("suggestions"))
+
+
+# Order
+
+
+@query(WITH_ITEMS + "SELECT id, importance_score, row_number() OVER (ORDER BY importance_score DESC, created_at DESC, title, id) AS place FROM items")
+def sort_items(spark, sf):
+    """Sorted by importance; places are read off the sorted rows in a second step, for comparing."""
+    rows = Q.sort_items(D.items(spark, sf), "importance").select("id", "importance_score", "created_at", "title")
+    return _placed(rows, "importance_score")
+
+
+def _placed(rows: DataFrame, *columns: str) -> DataFrame:
+    """Adds the place of each row of a sorted table: offsets of its partitions, which are few, and places inside."""
+    held = cut(rows.withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    sizes = held.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_q")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    inside = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return held.join(F.broadcast(before), part == F.col("_q")).select("id", *columns, (F.col("_before") + inside + 1).alias("place"))
+
+
+@query(WITH_ITEMS + "SELECT id, row_number() OVER (ORDER BY created_at, title, id) AS place FROM items WHERE status = 'active'")
+def list_items(spark, sf):
+    return _placed(Q.list_items(D.items(spark, sf), sort="oldest", status="active").select("id"))
+
+
+@query(ACTIVE_SQL + f"SELECT {DIGEST_ITEM_SQL} FROM (SELECT * FROM items ORDER BY created_at DESC, title, id LIMIT 8)")
+def recent_items(spark, sf):
+    return flat(Q.recent_items(D.items(spark, sf)))
+
+
+# Scalars over the texts at hand
+
+DOCS = "documents"
+CHAINS = {
+    "clean_text": (T.clean_text, D.clean_sql("text")),
+    "truncate_chars": (lambda c: T.truncate_chars(c, 100), D.cut_sql("text", 100)),
+    "first_meaningful_line": (T.first_meaningful_line, D.cut_sql(D.first_line_sql("text"), 120)),
+    "sanitize_markdown_line": (T.one_line, D.one_line_sql("text")),
+    "clean_shared_url": (
+        lambda c: U.clean_shared_url(F.concat(F.lit(" <"), F.substring(c, 1, 40), F.lit("。) "))),
+        rf"regexp_replace(regexp_replace(regexp_replace({D.trim_sql(chr(39) + ' <' + chr(39) + ' || text[1:40] || ' + chr(39) + '。) ' + chr(39))}, '^[<>\"''“”‘’]+', ''), '[<>\"''“”‘’]+$', ''), '[,.;:)\]}}，。；：）】》]+$', '')",
+    ),
+    "is_url_only_text": (
+        lambda c: T.is_url_only_text(F.concat(F.lit("https://a.b/c "), F.substring(c, 1, 3))),
+        rf"regexp_matches(regexp_replace('https://a.b/c ' || text[1:3], 'https?://{D.WS.replace('[', '[^', 1)}+|www\.{D.WS.replace('[', '[^', 1)}+', ' ', 'g'), '^{D.WS}*[!-/:-@\[-`{{-~，。；：、（）【】]*{D.WS}*[!-/:-@\[-`{{-~，。；：、（）【】]*{D.WS}*$')",
+    ),
+    "first_non_empty": (lambda c: T.first_non_empty(F.substring(c, 1, 0), F.lit(" &nbsp;"), c), f"nullif({D.clean_sql('text')}, '')"),
+    "safe_file_id": (T.safe_file_id, "regexp_replace(text, '[^A-Za-z0-9-]', '', 'g')"),
+    "local_cover_path": (lambda c: T.local_cover_path(F.substring(c, 1, 20)), "'/media/cover-' || regexp_replace(text[1:20], '[^A-Za-z0-9-]', '', 'g') || '.jpg'"),
+    "clean_original_text": (
+        T.clean_original_text,
+        rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\t\x{{0b}}\x{{0c}}\r \x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{2,}}', chr(10) || chr(10), 'g'), '^[ \n]+', ''), '[ \n]+$', '')",
+    ),
+}
+for _name, (_f, _sql) in CHAINS.items():
+    query(f"SELECT doc_id, {_sql} AS value FROM documents", _name)(lambda spark, sf, f=_f: D.table(spark, sf, DOCS).select("doc_id", f("text").alias("value")))
+
+
+@query(f"SELECT page_id, {D.clean_sql('regexp_replace(html, ' + chr(39) + '<[^>]+>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS value FROM pages")
+def plain_text_preview(spark, sf):
+    return D.table(spark, sf, "pages").select("page_id", T.plain_text_preview("html").alias("value"))
+
+
+@query()
+def html_to_formatted_text(spark, sf):
+    return D.table(spark, sf, "pages").select("page_id", T.html_to_formatted_text("html").alias("value"))
+
+
+@query(f"SELECT page_id, {D.platform_sql('url')} AS platform, {D.host_sql('url')} AS host FROM pages")
+def platform_for_url(spark, sf):
+    return D.table(spark, sf, "pages").select("page_id", U.platform_for_url("url").alias("platform"), U.host_of("url").alias("host"))
+
+
+@query(WITH_ITEMS + f"SELECT id, list_contains([{', '.join(repr(h) for h in lists.BARE_HOSTS)}], {D.host_sql('final_url')}) OR list_has_any([{', '.join(repr(h) for h in lists.BARE_HOSTS)}], [regexp_replace({D.host_sql('final_url')}, '^[^.]+\\.', '')]) AS supported FROM items")
+def is_supported_host(spark, sf):
+    return D.items(spark, sf).select("id", U.is_supported_host(U.host_of("final_url")).alias("supported"))
+
+
+@query("SELECT doc_id, (doc_id + 10000000000)::VARCHAR AS answer, (doc_id + 10000000000)::VARCHAR AS status, 'n' || doc_id AS note FROM documents")
+def post_ids(spark, sf):
+    n = F.col("doc_id").cast("string")
+    big = (F.col("doc_id") + 10_000_000_000).cast("string")
+    return D.table(spark, sf, "documents").select(
+        "doc_id", U.zhihu_answer_id(F.concat(F.lit("https://www.zhihu.com/question/7/answer/"), big)).alias("answer"), U.weibo_status_id(F.concat(F.lit("https://weibo.com/1234567890/"), big)).alias("status"),
+        U.xhs_note_id(F.concat(F.lit("https://www.xiaohongshu.com/discovery/item/n"), n, F.lit("?a=b"))).alias("note"),
+    )
+
+
+@query(WITH_ITEMS + f"SELECT id, CASE WHEN contains({D.host_sql('final_url')}, 'xiaohongshu.com') THEN 'https://www.xiaohongshu.com/' WHEN contains({D.host_sql('final_url')}, 'toutiao') OR contains({D.host_sql('final_url')}, 'byteimg') THEN 'https://www.toutiao.com/' ELSE 'https://www.google.com/' END AS referer FROM items")
+def cover_referer(spark, sf):
+    return D.items(spark, sf).select("id", U.cover_referer("final_url").alias("referer"))
+
+
+# Classification of the items' own texts
+
+
+def _any_sql(c: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+
+def category_sql(text: str, platform: str) -> str:
+    strict = " ".join(f"WHEN {platform} = '{p}' AND NOT {_any_sql(f'lower({text})', lists.TECHNICAL)} THEN '{c}'" for p, c in lists.STRICT_PLATFORMS.items())
+    rules = " ".join(f"WHEN {_any_sql(f'lower({text})', words)} THEN '{c}'" for c, words in lists.CATEGORIES)
+    rest = " ".join(f"WHEN {platform} IN ({', '.join(repr(n) for n in names)}) THEN '{c}'" for c, names in lists.PLATFORM_CATEGORIES)
+    return f"CASE {strict} {rules} {rest} ELSE '{lists.OTHER_CATEGORY}' END"
+
+
+def type_sql(url: str, text: str) -> str:
+    low = f"lower({url} || ' ' || {text})"
+    rules = [f"{_any_sql(low, parts)}" for _, parts in lists.CONTENT_TYPES]
+    rules[-1] = f"({rules[-1]} OR length({text}) > {lists.LONG_ARTICLE})"
+    return "CASE " + " ".join(f"WHEN {r} THEN '{k}'" for r, (k, _) in zip(rules, lists.CONTENT_TYPES, strict=True)) + " ELSE 'link' END"
+
+
+FULL_SQL = "(title || ' ' || description || ' ' || content_text)"
+FULL = lambda: F.concat_ws(" ", "title", "description", "content_text")
+
+
+@query(WITH_ITEMS + f"SELECT id, {category_sql(FULL_SQL, 'platform')} AS category FROM items")
+def infer_category(spark, sf):
+    return D.items(spark, sf).select("id", C.infer_category(FULL(), "platform").alias("category"))
+
+
+@query(WITH_ITEMS + f"SELECT id, {type_sql('final_url', FULL_SQL)} AS content_type FROM items")
+def infer_content_type(spark, sf):
+    return D.items(spark, sf).select("id", C.infer_content_type("final_url", FULL()).alias("content_type"))
+
+
+WORDS_SQL = rf"""regexp_extract_all({FULL_SQL}, '[A-Za-z][A-Za-z0-9_+\-.]{{2,}}|[\p{{Han}}]{{2,8}}')"""
+KEYWORDS_SQL = f"""words AS (SELECT id, platform, category0, w, min(i) AS i FROM (SELECT id, platform, {category_sql(FULL_SQL, 'platform')} AS category0, unnest({WORDS_SQL}) AS w, generate_subscripts({WORDS_SQL}, 1) AS i FROM items) WHERE w NOT IN ({', '.join(repr(w) for w in lists.STOP_WORDS)}) GROUP BY ALL),
+first12 AS (SELECT * FROM words QUALIFY row_number() OVER (PARTITION BY id ORDER BY i) <= 12)"""
+
+
+@query(WITH_ITEMS + f", {KEYWORDS_SQL} SELECT i.id, coalesce(k.keywords, '') AS keywords FROM items i LEFT JOIN (SELECT id, string_agg(w, '|' ORDER BY i) AS keywords FROM first12 GROUP BY id) k USING (id)")
+def extract_keywords(spark, sf):
+    return D.items(spark, sf).select("id", F.array_join(C.extract_keywords(FULL()), "|").alias("keywords"))
+
+
+@query(WITH_ITEMS + f"SELECT id, array_to_string(list_filter([{', '.join(repr(e) for e in lists.ENTITIES)}], lambda e: contains({FULL_SQL}, e)), '|') AS entities FROM items")
+def extract_entities(spark, sf):
+    return D.items(spark, sf).select("id", F.array_join(C.extract_entities(FULL()), "|").alias("entities"))
+
+
+SUMMARY_SQL = f"CASE WHEN {D.trim_sql('description')} <> '' THEN {D.cut_sql('description', 160)} WHEN {D.trim_sql('content_text')} <> '' THEN {D.cut_sql('content_text', 160)} ELSE '来自 ' || platform || ' 的链接，已保存原始地址。' END"
+
+
+@query(WITH_ITEMS + f"SELECT id, {SUMMARY_SQL} AS summary FROM items")
+def fallback_summary(spark, sf):
+    return D.items(spark, sf).select("id", C.fallback_summary("description", "content_text", "platform").alias("summary"))
+
+
+HEURISTIC_SQL = f""", {KEYWORDS_SQL}, own AS (SELECT id, w FROM first12 UNION SELECT id, platform FROM items UNION SELECT id, {category_sql(FULL_SQL, 'platform')} FROM items),
+ten AS (SELECT id, w FROM own QUALIFY row_number() OVER (PARTITION BY id ORDER BY w) <= 10)
+SELECT i.id, {SUMMARY_SQL} AS summary, {category_sql(FULL_SQL, 'platform')} AS category, (SELECT string_agg(w, '|' ORDER BY w) FROM ten t WHERE t.id = i.id) AS keywords, {type_sql('final_url', FULL_SQL)} AS content_type, (CASE WHEN length(content_text) > 400 THEN 66 ELSE 48 END)::SMALLINT AS importance_score FROM items i"""
+
+
+@query(WITH_ITEMS + HEURISTIC_SQL)
+def heuristic_analysis(spark, sf):
+    analysed = D.items(spark, sf).select("id", C.heuristic_analysis(F.lit("")).alias("a"))
+    return analysed.select("id", "a.summary", "a.category", F.array_join("a.keywords", "|").alias("keywords"), "a.content_type", "a.importance_score")
+
+
+@query(WITH_ITEMS + f", own AS (SELECT id, unnest([platform, {category_sql(chr(39) * 2, 'platform')}, '访问验证', '原链接']) AS w FROM items) SELECT i.id, platform || ' 页面触发访问验证，暂时未能抓取正文；已保存原链接。' AS summary, (SELECT string_agg(DISTINCT w, '|' ORDER BY w) FROM own o WHERE o.id = i.id) AS keywords, platform AS entities, 36::SMALLINT AS importance_score FROM items i")
+def blocked_analysis(spark, sf):
+    analysed = D.items(spark, sf).select("id", C.blocked_analysis().alias("a"))
+    return analysed.select("id", "a.summary", F.array_join("a.keywords", "|").alias("keywords"), F.array_join("a.entities", "|").alias("entities"), "a.importance_score")
+
+
+@query(WITH_ITEMS + "SELECT id, final_url AS url, platform, title, author, length(CASE WHEN length(content_text) > 7000 THEN content_text[1:7000] || '...' ELSE content_text END)::INTEGER AS chars FROM items")
+def prompt_payload(spark, sf):
+    items = D.items(spark, sf)
+    field = lambda name: F.get_json_object("p", f"$.{name}")
+    packed = items.select("id", C.prompt_payload(items).alias("p"))
+    return packed.select("id", field("url").alias("url"), field("platform").alias("platform"), field("title").alias("title"), field("author").alias("author"), F.length(field("content_text")).alias("chars"))
+
+
+@query("SELECT 'doc-' || doc_id AS id, '新' AS category, 'a|b' AS keywords, 'x' AS notes, false AS reject FROM labels WHERE quality = 1 UNION ALL SELECT 'doc-' || doc_id, '', '', 'x', true FROM labels WHERE quality = 0")
+def normalize_update(spark, sf):
+    good = F.col("quality") == 1
+    words = F.when(good, F.array(F.lit(" a"), F.lit("b"), F.lit("a "))).otherwise(F.array(F.lit("　")))
+    patches = D.table(spark, sf, "labels").where("quality is not null").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.when(good, "新 ").otherwise("  ").alias("category"), words.alias("keywords"), F.lit(" x").alias("notes"))
+    return flat(S.normalize_update(patches))
+
+
+@query("SELECT DISTINCT url AS source_url, coalesce(CASE WHEN page_id % 2 = 0 THEN '看看这个 ' || url END, '') AS description FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1")
+def seed_metadata(spark, sf):
+    pages = D.table(spark, sf, "pages").groupBy("url").agg(F.min("page_id").alias("page_id"))
+    shares = pages.select(F.col("url").alias("source_url"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("看看这个 "), "url")).alias("shared_text"))
+    return P.finish_metadata(P.seed_metadata(shares)).select("source_url", "description")
+
+
+@query(WITH_ITEMS + f", {KEYWORDS_SQL} SELECT sha256(final_url) AS id, final_url, {category_sql(FULL_SQL, 'platform')} AS category, 'active' AS status, {NOW_SECONDS}::BIGINT AS created_at FROM items")
+def build_items(spark, sf):
+    rows = D.items(spark, sf).select(*"source_url final_url source_app platform title description author image_url content_text original_text".split())
+    return flat(I.build_items(rows.withColumn("analysis", C.heuristic_analysis(F.lit(""))), now()), "id", "final_url", "category", "status", "created_at")
+
+
+@query(WITH_ITEMS + f"SELECT id, status, {category_sql(FULL_SQL, 'platform')} AS category, coalesce(remote_image_url, CASE WHEN image_url NOT LIKE '/media/%' THEN image_url END) AS image_url, epoch(created_at)::BIGINT AS created_at, {NOW_SECONDS}::BIGINT AS updated_at FROM items")
+def reanalyze_items(spark, sf):
+    replies = spark.createDataFrame([], REPLY_SCHEMA)
+    return flat(I.reanalyze_items(D.items(spark, sf), replies, now()), "id", "status", "category", "image_url", "created_at", "updated_at")
+
+
+@query("SELECT count(DISTINCT p.url) AS items FROM conversations c JOIN pages p ON p.page_id = c.conv_id WHERE role = 'user'")
+def ingest_shares(spark, sf):
+    items = I.ingest_shares(_shares(spark, sf), R.landed(D.table(spark, sf, "pages")), now())
+    return items.where("final_url like 'http%'").join(D.table(spark, sf, "pages").select(F.col("url").alias("final_url")).distinct(), "final_url", "left_semi").agg(F.countDistinct("final_url").alias("items"))
+
+
+@query()
+def stream_ingest(spark, sf):
+    """The shares as files of a stream, into a store that grows batch by batch."""
+    from curio.streaming.ingest import ingest, read_share_stream
+
+    shares, state = new_path(spark, "shares"), [new_path(spark, "store")]
+    _shares(spark, sf).select("url", "shared_text", "source_app").repartition(4).write.json(shares)
+    spark.createDataFrame([], D.ITEM_SCHEMA).write.parquet(state[0])
+
+    def save(store):
+        at = new_path(spark, "store")
+        store.write.parquet(at)
+        state.append(at)
+
+    pages = R.landed(D.table(spark, sf, "pages"))
+    ingest(read_share_stream(spark, shares, 2), lambda: pages, lambda: spark.read.schema(D.ITEM_SCHEMA).parquet(state[-1]), save, new_path(spark, "stream"), now).awaitTermination()
+    return flat(spark.read.schema(D.ITEM_SCHEMA).parquet(state[-1]), "id", "final_url", "platform", "title", "category", "created_at")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["collection_digest"](spark, sf_dir)
