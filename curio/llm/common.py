@@ -68,4 +68,5 @@ def cut_table(df: DataFrame) -> DataFrame:
     cut_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets the context cleaner drop the shuffles that the table replaces
     return df.sparkSession.read.schema(df.schema).parquet(path)

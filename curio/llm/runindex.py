@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from curio.llm.common import column, keyed, slices, utf8
 from curio.llm.superkmer import covered
-from curio.llm.windows import by_bucket, mix, pieces, ranges
+from curio.llm.windows import AGAIN, CROWD, Pieces, by_bucket, mix, ranges
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -123,29 +123,35 @@ def _look(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
     index = RunIndex(strings)
     long = index.matching() >= width
     out = []
-    for i, (begin, n, c) in enumerate(zip(index.begins.tolist(), index.lengths.tolist(), column(batch, "c").to_pylist(), strict=True)):
+    for i, (begin, n, again) in enumerate(zip(index.begins.tolist(), index.lengths.tolist(), column(batch, "again").to_pylist(), strict=True)):
         many = n - width + 1
-        out += [(i, a, b) for a, b in ([(0, many)] if c > 1 else ranges(long[begin : begin + many]))]
+        out += [(i, a, b) for a, b in ([(0, many)] if again else ranges(long[begin : begin + many]))]
     which, a, b = zip(*out, strict=True) if out else ((), (), ())
     at = pa.array(which, pa.int64())
     yield pa.RecordBatch.from_arrays([column(batch, "key").take(at), column(batch, "sid").take(at), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["key", "sid", "a", "b"])
 
 
-def repeats(docs: DataFrame, width: int = 200, gram: int = 100) -> DataFrame:
+def repeats(docs: DataFrame, width: int = 200, gram: int = 64) -> DataFrame:
     """rk and spans (a, b): the bytes [a, b) of a document that strings of `width` bytes cover which start elsewhere, too.
 
-    The index is built for each chunk of buckets, over their different strings; how often a string occurs as a whole
-    comes along. Spans may overlap.
+    The index is built for each chunk of buckets, over their different strings; whether a string occurs again as a
+    whole comes along. Spans may overlap.
     """
-    found = pieces(docs, _units, _join, width, gram)
-    one = found.groupBy("key", "s").agg(F.count(F.lit(1)).alias("c")).withColumn("sid", F.xxhash64("s"))
-    marked = by_bucket(one.select("key", "s", "sid", "c"), lambda b: _look(b, width), "key bigint, sid bigint, a bigint, b bigint")
-    places = found.select("key", "sid", "rk", "start").join(marked, ["key", "sid"])
-    spans = F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + width - 1).alias("b"))
-    return places.groupBy("rk").agg(F.collect_list(spans).alias("spans"))
-
-
-def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 100) -> DataFrame:
+    found = Pieces(docs, _units, _join, width, gram)
+    marked = by_bucket(found.strings(), lambda b: _look(b, width), "key bigint, sid bigint, a bigint, b bigint")
+    places = found.places.select("key", "sid", "rk", "start").join(marked, ["key", "sid"])
+    spans = places.select("rk", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + width - 1).alias("b"))
+    if found.crowded:
+        one = found.windows().select("rk", "start", "s", "again")
+        often = one.groupBy("s").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("c")).where("c > 1")
+        spans = spans.union(one.join(often, "s").select("rk", F.col("start").cast("long"), (F.col("start") + width).cast("long")))
+        # Equal pieces of a crowd: what is said of the first holds for all.
+        crowd = found.places.where(F.col("kind").bitwiseAND(AGAIN | CROWD) == (AGAIN | CROWD))
+        spans = spans.union(crowd.select("rk", F.col("start").cast("long"), (F.col("start") + F.col("n") + width - 1).cast("long")))
+    return spans.groupBy("rk").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+
+
+def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) and kept_sha256 of every row of docs.
 
     Every byte goes that a string of `width` bytes covers which starts anywhere else in the texts, wherever it stands.
@@ -184,7 +190,7 @@ def whole_characters(text: bytes, out: np.ndarray) -> bytes:
     return data[np.repeat(whole, np.diff(np.append(starts, len(data)))) == 0].tobytes()
 
 
-def clean(docs: DataFrame, width: int = 200, gram: int = 100) -> DataFrame:
+def clean(docs: DataFrame, width: int = 200, gram: int = 64) -> DataFrame:
     """docs with the repeated strings taken out of text (in whole characters), and n_chars, if there is one, renewed."""
     kinds = dict(docs.dtypes)
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text", F.struct(*docs.columns).alias("_doc"))

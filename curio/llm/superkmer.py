@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curio.llm.common import column, keyed, slices, utf8
-from curio.llm.windows import by_bucket, pieces, ranges
+from curio.llm.windows import FIRST, Pieces, by_bucket, ranges
 
 
 def _units(text: bytes) -> tuple[list[bytes], np.ndarray]:
@@ -67,14 +67,16 @@ def repeats(docs: DataFrame, width: int = 20, gram: int = 8) -> DataFrame:
     Of pieces that are equal as a whole only the first goes to the bucket, where sorting numbers its windows; the
     others are covered whole. Spans may overlap.
     """
-    found = pieces(docs, _units, _join, width, gram)
-    one = found.groupBy("key", "s").agg(F.min(F.struct("doc_id", "rk", "start")).alias("first"), F.count(F.lit(1)).alias("c"))
-    distinct = one.select("key", "s", "first.doc_id", "first.rk", "first.start")
-    inside = by_bucket(distinct, lambda b: _look(b, width), "rk bigint, a bigint, b bigint")
-    first = one.where("c > 1").select("key", F.xxhash64("s").alias("sid"), F.col("first.rk").alias("rk1"), F.col("first.start").alias("start1"))
-    again = found.select("key", "sid", "rk", "start", "n").join(first, ["key", "sid"]).where("rk <> rk1 or start <> start1")
-    whole = again.select("rk", F.col("start").cast("long").alias("a"), (F.col("start") + F.col("n") + width - 1).cast("long").alias("b"))
-    return inside.unionByName(whole).groupBy("rk").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    found = Pieces(docs, _units, _join, width, gram)
+    spans = by_bucket(found.strings(), lambda b: _look(b, width), "rk bigint, a bigint, b bigint")
+    later = found.places.where(F.col("kind").bitwiseAND(FIRST) == 0)
+    spans = spans.union(later.select("rk", F.col("start").cast("long"), (F.col("start") + F.col("n") + width - 1).cast("long")))
+    if found.crowded:
+        one = found.windows().select("doc_id", "rk", "start", "s")
+        first = one.groupBy("s").agg(F.min(F.struct("doc_id", "rk", "start")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        again = one.join(first, "s").where("rk <> f.rk or start <> f.start")
+        spans = spans.union(again.select("rk", F.col("start").cast("long"), (F.col("start") + width).cast("long")))
+    return spans.groupBy("rk").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def covered(spans: list | None, n: int) -> np.ndarray:

@@ -19,8 +19,8 @@ from curio.llm.common import column, cut_table, keyed, slices, utf8
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Windows in one piece at most; a longer stretch with one minimiser (a period) is cut, which changes no window.
 LONGEST = 1024
-#: A minimiser that occurs more often has its windows sent one by one, each to the bucket of its own contents: equal
-#: ones are then counted while they are grouped, and no bucket gets more than this many different strings.
+#: A minimiser that occurs more often is a crowd: its windows are sent one by one and counted while they are grouped by
+#: contents, so that no bucket gets more strings than this.
 HOT = 16_384
 #: Bytes of a bucket's strings, or of several buckets' together, that a task looks at at once.
 CHUNK = 1_500_000
@@ -106,48 +106,131 @@ def ranges(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def pieces(docs: DataFrame, units: Callable, join: Callable, width: int, gram: int) -> DataFrame:
-    """Every piece whose minimiser occurs more than once, in it or elsewhere: key, s (the piece, packed), sid (its hash), doc_id, rk, start, n.
+def _content_hash(units: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the units [begin, end) for each pair, from sums of units over powers of an odd base."""
+    with np.errstate(over="ignore"):
+        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+        powers = np.full(len(units) + 1, BASE, np.uint64)
+        powers[0] = 1
+        back = np.full(len(units) + 1, inverse, np.uint64)
+        back[0] = 1
+        powers, back = np.multiply.accumulate(powers), np.multiply.accumulate(back)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(units * back[:-1], dtype=np.uint64)])
+        return mix((sums[end] - sums[begin]) * powers[begin] + (end - begin).astype(np.uint64))
+
+
+FIRST, AGAIN, CROWD = 1, 2, 4
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pieces sorted by (key, sid, order), those whose key occurs again, in the piece or elsewhere, with kind: FIRST
+    of the equal pieces, AGAIN if there are equal ones, CROWD if the key occurs more than HOT times.
+
+    Rows pass in order; at most HOT of a key are held until it is known what they are."""
+    held: list[pa.RecordBatch] = []
+    crowd = None  # a key known to be one
+
+    def judge(table: pa.RecordBatch, upto: int, last: tuple | None) -> tuple[pa.RecordBatch, tuple]:
+        key, sid, times = (column(table, c).to_numpy() for c in ("key", "sid", "times"))
+        same = np.concatenate([[last is not None and last[0] == key[0]], key[1:] == key[:-1]])
+        equal = same & np.concatenate([[last is not None and last[:2] == (key[0], sid[0])], sid[1:] == sid[:-1]])
+        again = equal | np.append(equal[1:], False)
+        begin = np.flatnonzero(~same) if not same[0] else np.concatenate([[0], np.flatnonzero(~same)])
+        size = np.diff(np.append(begin, len(key)))
+        many = np.repeat((size > HOT) | (key[begin] == crowd if crowd is not None else np.zeros(len(begin), bool)), size)
+        wanted = same | np.append(same[1:], False) | (times > 1)
+        kind = np.where(equal, 0, FIRST) | np.where(again, AGAIN, 0) | np.where(many, CROWD, 0)
+        out = table.slice(0, upto)
+        rows = [column(out, c) for c in ("doc_id", "rk", "start", "n", "key", "sid")]
+        made = pa.RecordBatch.from_arrays([*rows, pa.array(kind[:upto].astype(np.int8))], names=["doc_id", "rk", "start", "n", "key", "sid", "kind"])
+        return made.filter(pa.array(wanted[:upto])), (key[upto - 1], sid[upto - 1])
+
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.concat_batches(held)
+        key = column(table, "key").to_numpy()
+        # A row is settled once the next row is there; a key's rows once the key is over, or is known to be a crowd.
+        begin = int(np.searchsorted(key, key[-1]))
+        if len(key) - begin > HOT or crowd == key[-1]:
+            crowd = key[-1]
+            begin = len(key) - 1
+        if begin:
+            made, last = judge(table, begin, last)
+            yield made
+        held = [table.slice(begin)]
+    if held:
+        table = pa.concat_batches(held)
+        yield judge(table, table.num_rows, last)[0]
+
+
+class Pieces:
+    """The pieces of a corpus whose windows may occur more than once.
 
     units(text) gives a document's units and their hashes, join(units, begin, end) packs some. Two passes over the
-    texts: the first writes each piece's minimiser, without its string; the second, where these repeat, the strings.
+    texts: the first makes a narrow row for each piece and brings equal minimisers together; only where these repeat,
+    the second packs strings, and of equal pieces only the first one (by doc_id, null first, then place).
     """
-    kind = dict(docs.dtypes)["doc_id"]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            hashes = [units(t)[1] for t in utf8(batch)]
-            lengths = np.array([len(h) for h in hashes], np.int64)
-            which, start, n, key, times = stretches(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), lengths, width, gram)
-            yield pa.RecordBatch.from_arrays([column(batch, "rk").take(pa.array(which)), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(key.view(np.int64)), pa.array(times, pa.int8())], names=["rk", "start", "n", "key", "times"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out, strings = [], []
-            for i, (text, runs) in enumerate(zip(utf8(batch), column(batch, "runs").to_pylist(), strict=True)):
-                parts = units(text)[0]
-                for r in runs:
-                    start, n, key = r["start"], r["n"], r["key"]
-                    if r["hot"]:
-                        for p in range(start, start + n):
-                            strings.append(join(parts, p, p + width))
-                            out.append((i, None, p, 1))
-                    else:
-                        strings.append(join(parts, start, start + n + width - 1))
-                        out.append((i, key, start, n))
-            which, key, start, n = zip(*out, strict=True) if out else ((), (), (), ())
-            at = pa.array(which, pa.int64())
-            columns = [pa.array(key, pa.int64()), pa.array(strings, pa.binary()), column(batch, "doc_id").take(at), column(batch, "rk").take(at), pa.array(start, pa.int32()), pa.array(n, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "s", "doc_id", "rk", "start", "n"])
-
-    rows = keyed(docs)
-    found = cut_table(rows.select("rk", "text").mapInArrow(scan, "rk bigint, start int, n int, key bigint, times tinyint"))
-    often = found.groupBy("key").agg(F.sum("times").alias("c")).where("c > 1").select("key", (F.col("c") > HOT).alias("hot"))
-    runs = found.join(often, "key").groupBy("rk").agg(F.collect_list(F.struct("start", "n", "key", "hot")).alias("runs"))
-    cut_up = rows.select("doc_id", "rk", "text").join(runs, "rk").select("doc_id", "rk", "text", "runs")
-    packed = cut_up.mapInArrow(pack, f"key bigint, s binary, doc_id {kind}, rk bigint, start int, n int")
-    # A window sent by itself goes to the bucket of its contents.
-    return cut_table(packed.select(F.coalesce("key", F.xxhash64("s")).alias("key"), "s", F.xxhash64("s").alias("sid"), "doc_id", "rk", "start", "n"))
+
+    def __init__(self, docs: DataFrame, units: Callable, join: Callable, width: int, gram: int):
+        self.kind, self.units, self.join, self.width = dict(docs.dtypes)["doc_id"], units, join, width
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                hashes = [units(t)[1] for t in utf8(batch)]
+                lengths = np.array([len(h) for h in hashes], np.int64)
+                every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+                which, start, n, key, times = stretches(every, lengths, width, gram)
+                begin = (np.cumsum(lengths) - lengths)[which] + start
+                sid = _content_hash(every, begin, begin + n + width - 1)
+                at = pa.array(which)
+                columns = [column(batch, "doc_id").take(at), column(batch, "rk").take(at), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(key.view(np.int64)), pa.array(sid.view(np.int64)), pa.array(times, pa.int8())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rk", "start", "n", "key", "sid", "times"])
+
+        self.rows = keyed(docs)
+        found = self.rows.mapInArrow(scan, f"doc_id {self.kind}, rk bigint, start int, n int, key bigint, sid bigint, times tinyint")
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+        sorted_rows = found.repartition(parts, "key").sortWithinPartitions("key", "sid", "doc_id", "rk", "start")
+        #: doc_id, rk, start, n, key, sid, kind of every piece whose minimiser repeats.
+        self.places = cut_table(sorted_rows.mapInArrow(_repeated, f"doc_id {self.kind}, rk bigint, start int, n int, key bigint, sid bigint, kind tinyint"))
+        self.crowded = not self.places.where(F.col("kind").bitwiseAND(CROWD) > 0).isEmpty()
+
+    def first(self) -> DataFrame:
+        return self.places.where(F.col("kind").bitwiseAND(FIRST) > 0)
+
+    def _packed(self, crowd: bool) -> DataFrame:
+        units, join, width = self.units, self.join, self.width
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                out, strings = [], []
+                for i, (text, runs) in enumerate(zip(utf8(batch), column(batch, "runs").to_pylist(), strict=True)):
+                    parts = units(text)[0] if runs else None
+                    for r in {(r["start"], r["n"], r["key"], r["sid"], r["again"]) for r in runs}:  # rows that repeat bring their pieces twice
+                        for p, n in [(p, 1) for p in range(r[0], r[0] + r[1])] if crowd else [(r[0], r[1])]:
+                            strings.append(join(parts, p, p + n + width - 1))
+                            out.append((i, p, n, r[2], r[3], r[4]))
+                which, start, n, key, sid, again = zip(*out, strict=True) if out else ((),) * 6
+                at = pa.array(which, pa.int64())
+                columns = [column(batch, "doc_id").take(at), column(batch, "rk").take(at), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(sid, pa.int64()), pa.array(again, pa.bool_()), pa.array(strings, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rk", "start", "n", "key", "sid", "again", "s"])
+
+        wanted = self.first().where((F.col("kind").bitwiseAND(CROWD) > 0) == F.lit(crowd))
+        again = (F.col("kind").bitwiseAND(AGAIN) > 0).alias("again")
+        runs = wanted.groupBy("rk").agg(F.collect_list(F.struct("start", "n", "key", "sid", again)).alias("runs"))
+        joined = self.rows.select("doc_id", "rk", "text").join(runs, "rk").select("doc_id", "rk", "text", "runs")
+        return joined.mapInArrow(pack, f"doc_id {self.kind}, rk bigint, start int, n int, key bigint, sid bigint, again boolean, s binary")
+
+    def strings(self) -> DataFrame:
+        """doc_id, rk, start, n, key, sid, again, s: the first of equal pieces, packed; not of crowds. A bucket has at
+        most HOT of them."""
+        return self._packed(False)
+
+    def windows(self) -> DataFrame:
+        """The same for the pieces of crowds, window by window: to be counted by contents, which group without limit."""
+        return self._packed(True)
 
 
 def by_bucket(distinct: DataFrame, look: Callable, schema: str) -> DataFrame:
