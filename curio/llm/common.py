@@ -38,7 +38,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), F.xxhash64("text").alias("th"), "text")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", at_most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", at_most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about at_most bytes of text (a single longer text stays whole)."""
     for batch in batches:
         index = batch.schema.get_field_index(column)

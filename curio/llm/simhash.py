@@ -19,7 +19,7 @@ from curio.llm.graph import components, forest
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Fingerprints of one key that a task compares with each other; longer runs are compared block by block.
 BLOCK = 4096
-ROWS = 250_000
+ROWS = 120_000
 
 
 class Plan(NamedTuple):

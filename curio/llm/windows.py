@@ -23,7 +23,7 @@ LONGEST = 1024
 #: contents, so that no bucket gets more strings than this.
 HOT = 16_384
 #: Bytes of a bucket's strings, or of several buckets' together, that a task looks at at once.
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -178,7 +178,7 @@ class Pieces:
         self.kind, self.units, self.join, self.width = dict(docs.dtypes)["doc_id"], units, join, width
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
+            for batch in slices(batches, at_most=1_000_000):  # a dozen numbers are held for each unit
                 hashes = [units(t)[1] for t in utf8(batch)]
                 lengths = np.array([len(h) for h in hashes], np.int64)
                 every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
