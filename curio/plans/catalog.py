@@ -513,7 +513,7 @@ def collection_stats(spark, sf):
     return _texts(Q.collection_stats(D.items(spark, sf)), "categories", "platforms", "keywords")
 
 
-ACTIVE_SQL = WITH_ITEMS.replace("items AS (", "every AS (").rstrip() + ", items AS (SELECT * FROM every WHERE status <> 'archived') "
+ACTIVE_SQL = WITH_ITEMS.replace("items AS MATERIALIZED (", "every AS MATERIALIZED (").rstrip() + ", items AS (SELECT * FROM every WHERE status <> 'archived') "
 FOCUS_SQL = """'近期收藏主要集中在 ' || (SELECT string_agg(label || ' ' || count, '、' ORDER BY place) FROM ranked WHERE dim = 'category' AND place <= 3) || '，来源多来自 ' || (SELECT string_agg(label, '、' ORDER BY place) FROM ranked WHERE dim = 'platform' AND place <= 2) || '，高频线索包括 ' || (SELECT string_agg(label, '、' ORDER BY place) FROM ranked WHERE dim = 'keyword' AND place <= 4) || '。'"""
 HINTS_SQL = f"""'为「' || (SELECT label FROM ranked WHERE dim = 'category' AND place = 1) || '」建立一个专题清单，方便后续集中复盘。|最近来自「' || (SELECT label FROM ranked WHERE dim = 'platform' AND place = 1) || '」的内容较多，可以定期清理低价值重复收藏。' || CASE WHEN EXISTS (SELECT 1 FROM ranked WHERE dim = 'keyword' AND place <= 20 AND contains(label, '优惠')) THEN '|{lists.HINT_OFFERS}' ELSE '' END"""
 
@@ -664,7 +664,8 @@ def infer_content_type(spark, sf):
 
 
 WORDS_SQL = rf"""regexp_extract_all({FULL_SQL}, '[A-Za-z][A-Za-z0-9_+\-.]{{2,}}|[\p{{Han}}]{{2,8}}')"""
-KEYWORDS_SQL = f"""words AS (SELECT id, platform, category0, w, min(i) AS i FROM (SELECT id, platform, {category_sql(FULL_SQL, 'platform')} AS category0, unnest({WORDS_SQL}) AS w, generate_subscripts({WORDS_SQL}, 1) AS i FROM items) WHERE w NOT IN ({', '.join(repr(w) for w in lists.STOP_WORDS)}) GROUP BY ALL),
+KEYWORDS_SQL = f"""found AS MATERIALIZED (SELECT id, {WORDS_SQL} AS ws FROM items),
+words AS (SELECT id, w, min(i) AS i FROM (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM found) WHERE w NOT IN ({', '.join(repr(w) for w in lists.STOP_WORDS)}) GROUP BY id, w),
 first12 AS (SELECT * FROM words QUALIFY row_number() OVER (PARTITION BY id ORDER BY i) <= 12)"""
 
 
@@ -686,9 +687,9 @@ def fallback_summary(spark, sf):
     return D.items(spark, sf).select("id", C.fallback_summary("description", "content_text", "platform").alias("summary"))
 
 
-HEURISTIC_SQL = f""", {KEYWORDS_SQL}, own AS (SELECT id, w FROM first12 UNION SELECT id, platform FROM items UNION SELECT id, {category_sql(FULL_SQL, 'platform')} FROM items),
-ten AS (SELECT id, w FROM own QUALIFY row_number() OVER (PARTITION BY id ORDER BY w) <= 10)
-SELECT i.id, {SUMMARY_SQL} AS summary, {category_sql(FULL_SQL, 'platform')} AS category, (SELECT string_agg(w, '|' ORDER BY w) FROM ten t WHERE t.id = i.id) AS keywords, {type_sql('final_url', FULL_SQL)} AS content_type, (CASE WHEN length(content_text) > 400 THEN 66 ELSE 48 END)::SMALLINT AS importance_score FROM items i"""
+HEURISTIC_SQL = f""", {KEYWORDS_SQL}, kinds AS MATERIALIZED (SELECT id, {category_sql(FULL_SQL, 'platform')} AS kind FROM items), own AS (SELECT id, w FROM first12 UNION SELECT id, platform FROM items UNION SELECT id, kind FROM kinds),
+ten AS (SELECT id, string_agg(w, '|' ORDER BY w) AS keywords FROM (SELECT id, w FROM own QUALIFY row_number() OVER (PARTITION BY id ORDER BY w) <= 10) GROUP BY id)
+SELECT i.id, {SUMMARY_SQL} AS summary, kind AS category, t.keywords, {type_sql('final_url', FULL_SQL)} AS content_type, (CASE WHEN length(content_text) > 400 THEN 66 ELSE 48 END)::SMALLINT AS importance_score FROM items i JOIN ten t USING (id) JOIN kinds USING (id)"""
 
 
 @query(WITH_ITEMS + HEURISTIC_SQL)
@@ -697,7 +698,7 @@ def heuristic_analysis(spark, sf):
     return analysed.select("id", "a.summary", "a.category", F.array_join("a.keywords", "|").alias("keywords"), "a.content_type", "a.importance_score")
 
 
-@query(WITH_ITEMS + f", own AS (SELECT id, unnest([platform, {category_sql(chr(39) * 2, 'platform')}, '访问验证', '原链接']) AS w FROM items) SELECT i.id, platform || ' 页面触发访问验证，暂时未能抓取正文；已保存原链接。' AS summary, (SELECT string_agg(DISTINCT w, '|' ORDER BY w) FROM own o WHERE o.id = i.id) AS keywords, platform AS entities, 36::SMALLINT AS importance_score FROM items i")
+@query(WITH_ITEMS + f", own AS (SELECT id, string_agg(DISTINCT w, '|' ORDER BY w) AS keywords FROM (SELECT id, unnest([platform, {category_sql(chr(39) * 2, 'platform')}, '访问验证', '原链接']) AS w FROM items) GROUP BY id) SELECT i.id, platform || ' 页面触发访问验证，暂时未能抓取正文；已保存原链接。' AS summary, own.keywords, platform AS entities, 36::SMALLINT AS importance_score FROM items i JOIN own USING (id)")
 def blocked_analysis(spark, sf):
     analysed = D.items(spark, sf).select("id", C.blocked_analysis().alias("a"))
     return analysed.select("id", "a.summary", F.array_join("a.keywords", "|").alias("keywords"), F.array_join("a.entities", "|").alias("entities"), "a.importance_score")
@@ -726,7 +727,7 @@ def seed_metadata(spark, sf):
     return P.finish_metadata(P.seed_metadata(shares)).select("source_url", "description")
 
 
-@query(WITH_ITEMS + f", {KEYWORDS_SQL} SELECT sha256(final_url) AS id, final_url, {category_sql(FULL_SQL, 'platform')} AS category, 'active' AS status, {NOW_SECONDS}::BIGINT AS created_at FROM items")
+@query(WITH_ITEMS + f"SELECT sha256(final_url) AS id, final_url, {category_sql(FULL_SQL, 'platform')} AS category, 'active' AS status, {NOW_SECONDS}::BIGINT AS created_at FROM items")
 def build_items(spark, sf):
     rows = D.items(spark, sf).select(*"source_url final_url source_app platform title description author image_url content_text original_text".split())
     return flat(I.build_items(rows.withColumn("analysis", C.heuristic_analysis(F.lit(""))), now()), "id", "final_url", "category", "status", "created_at")

@@ -106,9 +106,9 @@ def _pick_sql(values: list[str]) -> str:
 
 
 ITEMS_SQL = f"""
-raw AS (SELECT doc_id, coalesce(text, '') AS text, lang, source, n_chars, 'https://' || {_pick_sql(HOSTS)} || '/item/' || doc_id AS url,
+raw AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, lang, source, n_chars, 'https://' || {_pick_sql(HOSTS)} || '/item/' || doc_id AS url,
   TIMESTAMP '2023-11-14 22:13:20' + to_minutes(doc_id * 7919 % 100000) AS made FROM documents WHERE doc_id IS NOT NULL),
-items AS (SELECT 'doc-' || doc_id AS id, url || '?from=share' AS source_url, url AS final_url, CASE WHEN doc_id % 3 > 0 THEN 'app' || (doc_id % 3) END AS source_app,
+items AS MATERIALIZED (SELECT 'doc-' || doc_id AS id, url || '?from=share' AS source_url, url AS final_url, CASE WHEN doc_id % 3 > 0 THEN 'app' || (doc_id % 3) END AS source_app,
   {platform_sql('url')} AS platform, coalesce({cut_sql(first_line_sql('text'), 120)}, '{lists.PLACEHOLDER_TITLE}') AS title,
   {cut_sql('(' + clean_sql('text') + ')', 200)} AS description, CASE WHEN doc_id % 4 > 0 THEN source END AS author,
   CASE WHEN doc_id % 5 > 0 THEN 'https://img.example.org/' || doc_id || '.jpg' ELSE '/media/cover-1.jpg' END AS image_url,
