@@ -47,6 +47,9 @@ def suffix_array(symbols: np.ndarray, sevens: np.ndarray) -> np.ndarray:
     slots = np.flatnonzero(tied)
     while len(slots):
         some = order[slots]
+        if ahead > n:  # equal up to the text's end: the shorter one first
+            order[slots] = some[np.argsort((rank[some] << 32) | (n - some), kind="stable")]
+            break
         key = (rank[some] << 32) | (rank[np.minimum(some + ahead, n)] + 1)
         by = np.argsort(key, kind="stable")
         some, key = some[by], key[by]

@@ -53,8 +53,11 @@ def _look(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
     rk, start = column(batch, "rk").to_numpy(), column(batch, "start").to_numpy().astype(np.int64)
     at = start[owner] + place
     order = np.lexsort((at, rk[owner], order_of[owner], number))
+    # Each window against the first of its number; rows that repeat are the same place.
+    new = np.concatenate([[True], number[order[1:]] != number[order[:-1]]]) if len(order) else np.zeros(0, bool)
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     later = np.zeros(len(owner), bool)
-    later[order[1:]] = number[order[1:]] == number[order[:-1]]
+    later[order] = (rk[owner[order]] != rk[owner[first]]) | (at[order] != at[first])
     firsts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
     out = [(rk[i], start[i] + a, start[i] + b + width - 1) for i in range(batch.num_rows) for a, b in ranges(later[firsts[i] : firsts[i + 1]])]
     rks, a, b = zip(*out, strict=True) if out else ((), (), ())

@@ -139,11 +139,19 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.append(begin, len(key)))
         many = np.repeat((size > HOT) | (key[begin] == crowd if crowd is not None else np.zeros(len(begin), bool)), size)
         wanted = same | np.append(same[1:], False) | (times > 1)
-        kind = np.where(equal, 0, FIRST) | np.where(again, AGAIN, 0) | np.where(many, CROWD, 0)
+        # Rows that repeat are the same place, so all of them are first.
+        rk, start = column(table, "rk").to_numpy(), column(table, "start").to_numpy()
+        group = np.maximum.accumulate(np.where(equal, 0, np.arange(len(key))))
+        first_rk, first_start = rk[group], start[group]
+        if equal[0]:
+            old = group == 0
+            first_rk, first_start = np.where(old, last[2], first_rk), np.where(old, last[3], first_start)
+        first = (rk == first_rk) & (start == first_start)
+        kind = np.where(first, FIRST, 0) | np.where(again, AGAIN, 0) | np.where(many, CROWD, 0)
         out = table.slice(0, upto)
         rows = [column(out, c) for c in ("doc_id", "rk", "start", "n", "key", "sid")]
         made = pa.RecordBatch.from_arrays([*rows, pa.array(kind[:upto].astype(np.int8))], names=["doc_id", "rk", "start", "n", "key", "sid", "kind"])
-        return made.filter(pa.array(wanted[:upto])), (key[upto - 1], sid[upto - 1])
+        return made.filter(pa.array(wanted[:upto])), (key[upto - 1], sid[upto - 1], first_rk[upto - 1], first_start[upto - 1])
 
     last = None
     for batch in batches:
