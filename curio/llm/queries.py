@@ -74,4 +74,54 @@ QUERIES = {
         op1_iso_media, op2_maglev_shards, op3_simhash_groups, op4_run_index, op5_systematic_mix, op6_best_fit_packing, op7_toxicity, op8_ordinal_quality, op9_adaptive_rules, op10_super_kmers,
     )
 }
-ORACLES: dict[str, str] = {}
+
+_DOCS = r"docs AS MATERIALIZED (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)"
+
+OP5_SQL = rf"""
+WITH {_DOCS}, sized AS (SELECT doc_id, source, len(w)::BIGINT AS size, ('0x' || md5('mix-1:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS h FROM docs),
+own AS (SELECT source, sum(size)::DOUBLE AS source_size FROM sized GROUP BY source),
+ranked AS (SELECT *, ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INTEGER]::DOUBLE AS weight, sum(source_size) OVER () * 1.5 AS total FROM own),
+capped AS (SELECT *, 2.0 * source_size AS cap, 2.0 * source_size / weight AS ratio FROM ranked),
+filled AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY ratio, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY ratio, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM capped),
+goals AS (SELECT source, source_size, least(cap, weight * (SELECT arg_min(level, ratio) FROM filled WHERE ratio >= level)) AS target,
+  ('0x' || md5('mix-1:source:' || coalesce(source, ''))[1:8])::BIGINT / 4294967296.0::DOUBLE AS shift FROM filled),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY floor(ln(size + 1.0) / ln(2.0) * 4), h % 512, size, h, doc_id) AS nth FROM sized),
+mixed AS (SELECT p.doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, shift, nth FROM placed p JOIN goals g ON p.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size::BIGINT AS source_size, round(target, 6) AS target, ((floor(nth * rate + shift) - floor((nth - 1) * rate + shift)) * size)::BIGINT AS taken FROM mixed
+"""
+
+OP9_SQL = rf"""
+WITH {_DOCS}, starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM docs WHERE len(w) >= 8),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS c FROM starts),
+repeated AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM windows, range(0, 8) AS r(j) WHERE c > 1 GROUP BY doc_id),
+measured AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_upper,
+  (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+  coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM docs d LEFT JOIN repeated r ON r.doc_id = d.doc_id),
+based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured),
+binned AS (SELECT doc_id, lang, source, base_failed, unnest(range(0, 5)) AS m, unnest([CASE WHEN word_chars > 0 THEN floor(n_symbols * 1000 / word_chars) ELSE 0 END, CASE WHEN n_words > 0 THEN floor(n_repeat_words * 1000 / n_words) ELSE 0 END,
+  CASE WHEN n_words > 0 THEN floor(n_dup_lines * 1000 / n_words) ELSE 0 END, CASE WHEN word_chars > 0 THEN floor(n_upper * 1000 / word_chars) ELSE 0 END, CASE WHEN n_words > 0 THEN floor(word_chars * 100 / n_words) ELSE 0 END])::BIGINT AS bin,
+  unnest([10, 60, 20, 60, 150]) AS least FROM based),
+good AS (SELECT * FROM binned WHERE NOT base_failed),
+fences AS (SELECT 0 AS level, lang, source, m, any_value(least) AS least, count(*) AS n, quantile_disc(bin, 0.25) AS low, quantile_disc(bin, 0.75) AS high FROM good GROUP BY lang, source, m
+  UNION ALL SELECT 1, lang, NULL, m, any_value(least), count(*), quantile_disc(bin, 0.25), quantile_disc(bin, 0.75) FROM good GROUP BY lang, m
+  UNION ALL SELECT 2, NULL, NULL, m, any_value(least), count(*), quantile_disc(bin, 0.25), quantile_disc(bin, 0.75) FROM good GROUP BY m),
+over AS (SELECT b.doc_id, bool_or(b.bin > coalesce(CASE WHEN f0.n >= 40 THEN f0.high + 3 * greatest(f0.high - f0.low, f0.least) END, CASE WHEN f1.n >= 40 THEN f1.high + 3 * greatest(f1.high - f1.low, f1.least) END,
+  f2.high + 3 * greatest(f2.high - f2.low, f2.least))) AS beyond FROM binned b
+  LEFT JOIN fences f0 ON f0.level = 0 AND f0.m = b.m AND f0.lang IS NOT DISTINCT FROM b.lang AND f0.source IS NOT DISTINCT FROM b.source
+  LEFT JOIN fences f1 ON f1.level = 1 AND f1.m = b.m AND f1.lang IS NOT DISTINCT FROM b.lang LEFT JOIN fences f2 ON f2.level = 2 AND f2.m = b.m GROUP BY b.doc_id)
+SELECT a.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT beyond AS kept FROM based a JOIN over o ON o.doc_id = a.doc_id
+"""
+
+OP10_SQL = rf"""
+WITH {_DOCS}, starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM docs WHERE len(w) >= 20),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS r FROM starts) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM later, range(0, 20) AS r(j)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM docs),
+kept AS (SELECT words.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY words.p) AS k FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p WHERE gone.p IS NULL GROUP BY words.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM docs d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+#: For ids that differ and aren't null, as the tables have them.
+ORACLES: dict[str, str] = {"op5_systematic_mix": OP5_SQL, "op9_adaptive_rules": OP9_SQL, "op10_super_kmers": OP10_SQL}
