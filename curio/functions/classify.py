@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curio.functions import lists
-from curio.functions.text import col, is_blank, truncate_chars
+from curio.functions.text import col, is_blank, once, truncate_chars
 
 KEYWORD = r"[A-Za-z][A-Za-z0-9_+\-.]{2,}|[\p{IsHan}]{2,8}"
 
@@ -18,27 +18,33 @@ def _any(words: list[str]) -> str:
 
 
 def infer_category(text: Column | str, platform: Column | str) -> Column:
-    low, platform = F.lower(col(text)), col(platform)
-    out = None
-    for name, category in lists.STRICT_PLATFORMS.items():
-        hit = (platform == name) & ~low.rlike(_any(lists.TECHNICAL))
-        out = F.when(hit, F.lit(category)) if out is None else out.when(hit, F.lit(category))
-    for category, words in lists.CATEGORIES:
-        out = out.when(low.rlike(_any(words)), F.lit(category))
-    for category, names in lists.PLATFORM_CATEGORIES:
-        out = out.when(platform.isin(names), F.lit(category))
-    return out.otherwise(F.lit(lists.OTHER_CATEGORY))
+    platform = col(platform)
+
+    def rules(low: Column) -> Column:
+        out = None
+        for name, category in lists.STRICT_PLATFORMS.items():
+            hit = (platform == name) & ~low.rlike(_any(lists.TECHNICAL))
+            out = F.when(hit, F.lit(category)) if out is None else out.when(hit, F.lit(category))
+        for category, words in lists.CATEGORIES:
+            out = out.when(low.rlike(_any(words)), F.lit(category))
+        for category, names in lists.PLATFORM_CATEGORIES:
+            out = out.when(platform.isin(names), F.lit(category))
+        return out.otherwise(F.lit(lists.OTHER_CATEGORY))
+
+    return once(F.lower(col(text)), rules)
 
 
 def infer_content_type(url: Column | str, text: Column | str) -> Column:
-    low = F.lower(F.concat_ws(" ", col(url), col(text)))
-    out = None
-    for i, (kind, parts) in enumerate(lists.CONTENT_TYPES):
-        hit = low.rlike(_any(parts))
-        if i == len(lists.CONTENT_TYPES) - 1:
-            hit = hit | (F.char_length(col(text)) > lists.LONG_ARTICLE)
-        out = F.when(hit, F.lit(kind)) if out is None else out.when(hit, F.lit(kind))
-    return out.otherwise(F.lit("link"))
+    def rules(low: Column) -> Column:
+        out = None
+        for i, (kind, parts) in enumerate(lists.CONTENT_TYPES):
+            hit = low.rlike(_any(parts))
+            if i == len(lists.CONTENT_TYPES) - 1:
+                hit = hit | (F.char_length(col(text)) > lists.LONG_ARTICLE)
+            out = F.when(hit, F.lit(kind)) if out is None else out.when(hit, F.lit(kind))
+        return out.otherwise(F.lit("link"))
+
+    return once(F.lower(F.concat_ws(" ", col(url), col(text))), rules)
 
 
 def extract_keywords(text: Column | str, most: int = 12) -> Column:

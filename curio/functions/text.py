@@ -16,6 +16,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column | str, f) -> Column:
+    """f(value), with value worked out once for each row however often f uses it."""
+    return F.element_at(F.transform(F.array(col(value)), f), 1)
+
+
 def trim(c: Column | str) -> Column:
     return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
 
@@ -50,7 +55,7 @@ def clean_original_text(c: Column | str) -> Column:
 
 
 def truncate_chars(c: Column | str, n: int) -> Column:
-    return F.when(F.char_length(col(c)) > n, F.concat(F.substring(col(c), 1, n), F.lit("..."))).otherwise(col(c))
+    return once(c, lambda x: F.when(F.char_length(x) > n, F.concat(F.substring(x, 1, n), F.lit("..."))).otherwise(x))
 
 
 def plain_text_preview(c: Column | str) -> Column:

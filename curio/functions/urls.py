@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curio.functions import lists
-from curio.functions.text import SPACE, col
+from curio.functions.text import SPACE, col, once
 
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _STOP = f"[^{_SPACES}<>\"'，。；：）】》]+"
@@ -73,14 +73,17 @@ def is_supported_host(c: Column | str) -> Column:
 
 def platform_for_url(c: Column | str) -> Column:
     """The platform's name; the host if no rule hits; UNKNOWN_PLATFORM for what is no URL."""
-    host = F.regexp_replace(host_of(c), r"^(www\.)+", "")
-    out = F.when(host_of(c) == "", F.lit(lists.UNKNOWN_PLATFORM))
-    for name, parts in lists.PLATFORMS:
-        hit = F.lit(False)
-        for part in parts:
-            hit = hit | ((host == part[1:]) if part[0] == "=" else host.contains(part))
-        out = out.when(hit, F.lit(name))
-    return out.otherwise(host)
+
+    def rules(host: Column) -> Column:
+        out = F.when(host == "", F.lit(lists.UNKNOWN_PLATFORM))
+        for name, parts in lists.PLATFORMS:
+            hit = F.lit(False)
+            for part in parts:
+                hit = hit | ((host == part[1:]) if part[0] == "=" else host.contains(part))
+            out = out.when(hit, F.lit(name))
+        return out.otherwise(host)
+
+    return once(F.regexp_replace(host_of(c), r"^(www\.)+", ""), rules)
 
 
 def zhihu_answer_id(c: Column | str) -> Column:
