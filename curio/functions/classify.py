@@ -53,7 +53,7 @@ def extract_keywords(text: Column | str, most: int = 12) -> Column:
 
 
 def extract_entities(text: Column | str) -> Column:
-    return F.filter(F.array(*[F.lit(e) for e in lists.ENTITIES]), lambda e: F.contains(col(text), e))
+    return once(text, lambda t: F.filter(F.array(*[F.lit(e) for e in lists.ENTITIES]), lambda e: F.contains(t, e)))
 
 
 def fallback_summary(description: Column | str, content: Column | str, platform: Column | str) -> Column:
@@ -84,17 +84,20 @@ def _sorted_set(words: Column, most: int) -> Column:
 def heuristic_analysis(note: Column) -> Column:
     """The analysis of a row of metadata by rules alone."""
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")), F.coalesce("content_text", F.lit("")))
-    category = infer_category(text, "platform")
-    return F.struct(
-        fallback_summary("description", "content_text", "platform").alias("summary"),
-        category.alias("category"),
-        _sorted_set(F.concat(F.array(F.col("platform"), category), extract_keywords(text)), 10).alias("keywords"),
-        extract_entities(text).alias("entities"),
-        F.lit("neutral").alias("sentiment"),
-        infer_content_type("final_url", text).alias("content_type"),
-        F.when(F.char_length("content_text") > 400, 66).otherwise(48).cast("smallint").alias("importance_score"),
-        note.alias("notes"),
-    )
+
+    def analysis(text: Column, category: Column) -> Column:
+        return F.struct(
+            fallback_summary("description", "content_text", "platform").alias("summary"),
+            category.alias("category"),
+            _sorted_set(F.concat(F.array(F.col("platform"), category), extract_keywords(text)), 10).alias("keywords"),
+            extract_entities(text).alias("entities"),
+            F.lit("neutral").alias("sentiment"),
+            infer_content_type("final_url", text).alias("content_type"),
+            F.when(F.char_length("content_text") > 400, 66).otherwise(48).cast("smallint").alias("importance_score"),
+            note.alias("notes"),
+        )
+
+    return once(text, lambda t: once(infer_category(t, "platform"), lambda c: analysis(t, c)))
 
 
 def blocked_analysis() -> Column:
