@@ -23,11 +23,14 @@ ROWS = 120_000
 
 
 class Plan(NamedTuple):
-    """How fingerprints are cut: `shingle` words are hashed; links differ in at most `differ` of the bits that the
-    segments (first bit, length) cover; a segment that differs in one bit at most makes two fingerprints meet."""
+    """How fingerprints of `words` longs are made and cut: `shingle` words are hashed, repeats included or not; a
+    segment (first bit, length) that differs in one bit at most makes two fingerprints meet; their first `carry` longs
+    travel with the keys, and links differ in at most `differ` bits of these."""
 
     shingle: int
+    repeats: bool
     words: int
+    carry: int
     differ: int
     segments: tuple[tuple[int, int], ...]
 
@@ -37,18 +40,21 @@ def exact_plan(shingle: int = 4, differ: int = 4) -> Plan:
     holds at most one of the differing bits."""
     n = differ // 2 + 1
     edges = [round(i * 64 / n) for i in range(n + 1)]
-    return Plan(shingle, 1, differ, tuple((a, b - a) for a, b in zip(edges, edges[1:], strict=False)))
+    return Plan(shingle, True, 1, 1, differ, tuple((a, b - a) for a, b in zip(edges, edges[1:], strict=False)))
 
 
-def similarity_plan(rows: int, shingle: int = 5, similarity: float = 0.8, miss: float = 0.02) -> Plan:
-    """For links by Jaccard similarity: segments so long that chance meetings stay few for that many rows, and so many
-    that a pair at the similarity meets but for `miss`. differ leaves 3.5 standard deviations."""
+def similarity_plan(rows: int, shingle: int = 5, similarity: float = 0.8, miss: float = 0.005) -> Plan:
+    """For links by Jaccard similarity of shingle sets: segments so long that a row's chance meetings in a key stay in
+    the hundreds for that many rows, and so many that a pair at the similarity meets but for `miss`.
+
+    128 bits tell pairs at the similarity from unlike ones, however many bits the segments take; so only these travel
+    with a key, and a row's shuffle grows with its keys alone. differ leaves 3.5 standard deviations."""
     wrong = math.acos(2 * similarity / (1 + similarity)) / math.pi  # a bit's chance to differ
-    length = max(14, min(28, math.ceil(math.log2(max(2, rows))) - 4))
+    length = max(14, min(28, math.ceil(math.log2(max(2, rows))) - 8))
     meet = (1 - wrong) ** length + length * wrong * (1 - wrong) ** (length - 1)
     n = math.ceil(math.log(miss) / math.log(1 - meet))
-    bits = n * length
-    return Plan(shingle, -(-bits // 64), int(bits * wrong + 3.5 * math.sqrt(bits * wrong * (1 - wrong))), tuple((i * length, length) for i in range(n)))
+    differ = int(128 * wrong + 3.5 * math.sqrt(128 * wrong * (1 - wrong)))
+    return Plan(shingle, False, max(2, -(-n * length // 64)), 2, differ, tuple((i * length, length) for i in range(n)))
 
 
 def shingle_hashes(text: bytes, size: int) -> list[int]:
@@ -75,9 +81,10 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def majority(texts: list[bytes], size: int, words: int) -> np.ndarray:
-    """Fingerprints, one row of `words` 64-bit words a text: bits set in over half of the shingles' hashes; 0 without words."""
-    each = [shingle_hashes(t, size) for t in texts]
+def majority(texts: list[bytes], size: int, words: int, repeats: bool = True) -> np.ndarray:
+    """Fingerprints, one row of `words` 64-bit words a text: bits set in over half of the shingles' hashes; 0 without
+    words. Without `repeats` equal shingles count once."""
+    each = [shingle_hashes(t, size) if repeats else list(set(shingle_hashes(t, size))) for t in texts]
     n = np.array([len(x) for x in each], np.int64)
     h = np.fromiter((v for x in each for v in x), np.uint64, int(n.sum()))
     out = np.zeros((len(texts), words), np.uint64)
@@ -96,7 +103,7 @@ def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            f = majority(utf8(batch), plan.shingle, plan.words).view(np.int64)
+            f = majority(utf8(batch), plan.shingle, plan.words, plan.repeats).view(np.int64)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "rk"), column(batch, "th"), pa.array(list(f), pa.list_(pa.int64()))], names=["doc_id", "rk", "th", "f"])
 
     return keyed(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, rk bigint, th bigint, f array<bigint>")
@@ -129,8 +136,8 @@ def _index(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordB
         for begin in range(0, batch.num_rows, 2000):
             f = _matrix(batch.column(0).slice(begin, 2000), plan.words)
             keys = variants(f, plan)
-            columns = [np.repeat(f[:, k], keys.shape[1]).view(np.int64) for k in range(plan.words)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[pa.array(c) for c in columns]], names=["key", *[f"f{k}" for k in range(plan.words)]])
+            columns = [np.repeat(f[:, k], keys.shape[1]).view(np.int64) for k in range(plan.carry)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[pa.array(c) for c in columns]], names=["key", *[f"f{k}" for k in range(plan.carry)]])
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -251,7 +258,7 @@ def _meet(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBa
     for batch in batches:
         if batch.num_rows:
             keys.append(batch.column(0).to_numpy())
-            fs.append(np.stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(plan.words)], 1))
+            fs.append(np.stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(plan.carry)], 1))
             held += batch.num_rows
             if held >= ROWS:
                 yield load(False)
@@ -262,20 +269,21 @@ def _meet(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBa
 def _tiles(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for x, y, same in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            f, g = (np.frombuffer(v, np.uint64).reshape(-1, plan.words) for v in (x, y))
+            f, g = (np.frombuffer(v, np.uint64).reshape(-1, plan.carry) for v in (x, y))
             a, b, d = _nearest_first(f, None if same else g, plan.differ)
             node = node_of(f if same else np.concatenate([f, g]))
             yield _out(node[a] if a else [], node[b] if b else [], d)
 
 
 def links(distinct: DataFrame, plan: Plan) -> DataFrame:
-    """(a, b, d): links between different fingerprints (column f of distinct, all different), named by node_of().
+    """(a, b, d): links between fingerprints (column f of distinct, all different in the longs that travel), named by
+    node_of() of these longs.
 
     Every pair within plan.differ bits that shares a key is joined by a path of links at most as long, bit for bit:
     of each key's pairs a spanning forest of the nearest is kept, so that a group of g copies gives g - 1 links, not
     all its pairs. Keys with over BLOCK fingerprints are compared in tiles of two blocks, spread over tasks.
     """
-    rows = distinct.select("f").mapInArrow(lambda x: _index(x, plan), ", ".join(["key bigint", *[f"f{k} bigint" for k in range(plan.words)]]))
+    rows = distinct.select("f").mapInArrow(lambda x: _index(x, plan), ", ".join(["key bigint", *[f"f{k} bigint" for k in range(plan.carry)]]))
     parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     met = cut(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda x: _meet(x, plan), OUT))
     near = met.where("a is not null").select("a", "b", "d")
@@ -283,7 +291,8 @@ def links(distinct: DataFrame, plan: Plan) -> DataFrame:
     if not blocks.isEmpty():
         one, two = blocks.alias("x"), blocks.alias("y")
         tiles = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block")))
-        tiles = tiles.select("x.packed", F.col("y.packed").alias("other"), (F.col("x.block") == F.col("y.block")).alias("same")).repartition(parts, F.rand(7))
+        # Spread by what a tile is, so that a task that is run again gets the same tiles.
+        tiles = tiles.select("x.packed", F.col("y.packed").alias("other"), (F.col("x.block") == F.col("y.block")).alias("same"), "x.key", F.col("x.block").alias("i"), F.col("y.block").alias("j")).repartition(parts, "key", "i", "j")
         near = near.union(cut(tiles.mapInArrow(lambda x: _tiles(x, plan), OUT)).select("a", "b", "d"))
     return near.groupBy("a", "b").agg(F.min("d").alias("d"))
 
@@ -315,7 +324,7 @@ def _similar(batches: Iterator[pa.RecordBatch], plan: Plan, similarity: float) -
         yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, miss: float = 0.02) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, miss: float = 0.005) -> DataFrame:
     """doc_id, rk, th and group (long) of every row of docs: rows in a group are equal or linked, over any number of
     links, by sets of `shingle`-word shingles of at least that Jaccard similarity.
 
@@ -328,7 +337,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, miss
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([column(batch, "th"), column(batch, "f"), pa.array(node_of(_matrix(column(batch, "f"), plan.words)))], names=["th", "f", "node"])
+            yield pa.RecordBatch.from_arrays([column(batch, "th"), column(batch, "f"), pa.array(node_of(_matrix(column(batch, "f"), plan.words)[:, : plan.carry]))], names=["th", "f", "node"])
 
     texts = cut(found.groupBy("th").agg(F.first("f").alias("f")).mapInArrow(named, "th bigint, f array<bigint>, node bigint"))
     nodes = texts.groupBy("node").agg(F.first("f").alias("f"), F.min("th").alias("first"))
@@ -350,7 +359,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, miss
     return found.join(parts, F.col("th") == F.col("node"), "left").select("doc_id", "rk", "th", F.coalesce("component", "th").alias("group"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, miss: float = 0.02) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, miss: float = 0.005) -> DataFrame:
     """docs with one row of each group of near_groups(): that of the smallest doc_id (null counts as smaller than any).
 
     Of rows with that doc_id in the group the smallest text hash stays, and one of rows that are equal in both.

@@ -310,3 +310,25 @@ def test_rules_adapt(spark):
     kept = {r["doc_id"] for r in rules.keep_good(frame(spark, rows)).collect()}
     assert 200 not in kept and set(range(60)) <= kept and set(range(100, 160)) <= kept
     assert rules.keep_good(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_near_groups_are_those_of_jaccard(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for k in range(60):
+        words = [word() for _ in range(rng.randint(30, 120))]
+        for _ in range(3):  # copies with words changed: similarities on both sides of 0.8
+            copy = [word() if rng.random() < 0.012 * (k % 4) else w for w in words]
+            texts.append(" ".join(copy) + (" the same line again" * 40 if k % 5 == 0 and rng.random() < 0.5 else ""))
+    texts += [None, "", " ", "one", "one", "one two three four five"]
+    docs = frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    sets = [frozenset(simhash.shingle_hashes((t or "").encode(), 5)) for t in texts]
+    group = list(range(len(texts)))
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets[:i]):
+            both = len(s & t)
+            if both >= 0.8 * (len(s) + len(t) - both) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    got = {r["doc_id"]: r["group"] for r in simhash.near_groups(docs, miss=1e-4).collect()}
+    assert len(set(got.values())) == len(set(group)) == len(set(zip(group, (got[i] for i in range(len(texts))), strict=True)))
