@@ -77,6 +77,18 @@ QUERIES = {
 
 _DOCS = r"docs AS MATERIALIZED (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)"
 
+OP2_SQL = """
+WITH RECURSIVE shards AS (SELECT i, 'shard-' || lpad(i::VARCHAR, 2, '0') AS name FROM range(0, 32) AS r(i)),
+preferences AS (SELECT list(name ORDER BY i) AS names, list(('0x' || md5(name || '/offset')[1:8])::BIGINT % 3209 ORDER BY i) AS first,
+  list(('0x' || md5(name || '/skip')[1:8])::BIGINT % 3208 + 1 ORDER BY i) AS skip FROM shards),
+claims AS (SELECT -1::BIGINT AS turn, -1::BIGINT AS slot, bitstring('0', 3209) AS taken UNION ALL
+  SELECT turn, slot, set_bit(taken, slot::INTEGER, 1) FROM (SELECT turn + 1 AS turn, taken,
+    list_filter(list_transform(range(0, 3209), lambda j: (first[(turn + 1) % 32 + 1] + j * skip[(turn + 1) % 32 + 1]) % 3209), lambda s: get_bit(taken, s::INTEGER) = 0)[1] AS slot
+  FROM claims, preferences WHERE turn < 3208)),
+placed AS (SELECT doc_id, ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT % 3209 AS slot FROM documents)
+SELECT d.doc_id, d.slot, p.names[c.turn % 32 + 1] AS shard FROM placed d JOIN claims c ON c.slot = d.slot, preferences p
+"""
+
 OP5_SQL = rf"""
 WITH {_DOCS}, sized AS (SELECT doc_id, source, len(w)::BIGINT AS size, ('0x' || md5('mix-1:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS h FROM docs),
 own AS (SELECT source, sum(size)::DOUBLE AS source_size FROM sized GROUP BY source),
@@ -124,4 +136,4 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 """
 
 #: For ids that differ and aren't null, as the tables have them.
-ORACLES: dict[str, str] = {"op5_systematic_mix": OP5_SQL, "op9_adaptive_rules": OP9_SQL, "op10_super_kmers": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_maglev_shards": OP2_SQL, "op5_systematic_mix": OP5_SQL, "op9_adaptive_rules": OP9_SQL, "op10_super_kmers": OP10_SQL}
