@@ -89,6 +89,20 @@ placed AS (SELECT doc_id, ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:8])::BIG
 SELECT d.doc_id, d.slot, p.names[c.turn % 32 + 1] AS shard FROM placed d JOIN claims c ON c.slot = d.slot, preferences p
 """
 
+OP4_SQL = """
+WITH docs AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, octet_length(b) - 198)) AS i, b FROM docs WHERE octet_length(b) >= 200),
+hashed AS (SELECT doc_id, i, md5_number(b[i:i + 199]) AS h FROM starts),
+again AS (SELECT doc_id, i FROM hashed WHERE h IN (SELECT h FROM hashed GROUP BY h HAVING count(*) > 1)),
+islands AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM
+  (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM again)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM islands GROUP BY doc_id, island),
+gaps AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, sum(z - a) AS gone, count(*) AS n FROM spans GROUP BY doc_id)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN n IS NULL THEN b ELSE list_reduce(list_transform(range(0, n + 1), lambda k: b[(CASE WHEN k = 0 THEN 1 ELSE z[k] END):(CASE WHEN k = n THEN octet_length(b) ELSE a[k + 1] - 1 END)]), lambda x, y: x || y) END) AS kept_sha256
+FROM docs d LEFT JOIN gaps g ON g.doc_id = d.doc_id
+"""
+
 OP5_SQL = rf"""
 WITH {_DOCS}, sized AS (SELECT doc_id, source, len(w)::BIGINT AS size, ('0x' || md5('mix-1:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS h FROM docs),
 own AS (SELECT source, sum(size)::DOUBLE AS source_size FROM sized GROUP BY source),
@@ -136,4 +150,4 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 """
 
 #: For ids that differ and aren't null, as the tables have them.
-ORACLES: dict[str, str] = {"op2_maglev_shards": OP2_SQL, "op5_systematic_mix": OP5_SQL, "op9_adaptive_rules": OP9_SQL, "op10_super_kmers": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_maglev_shards": OP2_SQL, "op4_run_index": OP4_SQL, "op5_systematic_mix": OP5_SQL, "op9_adaptive_rules": OP9_SQL, "op10_super_kmers": OP10_SQL}
