@@ -324,12 +324,137 @@ def _similar(batches: Iterator[pa.RecordBatch], plan: Plan, similarity: float) -
         yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
+def _verified(proposed: DataFrame, docs: DataFrame, plan: Plan, similarity: float) -> DataFrame:
+    """The pairs (a, b: text hashes) whose whole texts are that similar."""
+    some = proposed.select("a").union(proposed.select("b")).distinct().withColumnRenamed("a", "th")
+    whole = keyed(docs).select("th", "text").join(some, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    whole = cut(whole)
+    pairs = proposed.join(whole.withColumnRenamed("th", "a"), "a").join(whole.select(F.col("th").alias("b"), F.col("text").alias("other")), "b")
+    return pairs.select("a", "b", "text", "other").mapInArrow(lambda x: _similar(x, plan, similarity), "a bigint, b bigint")
+
+
+def _first_key(f: np.ndarray, g: np.ndarray, plan: Plan) -> np.ndarray:
+    """The first of variants() that two fingerprints share; -1 without one."""
+    out = np.full(len(f), -1, np.int64)
+    for s, (at, length) in reversed(list(enumerate(plan.segments))):
+        value = _segment(f, at, length)
+        away = value ^ _segment(g, at, length)
+        p = np.where(away == 0, 0, np.bitwise_count(away - np.uint64(1))).astype(np.uint64)
+        key = (value & ~(np.uint64(1) << p)) | ((np.uint64(s * 64) + p) << np.uint64(40))
+        shared = np.bitwise_count(away) <= 1
+        out[shared] = key[shared].view(np.int64)
+    return out
+
+
+def _members(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """key, family, group, th and the whole fingerprint of each key of the rows (th, f, family, group)."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 2000):
+            part = batch.slice(begin, 2000)
+            f = _matrix(column(part, "f"), plan.words)
+            keys = variants(f, plan)
+            times = lambda x: pa.array(np.repeat(x, keys.shape[1]))  # noqa: B023, E731
+            columns = [times(column(part, c).to_numpy()) for c in ("family", "group", "th")]
+            columns += [times(f[:, k].view(np.int64)) for k in range(plan.words)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *columns], names=["key", "family", "group", "th", *[f"f{k}" for k in range(plan.words)]])
+
+
+def _apart(batches: Iterator[pa.RecordBatch], plan: Plan, low: int, high: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows that are low to high - 1 places apart in their run (one key, family and tile, sorted by th), of
+    different groups and within plan.differ bits; each pair only at the first key that it shares."""
+
+    def load(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, th, group, block = rows["key"], rows["th"], rows["group"], rows["block"]
+        f = np.stack([rows[f"f{k}"].view(np.uint64) for k in range(plan.words)], 1)
+        same = rows["i"] == rows["j"]
+        length = np.diff(np.append(rows["first"], len(key)))
+        rest, place = np.repeat(length, length), np.arange(len(key)) - np.repeat(rows["first"], length)
+        alive = np.flatnonzero(place + low < rest)
+        for step in range(low, high):
+            if not len(alive):
+                break
+            a, b = alive, alive + step
+            some = (group[a] != group[b]) & (same[a] | (block[a] != block[b]))
+            a, b = a[some], b[some]
+            some = _distance(f[a, : plan.carry], f[b, : plan.carry]) <= plan.differ
+            a, b = a[some], b[some]
+            some = _first_key(f[a], f[b], plan) == key[a]
+            a, b = th[a[some]], th[b[some]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            alive = alive[place[alive] + step + 1 < rest[alive]]
+
+    kept, held = [], 0
+
+    def runs(final: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal kept, held
+        rows = {c: np.concatenate([x[c] for x in kept]) for c in kept[0]}
+        new = np.ones(len(rows["key"]), bool)
+        new[1:] = np.logical_or.reduce([rows[c][1:] != rows[c][:-1] for c in ("key", "family", "i", "j")])
+        first = np.flatnonzero(new)
+        end = len(new) if final else int(first[-1])  # the last run may go on
+        kept, held = ([{c: x[end:] for c, x in rows.items()}], len(new) - end) if end < len(new) else ([], 0)
+        if end:
+            yield from load({c: x[:end] for c, x in rows.items()} | {"first": first[first < end]})
+
+    for batch in batches:
+        if batch.num_rows:
+            kept.append({c: column(batch, c).to_numpy() for c in batch.schema.names})
+            held += batch.num_rows
+            if held >= ROWS:
+                yield from runs(False)
+    if kept:
+        yield from runs(True)
+
+
+def _further(texts: DataFrame, proposed: DataFrame, sure: DataFrame, docs: DataFrame, plan: Plan, similarity: float) -> DataFrame:
+    """sure, and links of the same kind that join what sure leaves apart.
+
+    proposed holds the nearest links of each key, of which sure are verified; a rejected one may stand where a true
+    one was dropped. Every pair within plan.differ bits that shares a key lies in one component of proposed, a family;
+    families that sure does not hold together are searched in rounds. A round takes the pairs of each key that are some
+    places apart, drops those of one verified group only, and verifies the rest; the last round reaches the longest
+    run, so that every such pair is in a verified group or judged. Keys with over BLOCK rows are searched in tiles.
+    """
+    spark = texts.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    families = cut(components(proposed).select(F.col("node").alias("th"), F.col("component").alias("family")))
+    words = [f"f{k}" for k in range(plan.words)]
+    hot, longest, low = None, None, 1
+    while longest is None or low < longest:
+        groups = components(sure).withColumnRenamed("node", "th")
+        now = families.join(groups, "th", "left").select("th", "family", F.coalesce("component", "th").alias("group"))
+        split = now.groupBy("family").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("family")
+        rows = cut(texts.select("th", "f").join(now.join(split, "family", "left_semi"), "th"))
+        if rows.isEmpty():
+            break
+        members = rows.mapInArrow(lambda x: _members(x, plan), ", ".join(f"{c} bigint" for c in ["key", "family", "group", "th", *words]))
+        if longest is None:
+            sizes = members.groupBy("key", "family").count()
+            longest = sizes.agg(F.max("count")).first()[0]
+            if longest > BLOCK:
+                hot = cut(sizes.where(F.col("count") > BLOCK).select("key", "family", F.ceil(F.col("count") / BLOCK).alias("m")))
+        if hot is None:
+            tiled = members.withColumns({c: F.lit(0).cast("long") for c in ("i", "j", "block")})
+        else:
+            tiled = members.join(hot, ["key", "family"], "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("th"), "m"))
+            tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+            tiled = tiled.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("m", "other")
+        high = min(low * 16, longest)
+        runs = tiled.repartition(parts, "key", "family", "i", "j").sortWithinPartitions("key", "family", "i", "j", "th")
+        pairs = cut(runs.mapInArrow(lambda x, low=low, high=high: _apart(x, plan, low, high), "a bigint, b bigint").distinct())
+        sure = cut(sure.union(_verified(pairs, docs, plan, similarity)))
+        low = high
+    return sure
+
+
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, miss: float = 0.005) -> DataFrame:
     """doc_id, rk, th and group (long) of every row of docs: rows in a group are equal or linked, over any number of
     links, by sets of `shingle`-word shingles of at least that Jaccard similarity.
 
     Fingerprints only propose links, each is verified on the two whole texts; a pair just at the similarity is
-    proposed but for `miss`, more similar ones more surely.
+    proposed but for `miss`, more similar ones more surely. Proposals are thinned by verified links alone: what the
+    nearest links leave apart is searched again, see _further().
     """
     n = docs.count()
     plan = similarity_plan(n, shingle, similarity, miss)
@@ -350,12 +475,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, miss
         .union(texts.join(name, "node").where("th <> first").select(F.col("th").alias("a"), F.col("first").alias("b")))
     )
     proposed = cut(proposed)
-    some = proposed.select("a").union(proposed.select("b")).distinct().withColumnRenamed("a", "th")
-    whole = keyed(docs).select("th", "text").join(some, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
-    whole = cut(whole)
-    pairs = proposed.join(whole.withColumnRenamed("th", "a"), "a").join(whole.select(F.col("th").alias("b"), F.col("text").alias("other")), "b")
-    sure = pairs.select("a", "b", "text", "other").mapInArrow(lambda x: _similar(x, plan, similarity), "a bigint, b bigint")
-    parts = components(sure)
+    sure = cut(_verified(proposed, docs, plan, similarity))
+    parts = components(cut(_further(texts, proposed, sure, docs, plan, similarity)))
     return found.join(parts, F.col("th") == F.col("node"), "left").select("doc_id", "rk", "th", F.coalesce("component", "th").alias("group"))
 
 

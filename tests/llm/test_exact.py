@@ -166,6 +166,42 @@ def test_near_dedup_keeps_one(spark, rows):
     assert len([i for i in ids if i in (500, 501, 502)]) == 1 and simhash.keep_one(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 50])
+def test_near_links_behind_nearer_unlike_ones(spark, block, monkeypatch):
+    """Families of edited copies around the similarity: the nearest fingerprints are mostly not the similar texts."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+
+    def edited(words, n):
+        out = list(words)
+        for at in rng.sample(range(0, len(words) - 5, 5), n):
+            out[at] = word()
+        return out
+
+    texts = []
+    for _ in range(2):
+        base = [word() for _ in range(300)]
+        for _ in range(120):
+            one = edited(base, 9)
+            texts += [one, edited(one, 6)] if len(texts) % 3 == 0 else [one]
+    rows = [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)]
+    plan = simhash.similarity_plan(len(rows))
+    coded = [t.encode() for _, t, *_ in rows]
+    f = simhash.majority(coded, plan.shingle, plan.words, plan.repeats)
+    keys = [set(k) for k in simhash.variants(f, plan).tolist()]
+    sets = [set(simhash.shingle_hashes(t, plan.shingle)) for t in coded]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            near = np.bitwise_count(f[i, : plan.carry] ^ f[j, : plan.carry]).sum() <= plan.differ and keys[i] & keys[j]
+            if near and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    got = {r["doc_id"]: r["group"] for r in simhash.near_groups(frame(spark, rows)).collect()}
+    assert len({(g, got[i]) for i, g in enumerate(group)}) == len(set(group)) == len(set(got.values()))
+    assert 50 < len(set(group)) < len(rows)
+
+
 def test_media_round_trip(spark, rows):
     got = {(r["doc_id"], r["n_bytes"]): r for r in media.probe(media.store_texts(frame(spark, rows))).collect()}
     for i, text, *_ in rows:
