@@ -381,7 +381,7 @@ def visible_text(spark, sf):
 @query()
 def state_metadata(spark, sf):
     """Landed pages wrapped as page state of a video platform."""
-    state = F.concat(F.lit("<script>window.__INITIAL_STATE__="), F.to_json(F.struct(F.struct(F.col("url").alias("title"), F.substring(T.plain_text_preview("html"), 1, 500).alias("desc")).alias("videoData"))), F.lit(";</script>"))
+    state = F.concat(F.lit("<script>window.__INITIAL_STATE__="), F.to_json(F.struct(F.struct(F.col("url").alias("title"), T.plain_text_preview("html").alias("desc")).alias("videoData"))), F.lit(";</script>"))
     parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse(state, F.lit("哔哩哔哩"), F.lit("")).alias("f"))
     return parsed.select("page_id", "f.state.title", "f.state.description", "f.state.original_text")
 
@@ -389,7 +389,7 @@ def state_metadata(spark, sf):
 @query()
 def xhs_metadata(spark, sf):
     """Landed pages wrapped as a note's page state."""
-    state = F.concat(F.lit("<script>window.__S={\"noteDetailMap\":"), F.to_json(F.struct(F.col("url").alias("title"), F.substring(T.plain_text_preview("html"), 1, 500).alias("desc"), F.lit("someone").alias("nickname"))), F.lit("}</script>"))
+    state = F.concat(F.lit("<script>window.__S={\"noteDetailMap\":"), F.to_json(F.struct(F.col("url").alias("title"), T.plain_text_preview("html").alias("desc"), F.lit("someone").alias("nickname"))), F.lit("}</script>"))
     parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse(state, F.lit("小红书"), F.lit("")).alias("f"))
     return parsed.select("page_id", "f.note.title", "f.note.description", "f.note.author")
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from curio.operators import items as I
 from curio.operators import pages as P
+from curio.plans import catalog
 from curio.sources import tables as R
 from curio.sources.schemas import PAGE_SCHEMA
 from tests.helpers import START, item, items
@@ -87,3 +88,10 @@ def test_json_round_trip(spark, tmp_path):
     assert R.read_items_json(spark, str(tmp_path / "x"), multi_line=False).collect() == store.collect()
     assert R.unpack_items(R.pack_items(store)).collect() == store.collect()
     assert R.read_items_json(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_page_states_hold_whole_pages(spark, tmp_path):
+    words = " ".join(f"word{i}" for i in range(400))
+    spark.createDataFrame([(1, "https://example.org/a", f"<p>{words}</p>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    for name in ("state_metadata", "xhs_metadata"):
+        assert catalog.QUERIES[name](spark, str(tmp_path)).first()["description"] == words
