@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -14,70 +16,76 @@ from pyspark.sql import functions as F
 
 from curio.llm.common import column, cut, slices
 
-#: Rows that one task packs at once. A group leaves about one bin that could be fuller; the second round packs these.
+#: Rows that one task packs at once. What its bins leave open goes on to the next round, across groups.
 GROUP = 16_384
 END_ID = 2
+#: Stretches of text whose ids are kept; a fuller memory starts anew. Longer stretches are tokenized each time.
+KEPT, KEPT_CHARS = 500_000, 48
 
-#: Characters that both libraries' releases class alike (letters, digits, white space), whatever their Unicode version.
-_PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ‐-‧‰-⁞€]*")
-_loaded: dict[tuple, tuple] = {}
 
+class Encoder:
+    """Text -> ids as little-endian bytes, all of them from the tokenizer at path; those of frequent words once.
 
-def _encoder(path: str, ranks_path: str | None):
-    """text -> ids, as the tokenizer at path gives them.
-
-    With ranks_path, the same vocabulary as a rank file, texts of plain characters without a special token go through
-    the quicker of the two libraries; they get the same ids there (tests compare them).
+    The vocabulary is byte-level BPE: a pattern splits the text and merges stay inside its parts. A part is letters,
+    digits or other marks, with at most a space before them, or white space, or an apostrophe and letters. So after a
+    letter, what is no letter or apostrophe begins a part, and after a mark a space does. A text may thus be cut between
+    an ASCII letter and a mark, and between either and a space before a letter: the ids of its stretches, in turn, are
+    those of the text. No special token has such a place in it (else texts stay whole).
     """
-    if (path, ranks_path) not in _loaded:
+
+    BREAK = re.compile("(?<=[A-Za-z,.;:!?])(?= [A-Za-z])|(?<=[A-Za-z])(?=[,.;:!?])")
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        exact = Tokenizer.from_file(path)
-        special = [t.content for t in exact.get_added_tokens_decoder().values()]
-        quick = None
-        if ranks_path:
-            import base64
+        self.exact = Tokenizer.from_file(path)
+        self.whole = any(self.BREAK.search(t.content) for t in self.exact.get_added_tokens_decoder().values()) or "ByteLevel" not in str(self.exact.pre_tokenizer)
+        self.known: dict[str, bytes] = {}
 
-            import public_tokenizers
-            import tiktoken
+    def ids(self, text: str) -> bytes:
+        return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-            with open(ranks_path, "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def encode(self, text: str) -> bytes:
+        if self.whole:
+            return self.ids(text)
+        known, stretches = self.known, self.BREAK.split(text)
+        for part in set(stretches).difference(known):
+            if len(part) <= KEPT_CHARS:
+                known[part] = self.ids(part)
+        out = b"".join([known[s] if s in known else self.ids(s) for s in stretches])
+        if len(known) > KEPT:
+            known.clear()
+        return out
 
-        def encode(text: str) -> np.ndarray:
-            if quick is not None and _PLAIN.fullmatch(text) and not any(s in text for s in special):
-                return np.asarray(quick.encode_to_numpy(text, disallowed_special=()), "<u4")
-            return np.asarray(exact.encode(text, add_special_tokens=False).ids, "<u4")
 
-        _loaded[path, ranks_path] = encode
-    return _loaded[path, ranks_path]
+_encoders: dict[str, Encoder] = {}
 
 
-def tokenizer_files() -> tuple[str, str]:
-    """The installed 50k byte-level vocabulary: for the exact library, and as ranks."""
+def tokenizer_file() -> str:
+    """The installed 50k byte-level vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pieces(docs: DataFrame, files: tuple[str, str | None], capacity: int = 1024) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = 1024) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the documents' ids and END_ID, cut where longer than capacity.
 
     The first piece takes what is left over, all others are full. Null texts are empty: one piece with END_ID alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(*files)
+        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+        end_id = np.array([END_ID], "<u4").tobytes()
         for batch in slices(batches):
             whose, rows = [], []
             for i, text in enumerate(column(batch, "text").to_pylist()):
-                ids = np.append(encode(text or ""), np.array([END_ID], "<u4")).astype("<u4")
-                first = len(ids) % capacity or capacity
-                for k, end in enumerate(range(first, len(ids) + 1, capacity)):
-                    begin = max(0, end - capacity) if k else 0
+                ids = encoder.encode(text or "") + end_id  # four bytes each
+                n = len(ids) // 4
+                for k, end in enumerate(range(n % capacity or capacity, n + 1, capacity)):
+                    begin = end - capacity if k else 0
                     whose.append(i)
-                    rows.append((k, begin, end - begin, zlib.crc32(ids[begin:end].tobytes())))
+                    rows.append((k, begin, end - begin, zlib.crc32(ids[4 * begin : 4 * end])))
             values = np.array(rows, np.int64).reshape(-1, 4).T
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             columns = [column(batch, "doc_id").take(pa.array(whose, pa.int64())), *[pa.array(v, pa.int64()).cast(k) for v, k in zip(values, kinds, strict=True)]]
@@ -110,71 +118,107 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, tries: int = 200_000) -> list[list[int]]:
+class _Underfull:
+    """The bins that are not full, found by what they hold: single lengths, and sums of two."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int]):
+        self.lengths = lengths
+        self.items = dict(enumerate(bins))
+        self.fill = {b: sum(lengths[i] for i in held) for b, held in self.items.items()}
+        #: By number of documents (1, 2): the bins that hold a length or a sum, and the lengths held as bits.
+        self.holders = {1: defaultdict(set), 2: defaultdict(set)}
+        self.bits = {1: 0, 2: 0}
+        self.own: dict[int, dict[int, set[int]]] = {}
+        for b in bins and list(self.items):
+            self._enter(b)
+
+    def _enter(self, b: int) -> None:
+        sizes = sorted(self.lengths[i] for i in self.items[b])
+        distinct = set(sizes)
+        pairs = {x + y for x in distinct for y in distinct if x < y} | {2 * x for x, y in zip(sizes, sizes[1:], strict=False) if x == y}
+        self.own[b] = {1: distinct, 2: pairs}
+        for k, values in self.own[b].items():
+            for v in values:
+                self.holders[k][v].add(b)
+                self.bits[k] |= 1 << v
+
+    def leave(self, b: int) -> None:
+        for k, values in self.own.pop(b).items():
+            for v in values:
+                held = self.holders[k][v]
+                held.discard(b)
+                if not held:
+                    self.bits[k] &= ~(1 << v)
+
+    def gain(self, taker: int, room: int) -> tuple | None:
+        """The step that adds most to taker, at most room: (gain, giver, documents given, their length, documents given
+        back, theirs); it must raise the sum of squared fills. None without one."""
+        best, window = None, (1 << room) - 1
+        own = self.own[taker]
+        for given, back, values in ((1, 0, (0,)), (1, 1, own[1]), (2, 0, (0,)), (2, 1, own[1]), (1, 2, own[2])):
+            for r in values:
+                found = (self.bits[given] >> (r + 1)) & window
+                while found and (best is None or found.bit_length() > best[0]):
+                    d = found.bit_length()
+                    giver = min(self.holders[given][r + d] - {taker}, key=lambda b: (self.fill[b], b), default=None)
+                    if giver is not None and self.fill[taker] + d > self.fill[giver]:
+                        best = (d, giver, given, r + d, back, r)
+                        break
+                    found ^= 1 << (d - 1)
+            if best and best[0] == room:
+                break
+        return best
+
+    def _pick(self, b: int, many: int, total: int) -> list[int]:
+        """Documents of bin b: none, one, or two, of that total length."""
+        at: dict[int, int] = {}
+        for i in self.items[b] if many else ():
+            n = self.lengths[i]
+            if many == 1 and n == total:
+                return [i]
+            if many == 2 and total - n in at:
+                return [at[total - n], i]
+            at.setdefault(n, i)
+        return []
+
+    def exchange(self, taker: int, step: tuple) -> None:
+        d, giver, given, length, back, returned = step
+        out, home = self._pick(giver, given, length), self._pick(taker, back, returned)
+        for b in (giver, taker):
+            self.leave(b)
+        self.items[giver] = [i for i in self.items[giver] if i not in out] + home
+        self.items[taker] = [i for i in self.items[taker] if i not in home] + out
+        self.fill[giver] -= d
+        self.fill[taker] += d
+        for b in (giver, taker):
+            self._enter(b)
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """The same items in as many bins or fewer.
 
-    Takes the least filled bin and, against the other underfull ones, fullest first, makes the first step that raises
-    the sum of squared fills: moves a document over, or exchanges one for one, two for one, or one for two, so that
-    the fuller bin gains. Each step raises that bounded sum, so the search ends; `tries` bounds the pairs of bins
-    looked at. It stops where a bin less can't be had: the room left is under one bin.
+    Each underfull bin, fullest first, takes what it gains most by from any other: a document moved over, or exchanged
+    one for one, two for one, or one for two, so that the sum of squared fills rises. Lengths and sums of two are looked
+    up in an index of all underfull bins, so no partner is left out. That sum is bounded, so the search ends: where no
+    step is left, or where a bin less can't be had, by the total length or by the documents of over half a bin.
     """
-    underfull = [b for b in bins if sum(lengths[i] for i in b) < capacity]
-    full = [b for b in bins if sum(lengths[i] for i in b) >= capacity]
-    fills = [sum(lengths[i] for i in b) for b in underfull]
-
-    def step(giver: list[int], taker: list[int], room: int) -> int:
-        """Makes one step; how much the taker gained, 0 if there is none."""
-        best, how = 0, None
-        singles = {}
-        for d in giver:
-            singles.setdefault(lengths[d], (d,))
-        pairs = {}
-        few = sorted(giver, key=lambda i: lengths[i])[:64]
-        for x in range(len(few)):
-            for y in range(x + 1, len(few)):
-                pairs.setdefault(lengths[few[x]] + lengths[few[y]], (few[x], few[y]))
-        back_one = {0: ()}
-        for c in taker:
-            back_one.setdefault(lengths[c], (c,))
-        back_two = {}
-        small = sorted(taker, key=lambda i: lengths[i])[:64]
-        for x in range(len(small)):
-            for y in range(x + 1, len(small)):
-                back_two.setdefault(lengths[small[x]] + lengths[small[y]], (small[x], small[y]))
-        for gives, backs in ((singles, back_one), (pairs, back_one), (singles, back_two)):
-            for g, what in gives.items():
-                for r, for_it in backs.items():
-                    if best < g - r <= room:
-                        best, how = g - r, (what, for_it)
-        if how:
-            for d in how[0]:
-                giver.remove(d)
-                taker.append(d)
-            for c in how[1]:
-                taker.remove(c)
-                giver.append(c)
-        return best
-
-    while len(underfull) > 1 and capacity * len(underfull) - sum(fills) >= capacity and tries > 0:
-        order = sorted(range(len(underfull)), key=lambda i: fills[i])
+    least = max(-(-sum(lengths) // capacity), sum(2 * n > capacity for n in lengths))
+    fills = [sum(lengths[i] for i in b) for b in bins]
+    full = [b for b, n in zip(bins, fills, strict=True) if n >= capacity]
+    left = _Underfull([b for b, n in zip(bins, fills, strict=True) if n < capacity], lengths)
+    moved = True
+    while moved and len(full) + len(left.items) > least:
         moved = False
-        for at, give in enumerate(order[:8]):
-            for take in reversed(order[at + 1 :]):
-                tries -= 1
-                if fills[take] < capacity and fills[take] >= fills[give] and (won := step(underfull[give], underfull[take], capacity - fills[take])):
-                    fills[give] -= won
-                    fills[take] += won
-                    moved = True
-                    if not underfull[give]:
-                        del underfull[give], fills[give]
-                    break
-                if tries <= 0:
-                    break
-            if moved or tries <= 0:
-                break
-        if not moved:
-            break
-    return full + underfull
+        for taker in sorted(left.own, key=lambda b: (-left.fill[b], b)):
+            while taker in left.own and (step := left.gain(taker, capacity - left.fill[taker])):
+                moved = True
+                left.exchange(taker, step)
+                if not left.items[step[1]]:
+                    left.leave(step[1])
+                    del left.items[step[1]]
+                if left.fill[taker] == capacity:
+                    left.leave(taker)
+    return full + list(left.items.values())
 
 
 def _pack(group: pd.DataFrame, capacity: int, first: int) -> pd.DataFrame:
@@ -187,31 +231,49 @@ def _pack(group: pd.DataFrame, capacity: int, first: int) -> pd.DataFrame:
             number[i], offset[i] = k, at
             at += lengths[i]
         fill[items] = at
-    base = first + (int(group["_group"].iloc[0]) << 24 if len(group) else 0)
+    base = first + (int(group["_group"].iloc[0]) << 20 if len(group) else 0)
     return group.drop(columns="_group").assign(sequence_id=base + number, offset=offset, _fill=fill)
 
 
-def pack(docs: DataFrame, files: tuple[str, str | None] | None = None, capacity: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024) -> DataFrame:
     """One row for each piece: pieces()'s columns, sequence_id and offset.
 
     Pieces are dealt evenly into groups of about GROUP rows, by row number, so equal ids or lengths make no large
-    group; each is packed by itself. Pieces from bins that are left under 95 % full, a few for each group, are packed
-    again, across groups. The pieces are written once; the texts are tokenized once.
+    group; each is packed by itself. The pieces of bins that are not full go on to another round, for as long as that
+    leaves fewer sequences; there the emptiest bins of all groups come together, then the next ones. The pieces are
+    written once; the texts are tokenized once; a round brings the driver one row for each fill below capacity.
 
-    Null texts are a piece of one id; a null doc_id stays null; rows that repeat are packed one by one; no rows in, no
-    rows out.
+    Null texts are a piece of one id; a null doc_id stays null; rows that repeat are packed one by one; other columns
+    of docs, whatever their names, are not read; no rows in, no rows out.
     """
-    cut_up = cut(pieces(docs, files or tokenizer_files(), capacity))
-    names = [*cut_up.columns]
+    rows = cut(pieces(docs, path or tokenizer_file(), capacity))
+    names = [*rows.columns]
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, _fill bigint"
 
-    def deal(rows: DataFrame, first: int) -> DataFrame:
-        groups = max(1, -(-rows.count() // GROUP))
-        dealt = rows.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-        return dealt.groupBy("_group").applyInPandas(lambda group: _pack(group, capacity, first), schema)
-
-    once = cut(deal(cut_up, 0))
-    low = F.col("_fill") * 100 < capacity * 95
-    # The second round's numbers lie above the first's.
-    again = deal(cut(once.where(low).select(*names)), 1 << 60)
-    return once.where(~low).unionByName(again).drop("_fill")
+    def packed(some: DataFrame, round_: int) -> DataFrame:
+        return cut(some.groupBy("_group").applyInPandas(lambda group: _pack(group, capacity, round_ << 50), schema))
+
+    groups = max(1, -(-rows.count() // GROUP))
+    now = packed(rows.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))), 0)
+    done, round_ = [], 0
+    while True:
+        low = now.where(F.col("_fill") < capacity)
+        fills = low.groupBy("_fill").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("tokens")).orderBy("_fill").collect()
+        bins = sum(r["tokens"] // r["_fill"] for r in fills)
+        if bins <= -(-sum(r["tokens"] for r in fills) // capacity):
+            done.append(now)  # so many sequences are needed
+            break
+        # The groups of each fill: the next one, or several where a fill has more pieces than a group takes.
+        before = accumulate((r["n"] for r in fills), initial=0)
+        spans = {r["_fill"]: (at // GROUP, -(-r["n"] // GROUP)) for r, at in zip(fills, before, strict=False)}
+        of = F.create_map(*[x for f, (first, many) in spans.items() for x in (F.lit(f), F.array(F.lit(first), F.lit(many)))])[F.col("_fill")]
+        again = packed(low.withColumn("_group", of[0] + F.pmod(F.xxhash64("sequence_id"), of[1])).select(*names, "_group"), round_ + 1)
+        if again.where("offset = 0").count() >= bins:
+            done.append(now)  # this round won nothing
+            break
+        done.append(now.where(F.col("_fill") >= capacity))
+        now, round_ = again, round_ + 1
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.drop("_fill")

@@ -282,7 +282,7 @@ def test_packing(spark, rows):
 
     docs = frame(spark, rows)
     got = packing.pack(docs).collect()
-    exact = Tokenizer.from_file(packing.tokenizer_files()[0])
+    exact = Tokenizer.from_file(packing.tokenizer_file())
     pieces = collections.defaultdict(list)
     bins = collections.defaultdict(list)
     for r in got:
@@ -305,11 +305,14 @@ def test_packing(spark, rows):
     assert len(bins) <= -(-sum(r["length"] for r in got) // 1024) + 1
 
 
-def test_both_tokenizers_agree():
-    quick, exact = packing._encoder(*packing.tokenizer_files()), packing._encoder(packing.tokenizer_files()[0], None)
+def test_stretches_have_the_ids_of_the_text():
+    encoder = packing.Encoder(packing.tokenizer_file())
     rng = random.Random(2)
-    for text in ["", " ", "a  b\n\n c'll 12é ß", "<|endoftext|>", "链接 ok", "x y z\x1c", *["".join(rng.choice("abÉñ 1'\n\t.,|%$") for _ in range(200)) for _ in range(50)]]:
-        assert quick(text).tolist() == exact(text).tolist()
+    made = ["".join(rng.choice("abÉñ 1'\n\t.,|%$;:!? \x1c链\u3000<>") for _ in range(200)) for _ in range(300)]
+    made += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x2FFF), rng.randrange(0x1F300, 0x1F700)])) + rng.choice(["", " a", "b ", " "]) for _ in range(100)) for _ in range(200)]
+    for text in ["", " ", "a  b\n\n c'll 12é ß don't, it's. x's y", "a<|endoftext|> b", "<|endoftext|>", "链接 ok", "x y z\x1c", *made, "word " * 20_000, "w" * 5000]:
+        assert encoder.encode(text) == encoder.ids(text)
+    assert encoder.known and not encoder.whole
 
 
 def test_local_search_empties_bins():
@@ -325,6 +328,32 @@ def test_local_search_empties_bins():
         assert len(end) <= len(start) and sorted(sum(end, [])) == list(range(60)) and all(sum(lengths[i] for i in b) <= 100 for b in end)
 
 
+def test_local_search_leaves_no_step():
+    """Lengths of which two seldom fit together: brute force over all pairs of bins finds no step that is left."""
+    rng = random.Random(12)
+    for _ in range(10):
+        lengths = [rng.randint(26, 50) for _ in range(40)] + [rng.randint(1, 9) for _ in range(rng.randrange(12))]
+        bins = packing.local_search(packing.best_fit(lengths, 100), lengths, 100)
+        fills = [sum(lengths[i] for i in b) for b in bins]
+        if len(bins) <= max(-(-sum(lengths) // 100), sum(2 * n > 100 for n in lengths)):
+            continue
+        some = lambda b, k: [0] if k == 0 else [lengths[i] for i in b] if k == 1 else [lengths[i] + lengths[j] for i in b for j in b if i < j]
+        for t, taker in enumerate(bins):
+            for g, giver in enumerate(bins):
+                gains = [x - y for k, m in ((1, 0), (1, 1), (2, 0), (2, 1), (1, 2)) for x in some(giver, k) for y in some(taker, m)]
+                assert g == t or not any(0 < d <= 100 - fills[t] and fills[t] + d > fills[g] for d in gains)
+
+
+def test_packing_goes_on_across_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 64)
+    rng = random.Random(5)
+    docs = frame(spark, [(i, "a " * rng.randint(1, 900), "en", "a") for i in range(300)])
+    got = packing.pack(docs.withColumn("length", F.lit("clash"))).collect()
+    total = sum(r["length"] for r in got)
+    assert len({r["doc_id"] for r in got}) == 300 and len({r["sequence_id"] for r in got}) <= 1.03 * total / 1024 + 1
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
 def test_rules_counts(spark, rows):
     more = [(600, "a b c d e f g h i\na b c d e f g h i\n\nx # $ |\nx # $ |", "en", "a")]
     got = {(r["doc_id"], r["n_words"], r["word_chars"]): r for r in rules.judge(frame(spark, rows + more)).collect()}
