@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from curio.llm.common import column, keyed, slices, utf8
 from curio.llm.superkmer import covered
-from curio.llm.windows import AGAIN, CROWD, Pieces, by_bucket, mix, ranges
+from curio.llm.windows import AGAIN, Kind, by_bucket, gathered, levels, mix, ranges
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -62,39 +62,49 @@ def suffix_array(symbols: np.ndarray, sevens: np.ndarray) -> np.ndarray:
 
 
 class RunIndex:
-    """Strings, one after another, as a run-compressed Burrows-Wheeler transform with samples at the ends of its runs.
+    """Strings, each as often as it occurs, as a run-compressed Burrows-Wheeler transform with samples at run ends.
 
     A run is a stretch of equal symbols of the transform (the symbol before a string's start makes a run of its own).
-    Kept for each run: the places in the text of its first and last row, and how far the suffix of the first row
-    agrees with the row above, and that of the last row with the row below. Inside a run these lengths follow: from
-    one place of the text to the next they fall by one. So they are the matching statistics of every place against
-    all other places, and one pass over the text streams them from the samples, without any row inside a run.
+    Equal strings stand side by side in every row of the transform, so a string that occurs k times makes the runs of
+    one, k times as long: it is put in once, with its number. Of each run are kept: its symbol and length; the places
+    in the text of its first and last row; how far the suffix of the first row agrees with the row above, and that of
+    the last row with the row below (a row that counts more than once agrees with itself, to its string's end).
+
+    Inside a run these lengths follow: from one place of the text to the next they fall by one. So they are the
+    matching statistics of every place against all other places, and matching() streams them string by string from the
+    samples, without any row inside a run. Nothing that is kept is longer than the number of runs or of strings.
     """
 
-    def __init__(self, strings: list[bytes]):
-        lengths = np.array([len(s) for s in strings], np.int64)
-        joined = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
-        self.begins = np.cumsum(lengths + 1) - lengths - 1
-        self.lengths = lengths
-        joined[self.begins + lengths] = 0
-        sevens = _sevens(joined)
-        order = suffix_array(joined, sevens)
-        before = joined[order - 1]  # the transform; place 0 sees the last separator
-        self.left = np.repeat(self.begins + lengths, lengths + 1) - np.arange(len(joined))  # symbols up to the string's end
+    def __init__(self, strings: list[bytes], times: np.ndarray | None = None):
+        self.lengths = np.array([len(s) for s in strings], np.int64)
+        times = np.ones(len(strings), np.int64) if times is None else times
+        symbols = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
+        self.begins = np.cumsum(self.lengths + 1) - self.lengths - 1
+        symbols[self.begins + self.lengths] = 0
+        sevens = _sevens(symbols)
+        order = suffix_array(symbols, sevens)
+        before = symbols[order - 1]  # the transform; place 0 sees the last separator
+        owner = np.repeat(np.arange(len(strings)), self.lengths + 1)
         breaks = (before[1:] != before[:-1]) | (before[1:] == 0) | (before[:-1] == 0)
         heads = np.concatenate([[0], np.flatnonzero(breaks) + 1])
         tails = np.append(heads[1:] - 1, len(order) - 1)
-        self.runs = len(heads)
-        self.size = len(joined)
+        self.symbol, self.length = before[heads], np.add.reduceat(times[owner[order]], heads)
         self.head_at, self.tail_at = order[heads], order[tails]
         self.head_up, self.tail_down = np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int64)
-        agree = self._agree(order[heads[1:] - 1], order[heads[1:]], sevens)
+        left = self.begins[owner] + self.lengths[owner] - np.arange(len(symbols))  # symbols up to the string's end
+        agree = self._agree(order[heads[1:] - 1], order[heads[1:]], left, sevens)
         self.head_up[1:] = agree
         self.tail_down[:-1] = agree
+        self.many = times > 1
 
-    def _agree(self, a: np.ndarray, b: np.ndarray, sevens: np.ndarray) -> np.ndarray:
+    @property
+    def runs(self) -> int:
+        return len(self.symbol)
+
+    @staticmethod
+    def _agree(a: np.ndarray, b: np.ndarray, left: np.ndarray, sevens: np.ndarray) -> np.ndarray:
         """Common length of the suffixes at a and b, inside their strings."""
-        out = np.minimum(self.left[a], self.left[b])
+        out = np.minimum(left[a], left[b])
         going, at = np.flatnonzero(out > 0), 0
         while len(going):
             differ = sevens[a[going] + at] ^ sevens[b[going] + at]
@@ -106,62 +116,80 @@ class RunIndex:
             going = going[out[going] > at]
         return out
 
-    def _stream(self, at: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The length at every place, from the sampled places before it."""
-        level = np.full(self.size, -1, np.int64)
-        level[at] = at
-        last = np.maximum.accumulate(level)
-        sampled = np.zeros(self.size, np.int64)
-        sampled[at] = value
-        return np.maximum(np.where(last >= 0, sampled[last] - (np.arange(self.size) - last), 0), 0)
-
-    def matching(self) -> np.ndarray:
-        """For every place, the length of the longest string from there on that starts elsewhere, too."""
-        return np.maximum(self._stream(self.head_at, self.head_up), self._stream(self.tail_at, self.tail_down))
+    def matching(self) -> Iterator[np.ndarray]:
+        """For each string in turn and every place in it, the length of the longest string from there on that starts
+        elsewhere, too."""
+        sides = []
+        for at, value in ((self.head_at, self.head_up), (self.tail_at, self.tail_down)):
+            order = np.argsort(at, kind="stable")
+            sides.append((at[order], value[order]))
+        for begin, n, many in zip(self.begins.tolist(), self.lengths.tolist(), self.many.tolist(), strict=True):
+            out = np.arange(n, 0, -1) if many else np.zeros(n, np.int64)
+            for at, value in sides if n and not many else ():
+                low, high = np.searchsorted(at, [begin, begin + n])  # the string's start is always a run's end
+                streamed = np.repeat(value[low:high] + at[low:high], np.diff(np.append(at[low:high], begin + n))) - np.arange(begin, begin + n)
+                out = np.maximum(out, streamed)
+            yield out
+
+    def text(self) -> list[bytes]:
+        """The different strings, walked back from their ends by the last-to-first mapping over runs alone."""
+        starts = np.cumsum(self.length) - self.length
+        by_symbol = np.argsort(self.symbol, kind="stable")
+        to = np.zeros(self.runs, np.int64)
+        to[by_symbol] = np.cumsum(self.length[by_symbol]) - self.length[by_symbol]
+        out = set()
+        for row in range(int(self.length[self.symbol == 0].sum())):  # the rows of the separators
+            found = bytearray()
+            while True:
+                run = int(np.searchsorted(starts, row, "right")) - 1
+                if self.symbol[run] == 0:
+                    break
+                found.append(int(self.symbol[run]) - 1)
+                row = int(to[run] + row - starts[run])
+            out.add(bytes(found[::-1]))
+        return sorted(out)
 
 
 def _look(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
-    """key, sid, a, b: windows [a, b) of each string that occur more than once."""
-    strings = utf8(batch, "s")
-    index = RunIndex(strings)
-    long = index.matching() >= width
-    out = []
-    for i, (begin, n, again) in enumerate(zip(index.begins.tolist(), index.lengths.tolist(), column(batch, "again").to_pylist(), strict=True)):
-        many = n - width + 1
-        out += [(i, a, b) for a, b in ([(0, many)] if again else ranges(long[begin : begin + many]))]
+    """doc_id, rk, a, b: the bytes [a, b) of each document that the windows of its strings cover which occur again."""
+    start, times = column(batch, "start").to_numpy(), np.where(column(batch, "again").to_numpy(zero_copy_only=False), 2, 1)
+    index = RunIndex(utf8(batch, "s"), times)
+    out = [(i, start[i] + a, start[i] + b + width - 1) for i, found in enumerate(index.matching()) for a, b in ranges(found >= width)]
     which, a, b = zip(*out, strict=True) if out else ((), (), ())
     at = pa.array(which, pa.int64())
-    yield pa.RecordBatch.from_arrays([column(batch, "key").take(at), column(batch, "sid").take(at), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["key", "sid", "a", "b"])
+    yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(at), column(batch, "rk").take(at), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "rk", "a", "b"])
 
 
-def repeats(docs: DataFrame, width: int = 200, gram: int = 64) -> DataFrame:
-    """rk and spans (a, b): the bytes [a, b) of a document that strings of `width` bytes cover which start elsewhere, too.
+def repeats(docs: DataFrame, width: int = 200, grams: tuple[int, ...] = (64, 132)) -> DataFrame:
+    """doc_id, rk and a, b: the bytes [a, b) of a document that strings of `width` bytes cover which start elsewhere, too.
 
-    The index is built for each chunk of buckets, over their different strings; whether a string occurs again as a
-    whole comes along. Spans may overlap.
+    The index is built for each chunk of buckets, over their different strings with their numbers. What it says of a
+    string that occurs more than once, that all of it matches, holds for each of its places. Spans may overlap.
     """
-    found = Pieces(docs, _units, _join, width, gram)
-    marked = by_bucket(found.strings(), lambda b: _look(b, width), "key bigint, sid bigint, a bigint, b bigint")
-    places = found.places.select("key", "sid", "rk", "start").join(marked, ["key", "sid"])
-    spans = places.select("rk", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + width - 1).alias("b"))
-    if found.crowded:
-        one = found.windows().select("rk", "start", "s", "again")
-        often = one.groupBy("s").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("c")).where("c > 1")
-        spans = spans.union(one.join(often, "s").select("rk", F.col("start").cast("long"), (F.col("start") + width).cast("long")))
-        # Equal pieces of a crowd: what is said of the first holds for all.
-        crowd = found.places.where(F.col("kind").bitwiseAND(AGAIN | CROWD) == (AGAIN | CROWD))
-        spans = spans.union(crowd.select("rk", F.col("start").cast("long"), (F.col("start") + F.col("n") + width - 1).cast("long")))
-    return spans.groupBy("rk").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-
-
-def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 64) -> DataFrame:
+    found, windows = levels(docs, Kind(_units, _join, width, grams))
+    kind = dict(docs.dtypes)["doc_id"]
+    spans = None
+    for places, strings in found:
+        some = by_bucket(strings, lambda b: _look(b, width), f"doc_id {kind}, rk bigint, a bigint, b bigint")
+        equal = places.where(F.col("kind").bitwiseAND(F.lit(AGAIN).cast("tinyint")) > 0)
+        equal = equal.select("doc_id", "rk", F.col("start").cast("long").alias("a"), (F.col("start") + F.col("n") + (width - 1)).cast("long").alias("b"))
+        spans = some.union(equal) if spans is None else spans.union(some).union(equal)
+    if windows is not None:
+        often = windows.groupBy("h", "i").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        hit = windows.join(often, ["h", "i"]).select("doc_id", "rk", F.col("start").cast("long").alias("a"), (F.col("start") + width).cast("long").alias("b"))
+        spans = spans.union(hit)
+    return spans
+
+
+def remove_repeats(docs: DataFrame, width: int = 200, grams: tuple[int, ...] = (64, 132)) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) and kept_sha256 of every row of docs.
 
     Every byte goes that a string of `width` bytes covers which starts anywhere else in the texts, wherever it stands.
     Null texts are empty; shorter texts than `width` lose nothing; null ids are returned as they are; rows that repeat
-    are documents of their own, so what they share goes from each; no rows in, no rows out.
+    are documents of their own, so what they share goes from each; other columns of docs, whatever their names, are not
+    read; no rows in, no rows out.
     """
-    rows = keyed(docs).select("doc_id", "rk", "text").join(repeats(docs, width, gram), "rk", "left")
+    rows = gathered(repeats(docs, width, grams), keyed(docs).select("doc_id", "rk", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -193,11 +221,13 @@ def whole_characters(text: bytes, out: np.ndarray) -> bytes:
     return data[np.repeat(whole, np.diff(np.append(starts, len(data)))) == 0].tobytes()
 
 
-def clean(docs: DataFrame, width: int = 200, gram: int = 64) -> DataFrame:
-    """docs with the repeated strings taken out of text (in whole characters), and n_chars, if there is one, renewed."""
+def clean(docs: DataFrame, width: int = 200, grams: tuple[int, ...] = (64, 132)) -> DataFrame:
+    """docs with the repeated strings taken out of text (in whole characters), and n_chars, if there is one, renewed.
+
+    Null texts stay null; other columns are kept, whatever their names; else as remove_repeats()."""
     kinds = dict(docs.dtypes)
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text", F.struct(*docs.columns).alias("_doc"))
-    joined = rows.join(repeats(docs, width, gram), "rk", "left")
+    rows = docs.select(F.col("doc_id"), F.xxhash64("doc_id", "text").alias("rk"), "text", F.struct(*docs.columns).alias("_doc"))
+    joined = gathered(repeats(docs, width, grams), rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

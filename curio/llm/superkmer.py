@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curio.llm.common import column, keyed, slices, utf8
-from curio.llm.windows import FIRST, Pieces, by_bucket, ranges
+from curio.llm.windows import FIRST, Kind, by_bucket, gathered, levels, order_of, ranges
 
 
 def _units(text: bytes) -> tuple[list[bytes], np.ndarray]:
@@ -43,43 +43,43 @@ def same_windows(words: list[list[bytes]], width: int) -> tuple[np.ndarray, np.n
 
 
 def _look(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
-    """Of the first occurrence of each string, the windows that start earlier elsewhere: rk, a, b (word places)."""
+    """Of the first occurrence of each string, the windows that start earlier elsewhere: doc_id, rk, a, b (word places)."""
     owner, place, number = same_windows([s.split(b" ") for s in utf8(batch, "s")], width)
-    ids = column(batch, "doc_id")
-    known = ids.is_valid().to_numpy(zero_copy_only=False)
-    order_of = np.full(len(ids), -1, np.int64)  # null ids come first
-    if known.any():
-        order_of[known] = np.unique(np.array(ids.drop_null().to_pylist()), return_inverse=True)[1]
+    ids = order_of(column(batch, "doc_id"))
     rk, start = column(batch, "rk").to_numpy(), column(batch, "start").to_numpy().astype(np.int64)
     at = start[owner] + place
-    order = np.lexsort((at, rk[owner], order_of[owner], number))
+    order = np.lexsort((at, rk[owner], ids[owner], number))
     # Each window against the first of its number; rows that repeat are the same place.
     new = np.concatenate([[True], number[order[1:]] != number[order[:-1]]]) if len(order) else np.zeros(0, bool)
     first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     later = np.zeros(len(owner), bool)
     later[order] = (rk[owner[order]] != rk[owner[first]]) | (at[order] != at[first])
     firsts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-    out = [(rk[i], start[i] + a, start[i] + b + width - 1) for i in range(batch.num_rows) for a, b in ranges(later[firsts[i] : firsts[i + 1]])]
-    rks, a, b = zip(*out, strict=True) if out else ((), (), ())
-    yield pa.RecordBatch.from_arrays([pa.array(rks, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["rk", "a", "b"])
+    out = [(i, start[i] + a, start[i] + b + width - 1) for i in range(batch.num_rows) for a, b in ranges(later[firsts[i] : firsts[i + 1]])]
+    which, a, b = zip(*out, strict=True) if out else ((), (), ())
+    whose = pa.array(which, pa.int64())
+    yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(whose), column(batch, "rk").take(whose), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "rk", "a", "b"])
 
 
-def repeats(docs: DataFrame, width: int = 20, gram: int = 8) -> DataFrame:
-    """rk and spans (a, b): the words of a document, [a, b), that windows cover which also start earlier.
+def repeats(docs: DataFrame, width: int = 20, grams: tuple[int, ...] = (8, 14)) -> DataFrame:
+    """doc_id, rk and a, b: the words of a document, [a, b), that windows cover which also start earlier.
 
     Of pieces that are equal as a whole only the first goes to the bucket, where sorting numbers its windows; the
     others are covered whole. Spans may overlap.
     """
-    found = Pieces(docs, _units, _join, width, gram)
-    spans = by_bucket(found.strings(), lambda b: _look(b, width), "rk bigint, a bigint, b bigint")
-    later = found.places.where(F.col("kind").bitwiseAND(FIRST) == 0)
-    spans = spans.union(later.select("rk", F.col("start").cast("long"), (F.col("start") + F.col("n") + width - 1).cast("long")))
-    if found.crowded:
-        one = found.windows().select("doc_id", "rk", "start", "s")
-        first = one.groupBy("s").agg(F.min(F.struct("doc_id", "rk", "start")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        again = one.join(first, "s").where("rk <> f.rk or start <> f.start")
-        spans = spans.union(again.select("rk", F.col("start").cast("long"), (F.col("start") + width).cast("long")))
-    return spans.groupBy("rk").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    found, windows = levels(docs, Kind(_units, _join, width, grams))
+    kind = dict(docs.dtypes)["doc_id"]
+    span = lambda n: (F.col("start").cast("long").alias("a"), (F.col("start") + n + (width - 1)).cast("long").alias("b"))
+    spans = None
+    for places, strings in found:
+        some = by_bucket(strings, lambda b: _look(b, width), f"doc_id {kind}, rk bigint, a bigint, b bigint")
+        later = places.where(F.col("kind").bitwiseAND(F.lit(FIRST).cast("tinyint")) == 0).select("doc_id", "rk", *span(F.col("n")))
+        spans = some.union(later) if spans is None else spans.union(some).union(later)
+    if windows is not None:
+        first = windows.groupBy("h", "i").agg(F.min(F.struct("doc_id", "rk", "start")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        again = windows.join(first, ["h", "i"]).where("rk <> f.rk or start <> f.start or not doc_id <=> f.doc_id")
+        spans = spans.union(again.select("doc_id", "rk", *span(1)))
+    return spans
 
 
 def covered(spans: list | None, n: int) -> np.ndarray:
@@ -92,15 +92,15 @@ def covered(spans: list | None, n: int) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, width: int = 20, gram: int = 8) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 20, grams: tuple[int, ...] = (8, 14)) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (binary: kept words joined by one space) and kept_sha256 of every row.
 
     A word goes if a window that covers it starts earlier, too: in a document of smaller doc_id (null counts as
     smaller than any; equal ids are ordered by a hash of their texts), or earlier in its own. Rows that repeat, id and
     text, are one document, and all keep what it keeps. Null texts are empty; texts shorter than a window lose
-    nothing; no rows in, no rows out.
+    nothing; other columns of docs, whatever their names, are not read; no rows in, no rows out.
     """
-    rows = keyed(docs).select("doc_id", "rk", "text").join(repeats(docs, width, gram), "rk", "left")
+    rows = gathered(repeats(docs, width, grams), keyed(docs).select("doc_id", "rk", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

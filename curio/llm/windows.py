@@ -3,11 +3,18 @@
 A window is `width` units (bytes or words) long. Its minimiser is the smallest hash of the runs of `gram` units in it,
 so equal windows have equal minimisers. Consecutive windows of a document with one minimiser make a piece. Every
 window is in exactly one piece, and all windows equal to it are in pieces of the same bucket.
+
+A minimiser that too many different pieces have is a crowd: its windows are cut into pieces anew, by longer grams, which
+fewer of them share. What is a crowd for the longest grams, too, is counted window by window, by 128 bits of hashes.
+
+Names: a document is its doc_id and a 64-bit hash of doc_id and text; a piece's contents are its minimiser and another
+64-bit hash. So two different things are mixed up only where both parts agree.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +24,28 @@ from pyspark.sql import functions as F
 from curio.llm.common import column, cut_table, keyed, slices, utf8
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+OTHER_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Windows in one piece at most; a longer stretch with one minimiser (a period) is cut, which changes no window.
 LONGEST = 1024
-#: A minimiser that occurs more often is a crowd: its windows are sent one by one and counted while they are grouped by
-#: contents, so that no bucket gets more strings than this.
+#: A minimiser that more pieces have is a crowd, so no bucket gets more strings than this.
 HOT = 16_384
+#: So is one with more pieces than one for SHARE documents of a sample of about SAMPLE: these are dealt by their
+#: contents from the start. The sample says where rows go, not what comes out.
+SAMPLE, SHARE = 16_384, 256
 #: Bytes of a bucket's strings, or of several buckets' together, that a task looks at at once.
 CHUNK = 1_000_000
+#: Contents that a task has seen often and remembers.
+REMEMBERED = 100_000
+
+
+class Kind(NamedTuple):
+    """units(text) gives a document's units and their hashes; join(units, begin, end) packs some. `grams` are tried in
+    turn, from short to long, all shorter than `width`."""
+
+    units: Callable
+    join: Callable
+    width: int
+    grams: tuple[int, ...]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -32,11 +54,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def gram_hashes(units: np.ndarray, gram: int) -> np.ndarray:
+def gram_hashes(units: np.ndarray, gram: int, base: np.uint64 = BASE) -> np.ndarray:
     """A hash of every run of `gram` units, from hashes of runs half as long."""
     power = {0: np.uint64(1)}
     for i in range(gram):
-        power[i + 1] = power[i] * BASE
+        power[i + 1] = power[i] * base
     have, size = units, 1
     known = [(1, units)]
     while size * 2 <= gram:
@@ -119,26 +141,120 @@ def _content_hash(units: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.n
         return mix((sums[end] - sums[begin]) * powers[begin] + (end - begin).astype(np.uint64))
 
 
+#: Of a piece of the scan: its minimiser occurs in it again; equal pieces were left out of the slice; its minimiser is
+#: a crowd by the sample; an equal piece that comes before it has been sent, so nothing else must be known.
+TWICE, EQUALS, CROWDED, SETTLED = 1, 2, 4, 8
+#: Of a place: first of the equal pieces; there are equal ones; its minimiser is a crowd.
 FIRST, AGAIN, CROWD = 1, 2, 4
 
 
+def order_of(ids: pa.Array) -> np.ndarray:
+    """Ranks of ids; null ones come first."""
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    out = np.full(len(ids), -1, np.int64)
+    if known.any():
+        out[known] = np.unique(np.array(ids.drop_null().to_pylist()), return_inverse=True)[1]
+    return out
+
+
+class _Seen:
+    """The first place of contents that were frequent in some slice of a task; bounded, so it may forget."""
+
+    def __init__(self) -> None:
+        self.first: dict[tuple[int, int], tuple] = {}
+
+    def flags(self, key: np.ndarray, sid: np.ndarray, which: np.ndarray, start: np.ndarray, ids: pa.Array, rk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """EQUALS and SETTLED of each piece of a slice, and whether it is sent: rows that repeat send a place once."""
+        place = np.lexsort((start, rk[which], order_of(ids)[which], sid, key))
+        k, s = key[place], sid[place]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(place)), 0))
+        size = np.diff(np.append(np.flatnonzero(new), len(place)))
+        same = (rk[which[place]] == rk[which[place[head]]]) & (start[place] == start[place[head]])
+        flags = np.where(np.repeat(size, size) > 1, EQUALS, 0)
+        flags[~same] |= SETTLED
+        sent = new | ~same
+        names = ids.to_pylist() if len(self.first) or (size > 3).any() else []
+        for at in np.flatnonzero(new)[(size > 3)].tolist() if len(names) else ():
+            self.first.setdefault((int(k[at]), int(s[at])), (True,))
+        if self.first and len(names):
+            for at in np.flatnonzero(new).tolist():
+                held = self.first.get((int(k[at]), int(s[at])))
+                if held is None:
+                    continue
+                i = which[place[at]]
+                own = (names[i] is not None, 0 if names[i] is None else names[i], int(rk[i]), int(start[place[at]]))
+                if held == (True,):
+                    self.first[int(k[at]), int(s[at])] = own
+                elif held < own:
+                    flags[at : at + size[np.searchsorted(np.flatnonzero(new), at)]] |= SETTLED | EQUALS
+                elif own < held:
+                    self.first[int(k[at]), int(s[at])] = own
+        if len(self.first) > REMEMBERED:
+            self.first.clear()
+        out, keep = np.zeros(len(place), np.int64), np.zeros(len(place), bool)
+        out[place], keep[place] = flags, sent
+        return out, keep
+
+
+def _scan(batches: Iterator[pa.RecordBatch], kind: Kind, gram: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The pieces of the texts; with a column runs (start, n), those of these windows only."""
+    seen = _Seen()
+    for batch in slices(batches, at_most=1_000_000):  # a dozen numbers are held for each unit
+        hashes = [kind.units(t)[1] for t in utf8(batch)]
+        lengths = np.array([len(h) for h in hashes], np.int64)
+        every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        which, start, n, key, times = stretches(every, lengths, kind.width, gram)
+        if "runs" in batch.schema.names:
+            which, start, n, key, times = _inside(which, start, n, key, times, column(batch, "runs").to_pylist(), lengths)
+        begin = (np.cumsum(lengths) - lengths)[which] + start
+        sid = _content_hash(every, begin, begin + n + kind.width - 1).view(np.int64)
+        key, ids, rk = key.view(np.int64), column(batch, "doc_id"), column(batch, "rk").to_numpy()
+        flags, sent = seen.flags(key, sid, which, start, ids, rk) if len(key) else (np.zeros(0, np.int64), np.zeros(0, bool))
+        flags |= np.where(times > 1, TWICE, 0) | np.where(np.isin(key, hot), CROWDED, 0)
+        at = pa.array(which[sent])
+        columns = [ids.take(at), column(batch, "rk").take(at), pa.array(start[sent], pa.int32()), pa.array(n[sent], pa.int32()), pa.array(key[sent]), pa.array(sid[sent]), pa.array(flags[sent], pa.int8())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rk", "start", "n", "key", "sid", "flags"])
+
+
+def _inside(which, start, n, key, times, runs: list, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pieces cut down to the windows of each document's runs."""
+    wanted = np.zeros(int(lengths.sum()) + 1, np.int64)
+    begins = np.cumsum(lengths) - lengths
+    for i, own in enumerate(runs):
+        for r in own or ():
+            wanted[begins[i] + r["start"]] += 1
+            wanted[begins[i] + r["start"] + r["n"]] -= 1
+    wanted = np.cumsum(wanted) > 0
+    piece = np.repeat(np.arange(len(n)), n)
+    at = begins[which[piece]] + start[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+    keep = wanted[at]
+    piece, at = piece[keep], at[keep]
+    if not len(piece):
+        return which[:0], start[:0], n[:0], key[:0], times[:0]
+    first = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (at[1:] != at[:-1] + 1)]))
+    of = piece[first]
+    return which[of], at[first] - begins[which[of]], np.diff(np.append(first, len(piece))), key[of], times[of]
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pieces sorted by (key, sid, order), those whose key occurs again, in the piece or elsewhere, with kind: FIRST
-    of the equal pieces, AGAIN if there are equal ones, CROWD if the key occurs more than HOT times.
+    of the equal pieces, AGAIN if there are equal ones, CROWD if the key is known for one or occurs more than HOT times.
 
     Rows pass in order; at most HOT of a key are held until it is known what they are."""
     held: list[pa.RecordBatch] = []
     crowd = None  # a key known to be one
+    names = ["doc_id", "rk", "start", "n", "key", "sid"]
 
     def judge(table: pa.RecordBatch, upto: int, last: tuple | None) -> tuple[pa.RecordBatch, tuple]:
-        key, sid, times = (column(table, c).to_numpy() for c in ("key", "sid", "times"))
+        key, sid, flags = (column(table, c).to_numpy() for c in ("key", "sid", "flags"))
         same = np.concatenate([[last is not None and last[0] == key[0]], key[1:] == key[:-1]])
         equal = same & np.concatenate([[last is not None and last[:2] == (key[0], sid[0])], sid[1:] == sid[:-1]])
-        again = equal | np.append(equal[1:], False)
+        again = equal | np.append(equal[1:], False) | (flags & EQUALS > 0)
         begin = np.flatnonzero(~same) if not same[0] else np.concatenate([[0], np.flatnonzero(~same)])
         size = np.diff(np.append(begin, len(key)))
-        many = np.repeat((size > HOT) | (key[begin] == crowd if crowd is not None else np.zeros(len(begin), bool)), size)
-        wanted = same | np.append(same[1:], False) | (times > 1)
+        many = np.repeat((size > HOT) | (key[begin] == crowd if crowd is not None else np.zeros(len(begin), bool)), size) | (flags & CROWDED > 0)
+        wanted = same | np.append(same[1:], False) | (flags > 0)
         # Rows that repeat are the same place, so all of them are first.
         rk, start = column(table, "rk").to_numpy(), column(table, "start").to_numpy()
         group = np.maximum.accumulate(np.where(equal, 0, np.arange(len(key))))
@@ -149,12 +265,16 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = (rk == first_rk) & (start == first_start)
         kind = np.where(first, FIRST, 0) | np.where(again, AGAIN, 0) | np.where(many, CROWD, 0)
         out = table.slice(0, upto)
-        rows = [column(out, c) for c in ("doc_id", "rk", "start", "n", "key", "sid")]
-        made = pa.RecordBatch.from_arrays([*rows, pa.array(kind[:upto].astype(np.int8))], names=["doc_id", "rk", "start", "n", "key", "sid", "kind"])
+        made = pa.RecordBatch.from_arrays([*[column(out, c) for c in names], pa.array(kind[:upto].astype(np.int8))], names=[*names, "kind"])
         return made.filter(pa.array(wanted[:upto])), (key[upto - 1], sid[upto - 1], first_rk[upto - 1], first_start[upto - 1])
 
     last = None
     for batch in batches:
+        settled = column(batch, "flags").to_numpy() & SETTLED > 0
+        if settled.any():
+            some = batch.filter(pa.array(settled))
+            yield pa.RecordBatch.from_arrays([*[column(some, c) for c in names], pa.array(np.full(some.num_rows, AGAIN), pa.int8())], names=[*names, "kind"])
+            batch = batch.filter(pa.array(~settled))
         if not batch.num_rows:
             continue
         held.append(batch)
@@ -174,71 +294,108 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield judge(table, table.num_rows, last)[0]
 
 
-class Pieces:
-    """The pieces of a corpus whose windows may occur more than once.
-
-    units(text) gives a document's units and their hashes, join(units, begin, end) packs some. Two passes over the
-    texts: the first makes a narrow row for each piece and brings equal minimisers together; only where these repeat,
-    the second packs strings, and of equal pieces only the first one (by doc_id, null first, then place).
+def _crowds(rows: DataFrame, kind: Kind, n: int) -> list[np.ndarray]:
+    """For each gram, the minimisers with more pieces than one for SHARE documents of a sample, sorted. There are at most
+    SHARE times as many as a sampled document has pieces."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at_most=1_000_000):
+            hashes = [kind.units(t)[1] for t in utf8(batch)]
+            lengths = np.array([len(h) for h in hashes], np.int64)
+            every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+            for level, gram in enumerate(kind.grams):
+                keys, times = np.unique(stretches(every, lengths, kind.width, gram)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), level), pa.int32()), pa.array(keys.view(np.int64)), pa.array(times)], names=["level", "key", "n"])
+
+    if not n:
+        return [np.zeros(0, np.int64) for _ in kind.grams]
+    some = rows if n <= SAMPLE else rows.sample(SAMPLE / n, seed=1)
+    least = max(8, min(n, SAMPLE) // SHARE)
+    found = some.mapInArrow(count, "level int, key bigint, n bigint").groupBy("level", "key").agg(F.sum("n").alias("n")).where(F.col("n") > least).collect()
+    return [np.sort(np.array([r["key"] for r in found if r["level"] == level], np.int64)) for level in range(len(kind.grams))]
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
+    """doc_id, rk, start and two hashes of each window of the runs."""
+    for batch in slices(batches, at_most=1_000_000):
+        hashes = [kind.units(t)[1] for t in utf8(batch)]
+        lengths = np.array([len(h) for h in hashes], np.int64)
+        begins = np.cumsum(lengths) - lengths
+        every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        runs = [(i, p) for i, own in enumerate(column(batch, "runs").to_pylist()) for r in own for p in range(r["start"], r["start"] + r["n"])]
+        which, start = (np.array(v, np.int64) for v in (zip(*runs, strict=True) if runs else ((), ())))
+        with np.errstate(over="ignore"):
+            both = [gram_hashes(every, kind.width, base)[begins[which] + start] if runs else np.zeros(0, np.uint64) for base in (BASE, OTHER_BASE)]
+        at = pa.array(which)
+        columns = [column(batch, "doc_id").take(at), column(batch, "rk").take(at), pa.array(start, pa.int32()), *[pa.array(h.view(np.int64)) for h in both]]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rk", "start", "h", "i"])
+
+
+def _pack(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
+    """The strings of the runs. Rows that repeat stand side by side after the join: they are packed once."""
+    last = None
+    for batch in slices(batches):
+        out, strings = [], []
+        ids, rk = column(batch, "doc_id").to_pylist(), column(batch, "rk").to_pylist()
+        for i, (text, runs) in enumerate(zip(utf8(batch), column(batch, "runs").to_pylist(), strict=True)):
+            if last == (ids[i], rk[i]):
+                continue
+            last = (ids[i], rk[i])
+            parts = kind.units(text)[0]
+            for r in {(r["start"], r["n"], r["key"], r["again"]) for r in runs}:
+                strings.append(kind.join(parts, r[0], r[0] + r[1] + kind.width - 1))
+                out.append((i, *r))
+        which, start, n, key, again = zip(*out, strict=True) if out else ((),) * 5
+        at = pa.array(which, pa.int64())
+        columns = [column(batch, "doc_id").take(at), column(batch, "rk").take(at), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(again, pa.bool_()), pa.array(strings, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rk", "start", "n", "key", "again", "s"])
+
+
+class Level(NamedTuple):
+    """places: doc_id, rk, start, n, key, sid, kind of every piece that may repeat. strings: of the first of equal ones,
+    not of crowds: doc_id, rk, start, n, key, again (there are equal ones), s."""
+
+    places: DataFrame
+    strings: DataFrame
+
+
+def levels(docs: DataFrame, kind: Kind) -> tuple[list[Level], DataFrame | None]:
+    """The pieces of a corpus whose windows may occur more than once, for each gram in turn, and for what is a crowd
+    with all of them doc_id, rk, start, h, i (128 bits of hashes) of each window, or None.
+
+    Two passes over the texts for each gram: one makes a narrow row for each piece and brings equal minimisers together;
+    only where these repeat, the other packs strings, and of equal pieces only the first one (by doc_id, null first,
+    then rk, then place). Equal pieces of a slice of texts are combined before they are sent.
     """
-
-    def __init__(self, docs: DataFrame, units: Callable, join: Callable, width: int, gram: int):
-        self.kind, self.units, self.join, self.width = dict(docs.dtypes)["doc_id"], units, join, width
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, at_most=1_000_000):  # a dozen numbers are held for each unit
-                hashes = [units(t)[1] for t in utf8(batch)]
-                lengths = np.array([len(h) for h in hashes], np.int64)
-                every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-                which, start, n, key, times = stretches(every, lengths, width, gram)
-                begin = (np.cumsum(lengths) - lengths)[which] + start
-                sid = _content_hash(every, begin, begin + n + width - 1)
-                at = pa.array(which)
-                columns = [column(batch, "doc_id").take(at), column(batch, "rk").take(at), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(key.view(np.int64)), pa.array(sid.view(np.int64)), pa.array(times, pa.int8())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rk", "start", "n", "key", "sid", "times"])
-
-        self.rows = keyed(docs)
-        found = self.rows.mapInArrow(scan, f"doc_id {self.kind}, rk bigint, start int, n int, key bigint, sid bigint, times tinyint")
-        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-        sorted_rows = found.repartition(parts, "key").sortWithinPartitions("key", "sid", "doc_id", "rk", "start")
-        #: doc_id, rk, start, n, key, sid, kind of every piece whose minimiser repeats.
-        self.places = cut_table(sorted_rows.mapInArrow(_repeated, f"doc_id {self.kind}, rk bigint, start int, n int, key bigint, sid bigint, kind tinyint"))
-        self.crowded = not self.places.where(F.col("kind").bitwiseAND(CROWD) > 0).isEmpty()
-
-    def first(self) -> DataFrame:
-        return self.places.where(F.col("kind").bitwiseAND(FIRST) > 0)
-
-    def _packed(self, crowd: bool) -> DataFrame:
-        units, join, width = self.units, self.join, self.width
-
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                out, strings = [], []
-                for i, (text, runs) in enumerate(zip(utf8(batch), column(batch, "runs").to_pylist(), strict=True)):
-                    parts = units(text)[0] if runs else None
-                    for r in {(r["start"], r["n"], r["key"], r["sid"], r["again"]) for r in runs}:  # rows that repeat bring their pieces twice
-                        for p, n in [(p, 1) for p in range(r[0], r[0] + r[1])] if crowd else [(r[0], r[1])]:
-                            strings.append(join(parts, p, p + n + width - 1))
-                            out.append((i, p, n, r[2], r[3], r[4]))
-                which, start, n, key, sid, again = zip(*out, strict=True) if out else ((),) * 6
-                at = pa.array(which, pa.int64())
-                columns = [column(batch, "doc_id").take(at), column(batch, "rk").take(at), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(sid, pa.int64()), pa.array(again, pa.bool_()), pa.array(strings, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rk", "start", "n", "key", "sid", "again", "s"])
-
-        wanted = self.first().where((F.col("kind").bitwiseAND(CROWD) > 0) == F.lit(crowd))
-        again = (F.col("kind").bitwiseAND(AGAIN) > 0).alias("again")
-        runs = wanted.groupBy("rk").agg(F.collect_list(F.struct("start", "n", "key", "sid", again)).alias("runs"))
-        joined = self.rows.select("doc_id", "rk", "text").join(runs, "rk").select("doc_id", "rk", "text", "runs")
-        return joined.mapInArrow(pack, f"doc_id {self.kind}, rk bigint, start int, n int, key bigint, sid bigint, again boolean, s binary")
-
-    def strings(self) -> DataFrame:
-        """doc_id, rk, start, n, key, sid, again, s: the first of equal pieces, packed; not of crowds. A bucket has at
-        most HOT of them."""
-        return self._packed(False)
-
-    def windows(self) -> DataFrame:
-        """The same for the pieces of crowds, window by window: to be counted by contents, which group without limit."""
-        return self._packed(True)
+    spark, id_kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = keyed(docs).select("doc_id", "rk", "text")
+    head = f"doc_id {id_kind}, rk bigint, start int, "
+    bit = lambda c, b: F.col(c).bitwiseAND(F.lit(b).cast("tinyint")) > 0
+
+    def with_runs(pieces: DataFrame, *columns) -> DataFrame:
+        runs = pieces.groupBy(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk")).agg(F.collect_set(F.struct(*columns)).alias("runs"))
+        return rows.join(runs, (F.col("rk") == F.col("_rk")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "rk", "text", "runs")
+
+    out, texts = [], rows
+    for gram, hot in zip(kind.grams, _crowds(rows, kind, docs.count()), strict=True):
+        found = texts.mapInArrow(lambda b, gram=gram, hot=hot: _scan(b, kind, gram, hot), head + "n int, key bigint, sid bigint, flags tinyint")
+        to = F.when(bit("flags", SETTLED), F.col("rk")).when(bit("flags", CROWDED), F.xxhash64("key", "sid")).otherwise(F.col("key"))
+        places = cut_table(found.repartition(parts, to).sortWithinPartitions("key", "sid", "doc_id", "rk", "start").mapInArrow(_repeated, head + "n int, key bigint, sid bigint, kind tinyint"))
+        first = places.where(bit("kind", FIRST))
+        packed = with_runs(first.where(~bit("kind", CROWD)), "start", "n", "key", bit("kind", AGAIN).alias("again"))
+        out.append(Level(places, packed.mapInArrow(lambda b: _pack(b, kind), head + "n int, key bigint, again boolean, s binary")))
+        crowd = first.where(bit("kind", CROWD))
+        if crowd.isEmpty():
+            return out, None
+        texts = with_runs(crowd, "start", "n")
+    return out, cut_table(texts.mapInArrow(lambda b: _window_rows(b, kind), head + "h bigint, i bigint"))
+
+
+def gathered(spans: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (with doc_id and rk) and spans (array of a, b; null without one), from spans (doc_id, rk, a, b)."""
+    lists = spans.groupBy(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk")).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    return rows.join(lists, (F.col("rk") == F.col("_rk")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id", "_rk")
 
 
 def by_bucket(distinct: DataFrame, look: Callable, schema: str) -> DataFrame:

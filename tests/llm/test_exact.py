@@ -66,18 +66,38 @@ def bytes_left(rows, width=200):
     return out
 
 
-def test_windows_of_words(spark, rows):
-    got = superkmer.remove_repeats(frame(spark, [r for r in rows if r[0] is not None])).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+@pytest.mark.parametrize("hot", [None, 4])
+def test_windows_of_words(spark, rows, hot, monkeypatch):
+    if hot:
+        monkeypatch.setattr(W, "HOT", hot)
+    docs = frame(spark, [r for r in rows if r[0] is not None])
+    got = superkmer.remove_repeats(docs.withColumns({"key": F.lit("clash"), "rk": F.lit(0)})).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     want = words_left([r for r in rows if r[0] is not None])
     assert collections.Counter(tuple(r) for r in got) == collections.Counter((i, *want[i, t]) for i, t, *_ in rows if i is not None)
 
 
+def test_windows_of_words_of_null_ids(spark):
+    """Null ids come before all others; two of them are ordered by their hashes, so either may be the first."""
+    rng = random.Random(1)
+    text, other = (" ".join(str(rng.random()) for _ in range(60)) for _ in range(2))
+    got = superkmer.remove_repeats(frame(spark, [(1, text, "en", "a"), (None, text, "en", "a"), (None, other + " " + text, "en", "a"), (2, other, "en", "a"), (2, other, "en", "a")])).collect()
+    gone = sorted((r["doc_id"] is None, r["n_words"], r["n_removed"]) for r in got)
+    assert gone in ([(False, 60, 60)] * 3 + [(True, 60, 0), (True, 120, 60)], [(False, 60, 60)] * 3 + [(True, 60, 60), (True, 120, 0)])
+
+
+def test_repeats_in_empty_tables(spark):
+    none = frame(spark, [(1, "x", "en", "a")]).limit(0)
+    assert superkmer.remove_repeats(none).count() == runindex.remove_repeats(none).count() == runindex.clean(none).count() == 0
+    null = frame(spark, [(None, None, None, None), (1, "", None, None)])
+    assert [r["n_bytes"] for r in runindex.remove_repeats(null).collect()] == [r["n_words"] for r in superkmer.remove_repeats(null).collect()] == [0, 0]
+
+
 @pytest.mark.parametrize("hot", [None, 4])
 def test_strings_of_bytes(spark, rows, hot, monkeypatch):
     want = bytes_left(rows)
     if hot:  # crowds: forks of this process see the change
         monkeypatch.setattr(W, "HOT", hot)
-    got = runindex.remove_repeats(frame(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    got = runindex.remove_repeats(frame(spark, rows).withColumns({"s": F.lit("clash"), "spans": F.lit(0)})).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert collections.Counter(tuple(r) for r in got) == collections.Counter((i, *want[i, t]) for i, t, *_ in rows)
 
 
@@ -88,13 +108,38 @@ def test_clean_keeps_characters(spark):
 
 
 def test_run_index_matching():
-    strings = [b"abracadabra", b"cadabrax", b"zzzz", b""]
-    index = runindex.RunIndex(strings)
-    every = [(k, p) for k, s in enumerate(strings) for p in range(len(s))]
+    strings = [b"abracadabra", b"cadabrax", b"zzzz", b"", b"qq"]
+    times = np.array([1, 1, 1, 1, 3])
+    index = runindex.RunIndex(strings, times)
+    every = [(k, j, p) for k, s in enumerate(strings) for j in range(times[k]) for p in range(len(s))]
     common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    want = {(k, p): max(common(strings[k][p:], strings[j][q:]) for j, q in every if (j, q) != (k, p)) for k, p in every}
-    assert {(k, p): int(index.matching()[index.begins[k] + p]) for k, p in every} == want
-    assert index.runs < index.size
+    want = {(k, p): max(common(strings[k][p:], strings[l][q:]) for l, j, q in every if (l, j, q) != (k, 0, p)) for k, _, p in every}
+    assert {(k, p): int(v) for k, found in enumerate(index.matching()) for p, v in enumerate(found)} == want
+    assert index.text() == sorted(strings)
+
+
+def test_run_index_alone_marks_a_repetitive_corpus():
+    """Versions of one text: the index keeps far fewer runs than there are symbols, and gives what brute force gives."""
+    rng = random.Random(4)
+    base = bytes(rng.choice(b"acgt") for _ in range(600))
+    strings = []
+    for _ in range(60):
+        t = bytearray(base)
+        for _ in range(2):
+            t[rng.randrange(len(t))] = rng.choice(b"acgt")
+        strings.append(bytes(t))
+    strings += [bytes(rng.choice(b"acgt") for _ in range(600)) for _ in range(3)]
+    known = sorted(set(strings))
+    times = np.array([strings.count(s) for s in known])
+    index = runindex.RunIndex(known, times)
+    count = collections.Counter(s[p : p + 50] for s in strings for p in range(len(s) - 49))
+    want = [[count[s[p : p + 50]] > 1 for p in range(len(s) - 49)] for s in known]
+    assert [(found >= 50)[: len(s) - 49].tolist() for s, found in zip(known, index.matching(), strict=True)] == want
+    held = sum(x.size for x in vars(index).values() if isinstance(x, np.ndarray))
+    assert index.runs * 4 < sum(map(len, strings)) and held == 6 * index.runs + 3 * len(known) and index.text() == known
+    # A string put in k times makes the runs of one, k times as long.
+    often = runindex.RunIndex(known, times * 7)
+    assert (often.symbol == index.symbol).all() and (often.length == 7 * index.length).all()
 
 
 def test_pieces_hold_every_window_once():
