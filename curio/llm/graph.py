@@ -38,6 +38,27 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], names=["a", "b"])
 
 
+#: A node with more than one of HEAVY links is joined on its own.
+HEAVY = 1000
+
+
+def _with_least(links: DataFrame, n: int) -> DataFrame:
+    """links (u, v) with m, the smallest v of each u.
+
+    n is about half the number of links. Nodes with over n / HEAVY of them, so at most 2 * HEAVY, are broadcast with
+    their m, so that the links of a hub stay where they are; the others meet in a shuffle.
+    """
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d"))
+    hubs = F.col("d") > max(HEAVY, n // HEAVY)
+    some = cut(least)
+    heavy = some.where(hubs).select(F.col("u").alias("h"), F.col("m").alias("hm"))
+    if heavy.isEmpty():
+        return links.join(some.select("u", "m"), "u")
+    known = links.join(F.broadcast(heavy), F.col("u") == F.col("h"), "left")
+    rest = known.where("h is null").select("u", "v").join(some.where(~hubs).select("u", "m"), "u")
+    return rest.union(known.where("h is not null").select("u", "v", F.col("hm").alias("m")))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): each node of links (a, b: long, not null) with the smallest node that it reaches.
 
@@ -47,16 +68,14 @@ def components(links: DataFrame) -> DataFrame:
     reach the driver. No links, no rows.
     """
     now = cut(links.select("a", "b").where("a <> b").mapInArrow(_thin, "a bigint, b bigint"))
-    seen = None
-    while True:
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
-        lows = large.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "u")
-        small = large.join(lows, F.col("hi") == F.col("u")).select(F.explode(F.array(F.struct(F.col("hi").alias("a"), F.col("m").alias("b")), F.struct(F.col("lo").alias("a"), F.col("m").alias("b")))).alias("e"))
-        now = cut(small.select("e.a", "e.b").where("a <> b").distinct())
+    seen, n = None, now.count()
+    while n:
+        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
+        large = _with_least(both, n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        small = _with_least(large, n).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
+        now = cut(small.select(F.col("e.u").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         if mark == seen or mark[0] == 0:
             break
-        seen = mark
+        seen, n = mark, mark[0]
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -13,8 +13,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curio.llm.common import column, cut, keyed, slices, utf8
+from curio.llm.common import column, cut, cut_table, keyed, slices, utf8
 from curio.llm.graph import components, forest
+from curio.llm.windows import by_bucket, gram_hashes
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Fingerprints of one key that a task compares with each other; longer runs are compared block by block.
@@ -43,14 +44,18 @@ def exact_plan(shingle: int = 4, differ: int = 4) -> Plan:
     return Plan(shingle, True, 1, 1, differ, tuple((a, b - a) for a, b in zip(edges, edges[1:], strict=False)))
 
 
-def similarity_plan(rows: int, shingle: int = 5, similarity: float = 0.8, miss: float = 0.005) -> Plan:
-    """For links by Jaccard similarity of shingle sets: segments so long that a row's chance meetings in a key stay in
-    the hundreds for that many rows, and so many that a pair at the similarity meets but for `miss`.
+def similarity_plan(shingle: int = 5, similarity: float = 0.8, miss: float = 0.005, length: int = 16) -> Plan:
+    """For links by Jaccard similarity of shingle sets: so many segments of `length` bits that a pair at the similarity
+    shares a key but for `miss`; more similar ones share one more surely.
 
     128 bits tell pairs at the similarity from unlike ones, however many bits the segments take; so only these travel
-    with a key, and a row's shuffle grows with its keys alone. differ leaves 3.5 standard deviations."""
+    with a key. differ leaves 3.5 standard deviations, beyond which 0.02 % of the pairs at the similarity lie.
+
+    The plan is the same for every table. A key's rows are the texts over 2 ** (length - 1), so its work grows with
+    the square of that; much larger tables want longer segments, at the price of more keys for each row: 272 of 16
+    bits, 580 of 20, 1,248 of 24. Only time depends on that choice, up to `miss` not the links.
+    """
     wrong = math.acos(2 * similarity / (1 + similarity)) / math.pi  # a bit's chance to differ
-    length = max(14, min(28, math.ceil(math.log2(max(2, rows))) - 8))
     meet = (1 - wrong) ** length + length * wrong * (1 - wrong) ** (length - 1)
     n = math.ceil(math.log(miss) / math.log(1 - meet))
     differ = int(128 * wrong + 3.5 * math.sqrt(128 * wrong * (1 - wrong)))
@@ -71,6 +76,16 @@ def shingle_hashes(text: bytes, size: int) -> list[int]:
     return [digest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :], strict=True)]
 
 
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """Another hash, which arrays give at once, of every different run of `size` words; of all words if there are fewer."""
+    words = text.translate(LOWER).split()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    if not words:
+        return hashes
+    with np.errstate(over="ignore"):
+        return np.unique(gram_hashes(hashes, min(size, len(words))))
+
+
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     """Another hash of the same shingles: the finalizer of a 64-bit mix of h and k."""
     if not k:
@@ -81,32 +96,50 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+_LANES = np.uint64(0x0101010101010101)
+
+
+def _counts(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many of each text's hashes (n of them, one text after another, none of 0) have each bit set.
+
+    Eight bits are counted at once, each in a byte of its own, over stretches that are too short for it to overflow."""
+    parts = -(-n // 255)
+    first = np.cumsum(parts) - parts
+    starts = np.repeat(np.cumsum(n) - n, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
+    out = np.zeros((len(n), 64), np.int32)
+    for b in range(8):
+        sums = np.add.reduceat((h >> np.uint64(b)) & _LANES, starts)
+        out[:, b::8] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int32)
+    return out
+
+
 def majority(texts: list[bytes], size: int, words: int, repeats: bool = True) -> np.ndarray:
     """Fingerprints, one row of `words` 64-bit words a text: bits set in over half of the shingles' hashes; 0 without
     words. Without `repeats` equal shingles count once."""
-    each = [shingle_hashes(t, size) if repeats else list(set(shingle_hashes(t, size))) for t in texts]
+    each = [np.array(shingle_hashes(t, size), np.uint64) if repeats else shingle_set(t, size) for t in texts]
     n = np.array([len(x) for x in each], np.int64)
-    h = np.fromiter((v for x in each for v in x), np.uint64, int(n.sum()))
     out = np.zeros((len(texts), words), np.uint64)
     some = np.flatnonzero(n)
     if len(some):
-        starts = (np.cumsum(n) - n)[some]
+        h = np.concatenate(each)
         for k in range(words):
-            bits = np.unpackbits(_mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+            ones = _counts(_mixed(h, k), n[some])
             out[some, k] = np.packbits(2 * ones > n[some, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
 
 def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id, rk and th (see keyed()) and f, the fingerprint's words as longs, of every row of docs."""
+    """doc_id, rk and th (see keyed()), t2 (another hash of the text), bytes (the text's) and f, the fingerprint's words
+    as longs, of every row of docs."""
+    names = ["doc_id", "rk", "th", "t2", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             f = majority(utf8(batch), plan.shingle, plan.words, plan.repeats).view(np.int64)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "rk"), column(batch, "th"), pa.array(list(f), pa.list_(pa.int64()))], names=["doc_id", "rk", "th", "f"])
+            yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in names], pa.array(list(f), pa.list_(pa.int64()))], names=[*names, "f"])
 
-    return keyed(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, rk bigint, th bigint, f array<bigint>")
+    rows = keyed(docs).withColumns({"t2": F.xxhash64(F.lit(1), "text"), "bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")})
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, rk bigint, th bigint, t2 bigint, bytes bigint, f array<bigint>")
 
 
 def _matrix(lists: pa.Array, words: int) -> np.ndarray:
@@ -314,179 +347,107 @@ def hamming_groups(docs: DataFrame, plan: Plan) -> DataFrame:
     return found.join(of, F.col("f0") == F.col("g0")).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def _similar(batches: Iterator[pa.RecordBatch], plan: Plan, similarity: float) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        kept = []
-        for x, y in zip(utf8(batch, "text"), utf8(batch, "other"), strict=True):
-            s, t = set(shingle_hashes(x, plan.shingle)), set(shingle_hashes(y, plan.shingle))
-            both = len(s & t)
-            kept.append(both >= similarity * (len(s) + len(t) - both) if s or t else True)
-        yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-
-def _verified(proposed: DataFrame, docs: DataFrame, plan: Plan, similarity: float) -> DataFrame:
-    """The pairs (a, b: text hashes) whose whole texts are that similar."""
-    some = proposed.select("a").union(proposed.select("b")).distinct().withColumnRenamed("a", "th")
-    whole = keyed(docs).select("th", "text").join(some, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
-    whole = cut(whole)
-    pairs = proposed.join(whole.withColumnRenamed("th", "a"), "a").join(whole.select(F.col("th").alias("b"), F.col("text").alias("other")), "b")
-    return pairs.select("a", "b", "text", "other").mapInArrow(lambda x: _similar(x, plan, similarity), "a bigint, b bigint")
-
-
-def _first_key(f: np.ndarray, g: np.ndarray, plan: Plan) -> np.ndarray:
-    """The first of variants() that two fingerprints share; -1 without one."""
-    out = np.full(len(f), -1, np.int64)
-    for s, (at, length) in reversed(list(enumerate(plan.segments))):
-        value = _segment(f, at, length)
-        away = value ^ _segment(g, at, length)
-        p = np.where(away == 0, 0, np.bitwise_count(away - np.uint64(1))).astype(np.uint64)
-        key = (value & ~(np.uint64(1) << p)) | ((np.uint64(s * 64) + p) << np.uint64(40))
-        shared = np.bitwise_count(away) <= 1
-        out[shared] = key[shared].view(np.int64)
-    return out
-
-
-def _members(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
-    """key, family, group, th and the whole fingerprint of each key of the rows (th, f, family, group)."""
-    for batch in batches:
-        for begin in range(0, batch.num_rows, 2000):
-            part = batch.slice(begin, 2000)
-            f = _matrix(column(part, "f"), plan.words)
-            keys = variants(f, plan)
-            times = lambda x: pa.array(np.repeat(x, keys.shape[1]))  # noqa: B023, E731
-            columns = [times(column(part, c).to_numpy()) for c in ("family", "group", "th")]
-            columns += [times(f[:, k].view(np.int64)) for k in range(plan.words)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *columns], names=["key", "family", "group", "th", *[f"f{k}" for k in range(plan.words)]])
-
-
-def _apart(batches: Iterator[pa.RecordBatch], plan: Plan, low: int, high: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows that are low to high - 1 places apart in their run (one key, family and tile, sorted by th), of
-    different groups and within plan.differ bits; each pair only at the first key that it shares."""
-
-    def load(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, th, group, block = rows["key"], rows["th"], rows["group"], rows["block"]
-        f = np.stack([rows[f"f{k}"].view(np.uint64) for k in range(plan.words)], 1)
-        same = rows["i"] == rows["j"]
-        length = np.diff(np.append(rows["first"], len(key)))
-        rest, place = np.repeat(length, length), np.arange(len(key)) - np.repeat(rows["first"], length)
-        alive = np.flatnonzero(place + low < rest)
-        for step in range(low, high):
-            if not len(alive):
-                break
-            a, b = alive, alive + step
-            some = (group[a] != group[b]) & (same[a] | (block[a] != block[b]))
-            a, b = a[some], b[some]
-            some = _distance(f[a, : plan.carry], f[b, : plan.carry]) <= plan.differ
-            a, b = a[some], b[some]
-            some = _first_key(f[a], f[b], plan) == key[a]
-            a, b = th[a[some]], th[b[some]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-            alive = alive[place[alive] + step + 1 < rest[alive]]
-
-    kept, held = [], 0
-
-    def runs(final: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal kept, held
-        rows = {c: np.concatenate([x[c] for x in kept]) for c in kept[0]}
-        new = np.ones(len(rows["key"]), bool)
-        new[1:] = np.logical_or.reduce([rows[c][1:] != rows[c][:-1] for c in ("key", "family", "i", "j")])
-        first = np.flatnonzero(new)
-        end = len(new) if final else int(first[-1])  # the last run may go on
-        kept, held = ([{c: x[end:] for c, x in rows.items()}], len(new) - end) if end < len(new) else ([], 0)
-        if end:
-            yield from load({c: x[:end] for c, x in rows.items()} | {"first": first[first < end]})
-
-    for batch in batches:
-        if batch.num_rows:
-            kept.append({c: column(batch, c).to_numpy() for c in batch.schema.names})
-            held += batch.num_rows
-            if held >= ROWS:
-                yield from runs(False)
-    if kept:
-        yield from runs(True)
+#: Texts, and bytes of text, of a family that are compared with each other in one task; larger families are cut into
+#: parts, and each two parts meet in a task of their own.
+FAMILY, FAMILY_BYTES = 1024, 16_000_000
+
+
+def _compare(batch: pa.RecordBatch, plan: Plan, similarity: float) -> Iterator[pa.RecordBatch]:
+    """a, b: links of whole tiles (rows with one key): texts whose shingle sets are that similar. Pairs go by distance,
+    nearest first; what links have joined by then isn't compared any more, so a tile gives less links than texts."""
+    batch = batch.take(pa.array(np.lexsort((column(batch, "family").to_numpy(), column(batch, "key").to_numpy()))))
+    key, family, ids, part = (column(batch, c).to_numpy() for c in ("key", "family", "id", "part"))
+    f = np.stack([column(batch, f"f{k}").to_numpy().view(np.uint64) for k in range(plan.carry)], 1)
+    sets = [shingle_set(t, plan.shingle) for t in utf8(batch, "s")]
+    size = np.array([len(x) for x in sets])
+    parent = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    left, right = [], []
+    begins = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (family[1:] != family[:-1])]))
+    for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(key)], strict=True):
+        apart = part[begin] != part[begin:end].max() or part[begin] != part[begin:end].min()
+        near = []
+        for i in range(begin, end - 1):
+            away = _distance(f[i + 1 : end], f[i])
+            low, high = np.minimum(size[i], size[i + 1 : end]), np.maximum(size[i], size[i + 1 : end])
+            fits = (away <= plan.differ) & (low >= similarity * high)
+            if apart:
+                fits &= part[i + 1 : end] != part[i]
+            js = np.flatnonzero(fits)
+            near.append(np.stack([away[js], np.full(len(js), i), js + i + 1]))
+        pairs = np.concatenate(near, 1) if near else np.zeros((3, 0), np.int64)
+        for i, j in pairs[1:, np.argsort(pairs[0], kind="stable")].T.tolist():
+            x, y = root(i), root(j)
+            if x != y:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                    parent[y] = x
+                    left.append(i)
+                    right.append(j)
+    yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(left, np.int64)]), pa.array(ids[np.array(right, np.int64)])], names=["a", "b"])
+
+
+def _grouped(docs: DataFrame, similarity: float, plan: Plan) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rk, th, t2 of every row; id, th, t2, row, group of every different text, where row is the smallest
+    (doc_id, th, rk) of its rows)."""
+    found = cut(fingerprints(docs, plan))
 
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = _matrix(column(batch, "f"), plan.words)[:, : plan.carry]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node_of(f))], names=[*batch.schema.names, "node"])
+
+    once = found.groupBy("th", "t2").agg(F.first("bytes").alias("bytes"), F.first("f").alias("f"), F.min(F.struct("doc_id", "th", "rk")).alias("row")).withColumn("id", F.monotonically_increasing_id())
+    kind = dict(docs.dtypes)["doc_id"]
+    texts = cut(once.mapInArrow(named, f"th bigint, t2 bigint, bytes bigint, f array<bigint>, row struct<doc_id:{kind},th:bigint,rk:bigint>, id bigint, node bigint"))
+
+    # Families: texts that proposed links hold together, over any number of links.
+    nodes = components(links(texts.groupBy("node").agg(F.first("f").alias("f")).select("f"), plan))
+    of = texts.join(nodes.withColumnRenamed("component", "family"), "node", "left").withColumn("family", F.coalesce("family", "node"))
+    carried = [F.col("f")[k].alias(f"f{k}") for k in range(plan.carry)]
+    narrow = cut(of.select("id", "family", "bytes", "row.rk", *carried))
+    many = F.greatest(F.ceil(F.count(F.lit(1)) / FAMILY), F.ceil(F.sum("bytes") / FAMILY_BYTES))
+    parts = narrow.groupBy("family").agg(many.alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = narrow.join(parts, "family").drop("bytes")
+    # One row's text for each; rows that repeat stand in one place after the join.
+    rows = keyed(docs).select("rk", F.coalesce("text", F.lit("")).alias("s")).join(members, "rk").dropDuplicates(["rk", "id"])
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), "m")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    # A text of part p is in the tiles (p, q) of all q; the tile (p, p) compares its own texts.
+    tiles = dealt.withColumn("key", F.xxhash64("family", F.least("part", "other"), F.greatest("part", "other")))
+    near = by_bucket(tiles.select("key", "family", "id", "part", "s", *[f"f{k}" for k in range(plan.carry)]), lambda b: _compare(b, plan, similarity), "a bigint, b bigint")
+    joined = components(near)
+    out = texts.select("id", "th", "t2", "row").join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
+    return found.select("doc_id", "rk", "th", "t2"), out.withColumn("group", F.coalesce("component", "id")).drop("component")
+
+
+def near_groups(docs: DataFrame, similarity: float = 0.8, plan: Plan | None = None) -> DataFrame:
+    """doc_id, rk, th and group (long) of every row of docs: rows in a group are equal or linked, over any number of
+    links, by sets of shingles of at least that Jaccard similarity.
 
-def _further(texts: DataFrame, proposed: DataFrame, sure: DataFrame, docs: DataFrame, plan: Plan, similarity: float) -> DataFrame:
-    """sure, and links of the same kind that join what sure leaves apart.
+    Fingerprints only propose: texts that proposals hold together are a family, and in it every pair of texts that may
+    be similar by its fingerprints is judged by its whole texts, unless they are in one group by then. Families are
+    compared tile by tile; only links that hold come out. So proposals may be thinned, and no link is lost but those
+    that share no key, see similarity_plan().
 
-    proposed holds the nearest links of each key, of which sure are verified; a rejected one may stand where a true
-    one was dropped. Every pair within plan.differ bits that shares a key lies in one component of proposed, a family;
-    families that sure does not hold together are searched in rounds. A round takes the pairs of each key that are some
-    places apart, drops those of one verified group only, and verifies the rest; the last round reaches the longest
-    run, so that every such pair is in a verified group or judged. Keys with over BLOCK rows are searched in tiles.
+    Null texts are empty, and texts without words are alike; rows that repeat are in one group; null ids are ids like
+    others; other columns of docs, whatever their names, are not read; no rows in, no rows out.
     """
-    spark = texts.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    families = cut(components(proposed).select(F.col("node").alias("th"), F.col("component").alias("family")))
-    words = [f"f{k}" for k in range(plan.words)]
-    hot, longest, low = None, None, 1
-    while longest is None or low < longest:
-        groups = components(sure).withColumnRenamed("node", "th")
-        now = families.join(groups, "th", "left").select("th", "family", F.coalesce("component", "th").alias("group"))
-        split = now.groupBy("family").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("family")
-        rows = cut(texts.select("th", "f").join(now.join(split, "family", "left_semi"), "th"))
-        if rows.isEmpty():
-            break
-        members = rows.mapInArrow(lambda x: _members(x, plan), ", ".join(f"{c} bigint" for c in ["key", "family", "group", "th", *words]))
-        if longest is None:
-            sizes = members.groupBy("key", "family").count()
-            longest = sizes.agg(F.max("count")).first()[0]
-            if longest > BLOCK:
-                hot = cut(sizes.where(F.col("count") > BLOCK).select("key", "family", F.ceil(F.col("count") / BLOCK).alias("m")))
-        if hot is None:
-            tiled = members.withColumns({c: F.lit(0).cast("long") for c in ("i", "j", "block")})
-        else:
-            tiled = members.join(hot, ["key", "family"], "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("th"), "m"))
-            tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-            tiled = tiled.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("m", "other")
-        high = min(low * 16, longest)
-        runs = tiled.repartition(parts, "key", "family", "i", "j").sortWithinPartitions("key", "family", "i", "j", "th")
-        pairs = cut(runs.mapInArrow(lambda x, low=low, high=high: _apart(x, plan, low, high), "a bigint, b bigint").distinct())
-        sure = cut(sure.union(_verified(pairs, docs, plan, similarity)))
-        low = high
-    return sure
-
-
-def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, miss: float = 0.005) -> DataFrame:
-    """doc_id, rk, th and group (long) of every row of docs: rows in a group are equal or linked, over any number of
-    links, by sets of `shingle`-word shingles of at least that Jaccard similarity.
+    rows, texts = _grouped(docs, similarity, plan or similarity_plan(similarity=similarity))
+    return rows.join(texts.select("th", "t2", "group"), ["th", "t2"]).select("doc_id", "rk", "th", "group")
 
-    Fingerprints only propose links, each is verified on the two whole texts; a pair just at the similarity is
-    proposed but for `miss`, more similar ones more surely. Proposals are thinned by verified links alone: what the
-    nearest links leave apart is searched again, see _further().
-    """
-    n = docs.count()
-    plan = similarity_plan(n, shingle, similarity, miss)
-    found = cut(fingerprints(docs, plan))
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([column(batch, "th"), column(batch, "f"), pa.array(node_of(_matrix(column(batch, "f"), plan.words)[:, : plan.carry]))], names=["th", "f", "node"])
-
-    texts = cut(found.groupBy("th").agg(F.first("f").alias("f")).mapInArrow(named, "th bigint, f array<bigint>, node bigint"))
-    nodes = texts.groupBy("node").agg(F.first("f").alias("f"), F.min("th").alias("first"))
-    name = nodes.select("node", "first")
-    near = links(nodes.select("f"), plan)
-    proposed = (
-        near.join(name.select(F.col("node").alias("a"), F.col("first").alias("x")), "a")
-        .join(name.select(F.col("node").alias("b"), F.col("first").alias("y")), "b")
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
-        .union(texts.join(name, "node").where("th <> first").select(F.col("th").alias("a"), F.col("first").alias("b")))
-    )
-    proposed = cut(proposed)
-    sure = cut(_verified(proposed, docs, plan, similarity))
-    parts = components(cut(_further(texts, proposed, sure, docs, plan, similarity)))
-    return found.join(parts, F.col("th") == F.col("node"), "left").select("doc_id", "rk", "th", F.coalesce("component", "th").alias("group"))
-
-
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, miss: float = 0.005) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.8, plan: Plan | None = None) -> DataFrame:
     """docs with one row of each group of near_groups(): that of the smallest doc_id (null counts as smaller than any).
 
     Of rows with that doc_id in the group the smallest text hash stays, and one of rows that are equal in both.
     Null and empty texts have equal shingles, none, and so are one group.
     """
-    grouped = near_groups(docs, shingle, similarity, miss)
-    chosen = grouped.groupBy("group").agg(F.min(F.struct("doc_id", "th", "rk")).alias("c")).select(F.col("c.rk").alias("rk"), F.col("c.th").alias("th"))
+    _, texts = _grouped(docs, similarity, plan or similarity_plan(similarity=similarity))
+    chosen = texts.groupBy("group").agg(F.min("row").alias("c")).select(F.col("c.rk").alias("rk"), F.col("c.th").alias("th"))
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.xxhash64("text").alias("th"), F.struct(*docs.columns).alias("_doc"))
     return rows.join(chosen, ["rk", "th"]).groupBy("rk", "th").agg(F.first("_doc").alias("_doc")).select("_doc.*")

@@ -211,10 +211,10 @@ def test_near_dedup_keeps_one(spark, rows):
     assert len([i for i in ids if i in (500, 501, 502)]) == 1 and simhash.keep_one(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [4096, 50])
-def test_near_links_behind_nearer_unlike_ones(spark, block, monkeypatch):
+@pytest.mark.parametrize("family", [1024, 40])
+def test_near_links_behind_nearer_unlike_ones(spark, family, monkeypatch):
     """Families of edited copies around the similarity: the nearest fingerprints are mostly not the similar texts."""
-    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "FAMILY", family)
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
 
@@ -231,20 +231,53 @@ def test_near_links_behind_nearer_unlike_ones(spark, block, monkeypatch):
             one = edited(base, 9)
             texts += [one, edited(one, 6)] if len(texts) % 3 == 0 else [one]
     rows = [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)]
-    plan = simhash.similarity_plan(len(rows))
+    plan = simhash.similarity_plan()
     coded = [t.encode() for _, t, *_ in rows]
     f = simhash.majority(coded, plan.shingle, plan.words, plan.repeats)
     keys = [set(k) for k in simhash.variants(f, plan).tolist()]
     sets = [set(simhash.shingle_hashes(t, plan.shingle)) for t in coded]
-    group = list(range(len(rows)))
+    least, most = list(range(len(rows))), list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            near = np.bitwise_count(f[i, : plan.carry] ^ f[j, : plan.carry]).sum() <= plan.differ and keys[i] & keys[j]
-            if near and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and group[i] != group[j]:
-                group = [group[j] if g == group[i] else g for g in group]
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                near = np.bitwise_count(f[i, : plan.carry] ^ f[j, : plan.carry]).sum() <= plan.differ and keys[i] & keys[j]
+                for group in (least, most) if near else (most,):
+                    if group[i] != group[j]:
+                        group[:] = [group[j] if g == group[i] else g for g in group]
     got = {r["doc_id"]: r["group"] for r in simhash.near_groups(frame(spark, rows)).collect()}
-    assert len({(g, got[i]) for i, g in enumerate(group)}) == len(set(group)) == len(set(got.values()))
-    assert 50 < len(set(group)) < len(rows)
+    # Every pair that is proposed and similar is in one group; what is in one group, similar pairs join.
+    assert len({(g, got[i]) for i, g in enumerate(least)}) == len(set(least))
+    assert all(most[i] == most[j] for i in got for j in got if got[i] == got[j])
+    assert 50 < len(set(got.values())) < len(rows)
+
+
+def test_near_groups_of_odd_rows(spark):
+    """Rows that repeat, clashing names, texts that are too long for one part of a family, and an empty table."""
+    rng = random.Random(3)
+    words = [str(rng.random()) for _ in range(30_000)]
+    long = [(i, " ".join(words[:20_000] + words[20_000 + i : 20_010 + i]), "en", "a") for i in range(3)]
+    docs = frame(spark, [*long, (5, "a b c d e f g", "en", "a"), (5, "a b c d e f g", "en", "a"), (None, "a b c d e f g", None, None), (7, None, None, None), (8, " ", None, None)])
+    docs = docs.withColumns({c: F.lit("clash") for c in ("family", "id", "key", "part", "group", "th")})
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()), key=str) == sorted([(False, 0), (True, None), (False, 7)], key=str)
+    empty = docs.limit(0)
+    assert simhash.keep_one(empty).count() == simhash.near_groups(empty).count() == simhash.hamming_groups(empty, simhash.exact_plan()).count() == 0
+    assert {r["component_id"] for r in simhash.hamming_groups(docs.where("doc_id = 5"), simhash.exact_plan()).collect()} == {5}
+
+
+def test_hubs_are_joined_apart(spark, monkeypatch):
+    from curio.llm import graph
+
+    monkeypatch.setattr(graph, "HEAVY", 3)
+    rng = random.Random(7)
+    edges = [(0, i) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(200 + i, 201 + i) for i in range(40)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(139, 200)]
+    group = {x: x for e in edges for x in e}
+    for a, b in edges:
+        x, y = group[a], group[b]
+        group = {n: min(x, y) if g in (x, y) else g for n, g in group.items()}
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    joined = {n for a, b in edges if a != b for n in (a, b)}
+    assert got == {n: g for n, g in group.items() if n in joined}
 
 
 def test_media_round_trip(spark, rows):
@@ -440,5 +473,5 @@ def test_near_groups_are_those_of_jaccard(spark):
             both = len(s & t)
             if both >= 0.8 * (len(s) + len(t) - both) and group[i] != group[j]:
                 group = [group[j] if g == group[i] else g for g in group]
-    got = {r["doc_id"]: r["group"] for r in simhash.near_groups(docs, miss=1e-4).collect()}
+    got = {r["doc_id"]: r["group"] for r in simhash.near_groups(docs, plan=simhash.similarity_plan(miss=1e-4)).collect()}
     assert len(set(got.values())) == len(set(group)) == len(set(zip(group, (got[i] for i in range(len(texts))), strict=True)))
