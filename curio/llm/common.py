@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Word pattern of every contract here: what lies between space, tab, LF, VT, FF and CR.
@@ -19,11 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_dir(spark: SparkSession) -> None:
-    """Sees to it that there is a checkpoint folder: that of spark.checkpoint.dir, a local one where it is unset."""
+def cut_dir(spark: SparkSession) -> str:
+    """The checkpoint folder: that of spark.checkpoint.dir. Where it is unset, a local session gets one of its own and a
+    cluster's is refused, as its machines share no temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this session, once its results are written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(cut_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -63,10 +75,21 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def running(rows: DataFrame, order: list, sums: dict[str, Column]) -> DataFrame:
+    """rows with the sum of each value over all rows before them in that order, without a task that holds them all:
+    ranges are summed by themselves, and only the sums of ranges, one row each, by one window."""
+    placed = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).withColumns({f"_v{i}": v for i, v in enumerate(sums.values())}))
+    upto = lambda *keys: W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    whole = placed.groupBy("_range").agg(*[F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(sums))])
+    whole = whole.select("_range", *[F.coalesce(F.sum(f"_s{i}").over(upto().orderBy("_range")), F.lit(0)).alias(f"_b{i}") for i in range(len(sums))])
+    own = lambda i: F.coalesce(F.sum(f"_v{i}").over(upto("_range").orderBy(*order)), F.lit(0))
+    joined = placed.join(F.broadcast(whole), "_range")  # a row for each range
+    return joined.select(*rows.columns, *[(F.col(f"_b{i}") + own(i)).alias(name) for i, name in enumerate(sums)])
+
+
 def cut_table(df: DataFrame) -> DataFrame:
     """As cut(), as a Parquet table in the same folder: smaller for large tables, and read by the column."""
-    cut_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{cut_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets the context cleaner drop the shuffles that the table replaces
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's context cleaner drop the shuffles that the table replaces
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curio.llm.common import WORD
+from curio.llm.common import WORD, cut, cut_table, running
 
 #: Hash sub-buckets of one size class. With the size classes they bound the table of prefix sums of a source, and
 #: let a source with a third of all rows spread over many tasks.
@@ -22,31 +22,24 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     share `share` times the total by weight; no target exceeds `most` times its source's size, and what is cut there
     is shared again by weight among the rest until none is above. With caps reached in order of cap over weight this
     has a closed form: the sources below some rank are at their cap, the others get the same amount for each unit of
-    weight. The windows here run over one row for each source, not over documents.
+    weight. Ranks and sums are running sums over ranges of sources, so there may be as many sources as hosts.
     """
     # Fixed order: null sources come last.
-    rank = W.orderBy(F.col("source").isNull(), "source")
+    placed = running(sizes, [F.col("source").isNull(), F.col("source")], {"nth": F.lit(1)})
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("nth") % len(weights) + 1).cast("int"))
-    every = W.partitionBy()
-    by_ratio = W.orderBy("ratio", F.col("source").isNull(), "source")
-    before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
-    after = by_ratio.rowsBetween(0, W.unboundedFollowing)
-    return (
-        sizes.withColumn("nth", F.row_number().over(rank) - 1)
-        .withColumn("weight", w)
-        .withColumn("cap", most * F.col("source_size"))
-        .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("total", F.sum("source_size").over(every) * F.lit(share))
-        .withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-        # The level of the first source that is not at its cap; without one, all are.
-        .withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level"))).over(every)["level"])
-        .withColumn("target", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")))
-        .select("source", "source_size", "target")
-    )
+    capped = placed.withColumn("weight", w).withColumn("cap", most * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
+    summed = cut(running(capped, [F.col("ratio"), F.col("source").isNull(), F.col("source")], {"caps": F.col("cap"), "weights": F.col("weight")}))
+    whole = summed.agg(F.sum("source_size").alias("_size"), F.sum("weight").alias("_weight"))  # one row
+    level = (F.col("_size") * F.lit(share) - F.col("caps")) / (F.col("_weight") - F.col("weights"))
+    levels = summed.join(F.broadcast(whole)).withColumn("level", level)
+    # The level of the first source that is not at its cap; without one, all are.
+    first = levels.where("ratio >= level").agg(F.min(F.struct("ratio", "level"))["level"].alias("_level"))
+    at = F.coalesce(F.least("cap", F.col("_level") * F.col("weight")), F.col("cap"))
+    return summed.join(F.broadcast(first)).select("source", "source_size", at.alias("target"))
 
 
 def _copies(rows: DataFrame, weights: tuple[float, ...], share: float, most: float, seed: str) -> DataFrame:
-    """rows (doc_id, source, size and what else they carry) with source_size, target and copies."""
+    """rows (doc_id, source, size, th and what else they carry) with source_size, target and copies."""
     bits = lambda c: F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
     rows = (
         rows.withColumn("_h", bits(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
@@ -64,7 +57,7 @@ def _copies(rows: DataFrame, weights: tuple[float, ...], share: float, most: flo
         .join(goals, F.col("source").eqNullSafe(F.col("_source")))
         .select(F.col("source").alias("_source"), F.col("_class").alias("_c"), F.col("_sub").alias("_s"), "_before", "source_size", "target", "_offset")
     )
-    inside = W.partitionBy("source", "_class", "_sub").orderBy("size", "_h", "doc_id")
+    inside = W.partitionBy("source", "_class", "_sub").orderBy("size", "_h", "doc_id", "th")
     ranked = rows.withColumn("_at", F.row_number().over(inside))
     placed = ranked.join(
         starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_class") == F.col("_c")) & (F.col("_sub") == F.col("_s"))
@@ -77,7 +70,7 @@ def _copies(rows: DataFrame, weights: tuple[float, ...], share: float, most: flo
 
 def _sized(docs: DataFrame, *more) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), *more)
+    return cut_table(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("th"), *more))  # words are counted once
 
 
 def mix(
@@ -94,7 +87,8 @@ def mix(
     are summed by a window over those few buckets, and a second window ranks the rows inside one bucket.
 
     Null or empty texts have size 0 and may be taken or not; a null source is a source; a null doc_id sorts first;
-    rows that repeat are rows of their own. No rows in, no rows out. The result depends on the rows only, not on
+    rows that repeat are rows of their own; other columns of docs, whatever their names, are not read. No rows in, no
+    rows out. The result depends on the rows only, not on
     their placement, so reruns agree.
     """
     return _copies(_sized(docs), weights, share, most, seed).select("doc_id", "source", "size", "source_size", "target", "copies")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curio.llm.common import column, slices, utf8
+from curio.llm.toxicity import labelled
 
 DIMENSIONS = 1 << 15
 #: Bytes to classes of a word's shape: capital, letter, digit; others stand for themselves.
@@ -96,11 +97,10 @@ class Ordinal:
 
 
 def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, most: int = 12_000) -> Ordinal:
-    """The model from at most `most` rated rows (doc_id, grade from 0 to grades - 1), those of lowest hash; rows whose
-    crc32(doc_id as text) is divisible by 5 are held out. That many pairs of numbers are broadcast to find the texts."""
-    part = F.crc32(F.col("doc_id").cast("string")) % 5
-    usable = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, grades - 1)).groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
-    chosen = usable.where(part != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    """The model from at most `most` rated documents (doc_id, grade from 0 to grades - 1), see toxicity.labelled().
+
+    No ratings, or no documents of them: the model that knows nothing. Null texts are empty."""
+    wanted = labelled(docs, ratings.where(F.col("grade").between(0, grades - 1)).select("doc_id", "grade"), "grade", most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -110,8 +110,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, most: int = 12_000
                 names=["doc_id", "grade", "at", "value"],
             )
 
-    wanted = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    found = wanted.mapInArrow(run, "doc_id string, grade int, at binary, value binary").orderBy("doc_id", "grade").collect()  # at most `most` sparse rows
+    found = wanted.select("doc_id", "text", "grade").mapInArrow(run, "doc_id string, grade int, at binary, value binary").orderBy("doc_id").collect()  # at most `most` sparse rows
     rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32)) for r in found]
     return Ordinal(grades).fit(rows, np.array([r["grade"] for r in found], np.int64))
 
@@ -119,8 +118,10 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, most: int = 12_000
 def grade(docs: DataFrame, model: Ordinal, at_least: int = 1, cut: float = 0.5) -> DataFrame:
     """doc_id, expected_grade, tail_probability (of at_least or a higher grade) and kept of every row of docs.
 
-    kept where the tail probability is `cut` or more. Null texts are empty and get the grade of such; rows that repeat
-    are graded one by one. Rows stay where they are; the weights, DIMENSIONS of them, go along with the function.
+    kept where the tail probability is `cut` or more. Null texts are empty and get the grade of such; whole texts count,
+    however long; rows that repeat are graded one by one, so equal texts get equal grades; other columns of docs,
+    whatever their names, are not read; no rows in, no rows out. Rows stay where they are; the weights, DIMENSIONS of
+    them, go along with the function.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -130,13 +130,14 @@ binned AS (SELECT doc_id, lang, source, base_failed, unnest(range(0, 5)) AS m, u
   CASE WHEN n_words > 0 THEN floor(n_dup_lines * 1000 / n_words) ELSE 0 END, CASE WHEN word_chars > 0 THEN floor(n_upper * 1000 / word_chars) ELSE 0 END, CASE WHEN n_words > 0 THEN floor(word_chars * 100 / n_words) ELSE 0 END])::BIGINT AS bin,
   unnest([10, 60, 20, 60, 150]) AS least FROM based),
 good AS (SELECT * FROM binned WHERE NOT base_failed),
-fences AS (SELECT 0 AS level, lang, source, m, any_value(least) AS least, count(*) AS n, quantile_disc(bin, 0.25) AS low, quantile_disc(bin, 0.75) AS high FROM good GROUP BY lang, source, m
+quartiles AS (SELECT 0 AS level, lang, source, m, any_value(least) AS least, count(*) AS n, quantile_disc(bin, 0.25) AS low, quantile_disc(bin, 0.75) AS high FROM good GROUP BY lang, source, m
   UNION ALL SELECT 1, lang, NULL, m, any_value(least), count(*), quantile_disc(bin, 0.25), quantile_disc(bin, 0.75) FROM good GROUP BY lang, m
   UNION ALL SELECT 2, NULL, NULL, m, any_value(least), count(*), quantile_disc(bin, 0.25), quantile_disc(bin, 0.75) FROM good GROUP BY m),
-over AS (SELECT b.doc_id, bool_or(b.bin > coalesce(CASE WHEN f0.n >= 40 THEN f0.high + 3 * greatest(f0.high - f0.low, f0.least) END, CASE WHEN f1.n >= 40 THEN f1.high + 3 * greatest(f1.high - f1.low, f1.least) END,
-  f2.high + 3 * greatest(f2.high - f2.low, f2.least))) AS beyond FROM binned b
-  LEFT JOIN fences f0 ON f0.level = 0 AND f0.m = b.m AND f0.lang IS NOT DISTINCT FROM b.lang AND f0.source IS NOT DISTINCT FROM b.source
-  LEFT JOIN fences f1 ON f1.level = 1 AND f1.m = b.m AND f1.lang IS NOT DISTINCT FROM b.lang LEFT JOIN fences f2 ON f2.level = 2 AND f2.m = b.m GROUP BY b.doc_id)
+fences AS (SELECT *, high + 3.0::DOUBLE * greatest(high - low, least) AS fence FROM quartiles),
+wider AS (SELECT f1.lang, f1.m, (f1.n * f1.fence + 10 * f2.fence) / (f1.n + 10) AS fence FROM fences f1 JOIN fences f2 ON f1.level = 1 AND f2.level = 2 AND f1.m = f2.m),
+own AS (SELECT f0.lang, f0.source, f0.m, (f0.n * f0.fence + 10 * w.fence) / (f0.n + 10) AS fence FROM fences f0 JOIN wider w ON f0.level = 0 AND f0.m = w.m AND f0.lang IS NOT DISTINCT FROM w.lang),
+over AS (SELECT b.doc_id, coalesce(bool_or(b.bin > o.fence), false) AS beyond FROM binned b
+  LEFT JOIN own o ON o.m = b.m AND o.lang IS NOT DISTINCT FROM b.lang AND o.source IS NOT DISTINCT FROM b.source GROUP BY b.doc_id)
 SELECT a.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT beyond AS kept FROM based a JOIN over o ON o.doc_id = a.doc_id
 """
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curio.llm.common import column, slices, utf8
+from curio.llm.common import column, cut, cut_table, slices, utf8
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"  # fixed values: the characters that count as symbols
@@ -112,33 +112,29 @@ def _fences(sketch: DataFrame, keys: list[str], reach: float, name: str) -> Data
     )
 
 
-def judge(docs: DataFrame, width: int = 8, least_words: int = 20, most_repeated: int = 30, reach: float = 3.0, least_rows: int = 40) -> DataFrame:
+def judge(docs: DataFrame, width: int = 8, least_words: int = 20, most_repeated: int = 30, reach: float = 3.0, prior: int = 10) -> DataFrame:
     """doc_id, lang, source (and _doc) with the counts, base_failed and kept of every row of docs.
 
     base_failed: fewer than least_words words, or over most_repeated per cent of the words in repeated windows.
-    kept: not base_failed, and no measure over its fence, the upper quartile plus `reach` times the distance of the
-    quartiles among the rows of the same language and source that pass the base rules. Where those are fewer than
-    least_rows, the sketches of the language are merged, and where these are too few, all.
+    kept: not base_failed, and no measure over its fence. The fence of a language's source is the upper quartile plus
+    `reach` times the distance of the quartiles, among its rows that pass the base rules. A small group's fence leans on
+    its language's, and that on the fence of all rows: each as if `prior` rows of the wider group stood beside its own.
 
-    The thresholds are joined back by (lang, source): a table of sketches' size, not of the corpus's.
+    Texts are measured once, into a table. The thresholds, a table of the sketches' size, are written, too, so that their
+    size is known when they are joined back: Spark broadcasts them if that is below its own threshold, else it sorts.
     Null or empty texts have no words and fail; null lang or source are values of their own; rows that repeat are
-    judged one by one; no rows in, no rows out.
+    judged one by one; other columns of docs, whatever their names, are not read; no rows in, no rows out.
     """
     base = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
-    measured = counts(docs, width).withColumn("base_failed", base)
-    sketch = sketches(measured)
+    measured = cut_table(counts(docs, width).withColumn("base_failed", base))
+    sketch = cut(sketches(measured))
     narrow = _fences(sketch, ["lang", "source"], reach, "own")
     wide = _fences(sketch, ["lang"], reach, "lang_wide")
     every = _fences(sketch, [], reach, "all")
-    chosen = (
-        narrow.join(wide.withColumnRenamed("lang", "_l"), F.col("lang").eqNullSafe(F.col("_l")))
-        .join(F.broadcast(every))  # one row
-        .select(
-            F.col("lang").alias("_lang"),
-            F.col("source").alias("_source"),
-            F.when(F.col("own_rows") >= least_rows, F.col("own")).when(F.col("lang_wide_rows") >= least_rows, F.col("lang_wide")).otherwise(F.col("all")).alias("_fences"),
-        )
-    )
+    lean = lambda own, n, other: F.zip_with(own, other, lambda x, y: F.struct(x["measure"].alias("measure"), ((n * x["fence"] + prior * y["fence"]) / (n + prior)).alias("fence")))
+    wider = wide.join(F.broadcast(every)).select(F.col("lang").alias("_l"), lean("lang_wide", F.col("lang_wide_rows"), F.col("all")).alias("_wider"))  # every: one row
+    chosen = narrow.join(wider, F.col("lang").eqNullSafe(F.col("_l")))
+    chosen = cut_table(chosen.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), lean("own", F.col("own_rows"), F.col("_wider")).alias("_fences")))
     over = F.lit(False)
     for i, (_, count, under, factor, _) in enumerate(MEASURES):
         over = over | (_parts(count, under, factor) > F.col("_fences")[i]["fence"])

@@ -147,14 +147,18 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([x for b in blocks for x in (b[2], b[3])]), np.array([x for q in p for x in (q, q)])
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """doc_id, text, y, part of a bounded number of labelled rows that may be learned from: those of lowest hash.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """doc_id, text, label and h (the text's hash) of at most `most` labelled documents that may be learned from: those
+    of lowest hash.
 
-    part is crc32(doc_id as text) modulo 5; rows of part 0 are held out. most rows of two numbers are broadcast."""
-    part = (F.crc32(F.col("doc_id").cast("string")) % 5).cast("int")
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    chosen = usable.withColumn("part", part).where("part <> 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    Rows whose crc32(doc_id as text) is divisible by 5 are held out. `most` rows of two numbers are broadcast. Where
+    rows share a doc_id, one stays, that of the smallest text hash; a label that differs counts as the higher one."""
+    part = F.crc32(F.col("doc_id").cast("string")) % 5
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias(label))
+    chosen = usable.where(part != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id", label).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return one.select("doc_id", "t.text", label, F.col("t.h").alias("h"))
 
 
 def _lexicon(rows: DataFrame, least_docs: int, most_words: int) -> dict[str, float]:
@@ -180,25 +184,26 @@ def _lexicon(rows: DataFrame, least_docs: int, most_words: int) -> dict[str, flo
     return {r["word"]: r["odds"] for r in found.orderBy(F.desc("weight"), "word").limit(most_words).collect()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 30_000, least_docs: int = 5) -> tuple[dict, Trees, tuple]:
-    """(lexicon, trees, isotonic knots) from at most `most` labelled rows, none of them held out.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 30_000, least_docs: int = 5, most_terms: int = 300) -> tuple[dict, Trees, tuple]:
+    """(lexicon, trees, isotonic knots) from at most `most` labelled documents, none of them held out.
 
     The trees see densities of lexicons that were learned on the other half of the rows, so that no word's density
     echoes the labels it was learned from; scores use the lexicon of both halves. The calibration sees margins of
-    trees that were fitted on other rows.
+    trees that were fitted on other rows. Halves and folds go by the text, so equal texts are on one side. A lexicon
+    holds `most_terms` terms at most.
     """
-    rows = cut(_labelled(docs, labels, label, most))
-    halves = [rows.where("part in (1, 2)"), rows.where("part in (3, 4)")]
-    lexicons = [_lexicon(half, least_docs, 300) for half in halves]
-    measured = [score_features(half.select("doc_id", "text", "y"), other, keep=["y"]) for half, other in zip(halves, reversed(lexicons), strict=True)]
-    found = measured[0].union(measured[1]).orderBy("doc_id", "y").collect()  # at most `most` rows of dense features
+    rows = cut(labelled(docs, labels, label, most).select("doc_id", "text", F.col(label).alias("y"), F.pmod("h", F.lit(2)).alias("half"), F.pmod(F.shiftright("h", 1), F.lit(4)).alias("fold")))
+    halves = [rows.where(F.col("half") == k) for k in range(2)]
+    lexicons = [_lexicon(half, least_docs, most_terms) for half in halves]
+    measured = [score_features(half.select("doc_id", "text", "y", "fold"), other, keep=["y", "fold"]) for half, other in zip(halves, reversed(lexicons), strict=True)]
+    found = measured[0].union(measured[1]).orderBy("doc_id").collect()  # at most `most` rows of dense features
     x = np.array([r["features"] for r in found], float).reshape(-1, len(FEATURES))
     y = np.array([r["y"] for r in found], float)
-    fold = np.arange(len(y)) % 4
+    fold = np.array([r["fold"] for r in found], int)
     cross = np.zeros(len(y))
     for k in range(4):
         cross[fold == k] = Trees().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
-    return _lexicon(rows, least_docs, 300), Trees().fit(x, y), isotonic(cross, y)
+    return _lexicon(rows, least_docs, most_terms), Trees().fit(x, y), isotonic(cross, y)
 
 
 def score_features(docs: DataFrame, learned: dict[str, float], keep: list[str]) -> DataFrame:
@@ -233,7 +238,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     held_out rows (crc32 of the doc_id as text is divisible by 5; a null doc_id is held out) are never learned from.
     Null or empty texts get the score of a text without words. Without labels of both kinds the score is constant.
-    Rows that repeat are scored one by one; no rows in, no rows out.
+    Rows that repeat are scored one by one; whole texts count, however long; other columns of docs, whatever their
+    names, are not read; no rows in, no rows out.
     """
     scored = score(docs, fit(docs, labels, **options))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
