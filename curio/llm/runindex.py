@@ -176,8 +176,8 @@ def repeats(docs: DataFrame, width: int = 200, grams: tuple[int, ...] = (64, 132
         spans = some.union(equal) if spans is None else spans.union(some).union(equal)
     if windows is not None:
         often = windows.groupBy("h", "i").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        hit = windows.join(often, ["h", "i"]).select("doc_id", "rk", F.col("start").cast("long").alias("a"), (F.col("start") + width).cast("long").alias("b"))
-        spans = spans.union(hit)
+        hit = windows.where("flags = 0").join(often, ["h", "i"]).drop("c").unionByName(windows.where("flags > 0"), allowMissingColumns=True)  # some have equals in their own slice
+        spans = spans.union(hit.select("doc_id", "rk", F.col("start").cast("long").alias("a"), (F.col("start") + width).cast("long").alias("b")))
     return spans
 
 

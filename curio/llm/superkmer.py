@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curio.llm.common import column, keyed, slices, utf8
-from curio.llm.windows import FIRST, Kind, by_bucket, gathered, levels, order_of, ranges
+from curio.llm.windows import FIRST, SETTLED, Kind, by_bucket, gathered, levels, order_of, ranges
 
 
 def _units(text: bytes) -> tuple[list[bytes], np.ndarray]:
@@ -76,9 +76,11 @@ def repeats(docs: DataFrame, width: int = 20, grams: tuple[int, ...] = (8, 14))
         later = places.where(F.col("kind").bitwiseAND(F.lit(FIRST).cast("tinyint")) == 0).select("doc_id", "rk", *span(F.col("n")))
         spans = some.union(later) if spans is None else spans.union(some).union(later)
     if windows is not None:
-        first = windows.groupBy("h", "i").agg(F.min(F.struct("doc_id", "rk", "start")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        again = windows.join(first, ["h", "i"]).where("rk <> f.rk or start <> f.start or not doc_id <=> f.doc_id")
-        spans = spans.union(again.select("doc_id", "rk", *span(1)))
+        settled = F.col("flags").bitwiseAND(F.lit(SETTLED).cast("tinyint")) > 0  # what an earlier one in the same task settles
+        open_ = windows.where(~settled)
+        first = open_.groupBy("h", "i").agg(F.min(F.struct("doc_id", "rk", "start")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        again = open_.join(first, ["h", "i"]).where("rk <> f.rk or start <> f.start or not doc_id <=> f.doc_id")
+        spans = spans.union(again.select("doc_id", "rk", *span(1))).union(windows.where(settled).select("doc_id", "rk", *span(1)))
     return spans
 
 

@@ -168,28 +168,24 @@ class _Seen:
         place = np.lexsort((start, rk[which], order_of(ids)[which], sid, key))
         k, s = key[place], sid[place]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])
-        head = np.maximum.accumulate(np.where(new, np.arange(len(place)), 0))
-        size = np.diff(np.append(np.flatnonzero(new), len(place)))
+        heads = np.flatnonzero(new)
+        size = np.diff(np.append(heads, len(place)))
+        head = np.repeat(heads, size)
         same = (rk[which[place]] == rk[which[place[head]]]) & (start[place] == start[place[head]])
         flags = np.where(np.repeat(size, size) > 1, EQUALS, 0)
         flags[~same] |= SETTLED
         sent = new | ~same
-        names = ids.to_pylist() if len(self.first) or (size > 3).any() else []
-        for at in np.flatnonzero(new)[(size > 3)].tolist() if len(names) else ():
-            self.first.setdefault((int(k[at]), int(s[at])), (True,))
-        if self.first and len(names):
-            for at in np.flatnonzero(new).tolist():
-                held = self.first.get((int(k[at]), int(s[at])))
-                if held is None:
-                    continue
-                i = which[place[at]]
-                own = (names[i] is not None, 0 if names[i] is None else names[i], int(rk[i]), int(start[place[at]]))
-                if held == (True,):
-                    self.first[int(k[at]), int(s[at])] = own
-                elif held < own:
-                    flags[at : at + size[np.searchsorted(np.flatnonzero(new), at)]] |= SETTLED | EQUALS
-                elif own < held:
-                    self.first[int(k[at]), int(s[at])] = own
+        # Contents that a slice has often are remembered; whether others are is looked up by their keys first.
+        known = np.isin(k[heads], np.fromiter((x for x, _ in self.first), np.int64, len(self.first)))
+        for at, n, often in zip(heads[known | (size > 3)].tolist(), size[known | (size > 3)].tolist(), (size > 3)[known | (size > 3)].tolist(), strict=True):
+            what, i = (int(k[at]), int(s[at])), which[place[at]]
+            name = ids[int(i)].as_py()
+            own = (name is not None, 0 if name is None else name, int(rk[i]), int(start[place[at]]))
+            held = self.first.get(what)
+            if held is not None and held < own:
+                flags[at : at + n] |= SETTLED | EQUALS
+            elif held is not None or often:
+                self.first[what] = own
         if len(self.first) > REMEMBERED:
             self.first.clear()
         out, keep = np.zeros(len(place), np.int64), np.zeros(len(place), bool)
@@ -316,19 +312,23 @@ def _crowds(rows: DataFrame, kind: Kind, n: int) -> list[np.ndarray]:
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
-    """doc_id, rk, start and two hashes of each window of the runs."""
+    """doc_id, rk, start, two hashes and flags (EQUALS, SETTLED) of each window of the runs."""
+    seen = _Seen()
     for batch in slices(batches, at_most=1_000_000):
         hashes = [kind.units(t)[1] for t in utf8(batch)]
         lengths = np.array([len(h) for h in hashes], np.int64)
         begins = np.cumsum(lengths) - lengths
         every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        runs = [(i, p) for i, own in enumerate(column(batch, "runs").to_pylist()) for r in own for p in range(r["start"], r["start"] + r["n"])]
-        which, start = (np.array(v, np.int64) for v in (zip(*runs, strict=True) if runs else ((), ())))
+        runs = sorted({(i, p) for i, own in enumerate(column(batch, "runs").to_pylist()) for r in own for p in range(r["start"], r["start"] + r["n"])})
+        if not runs:
+            continue
+        which, start = np.array(runs, np.int64).T
         with np.errstate(over="ignore"):
-            both = [gram_hashes(every, kind.width, base)[begins[which] + start] if runs else np.zeros(0, np.uint64) for base in (BASE, OTHER_BASE)]
-        at = pa.array(which)
-        columns = [column(batch, "doc_id").take(at), column(batch, "rk").take(at), pa.array(start, pa.int32()), *[pa.array(h.view(np.int64)) for h in both]]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rk", "start", "h", "i"])
+            h, i = (gram_hashes(every, kind.width, base)[begins[which] + start].view(np.int64) for base in (BASE, OTHER_BASE))
+        flags, sent = seen.flags(h, i, which, start, column(batch, "doc_id"), column(batch, "rk").to_numpy())
+        at = pa.array(which[sent])
+        columns = [column(batch, "doc_id").take(at), column(batch, "rk").take(at), pa.array(start[sent], pa.int32()), pa.array(h[sent]), pa.array(i[sent]), pa.array(flags[sent], pa.int8())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rk", "start", "h", "i", "flags"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
@@ -361,7 +361,7 @@ class Level(NamedTuple):
 
 def levels(docs: DataFrame, kind: Kind) -> tuple[list[Level], DataFrame | None]:
     """The pieces of a corpus whose windows may occur more than once, for each gram in turn, and for what is a crowd
-    with all of them doc_id, rk, start, h, i (128 bits of hashes) of each window, or None.
+    with all of them doc_id, rk, start, h, i (128 bits of hashes), flags (as of pieces) of each window, or None.
 
     Two passes over the texts for each gram: one makes a narrow row for each piece and brings equal minimisers together;
     only where these repeat, the other packs strings, and of equal pieces only the first one (by doc_id, null first,
@@ -389,7 +389,7 @@ def levels(docs: DataFrame, kind: Kind) -> tuple[list[Level], DataFrame | None]:
         if crowd.isEmpty():
             return out, None
         texts = with_runs(crowd, "start", "n")
-    return out, cut_table(texts.mapInArrow(lambda b: _window_rows(b, kind), head + "h bigint, i bigint"))
+    return out, cut_table(texts.mapInArrow(lambda b: _window_rows(b, kind), head + "h bigint, i bigint, flags tinyint"))
 
 
 def gathered(spans: DataFrame, rows: DataFrame) -> DataFrame:
