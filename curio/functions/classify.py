@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +11,12 @@ from curio.functions.text import col, is_blank, once, truncate_chars
 KEYWORD = r"[A-Za-z][A-Za-z0-9_+\-.]{2,}|[\p{IsHan}]{2,8}"
 
 
-def _any(words: list[str]) -> str:
-    return "|".join(re.escape(w) for w in words)
+def _any(text: Column, words: list[str]) -> Column:
+    """Whether text has one of the words: plain searches one after another, which end at the first hit."""
+    out = text.contains(words[0])
+    for w in words[1:]:
+        out = out | text.contains(w)
+    return out
 
 
 def infer_category(text: Column | str, platform: Column | str) -> Column:
@@ -23,10 +25,10 @@ def infer_category(text: Column | str, platform: Column | str) -> Column:
     def rules(low: Column) -> Column:
         out = None
         for name, category in lists.STRICT_PLATFORMS.items():
-            hit = (platform == name) & ~low.rlike(_any(lists.TECHNICAL))
+            hit = (platform == name) & ~_any(low, lists.TECHNICAL)
             out = F.when(hit, F.lit(category)) if out is None else out.when(hit, F.lit(category))
         for category, words in lists.CATEGORIES:
-            out = out.when(low.rlike(_any(words)), F.lit(category))
+            out = out.when(_any(low, words), F.lit(category))
         for category, names in lists.PLATFORM_CATEGORIES:
             out = out.when(platform.isin(names), F.lit(category))
         return out.otherwise(F.lit(lists.OTHER_CATEGORY))
@@ -38,7 +40,7 @@ def infer_content_type(url: Column | str, text: Column | str) -> Column:
     def rules(low: Column) -> Column:
         out = None
         for i, (kind, parts) in enumerate(lists.CONTENT_TYPES):
-            hit = low.rlike(_any(parts))
+            hit = _any(low, parts)
             if i == len(lists.CONTENT_TYPES) - 1:
                 hit = hit | (F.char_length(col(text)) > lists.LONG_ARTICLE)
             out = F.when(hit, F.lit(kind)) if out is None else out.when(hit, F.lit(kind))
@@ -60,7 +62,7 @@ def fallback_summary(description: Column | str, content: Column | str, platform:
     return (
         F.when(~is_blank(description), truncate_chars(description, 160))
         .when(~is_blank(content), truncate_chars(content, 160))
-        .otherwise(F.concat(F.lit("来自 "), col(platform), F.lit(" 的链接，已保存原始地址。")))
+        .otherwise(F.concat(F.lit(lists.FALLBACK_SUMMARY[0]), col(platform), F.lit(lists.FALLBACK_SUMMARY[1])))
     )
 
 
@@ -116,17 +118,27 @@ def blocked_analysis() -> Column:
     )
 
 
+#: The types that a reply's fields must have, as the schema of a VARIANT names them; an array may be empty.
+REPLY_TYPES = {
+    "summary": ["STRING"], "category": ["STRING"], "keywords": ["ARRAY<STRING>", "ARRAY<VOID>"], "entities": ["ARRAY<STRING>", "ARRAY<VOID>"],
+    "sentiment": ["STRING"], "content_type": ["STRING"], "importance_score": ["BIGINT"], "notes": ["STRING"],
+}
 REPLY = "summary string, category string, keywords array<string>, entities array<string>, sentiment string, content_type string, importance_score int, notes string"
 
 
 def normalize_analysis(reply: Column | str) -> Column:
-    """A model's JSON reply as an analysis; null unless all eight fields are there with their types."""
+    """A model's JSON reply as an analysis; null unless it is an object with all eight fields, each of its type: nothing
+    is converted, so a number is no text, 50.5 no score, and an array with a null no list of words."""
+    # In brackets, so that text after the object makes the whole unreadable, or a second element.
+    typed = F.try_parse_json(F.concat(F.lit("["), col(reply), F.lit("]")))
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(typed, path, "variant"))
+    whole = kind("$[1]").isNull()
+    for field, kinds in REPLY_TYPES.items():
+        whole = whole & kind(f"$[0].{field}").isin(kinds)
     r = F.from_json(col(reply), REPLY)
-    whole = r.isNotNull()
-    for field in [x.split()[0] for x in REPLY.split(", ")]:
-        whole = whole & r[field].isNotNull()
+    whole = F.coalesce(whole & r["importance_score"].between(0, 255), F.lit(False))
     no_nulls = lambda words: ~F.exists(words, lambda w: w.isNull())
-    whole = whole & r["importance_score"].between(0, 255) & F.coalesce(no_nulls(r["keywords"]) & no_nulls(r["entities"]), F.lit(False))
+    whole = whole & F.coalesce(no_nulls(r["keywords"]) & no_nulls(r["entities"]), F.lit(False))
     filled = lambda c, text: F.when(is_blank(c), F.lit(text)).otherwise(c)
     present = lambda words: F.filter(words, lambda w: ~is_blank(w))
     return F.when(

@@ -121,3 +121,14 @@ DIGEST_EMPTY = "还没有可汇总的收藏，先从系统分享面板或手动
 HINT_FIRST = "添加第一个链接后，系统会自动生成主题和来源汇总。"
 HINT_OFFERS = "含优惠/券相关内容，建议在过期前集中检查。"
 HINT_BALANCED = "当前收藏分布较均衡，可以继续观察哪些主题反复出现。"
+
+# Parts of sentences around values, in the order in which they are put together.
+FOCUS_CATEGORIES, FOCUS_PLATFORMS, FOCUS_KEYWORDS, FOCUS_END = "近期收藏主要集中在 ", "，来源多来自 ", "，高频线索包括 ", "。"
+HINT_CATEGORY = ("为「", "」建立一个专题清单，方便后续集中复盘。")
+HINT_PLATFORM = ("最近来自「", "」的内容较多，可以定期清理低价值重复收藏。")
+FALLBACK_SUMMARY = ("来自 ", " 的链接，已保存原始地址。")
+PAGE_STATUS = ("页面返回 HTTP ", "; 已保存可见分享文本。")
+PAGE_FAILED = "请求页面失败: "
+NOTE_GONE_TEXT = "小红书返回了笔记不可浏览页面"
+NOTE_PLATFORM, NOTE_HOST = "小红书", "xiaohongshu.com"
+RENDERED_PLATFORMS = ["今日头条", "小红书"]

@@ -32,9 +32,9 @@ def reanalyze_items(items: DataFrame, replies: DataFrame, now: Column) -> DataFr
     kept = "source_url final_url source_app platform title description author content_text".split()
     rows = items.select("id", *kept, image.alias("image_url"), original.alias("original_text"), F.col("status").alias("_status"), F.col("created_at").alias("_created"))
     analysed = merge_model_replies(rows, replies)
-    built = build_items(analysed, now).drop("status", "created_at")
-    state = items.select(F.col("id").alias("_id"), "status", "created_at")
-    return built.join(state, F.col("id") == F.col("_id")).select(*ITEM_COLUMNS)
+    built = build_items(analysed, now, keep=["_status", "_created"])
+    state = {"status": F.col("_status"), "created_at": F.col("_created")}
+    return built.select(*[state.get(c, F.col(c)).alias(c) for c in ITEM_COLUMNS])
 
 
 def ingest_shares(shares: DataFrame, pages: DataFrame, now: Column, replies: DataFrame | None = None, rendered: DataFrame | None = None, payloads: DataFrame | None = None) -> DataFrame:

@@ -8,21 +8,34 @@ from pyspark.sql import functions as F
 
 from curio.functions import lists
 from curio.functions.text import clean_text, one_line, is_blank, trim, truncate_chars
+from curio.plans.scratch import cut
+from curio.sources.schemas import ITEM_COLUMNS
+from curio.sources.tables import WRITTEN
 
 TOP = 20
+#: The fields that a search looks in, in the order in which they are put together.
+SEARCHED = "title description summary category platform source_url final_url source_app author content_type notes keywords entities content_text".split()
 
 
 def haystack() -> Column:
     """What a search looks in: fourteen fields, one space between, lower case."""
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    words = lambda c: F.coalesce(F.array_join(c, " "), F.lit(""))
-    fields = [text(c) for c in "title description summary category platform source_url final_url source_app author content_type notes".split()]
-    return F.lower(F.concat_ws(" ", *fields, words("keywords"), words("entities"), text("content_text")))
+    value = lambda c: F.coalesce(F.array_join(c, " ") if c in ("keywords", "entities") else F.col(c), F.lit(""))
+    return F.lower(F.concat_ws(" ", *[value(c) for c in SEARCHED]))
 
 
 def search_items(items: DataFrame, query: str | None) -> DataFrame:
+    """items in whose fields, put together, the trimmed query stands, whatever the case. Only a query with a space can
+    run over a border of fields; any other is looked for field by field, the short ones first."""
     needle = (query or "").strip().lower()
-    return items.where(haystack().contains(F.lit(needle))) if needle else items
+    if not needle:
+        return items
+    if any(c.isspace() for c in needle):
+        return items.where(haystack().contains(F.lit(needle)))
+    hit = F.lit(False)
+    for c in SEARCHED:
+        value = F.array_join(c, " ") if c in ("keywords", "entities") else F.col(c)
+        hit = hit | F.coalesce(F.lower(value).contains(F.lit(needle)), F.lit(False))
+    return items.where(hit)
 
 
 def filter_items(items: DataFrame, query: str | None = None, category: str | None = None, platform: str | None = None, status: str | None = None) -> DataFrame:
@@ -124,9 +137,9 @@ def focus_summary() -> Column:
     platforms = some("platforms", 2, lambda b: b["label"])
     keywords = some("keywords", 4, lambda b: b["label"])
     parts = F.concat(
-        F.lit("近期收藏主要集中在 "), categories,
-        F.when(platforms != "", F.concat(F.lit("，来源多来自 "), platforms)).otherwise(F.lit("")),
-        F.when(keywords != "", F.concat(F.lit("，高频线索包括 "), keywords)).otherwise(F.lit("")), F.lit("。"),
+        F.lit(lists.FOCUS_CATEGORIES), categories,
+        F.when(platforms != "", F.concat(F.lit(lists.FOCUS_PLATFORMS), platforms)).otherwise(F.lit("")),
+        F.when(keywords != "", F.concat(F.lit(lists.FOCUS_KEYWORDS), keywords)).otherwise(F.lit("")), F.lit(lists.FOCUS_END),
     )
     return F.when(F.size("categories") == 0, F.lit(lists.DIGEST_EMPTY)).otherwise(parts)
 
@@ -138,8 +151,8 @@ def digest_suggestions(first_hint: str = lists.HINT_FIRST) -> Column:
     offers = F.exists("keywords", lambda b: b["label"].contains("优惠") | b["label"].contains("券"))
     hints = F.array_compact(
         F.array(
-            F.when(category["count"] >= 5, F.concat(F.lit("为「"), category["label"], F.lit("」建立一个专题清单，方便后续集中复盘。"))),
-            F.when(platform["count"] >= 4, F.concat(F.lit("最近来自「"), platform["label"], F.lit("」的内容较多，可以定期清理低价值重复收藏。"))),
+            F.when(category["count"] >= 5, F.concat(F.lit(lists.HINT_CATEGORY[0]), category["label"], F.lit(lists.HINT_CATEGORY[1]))),
+            F.when(platform["count"] >= 4, F.concat(F.lit(lists.HINT_PLATFORM[0]), platform["label"], F.lit(lists.HINT_PLATFORM[1]))),
             F.when(offers, F.lit(lists.HINT_OFFERS)),
         )
     )
@@ -150,8 +163,9 @@ def digest_suggestions(first_hint: str = lists.HINT_FIRST) -> Column:
 
 def collection_digest(items: DataFrame, generated_at: Column, first_hint: str = lists.HINT_FIRST) -> DataFrame:
     """One row: total, generated_at, focus_summary, category_summaries, recent_items, suggestions of the active items."""
-    active = active_items(items)
-    newest = recent_items(items).select(F.struct((-F.unix_micros("created_at")).alias("order"), "title", "id", "platform", "category", "summary", "created_at").alias("r"))
+    # The few columns that count are worked out once, for three uses.
+    active = cut(active_items(items).select("id", "title", "platform", "category", "keywords", "summary", "created_at"))
+    newest = project_digest_item(sort_items(active).limit(8)).select(F.struct((-F.unix_micros("created_at")).alias("order"), "title", "id", "platform", "category", "summary", "created_at").alias("r"))
     fields = "id title platform category summary created_at".split()
     recent = newest.agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias("recent_items"))
     row = collection_stats(active).join(recent)
@@ -192,10 +206,26 @@ def export_markdown(items: DataFrame) -> DataFrame:
 
 
 def export_json(items: DataFrame, generated_at: Column) -> DataFrame:
-    """One row: the envelope without its items, which are written as sorted JSON lines."""
+    """(part, place, line): the lines of one JSON document, in the order of part and place: the envelope with its digest
+    (part 0), an item on each line in store order (part 1), the end (part 2). Lines stay rows: a collection can be
+    large. Only the first item's order, one row, is looked up besides, for the commas."""
     count = items.agg(F.count(F.lit(1)).alias("item_count"))
     digest = collection_digest(items, generated_at)
-    return digest.select(F.struct(*digest.columns).alias("digest")).join(count).select(F.lit(1).cast("smallint").alias("schema_version"), F.col("digest.generated_at"), "item_count", "digest")
+    envelope = digest.select(F.struct(*digest.columns).alias("digest")).join(count)
+    fields = F.struct(F.lit(1).alias("schema_version"), F.col("digest.generated_at").alias("generated_at"), "item_count", "digest")
+    nothing = F.lit(None).cast("struct<micros:bigint,title:string,id:string>")
+    head = envelope.select(F.lit(0).alias("part"), nothing.alias("place"), F.concat(F.regexp_replace(F.to_json(fields, WRITTEN), r"\}$", ""), F.lit(',"items":[')).alias("line"))
+    place = F.struct((-F.unix_micros("created_at")).alias("micros"), "title", "id")
+    lines = items.select(F.lit(1).alias("part"), place.alias("place"), F.to_json(F.struct(*ITEM_COLUMNS), WRITTEN).alias("line"))
+    first = items.agg(F.min(place).alias("_first"))
+    lines = lines.join(F.broadcast(first)).select("part", "place", F.when(F.col("place") == F.col("_first"), F.col("line")).otherwise(F.concat(F.lit(","), "line")).alias("line"))
+    end = count.select(F.lit(2).alias("part"), nothing.alias("place"), F.lit("]}").alias("line"))
+    return head.union(lines).union(end)
+
+
+def write_export_json(items: DataFrame, path: str, generated_at: Column) -> None:
+    """export_json() as text files: in the order of their names they are one JSON document."""
+    export_json(items, generated_at).orderBy("part", "place").select("line").write.mode("overwrite").text(path)
 
 
 def validate_import(items: DataFrame) -> DataFrame:

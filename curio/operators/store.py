@@ -48,21 +48,23 @@ def _tangled_labels(rows: DataFrame) -> DataFrame:
 
 def _fold(group: pd.DataFrame, policy: str) -> pd.DataFrame:
     """The rows of one tangled component, one after another, as a store would take them."""
-    held: list[dict] = []
+    ids: dict[str, dict] = {}
+    urls: dict[str, dict] = {}
     lost: list[dict] = []
     for row in group.sort_values("seq", kind="stable").to_dict("records"):
-        by_id = next((h for h in held if h["id"] == row["id"]), None)
-        by_url = next((h for h in held if h["final_url"] == row["final_url"]), None)
+        by_id, by_url = ids.get(row["id"]), urls.get(row["final_url"])
         if by_id is not None and by_url is not None and by_url is not by_id:
             lost.append({**row, "_kind": "conflict"})
         elif by_id is not None:
             at = by_id["created_at"] if policy == "existing" else row["created_at"]
+            del urls[by_id["final_url"]]
             by_id.update({**row, "created_at": at})
+            urls[row["final_url"]] = by_id
         elif by_url is not None:
             by_url.update({**row, "id": by_url["id"], "created_at": by_url["created_at"]})
         else:
-            held.append({**row, "_kind": "old" if row["seq"] < 0 else "new"})
-    out = pd.DataFrame([*held, *lost], columns=[*ITEM_COLUMNS, "_kind", "_rows"])
+            ids[row["id"]] = urls[row["final_url"]] = {**row, "_kind": "old" if row["seq"] < 0 else "new"}
+    out = pd.DataFrame([*ids.values(), *lost], columns=[*ITEM_COLUMNS, "_kind", "_rows"])
     out["_rows"] = 0
     if len(out):
         out.loc[0, "_rows"] = int((group["seq"] >= 0).sum()) - len(lost)
@@ -70,7 +72,14 @@ def _fold(group: pd.DataFrame, policy: str) -> pd.DataFrame:
 
 
 def upsert_items(existing: DataFrame, incoming: DataFrame, created_at_policy: str = "existing") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(store, conflicts, report) after taking in a batch with seq, one row after another.
+    """(store, conflicts, report) after taking in a batch, see upsert_changes()."""
+    untouched, changed, conflicts, report = upsert_changes(existing, incoming, created_at_policy)
+    return untouched.unionByName(changed), conflicts, report
+
+
+def upsert_changes(existing: DataFrame, incoming: DataFrame, created_at_policy: str = "existing") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(items that stay as they are, items that are new or touched, conflicts, report) after taking in a batch with seq,
+    one row after another. An item's id never changes, so a store may take the touched items as newer rows of their ids.
 
     A row matches an item by id, else by final_url, else it is new; rows of the batch see what earlier ones did.
     Matched by URL, the item keeps id and created_at and takes all else. Matched by id, all is replaced, but created_at
@@ -115,25 +124,25 @@ def upsert_items(existing: DataFrame, incoming: DataFrame, created_at_policy: st
     knotted = rows.join(tangled, ["id", "final_url"])
     folded = knotted.groupBy("component").applyInPandas(lambda g: _fold(g, created_at_policy), schema)
     done = cut(solved.unionByName(folded))
-    store = untouched.unionByName(done.where("_kind <> 'conflict'").select(*ITEM_COLUMNS))
+    changed = done.where("_kind <> 'conflict'").select(*ITEM_COLUMNS)
     conflicts = done.where("_kind = 'conflict'").select(*ITEM_COLUMNS)
     report = done.agg(
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("imported"), F.count(F.when(F.col("_kind") == "new", 1)).alias("created"), F.count(F.when(F.col("_kind") != "conflict", 1)).alias("_kept")
     )
     rest = untouched.agg(F.count(F.lit(1)).alias("_untouched"))
     report = report.join(rest).select("imported", "created", (F.col("imported") - F.col("created")).alias("merged"), (F.col("_kept") + F.col("_untouched")).alias("total"))
-    return store, conflicts, report
+    return untouched, changed, conflicts, report
 
 
 def import_items(existing: DataFrame, incoming: DataFrame, created_at_policy: str = "existing") -> tuple[DataFrame, DataFrame, DataFrame]:
     """As upsert_items(), of a backup's rows; fails like the source format's reader on a row that validation rejects."""
     from curio.operators.query import validate_import
 
-    checked = validate_import(incoming)
+    checked = cut(validate_import(incoming))
     bad = checked.where("reason is not null").select("reason").first()
     if bad:
         raise ValueError(bad["reason"])
-    return upsert_items(existing, incoming, created_at_policy)
+    return upsert_items(existing, checked, created_at_policy)
 
 
 def rebuild_store(untouched_from: DataFrame, changed: DataFrame) -> DataFrame:

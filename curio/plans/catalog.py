@@ -16,9 +16,9 @@ from curio.operators import pages as P
 from curio.operators import query as Q
 from curio.operators import store as S
 from curio.plans import demo as D
-from curio.plans.scratch import cut, new_path
+from curio.plans.scratch import new_path, numbered
 from curio.sources import tables as R
-from curio.sources.schemas import ITEM_COLUMNS, REPLY_SCHEMA
+from curio.sources.schemas import ITEM_COLUMNS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,12 +76,13 @@ def read_items_json(spark, sf):
     return flat(R.read_items_json(spark, path, multi_line=False), *ITEM_FLAT_COLUMNS)
 
 
-@query(WITH_ITEMS + "SELECT count(*) AS n, sum(length(content_text))::BIGINT AS chars, count(source_app) AS apps FROM items")
+@query(WITH_ITEMS + "SELECT id, content_text, original_text, summary, array_to_string(entities, '|') AS entities, sentiment, content_type, epoch(cover_checked_at)::BIGINT AS cover_checked_at, epoch(updated_at)::BIGINT AS updated_at FROM items")
 def write_items_json(spark, sf):
+    """The fields that read_items_json() does not show, read back from the file."""
     path = new_path(spark, "items")
     R.write_items_json(D.items(spark, sf), path)
     back = R.read_items_json(spark, path, multi_line=False)
-    return back.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content_text")).alias("chars"), F.count("source_app").alias("apps"))
+    return flat(back, *"id content_text original_text summary entities sentiment content_type cover_checked_at updated_at".split())
 
 
 @query(WITH_ITEMS + "SELECT id, final_url, status, epoch(created_at)::BIGINT AS created_at, title AS item_title, source_app AS item_app, keywords[1] AS item_keyword FROM items")
@@ -96,19 +97,27 @@ def unpack_items(spark, sf):
     return flat(R.unpack_items(R.pack_items(D.items(spark, sf))), *ITEM_FLAT_COLUMNS)
 
 
-@query(WITH_ITEMS + "SELECT 1::SMALLINT AS schema_version, id, title, epoch(created_at)::BIGINT AS created_at FROM items")
+@query(WITH_ITEMS + "SELECT 1::SMALLINT AS schema_version, (row_number() OVER (PARTITION BY CAST(replace(id, 'doc-', '') AS BIGINT) // 500 ORDER BY id) - 1)::INTEGER AS seq, id, title, epoch(created_at)::BIGINT AS created_at FROM items")
 def read_backup_json(spark, sf):
     path = new_path(spark, "backup")
-    # One envelope for each source, as a backup of part of the collection.
-    rows = D.items(spark, sf).withColumn("part", F.pmod(F.hash("id"), F.lit(64)))
-    parts = rows.groupBy("part").agg(F.collect_list(F.struct(*ITEM_COLUMNS)).alias("items"))
+    # An envelope holds at most 500 items, as a backup of part of the collection: their number grows with it.
+    rows = D.items(spark, sf).withColumn("part", F.floor(_number() / 500))
+    parts = rows.groupBy("part").agg(F.array_sort(F.collect_list(F.struct(*ITEM_COLUMNS))).alias("items"))
     parts.select(F.lit(1).cast("smallint").alias("schema_version"), "items").write.options(**R.WRITTEN).option("maxRecordsPerFile", 1).json(path)
-    return flat(R.read_backup_json(spark, path), "schema_version", "id", "title", "created_at")
+    return flat(R.read_backup_json(spark, path), "schema_version", "seq", "id", "title", "created_at")
 
 
-@query(WITH_ITEMS + "SELECT 1::SMALLINT AS schema_version, (SELECT count(*) FROM items) AS item_count, (SELECT count(*) FROM items WHERE status <> 'archived') AS total")
+@query(WITH_ITEMS + f"SELECT 1 AS schema_version, (SELECT count(*) FROM items) AS item_count, (SELECT count(*) FROM items WHERE status <> 'archived') AS total, {ITEM_FLAT} FROM items")
 def export_json(spark, sf):
-    return Q.export_json(D.items(spark, sf), now()).select("schema_version", "item_count", F.col("digest.total").alias("total"))
+    """The document written, its lines read back: every item with what the envelope says."""
+    path = new_path(spark, "export")
+    Q.write_export_json(D.items(spark, sf), path, now())
+    lines = spark.read.text(path)
+    head = lines.where("value like '{\"schema_version\"%'").select(F.concat("value", F.lit("]}")).alias("h"))
+    field = lambda name: F.get_json_object("h", f"$.{name}")
+    head = head.select(field("schema_version").cast("int").alias("schema_version"), field("item_count").cast("long").alias("item_count"), field("digest.total").cast("long").alias("total"))
+    items = lines.where("value not like '{\"schema_version\"%' and value <> ']}'").select(F.from_json(F.ltrim("value", F.lit(",")), D.ITEM_SCHEMA, R.JSON).alias("i")).select("i.*")
+    return flat(items.select(*ITEM_FLAT_COLUMNS).join(F.broadcast(head)), "schema_version", "item_count", "total", *ITEM_FLAT_COLUMNS)  # head: one row
 
 
 BLOCK_SQL = f"""'### ' || {D.one_line_sql('title')} || chr(10) || chr(10) || '- Platform: ' || {D.one_line_sql('platform')} || chr(10) || '- Category: ' || {D.one_line_sql('category')} || chr(10)
@@ -136,11 +145,11 @@ def _shares(spark, sf):
     return joined.select(F.lit(None).cast("string").alias("url"), text.alias("shared_text"), F.lit("app").alias("source_app"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT conv_id) AS conversations FROM conversations WHERE role = 'user'")
+@query("SELECT NULL::VARCHAR AS url, coalesce(text, '') || CASE WHEN p.page_id IS NULL THEN '' ELSE ' 见 ' || p.url || '。' END AS shared_text, (conv_id * 1000 + turn)::VARCHAR AS source_app FROM conversations c LEFT JOIN pages p ON p.page_id = c.conv_id WHERE role = 'user'")
 def read_shares(spark, sf):
     path = new_path(spark, "shares")
-    _shares(spark, sf).withColumn("source_app", (F.col("seq") / 1000).cast("long").cast("string")).select("url", "shared_text", "source_app").write.json(path)
-    return R.read_shares(spark, path).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_app").alias("conversations"))
+    _shares(spark, sf).withColumn("source_app", F.col("seq").cast("string")).select("url", "shared_text", "source_app").write.json(path)
+    return R.read_shares(spark, path)
 
 
 @query("SELECT url AS source_url, url AS final_url, 200 AS http_status, length(html)::BIGINT AS body_chars FROM pages")
@@ -158,11 +167,14 @@ def _rendered(spark, sf):
     )
 
 
-@query("SELECT url AS source_url, 'Rendered ' || page_id AS title FROM pages WHERE page_id % 7 > 0")
+RENDERED_SQL = f"SELECT page_id, url AS source_url, url || '#done' AS final_url, 'Rendered ' || page_id AS title, ({D.clean_sql(D.untagged_sql('html'))})[1:14000] AS content_text FROM pages WHERE page_id % 7 > 0"
+
+
+@query(f"SELECT true AS ok, source_url, final_url, title, '' AS description, NULL::VARCHAR AS author, content_text, 'dom' AS extractor FROM ({RENDERED_SQL})")
 def read_rendered(spark, sf):
     path = new_path(spark, "rendered")
     _rendered(spark, sf).write.json(path)
-    return R.read_rendered(spark, path).select("source_url", "title")
+    return R.read_rendered(spark, path).select("ok", "source_url", "final_url", "title", "description", "author", "content_text", "extractor")
 
 
 def _payloads(spark, sf):
@@ -174,29 +186,44 @@ def _payloads(spark, sf):
     return docs.select(F.when(zhihu, "知乎").otherwise("微博").alias("platform"), (F.col("doc_id") + 10_000_000_000).cast("string").alias("post_id"), F.when(zhihu, answer).otherwise(status).alias("payload"))
 
 
-@query("SELECT CASE WHEN doc_id % 2 = 0 THEN '知乎' ELSE '微博' END AS platform, (doc_id + 10000000000)::VARCHAR AS post_id FROM documents")
+@query("SELECT CASE WHEN doc_id % 2 = 0 THEN '知乎' ELSE '微博' END AS platform, (doc_id + 10000000000)::VARCHAR AS post_id, text, source AS author FROM documents")
 def read_api_payloads(spark, sf):
     path = new_path(spark, "payloads")
     _payloads(spark, sf).write.json(path)
-    return R.read_api_payloads(spark, path).select("platform", "post_id")
+    field = lambda *paths: F.coalesce(*[F.get_json_object("payload", x) for x in paths])
+    return R.read_api_payloads(spark, path).select("platform", "post_id", field("$.content", "$.text_raw").alias("text"), field("$.author.name", "$.user.screen_name").alias("author"))
+
 
+API_SQL = f"""api AS MATERIALIZED (SELECT doc_id, platform, (doc_id + 10000000000)::VARCHAR AS post_id, CASE WHEN platform = '知乎' THEN 'Question ' || doc_id ELSE {D.cut_sql('said', 80)} END AS title, author,
+  CASE WHEN platform = '知乎' THEN {D.cut_sql('(' + D.clean_sql(D.untagged_sql('said')) + ')', 1200)} ELSE said END AS description, CASE WHEN platform = '知乎' THEN {D.cut_sql('(' + D.formatted_sql('whole') + ')', 12000)} ELSE whole END AS original_text
+  FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '知乎' ELSE '微博' END AS platform, nullif({D.clean_sql('source')}, '') AS author, nullif({D.clean_sql('text')}, '') AS said, nullif({D.original_sql('text')}, '') AS whole FROM documents))"""
 
-@query(f"SELECT CASE WHEN doc_id % 2 = 0 THEN '知乎' ELSE '微博' END AS platform, (doc_id + 10000000000)::VARCHAR AS post_id, source AS author, {D.clean_sql('text')} AS clean FROM documents WHERE {D.clean_sql('text')} <> '' AND doc_id % 2 = 1")
+
+@query(f"WITH {API_SQL} SELECT platform, post_id, title, author, description, original_text FROM api WHERE title IS NOT NULL OR description IS NOT NULL OR original_text IS NOT NULL")
 def api_metadata(spark, sf):
-    parsed = _payloads(spark, sf).select("platform", "post_id", P.api_parse("platform", "payload").alias("m"))
-    return parsed.where("platform = '微博' and m.description is not null").select("platform", "post_id", F.col("m.author").alias("author"), F.col("m.description").alias("clean"))
+    parsed = _payloads(spark, sf).select("platform", "post_id", P.api_parse("platform", "payload").alias("m")).where(P.says_something("m"))
+    return parsed.select("platform", "post_id", "m.title", "m.author", "m.description", "m.original_text")
+
+
+def _number(c: str = "id"):
+    """An item's number."""
+    return F.substring_index(c, "-", -1).cast("long")
 
 
 def _replies(spark, sf):
-    """A model's reply for two of three documents: well formed, or with a field missing."""
+    """A model's reply for two of three documents: well formed, or with a field missing or of another type."""
     n = F.col("doc_id")
-    good = F.struct(F.concat(F.lit("summary "), n).alias("summary"), F.lit(" ").alias("category"), F.array(F.col("source"), F.lit(" ")).alias("keywords"), F.array("lang").alias("entities"), F.lit("positive").alias("sentiment"), F.lit("article").alias("content_type"), (n % 256).alias("importance_score"), F.lit("").alias("notes"))
-    bad = F.struct(F.lit("no more").alias("summary"))
-    outer = lambda inner: F.to_json(F.struct(F.array(F.struct(F.struct(F.to_json(inner).alias("content")).alias("message"))).alias("choices")))
-    return D.table(spark, sf, "documents").where(n % 3 > 0).select(F.concat(F.lit("doc-"), n.cast("string")).alias("item_key"), F.when(n % 3 == 1, outer(good)).otherwise(outer(bad)).alias("reply"))
+    good = F.to_json(F.struct(F.concat(F.lit("summary "), n).alias("summary"), F.lit(" ").alias("category"), F.array(F.col("source"), F.lit(" ")).alias("keywords"), F.array("lang").alias("entities"), F.lit("positive").alias("sentiment"), F.lit("article").alias("content_type"), (n % 256).alias("importance_score"), F.lit("").alias("notes")))
+    wrong = [
+        F.to_json(F.struct(F.lit("no more").alias("summary"))), F.regexp_replace(good, '"summary":"[^"]*"', '"summary":5'), F.replace(good, F.lit('"keywords":['), F.lit('"keywords":[1,')), F.replace(good, F.lit('"positive"'), F.lit("true")),
+        F.regexp_replace(good, '"importance_score":[0-9]+', '"importance_score":50.5'), F.regexp_replace(good, '"importance_score":[0-9]+', '"importance_score":300'), F.regexp_replace(good, '"importance_score":([0-9]+)', '"importance_score":"$1"'), F.concat(good, F.lit(" and so on")),
+    ]
+    content = F.when(n % 3 == 1, good).otherwise(F.element_at(F.array(*wrong), (F.floor(n / 3) % len(wrong) + 1).cast("int")))
+    reply = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")))
+    return D.table(spark, sf, "documents").where(n % 3 > 0).select(F.concat(F.lit("doc-"), n.cast("string")).alias("item_key"), reply.alias("reply"))
 
 
-@query("SELECT 'doc-' || doc_id AS item_key, CASE WHEN doc_id % 3 = 1 THEN 'summary ' || doc_id ELSE 'no more' END AS summary FROM documents WHERE doc_id % 3 > 0")
+@query("SELECT 'doc-' || doc_id AS item_key, CASE WHEN doc_id % 3 = 1 THEN 'summary ' || doc_id WHEN doc_id // 3 % 8 = 0 THEN 'no more' WHEN doc_id // 3 % 8 = 1 THEN '5' ELSE 'summary ' || doc_id END AS summary FROM documents WHERE doc_id % 3 > 0")
 def read_model_replies(spark, sf):
     path = new_path(spark, "replies")
     _replies(spark, sf).write.json(path)
@@ -204,10 +231,11 @@ def read_model_replies(spark, sf):
     return R.read_model_replies(spark, path).select("item_key", F.get_json_object(content, "$.summary").alias("summary"))
 
 
-@query("SELECT 'doc-' || doc_id AS item_key, 'summary ' || doc_id AS summary, '未分类' AS category, source AS keywords, least(doc_id % 256, 100)::SMALLINT AS importance_score FROM documents WHERE doc_id % 3 = 1 AND source IS NOT NULL AND lang IS NOT NULL")
+@query("SELECT 'doc-' || doc_id AS item_key, 'summary ' || doc_id AS summary, '未分类' AS category, source AS keywords, lang AS entities, 'positive' AS sentiment, 'article' AS content_type, least(doc_id % 256, 100)::SMALLINT AS importance_score, '' AS notes FROM documents WHERE doc_id % 3 = 1 AND source IS NOT NULL AND lang IS NOT NULL")
 def normalize_analysis(spark, sf):
+    """Replies of a wrong type give nothing."""
     analysed = _replies(spark, sf).select("item_key", C.normalize_analysis(F.get_json_object("reply", "$.choices[0].message.content")).alias("a")).where("a is not null")
-    return analysed.select("item_key", "a.summary", "a.category", F.array_join("a.keywords", "|").alias("keywords"), "a.importance_score")
+    return flat(analysed.select("item_key", "a.*"))
 
 
 # Filters
@@ -240,7 +268,7 @@ def get_items(spark, sf):
 
 
 def _faulty(items):
-    n = F.substring_index("id", "-", -1).cast("long")
+    n = _number()
     return items.withColumns({"title": F.when(n % 11 == 0, F.lit(" 　")).otherwise(F.col("title")), "status": F.when(n % 13 == 0, F.lit("gone")).otherwise(F.col("status")), "final_url": F.when(n % 17 == 0, F.lit("")).otherwise(F.col("final_url"))})
 
 
@@ -270,15 +298,18 @@ def needs_render(spark, sf):
     return D.items(spark, sf).select("id", P.needs_render().alias("needed"))
 
 
-@query("SELECT conv_id * 1000 + turn AS seq, CASE WHEN p.page_id IS NULL THEN 'no URL' END AS reject FROM conversations c LEFT JOIN pages p ON p.page_id = c.conv_id WHERE role = 'user'")
+@query("SELECT conv_id * 1000 + turn AS seq, coalesce(p.url || CASE WHEN p.url LIKE 'http://www.%' THEN '|https://' || p.url[8:] ELSE '' END, '') AS urls, CASE WHEN p.page_id IS NULL THEN 'no URL' END AS reject FROM conversations c LEFT JOIN pages p ON p.page_id = c.conv_id WHERE role = 'user'")
 def resolve_requests(spark, sf):
-    return U.resolve_requests(_shares(spark, sf)).select("seq", "reject")
+    return flat(U.resolve_requests(_shares(spark, sf)), "seq", "urls", "reject")
 
 
-@query("SELECT conv_id * 1000 + turn AS seq, CASE WHEN p.page_id IS NULL THEN '' ELSE p.url END AS first_url FROM conversations c LEFT JOIN pages p ON p.page_id = c.conv_id WHERE role = 'user'")
+@query("SELECT conv_id * 1000 + turn AS seq, CASE WHEN p.page_id IS NULL THEN '' ELSE p.url || CASE WHEN p.url LIKE 'http://www.%' THEN '|https://' || p.url[8:] ELSE '' END || '|https://www.' || conv_id || '.org/a|https://m.weibo.cn/' || conv_id END AS urls FROM conversations c LEFT JOIN pages p ON p.page_id = c.conv_id WHERE role = 'user'")
 def extract_urls(spark, sf):
-    found = _shares(spark, sf).select("seq", U.extract_urls("shared_text").alias("urls"))
-    return found.select("seq", F.coalesce(F.try_element_at("urls", F.lit(1)), F.lit("")).alias("first_url"))
+    """All URLs of whole texts: full ones, one that begins with www., one of a known host; a repeat counts once."""
+    n = F.floor(F.col("seq") / 1000).cast("string")
+    more = F.concat(F.lit("（www."), n, F.lit(".org/a），m.weibo.cn/"), n, F.lit("; m.weibo.cn/"), n, F.lit(" unknown.example/x"))
+    text = F.concat("shared_text", F.when(F.col("shared_text").contains("见 http"), more).otherwise(F.lit("")))
+    return flat(_shares(spark, sf).select("seq", U.extract_urls(text).alias("urls")))
 
 
 @query(WITH_ITEMS + f"SELECT {DIGEST_ITEM_SQL} FROM items")
@@ -368,29 +399,33 @@ def merge_pages(spark, sf):
 
 @query()
 def page_metadata(spark, sf):
-    parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse("html", U.platform_for_url("url"), U.xhs_note_id("url")).alias("f"))
+    parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse("html", U.platform_for_url("url"), P.may_be_note(U.platform_for_url("url"), "url"), U.xhs_note_id("url")).alias("f"))
     return parsed.select("page_id", "f.page.title", "f.page.description", "f.page.author", "f.page.image_url", F.length("f.page.content_text").alias("visible"), F.length("f.page.original_text").alias("formatted"))
 
 
 @query()
 def visible_text(spark, sf):
-    parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse("html", F.lit(""), F.lit("")).alias("f"))
+    parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse("html", F.lit(""), F.lit(False), F.lit("")).alias("f"))
     return parsed.select("page_id", F.col("f.page.content_text").alias("content_text"), F.col("f.page.original_text").alias("original_text"))
 
 
-@query()
+PREVIEW_SQL = D.clean_sql(D.untagged_sql("html"))
+
+
+@query(f"SELECT page_id, 'Video ' || page_id AS title, {D.clean_sql(D.untagged_sql('said'))} AS description, 'up' AS author, 'https://i.example.org/p' AS image_url, coalesce(nullif({D.formatted_sql('whole')}, ''), nullif({D.original_sql(D.clean_sql(D.untagged_sql('said')))}, '')) AS original_text FROM (SELECT page_id, nullif({D.clean_sql('x')}, '') AS said, nullif({D.original_sql('x')}, '') AS whole FROM (SELECT page_id, {PREVIEW_SQL} AS x FROM pages))")
 def state_metadata(spark, sf):
     """Landed pages wrapped as page state of a video platform."""
-    state = F.concat(F.lit("<script>window.__INITIAL_STATE__="), F.to_json(F.struct(F.struct(F.col("url").alias("title"), T.plain_text_preview("html").alias("desc")).alias("videoData"))), F.lit(";</script>"))
-    parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse(state, F.lit("哔哩哔哩"), F.lit("")).alias("f"))
-    return parsed.select("page_id", "f.state.title", "f.state.description", "f.state.original_text")
+    video = F.struct(F.concat(F.lit("Video "), "page_id").alias("title"), T.plain_text_preview("html").alias("desc"), F.struct(F.lit("up").alias("name")).alias("owner"), F.lit("//i.example.org/p").alias("pic"))
+    state = F.concat(F.lit("<script>window.__INITIAL_STATE__="), F.to_json(F.struct(video.alias("videoData"))), F.lit(";</script>"))
+    parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse(state, F.lit("哔哩哔哩"), F.lit(False), F.lit("")).alias("f"))
+    return parsed.select("page_id", "f.state.*")
 
 
-@query()
+@query(f"SELECT page_id, url AS title, nullif({D.clean_sql('x')}, '') AS description, 'someone' AS author FROM (SELECT page_id, url, {PREVIEW_SQL} AS x FROM pages)")
 def xhs_metadata(spark, sf):
     """Landed pages wrapped as a note's page state."""
     state = F.concat(F.lit("<script>window.__S={\"noteDetailMap\":"), F.to_json(F.struct(F.col("url").alias("title"), T.plain_text_preview("html").alias("desc"), F.lit("someone").alias("nickname"))), F.lit("}</script>"))
-    parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse(state, F.lit("小红书"), F.lit("")).alias("f"))
+    parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse(state, F.lit(lists.NOTE_PLATFORM), F.lit(True), F.lit("")).alias("f"))
     return parsed.select("page_id", "f.note.title", "f.note.description", "f.note.author")
 
 
@@ -412,43 +447,52 @@ def merge_platform_metadata(spark, sf):
     return merged.select("id", "description", F.substring("original_text", 1, 1_000_000_000).alias("content_text"))
 
 
-@query("WITH seeds AS (SELECT DISTINCT url, CASE WHEN max(page_id % 7) OVER (PARTITION BY url) > 0 THEN 1 ELSE 0 END AS ok FROM pages) SELECT url AS source_url FROM seeds")
+@query(f"""WITH r AS (SELECT source_url, any_value(final_url) AS final_url, arg_min(title, title) AS title, arg_min({D.original_sql('content_text')}, title) AS whole FROM ({RENDERED_SQL}) GROUP BY source_url),
+seeds AS (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url), wide AS (SELECT s.url, r.*, '看看这个 ' || s.page_id AS said, nullif(whole, '') AS w FROM seeds s LEFT JOIN r ON r.source_url = s.url)
+SELECT url AS source_url, coalesce(final_url, url) AS final_url, {D.platform_sql('url')} AS platform, coalesce(title, '{lists.BLOCKED_TITLE}') AS title, said AS description, NULL::VARCHAR AS author, NULL::VARCHAR AS image_url,
+  CASE WHEN length({D.clean_sql('w')}) >= length(said) THEN {D.clean_sql('w')} ELSE said END AS content_text, CASE WHEN length({D.clean_sql('w')}) >= length(said) THEN w ELSE said END AS original_text FROM wide""")
 def merge_rendered(spark, sf):
-    seeds = _page_metadata(spark, sf).withColumns({"title": F.lit(lists.BLOCKED_TITLE)})
-    return P.merge_rendered(seeds, _rendered(spark, sf)).select("source_url")
+    """Blocked pages, of which most have a rendering."""
+    pages = D.table(spark, sf, "pages").groupBy("url").agg(F.min("page_id").alias("page_id"))
+    seeds = P.seed_metadata(pages.select(F.col("url").alias("source_url"), F.concat(F.lit("看看这个 "), "page_id").alias("shared_text"))).withColumn("title", F.lit(lists.BLOCKED_TITLE))
+    return P.merge_rendered(seeds, _rendered(spark, sf)).drop("shared_text")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Question ' || doc_id ELSE title END AS title, source AS author FROM (SELECT *, " + D.cut_sql(D.clean_sql("text"), 80) + " AS title FROM documents) WHERE " + D.clean_sql("text") + " <> ''")
+@query(f"WITH {API_SQL} SELECT doc_id, title, author, description, {D.clean_sql('title || chr(10) || chr(10) || description')} AS content_text, {D.original_sql('original_text')} AS original_text FROM api WHERE doc_id IN (SELECT doc_id FROM documents WHERE {D.clean_sql('text')} <> '') AND description <> '' AND original_text <> ''")
 def merge_api_payloads(spark, sf):
     docs = D.table(spark, sf, "documents").where(T.clean_text("text") != "")
     url = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://www.zhihu.com/question/1/answer/"), (F.col("doc_id") + 10_000_000_000).cast("string"))).otherwise(F.concat(F.lit("https://weibo.com/1/"), (F.col("doc_id") + 10_000_000_000).cast("string")))
     seeds = P.seed_metadata(docs.select("doc_id", url.alias("source_url"), F.lit(None).cast("string").alias("shared_text")))
-    return P.merge_api_payloads(seeds, _payloads(spark, sf)).select("doc_id", "title", "author")
+    merged = P.merge_api_payloads(seeds, _payloads(spark, sf)).select("doc_id", "title", "author", "description", "content_text", "original_text")
+    return merged.where("description <> '' and original_text <> ''")
 
 
-@query(WITH_ITEMS + "SELECT id, CASE WHEN CAST(replace(id, 'doc-', '') AS BIGINT) % 3 = 1 THEN 'summary ' || replace(id, 'doc-', '') ELSE CASE WHEN trim(description) <> '' THEN CASE WHEN length(description) > 160 THEN description[1:160] || '...' ELSE description END ELSE '来自 ' || platform || ' 的链接，已保存原始地址。' END END AS summary FROM items")
-def merge_model_replies(spark, sf):
-    items = D.items(spark, sf)
-    rows = items.withColumn("final_url", F.col("id"))
-    analysed = C.merge_model_replies(rows.drop("summary", "category", "keywords", "entities", "sentiment", "content_type", "importance_score", "notes"), _replies(spark, sf))
-    return analysed.select("id", "analysis.summary")
+def _page_images(spark, sf):
+    """Images of the items' pages: of the final page where a landed page has the item's number, of every other source
+    page besides."""
+    items = D.items(spark, sf).select("source_url", "final_url", _number().alias("n"))
+    pages = D.table(spark, sf, "pages").select(F.col("page_id").alias("n"), F.concat("url", F.lit("#cover")).alias("image_url"))
+    found = items.join(pages, "n")
+    return found.select(F.col("final_url").alias("url"), "image_url").union(found.where("n % 2 = 0").select("source_url", F.concat("image_url", F.lit("2"))))
 
 
-@query(WITH_ITEMS + "SELECT id, array_to_string(list_filter([remote_image_url, CASE WHEN image_url NOT LIKE '/media/%' THEN image_url END], lambda u: u IS NOT NULL), '|') AS candidates FROM items")
+COVERS_SQL = WITH_ITEMS + ", covers AS (SELECT i.id, list_filter([CASE WHEN p.page_id % 2 = 0 THEN p.url || '#cover2' END, p.url || '#cover', remote_image_url, CASE WHEN image_url NOT LIKE '/media/%' THEN image_url END], lambda u: u IS NOT NULL) AS candidates FROM items i LEFT JOIN pages p ON i.id = 'doc-' || p.page_id) "
+
+
+@query(COVERS_SQL + "SELECT id, array_to_string(candidates, '|') AS candidates FROM covers")
 def cover_candidates(spark, sf):
-    items = D.items(spark, sf)
-    images = items.limit(0).select(F.col("final_url").alias("url"), "image_url")
-    return flat(S.cover_candidates(items, images))
+    return flat(S.cover_candidates(D.items(spark, sf), _page_images(spark, sf)))
 
 
-@query(WITH_ITEMS + "SELECT id, CASE WHEN remote_image_url IS NOT NULL AND CAST(replace(id, 'doc-', '') AS BIGINT) % 3 = 0 THEN remote_image_url WHEN image_url NOT LIKE '/media/%' THEN image_url END AS remote_image_url FROM items")
+@query(COVERS_SQL + """, fetched AS (SELECT remote_image_url AS url FROM items WHERE CAST(replace(id, 'doc-', '') AS BIGINT) % 3 = 0 UNION SELECT image_url FROM items WHERE image_url NOT LIKE '/media/%' UNION SELECT url || '#cover' FROM pages WHERE page_id % 5 = 0),
+tried AS (SELECT id, url, pos FROM (SELECT id, unnest(candidates) AS url, generate_subscripts(candidates, 1) AS pos FROM covers) WHERE url IN (SELECT url FROM fetched WHERE url IS NOT NULL))
+SELECT c.id, t.url AS remote_image_url FROM covers c LEFT JOIN (SELECT id, arg_min(url, pos) AS url FROM tried GROUP BY id) t ON t.id = c.id""")
 def pick_cover(spark, sf):
     items = D.items(spark, sf)
-    n = F.substring_index("id", "-", -1).cast("long")
-    remote = items.where("remote_image_url is not null").select(F.col("remote_image_url").alias("url"), (n % 3 == 0).alias("ok"), F.lit(1000).alias("n_bytes"))
+    remote = items.where("remote_image_url is not null").select(F.col("remote_image_url").alias("url"), (_number() % 3 == 0).alias("ok"), F.lit(1000).alias("n_bytes"))
     stored = items.where("image_url is not null").select(F.col("image_url").alias("url"), F.lit(True).alias("ok"), F.when(F.col("image_url").startswith("/media/"), 99_000_000).otherwise(5).alias("n_bytes"))
-    candidates = S.cover_candidates(items, items.limit(0).select(F.col("final_url").alias("url"), "image_url"))
-    return S.pick_cover(candidates, remote.union(stored))
+    landed = D.table(spark, sf, "pages").select(F.concat("url", F.lit("#cover")).alias("url"), (F.col("page_id") % 5 == 0).alias("ok"), F.lit(7).alias("n_bytes"))
+    return S.pick_cover(S.cover_candidates(items, _page_images(spark, sf)), remote.union(stored).union(landed))
 
 
 @query(WITH_ITEMS + "SELECT id, source_url || '|' || final_url AS urls FROM items")
@@ -492,10 +536,11 @@ def top_labels_per_dimension(spark, sf):
     return Q.top_labels_per_dimension(D.items(spark, sf))
 
 
-@query(WITH_ITEMS + _top_sql("category"))
+@query("SELECT ' tag' || (doc_id % 53) AS label, count(*) AS count FROM documents WHERE doc_id IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20".replace("' tag'", "'tag'"))
 def top20(spark, sf):
-    items = D.items(spark, sf)
-    return Q.count_by(items.select("category"), "category", most=20)
+    """53 labels, of which many are equally frequent: ties go by label."""
+    tags = D.table(spark, sf, "documents").where("doc_id is not null").select(F.concat(F.lit(" tag"), (F.col("doc_id") % 53).cast("string")).alias("tag"))
+    return Q.count_by(tags, "tag", most=20)
 
 
 def _texts(df: DataFrame, *columns: str) -> DataFrame:
@@ -525,6 +570,13 @@ def collection_digest(spark, sf):
     return _texts(digest, "category_summaries").select("total", "focus_summary", "category_summaries", F.array_join("suggestions", "|").alias("suggestions"), recent)
 
 
+@query(ACTIVE_SQL + f""", {DIMS_SQL} SELECT '# Collection Export' || chr(10) || chr(10) || '- Generated: ' || strftime({NOW_SQL}, '%Y-%m-%d %H:%M:%S') || ' UTC' || chr(10) || '- Total active items: ' || (SELECT count(*) FROM items) || chr(10)
+  || '- Total stored items: ' || (SELECT count(*) FROM every) || chr(10) || chr(10) || '## Collection Summary' || chr(10) || chr(10) || {FOCUS_SQL} || chr(10) || chr(10) || '### Categories' || chr(10) || chr(10)
+  || (SELECT string_agg('- ' || label || ': ' || count || chr(10), '' ORDER BY place) FROM ranked WHERE dim = 'category' AND place <= 20) || chr(10) || '## Items' || chr(10) || chr(10) AS header""")
+def markdown_header(spark, sf):
+    return Q.markdown_header(D.items(spark, sf), now())
+
+
 @query(ACTIVE_SQL + f", {DIMS_SQL} SELECT {FOCUS_SQL} AS focus_summary")
 def focus_summary(spark, sf):
     return Q.collection_stats(Q.active_items(D.items(spark, sf))).select(Q.focus_summary().alias("focus_summary"))
@@ -542,22 +594,12 @@ def digest_suggestions(spark, sf):
 def sort_items(spark, sf):
     """Sorted by importance; places are read off the sorted rows in a second step, for comparing."""
     rows = Q.sort_items(D.items(spark, sf), "importance").select("id", "importance_score", "created_at", "title")
-    return _placed(rows, "importance_score")
-
-
-def _placed(rows: DataFrame, *columns: str) -> DataFrame:
-    """Adds the place of each row of a sorted table: offsets of its partitions, which are few, and places inside."""
-    held = cut(rows.withColumn("_m", F.monotonically_increasing_id()))
-    part = F.shiftright("_m", 33)
-    sizes = held.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_q")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    inside = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    return held.join(F.broadcast(before), part == F.col("_q")).select("id", *columns, (F.col("_before") + inside + 1).alias("place"))
+    return numbered(rows, Q.order_of("importance"), "place").select("id", "importance_score", "place")
 
 
 @query(WITH_ITEMS + "SELECT id, row_number() OVER (ORDER BY created_at, title, id) AS place FROM items WHERE status = 'active'")
 def list_items(spark, sf):
-    return _placed(Q.list_items(D.items(spark, sf), sort="oldest", status="active").select("id"))
+    return numbered(Q.list_items(D.items(spark, sf), sort="oldest", status="active").select("id", "created_at", "title"), Q.order_of("oldest"), "place").select("id", "place")
 
 
 @query(ACTIVE_SQL + f"SELECT {DIGEST_ITEM_SQL} FROM (SELECT * FROM items ORDER BY created_at DESC, title, id LIMIT 8)")
@@ -574,20 +616,17 @@ CHAINS = {
     "first_meaningful_line": (T.first_meaningful_line, D.cut_sql(D.first_line_sql("text"), 120)),
     "sanitize_markdown_line": (T.one_line, D.one_line_sql("text")),
     "clean_shared_url": (
-        lambda c: U.clean_shared_url(F.concat(F.lit(" <"), F.substring(c, 1, 40), F.lit("。) "))),
-        rf"regexp_replace(regexp_replace(regexp_replace({D.trim_sql(chr(39) + ' <' + chr(39) + ' || text[1:40] || ' + chr(39) + '。) ' + chr(39))}, '^[<>\"''“”‘’]+', ''), '[<>\"''“”‘’]+$', ''), '[,.;:)\]}}，。；：）】》]+$', '')",
+        lambda c: U.clean_shared_url(F.concat(F.lit(" <"), c, F.lit("。) "))),
+        rf"regexp_replace(regexp_replace(regexp_replace({D.trim_sql(chr(39) + ' <' + chr(39) + ' || text || ' + chr(39) + '。) ' + chr(39))}, '^[<>\"''“”‘’]+', ''), '[<>\"''“”‘’]+$', ''), '[,.;:)\]}}，。；：）】》]+$', '')",
     ),
     "is_url_only_text": (
-        lambda c: T.is_url_only_text(F.concat(F.lit("https://a.b/c "), F.substring(c, 1, 3))),
-        rf"regexp_matches(regexp_replace('https://a.b/c ' || text[1:3], 'https?://{D.WS.replace('[', '[^', 1)}+|www\.{D.WS.replace('[', '[^', 1)}+', ' ', 'g'), '^{D.WS}*[!-/:-@\[-`{{-~，。；：、（）【】]*{D.WS}*[!-/:-@\[-`{{-~，。；：、（）【】]*{D.WS}*$')",
+        lambda c: T.is_url_only_text(F.concat(F.lit("https://a.b/c "), F.when(F.length(c) % 2 == 0, F.concat(F.lit("。www.a.b/"), F.regexp_replace(c, T.SPACE, "/"))).otherwise(c))),
+        rf"regexp_matches(regexp_replace('https://a.b/c ' || CASE WHEN length(text) % 2 = 0 THEN '。www.a.b/' || regexp_replace(text, '{D.WS}', '/', 'g') ELSE text END, 'https?://{D.WS.replace('[', '[^', 1)}+|www\.{D.WS.replace('[', '[^', 1)}+', ' ', 'g'), '^{D.WS}*[!-/:-@\[-`{{-~，。；：、（）【】]*{D.WS}*[!-/:-@\[-`{{-~，。；：、（）【】]*{D.WS}*$')",
     ),
-    "first_non_empty": (lambda c: T.first_non_empty(F.substring(c, 1, 0), F.lit(" &nbsp;"), c), f"nullif({D.clean_sql('text')}, '')"),
+    "first_non_empty": (lambda c: T.first_non_empty(F.lit(""), F.lit(" &nbsp;"), c), f"nullif({D.clean_sql('text')}, '')"),
     "safe_file_id": (T.safe_file_id, "regexp_replace(text, '[^A-Za-z0-9-]', '', 'g')"),
-    "local_cover_path": (lambda c: T.local_cover_path(F.substring(c, 1, 20)), "'/media/cover-' || regexp_replace(text[1:20], '[^A-Za-z0-9-]', '', 'g') || '.jpg'"),
-    "clean_original_text": (
-        T.clean_original_text,
-        rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\t\x{{0b}}\x{{0c}}\r \x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{2,}}', chr(10) || chr(10), 'g'), '^[ \n]+', ''), '[ \n]+$', '')",
-    ),
+    "local_cover_path": (T.local_cover_path, "'/media/cover-' || regexp_replace(text, '[^A-Za-z0-9-]', '', 'g') || '.jpg'"),
+    "clean_original_text": (T.clean_original_text, D.original_sql("text")),
 }
 for _name, (_f, _sql) in CHAINS.items():
     query(f"SELECT doc_id, {_sql} AS value FROM documents", _name)(lambda spark, sf, f=_f: D.table(spark, sf, DOCS).select("doc_id", f("text").alias("value")))
@@ -598,7 +637,7 @@ def plain_text_preview(spark, sf):
     return D.table(spark, sf, "pages").select("page_id", T.plain_text_preview("html").alias("value"))
 
 
-@query()
+@query(f"SELECT page_id, {D.formatted_sql('html')} AS value FROM pages")
 def html_to_formatted_text(spark, sf):
     return D.table(spark, sf, "pages").select("page_id", T.html_to_formatted_text("html").alias("value"))
 
@@ -689,13 +728,22 @@ def fallback_summary(spark, sf):
 
 HEURISTIC_SQL = f""", {KEYWORDS_SQL}, kinds AS MATERIALIZED (SELECT id, {category_sql(FULL_SQL, 'platform')} AS kind FROM items), own AS (SELECT id, w FROM first12 UNION SELECT id, platform FROM items UNION SELECT id, kind FROM kinds),
 ten AS (SELECT id, string_agg(w, '|' ORDER BY w) AS keywords FROM (SELECT id, w FROM own QUALIFY row_number() OVER (PARTITION BY id ORDER BY w) <= 10) GROUP BY id)
-SELECT i.id, {SUMMARY_SQL} AS summary, kind AS category, t.keywords, {type_sql('final_url', FULL_SQL)} AS content_type, (CASE WHEN length(content_text) > 400 THEN 66 ELSE 48 END)::SMALLINT AS importance_score FROM items i JOIN ten t USING (id) JOIN kinds USING (id)"""
+SELECT i.id, {SUMMARY_SQL} AS summary, kind AS category, t.keywords, array_to_string(list_filter([{', '.join(repr(e) for e in lists.ENTITIES)}], lambda e: contains({FULL_SQL}, e)), '|') AS entities, {type_sql('final_url', FULL_SQL)} AS content_type, (CASE WHEN length(content_text) > 400 THEN 66 ELSE 48 END)::SMALLINT AS importance_score FROM items i JOIN ten t USING (id) JOIN kinds USING (id)"""
 
 
 @query(WITH_ITEMS + HEURISTIC_SQL)
 def heuristic_analysis(spark, sf):
     analysed = D.items(spark, sf).select("id", C.heuristic_analysis(F.lit("")).alias("a"))
-    return analysed.select("id", "a.summary", "a.category", F.array_join("a.keywords", "|").alias("keywords"), "a.content_type", "a.importance_score")
+    return flat(analysed.select("id", "a.*"), *"id summary category keywords entities content_type importance_score".split())
+
+
+@query(WITH_ITEMS + f""", said AS (SELECT i.*, CAST(replace(id, 'doc-', '') AS BIGINT) AS n FROM items i), d AS (SELECT s.*, o.source, o.lang, n % 3 = 1 AND o.source IS NOT NULL AND o.lang IS NOT NULL AS good FROM said s JOIN documents o ON o.doc_id = n)
+SELECT id, CASE WHEN good THEN 'summary ' || n ELSE {SUMMARY_SQL} END AS summary, CASE WHEN good THEN '{lists.NO_CATEGORY}' ELSE {category_sql(FULL_SQL, 'platform')} END AS category, CASE WHEN good THEN 'positive' ELSE 'neutral' END AS sentiment,
+  CASE WHEN good THEN 'article' ELSE {type_sql('id', FULL_SQL)} END AS content_type, CASE WHEN good THEN least(n % 256, 100) WHEN length(content_text) > 400 THEN 66 ELSE 48 END::SMALLINT AS importance_score, CASE WHEN good OR n % 3 = 0 THEN '' ELSE '{lists.UNREADABLE_REPLY}' END AS notes FROM d""")
+def merge_model_replies(spark, sf):
+    rows = D.items(spark, sf).withColumn("final_url", F.col("id"))
+    analysed = C.merge_model_replies(rows.drop("summary", "category", "keywords", "entities", "sentiment", "content_type", "importance_score", "notes"), _replies(spark, sf))
+    return analysed.select("id", *[f"analysis.{c}" for c in "summary category sentiment content_type importance_score notes".split()])
 
 
 @query(WITH_ITEMS + f", own AS (SELECT id, string_agg(DISTINCT w, '|' ORDER BY w) AS keywords FROM (SELECT id, unnest([platform, {category_sql(chr(39) * 2, 'platform')}, '访问验证', '原链接']) AS w FROM items) GROUP BY id) SELECT i.id, platform || ' 页面触发访问验证，暂时未能抓取正文；已保存原链接。' AS summary, own.keywords, platform AS entities, 36::SMALLINT AS importance_score FROM items i JOIN own USING (id)")
@@ -733,35 +781,34 @@ def build_items(spark, sf):
     return flat(I.build_items(rows.withColumn("analysis", C.heuristic_analysis(F.lit(""))), now()), "id", "final_url", "category", "status", "created_at")
 
 
-@query(WITH_ITEMS + f"SELECT id, status, {category_sql(FULL_SQL, 'platform')} AS category, coalesce(remote_image_url, CASE WHEN image_url NOT LIKE '/media/%' THEN image_url END) AS image_url, epoch(created_at)::BIGINT AS created_at, {NOW_SECONDS}::BIGINT AS updated_at FROM items")
+@query(WITH_ITEMS + f"""SELECT id, i.status, CASE WHEN n % 3 = 1 AND o.source IS NOT NULL AND o.lang IS NOT NULL THEN '{lists.NO_CATEGORY}' ELSE {category_sql(FULL_SQL, 'platform')} END AS category, coalesce(remote_image_url, CASE WHEN image_url NOT LIKE '/media/%' THEN image_url END) AS image_url,
+  epoch(created_at)::BIGINT AS created_at, {NOW_SECONDS}::BIGINT AS updated_at FROM (SELECT *, CAST(replace(id, 'doc-', '') AS BIGINT) AS n FROM items) i JOIN documents o ON o.doc_id = n""")
 def reanalyze_items(spark, sf):
-    replies = spark.createDataFrame([], REPLY_SCHEMA)
-    return flat(I.reanalyze_items(D.items(spark, sf), replies, now()), "id", "status", "category", "image_url", "created_at", "updated_at")
+    items = D.items(spark, sf)
+    replies = _replies(spark, sf).join(items.select(F.col("id").alias("item_key"), "final_url"), "item_key").select(F.col("final_url").alias("item_key"), "reply")
+    return flat(I.reanalyze_items(items, replies, now()), "id", "status", "category", "image_url", "created_at", "updated_at")
+
 
+#: The URLs of the shares, one a row; a full URL with http://www. also gives its https form.
+SHARED_SQL = """shared AS (SELECT conv_id * 1000 + turn AS seq, p.url, 0 AS nth FROM conversations c JOIN pages p ON p.page_id = c.conv_id WHERE role = 'user'), shared_urls AS (SELECT * FROM shared UNION ALL SELECT seq, 'https://' || url[8:], 1 FROM shared WHERE url LIKE 'http://www.%')"""
 
-@query("SELECT count(DISTINCT p.url) AS items FROM conversations c JOIN pages p ON p.page_id = c.conv_id WHERE role = 'user'")
+
+@query(f"WITH {SHARED_SQL} SELECT sha256(url) AS id, url AS source_url, url AS final_url, {D.platform_sql('url')} AS platform, 'app' AS source_app, 'active' AS status, {NOW_SECONDS}::BIGINT AS created_at, (seq * 1000000 + nth)::BIGINT AS seq FROM shared_urls")
 def ingest_shares(spark, sf):
     items = I.ingest_shares(_shares(spark, sf), R.landed(D.table(spark, sf, "pages")), now())
-    return items.where("final_url like 'http%'").join(D.table(spark, sf, "pages").select(F.col("url").alias("final_url")).distinct(), "final_url", "left_semi").agg(F.countDistinct("final_url").alias("items"))
+    return flat(items, "id", "source_url", "final_url", "platform", "source_app", "status", "created_at", "seq")
 
 
-@query()
+@query(f"WITH {SHARED_SQL}, found AS (SELECT DISTINCT url FROM shared_urls) " + """SELECT sha256(url) AS id, url AS final_url, """ + D.platform_sql("url") + f""" AS platform, 'app' AS source_app, 'active' AS status, {NOW_SECONDS}::BIGINT AS created_at FROM found""")
 def stream_ingest(spark, sf):
     """The shares as files of a stream, into a store that grows batch by batch."""
-    from curio.streaming.ingest import ingest, read_share_stream
+    from curio.streaming.ingest import ingest, load, read_share_stream
 
-    shares, state = new_path(spark, "shares"), [new_path(spark, "store")]
+    shares, store = new_path(spark, "shares"), new_path(spark, "store")
     _shares(spark, sf).select("url", "shared_text", "source_app").repartition(4).write.json(shares)
-    spark.createDataFrame([], D.ITEM_SCHEMA).write.parquet(state[0])
-
-    def save(store):
-        at = new_path(spark, "store")
-        store.write.parquet(at)
-        state.append(at)
-
     pages = R.landed(D.table(spark, sf, "pages"))
-    ingest(read_share_stream(spark, shares, 2), lambda: pages, lambda: spark.read.schema(D.ITEM_SCHEMA).parquet(state[-1]), save, new_path(spark, "stream"), now).awaitTermination()
-    return flat(spark.read.schema(D.ITEM_SCHEMA).parquet(state[-1]), "id", "final_url", "platform", "title", "category", "created_at")
+    ingest(read_share_stream(spark, shares, 2), lambda: pages, store, new_path(spark, "stream"), now).awaitTermination()
+    return flat(load(spark, store), "id", "final_url", "platform", "source_app", "status", "created_at")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

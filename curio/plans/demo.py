@@ -13,10 +13,15 @@ from curio.sources.schemas import ITEM_COLUMNS, ITEM_SCHEMA
 HOSTS = "www.xiaohongshu.com www.bilibili.com github.com zhuanlan.zhihu.com m.weibo.cn news.example.org amap.com www.youtube.com item.jd.com docs.google.com x.com mp.weixin.qq.com".split()
 CATEGORIES = ["技术", " 美食 ", "旅行", "", "财经", "影音娱乐", "技术"]
 START = 1_700_000_000
+TEXTS = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table at hand. Tables of texts in fewer files than there are cores are dealt to all cores: a small file has one
+    row group, which one task would read and work on alone."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in TEXTS and len(rows.inputFiles()) < cores else rows
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +82,30 @@ def clean_sql(c: str) -> str:
     return one_line_sql(f"replace(replace({c}, '&nbsp;', ' '), '&amp;', '&')")
 
 
+def original_sql(c: str) -> str:
+    """clean_original_text() of c."""
+    out = c
+    for entity, plain in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''")):
+        out = f"replace({out}, '{entity}', '{plain}')"
+    out = f"replace(replace({out}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    in_line = WS.replace(r"\t-\r", r"\t\x{0b}\x{0c}\r")
+    out = f"regexp_replace(regexp_replace({out}, '{in_line}+', ' ', 'g'), ' ?\\n ?', chr(10), 'g')"
+    out = f"regexp_replace({out}, '\\n{{2,}}', chr(10) || chr(10), 'g')"
+    return f"regexp_replace(regexp_replace({out}, '^[ \\n]+', ''), '[ \\n]+$', '')"
+
+
+def untagged_sql(c: str) -> str:
+    return f"regexp_replace({c}, '<[^>]+>', ' ', 'g')"
+
+
+def formatted_sql(c: str) -> str:
+    """html_to_formatted_text() of c."""
+    out = f"replace(replace({c}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    out = f"regexp_replace({out}, '<br(/| /)?>', chr(10), 'g')"
+    out = f"regexp_replace({out}, '(?i)</?(p|div|section|article|li|h[1-6])\\b[^>]*>', chr(10), 'g')"
+    return original_sql(untagged_sql(out))
+
+
 def trim_sql(c: str) -> str:
     return f"regexp_replace(regexp_replace({c}, '^{WS}+', ''), '{WS}+$', '')"
 

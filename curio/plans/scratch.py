@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that the cluster names in spark.checkpoint.dir."""
+"""Intermediate tables in the folder that the cluster names in spark.checkpoint.dir, and rows numbered in order."""
 
 from __future__ import annotations
 
@@ -6,13 +6,19 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one is made only where none is set."""
+    """The session's checkpoint folder. Where it is unset, a local session gets one of its own and a cluster's is
+    refused, as its machines share no temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -24,3 +30,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows with their place in that order, from 1: ranges are sorted by themselves and numbered inside; only the sizes
+    of the ranges, one row each, go through one window."""
+    held = cut(rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    sizes = held.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_before"))
+    place = (F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name)
+    return held.join(F.broadcast(starts), part == F.col("_part")).select(*rows.columns, place)  # a row for each range

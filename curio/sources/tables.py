@@ -49,9 +49,12 @@ def unpack_items(stored: DataFrame) -> DataFrame:
     return _settled(_complete(stored.select(F.from_json("item", S.ITEM_SCHEMA, JSON).alias("i")).select("i.*")))
 
 
-def read_items_jdbc(spark: SparkSession, url: str, table: str = "public.items", parts: int = 16, bounds: tuple[str, str] | None = None, **options) -> DataFrame:
-    """Items of a Postgres table of stored rows, split by created_at where bounds are given. Needs the driver's jar."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=f"(select id, final_url, item::text as item, status, created_at, updated_at from {table}) t", **options)
+def read_items_jdbc(spark: SparkSession, url: str, table: str = "public.items", parts: int = 16, bounds: tuple[str, str] | None = None, item: str = "item::text", **options) -> DataFrame:
+    """Items of a database's table of stored rows, split by created_at where bounds are given. item is how the database
+    gives the item as text, by default Postgres's way. Needs the driver's jar."""
+    quoted = lambda c: c if item == "item::text" else f'"{c}"'
+    columns = ", ".join([f"{item} as {quoted('item')}", *map(quoted, ("id", "final_url", "status", "created_at", "updated_at"))])
+    reader = spark.read.format("jdbc").options(url=url, dbtable=f"(select {columns} from {table}) t", **options)
     if bounds:
         reader = reader.options(partitionColumn="created_at", lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts)
     return unpack_items(reader.load())

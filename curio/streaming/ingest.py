@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from curio.operators.items import ingest_shares
-from curio.operators.store import upsert_items
+from curio.operators.store import upsert_changes
+from curio.plans.scratch import numbered
 from curio.sources import schemas as S
 
 
@@ -19,26 +21,37 @@ def read_share_stream(spark: SparkSession, folder: str, files_per_batch: int = 1
     return shares.select("*", F.col("_metadata.file_modification_time").alias("arrived"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("place"))
 
 
-def ingest(shares: DataFrame, pages: Callable[[], DataFrame], load: Callable[[], DataFrame], save: Callable[[DataFrame], None], checkpoint: str, now: Callable | None = None) -> StreamingQuery:
-    """Runs until all shares that have arrived are in the store.
+def load(spark: SparkSession, store: str, before: int | None = None) -> DataFrame:
+    """The items of a store of ingest(), of the batches before that number if one is given: of each id the row of the
+    latest batch."""
+    rows = spark.read.schema(T.StructType([*S.ITEM_SCHEMA.fields, T.StructField("batch", T.LongType())])).parquet(store)
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    latest = rows.groupBy("id").agg(F.max_by(F.struct(*S.ITEM_COLUMNS), "batch").alias("i"))
+    return latest.select("i.*")
 
-    The store is the state: load() gives its items, save() replaces them with others that were made from them. A late
-    share is merged by its keys like any other, so there is no watermark; ids come from URLs, so that a batch which is
-    run again after a failure changes nothing.
+
+def compact(spark: SparkSession, store: str, into: str) -> None:
+    """Writes the items of a store into a new one, as its first batch; for between two runs, when many batches lie there."""
+    load(spark, store).write.mode("overwrite").parquet(f"{into}/batch=-1")
+
+
+def ingest(shares: DataFrame, pages: Callable[[], DataFrame], store: str, checkpoint: str, now: Callable | None = None) -> StreamingQuery:
+    """Runs until all shares that have arrived are in the store, a folder of tables named batch=<number>.
+
+    A batch writes the items that it makes or touches, nothing else, as newer rows of their ids. It reads the batches
+    before it, so one that is run again after a failure writes the same table once more, in place of the first. A late
+    share is merged by its keys like any other, so there is no watermark; ids come from URLs.
     """
+    spark = shares.sparkSession
+    spark.createDataFrame([], S.ITEM_SCHEMA).write.mode("overwrite").parquet(f"{store}/batch=-2")
 
     def take(batch: DataFrame, number: int) -> None:
-        order = F.row_number().over(_arrival())
-        numbered = batch.withColumn("seq", order).drop("arrived", "file", "place")
+        # A total order, as the store's semantics ask.
+        order = ["arrived", "file", "place", F.xxhash64("url", "shared_text", "source_app")]
+        placed = numbered(batch, order, "seq").drop("arrived", "file", "place")
         at = now() if now else F.current_timestamp()
-        store, _, _ = upsert_items(load(), ingest_shares(numbered, pages(), at))
-        save(store)
+        _, changed, _, _ = upsert_changes(load(spark, store, number), ingest_shares(placed, pages(), at))
+        changed.write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     return shares.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _arrival():
-    from pyspark.sql import Window
-
-    # A micro-batch is bounded by maxFilesPerTrigger; its order is total, as the store's semantics ask.
-    return Window.orderBy("arrived", "file", "place", F.xxhash64("url", "shared_text", "source_app"))
