@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import accumulate
@@ -19,8 +20,13 @@ from curio.llm.common import column, cut, slices
 #: Rows that one task packs at once. What its bins leave open goes on to the next round, across groups.
 GROUP = 16_384
 END_ID = 2
-#: Stretches of text whose ids are kept; a fuller memory starts anew. Longer stretches are tokenized each time.
-KEPT, KEPT_CHARS = 500_000, 48
+#: Characters of stretches whose ids a worker keeps; a fuller memory starts anew.
+KEPT = 8_000_000
+
+
+#: Letters in every version of Unicode that a library may know, as a class of a pattern.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+_MARK = ",.;:!?"
 
 
 class Encoder:
@@ -28,19 +34,26 @@ class Encoder:
 
     The vocabulary is byte-level BPE: a pattern splits the text and merges stay inside its parts. A part is letters,
     digits or other marks, with at most a space before them, or white space, or an apostrophe and letters. So after a
-    letter, what is no letter or apostrophe begins a part, and after a mark a space does. A text may thus be cut between
-    an ASCII letter and a mark, and between either and a space before a letter: the ids of its stretches, in turn, are
-    those of the text. No special token has such a place in it (else texts stay whole).
+    letter, what is no letter or apostrophe begins a part, and after a mark a space does; one line feed between either
+    and a letter is a part. A text may thus be cut between a letter and a mark, between either and a space before a
+    letter, and around such a line feed: the ids of its stretches, in turn, are those of the text. No special token has
+    such a place in it (else texts stay whole).
     """
 
-    BREAK = re.compile("(?<=[A-Za-z,.;:!?])(?= [A-Za-z])|(?<=[A-Za-z])(?=[,.;:!?])")
+    BREAK = re.compile(f"(?<=[{_LETTER}{_MARK}])(?=[ \n][{_LETTER}])|(?<=[{_LETTER}])(?=[{_MARK}])|(?<=[{_LETTER}{_MARK}]\n)(?=[{_LETTER}])")
+    #: A stretch that is one part of the pattern; the merges may be asked for it without the rest of the library.
+    PART = re.compile(f" ?[{_LETTER}]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
-        self.whole = any(self.BREAK.search(t.content) for t in self.exact.get_added_tokens_decoder().values()) or "ByteLevel" not in str(self.exact.pre_tokenizer)
+        self.whole = any(self.BREAK.search(t.content) for t in self.exact.get_added_tokens_decoder().values()) or "ByteLevel" not in str(self.exact.pre_tokenizer) or self.exact.normalizer is not None
         self.known: dict[str, bytes] = {}
+        self.held = 0
+        if not self.whole:
+            letters = [chr(c) for c in range(32, 0x250) if self.PART.fullmatch(chr(c))]
+            self.bytes_as_letters = {ord(c): self.exact.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in [" ", *letters]}
 
     def ids(self, text: str) -> bytes:
         return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -50,11 +63,15 @@ class Encoder:
             return self.ids(text)
         known, stretches = self.known, self.BREAK.split(text)
         for part in set(stretches).difference(known):
-            if len(part) <= KEPT_CHARS:
+            if self.PART.fullmatch(part):
+                known[part] = array("I", [t.id for t in self.exact.model.tokenize(part.translate(self.bytes_as_letters))]).tobytes()
+            else:
                 known[part] = self.ids(part)
-        out = b"".join([known[s] if s in known else self.ids(s) for s in stretches])
-        if len(known) > KEPT:
+            self.held += len(part)
+        out = b"".join(map(known.__getitem__, stretches))
+        if self.held > KEPT:
             known.clear()
+            self.held = 0
         return out
 
 

@@ -386,7 +386,7 @@ def test_packing(spark, rows):
 def test_stretches_have_the_ids_of_the_text():
     encoder = packing.Encoder(packing.tokenizer_file())
     rng = random.Random(2)
-    made = ["".join(rng.choice("abÉñ 1'\n\t.,|%$;:!? \x1c链\u3000<>") for _ in range(200)) for _ in range(300)]
+    made = ["".join(rng.choice("abÉñß×÷ªµŉɏɐ 1'\n\n\t.,|%$;:!?  \x1c链\u3000<>") for _ in range(200)) for _ in range(300)]
     made += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x2FFF), rng.randrange(0x1F300, 0x1F700)])) + rng.choice(["", " a", "b ", " "]) for _ in range(100)) for _ in range(200)]
     for text in ["", " ", "a  b\n\n c'll 12é ß don't, it's. x's y", "a<|endoftext|> b", "<|endoftext|>", "链接 ok", "x y z\x1c", *made, "word " * 20_000, "w" * 5000]:
         assert encoder.encode(text) == encoder.ids(text)
