@@ -17,7 +17,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a folder. Documents in fewer files than there are cores are dealt to all cores: a small file has one
+    row group, which one task would read and work on alone."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name == "documents" and len(rows.inputFiles()) < cores else rows
 
 
 def cut_dir(spark: SparkSession) -> str:

@@ -189,7 +189,9 @@ def padded(data: bytes) -> bytes:
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media: each text (null: empty) as UTF-8 in a container of its own. Rows stay where they are."""
+    """doc_id, n_bytes and media: each text (null: empty) as UTF-8 in a container of its own. Rows stay where they
+    are; rows that repeat, null ids and long texts are stored like any other, so equal texts are equal containers; other
+    columns of docs, whatever their names, are not read; no rows in, no rows out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -212,7 +214,8 @@ def probe(stored: DataFrame, media: str = "media") -> DataFrame:
 
     codec, duration (seconds) and keyframe_ranges describe the first track; payload_* and tail_crc32 are digests of
     its samples' bytes as stored, read through the sample tables; feature is a JSON object of all tracks. Null or
-    broken containers have no tracks: null codec and duration, no bytes. Columns of stored that clash are replaced.
+    broken containers have no tracks: null codec and duration, no bytes. Columns of stored that clash are replaced; rows
+    that repeat are described one by one; no rows in, no rows out.
     """
     names = [f.split()[0] for f in FEATURES.split(", ") if not f.startswith("length")]
     rest = [c for c in stored.columns if c != media and c not in names]

@@ -289,6 +289,13 @@ def test_media_round_trip(spark, rows):
         assert r["n_keyframes"] == -(-(len(t) // 64) // 16) and r["media_sha256"] == hashlib.sha256(media.store(t)).hexdigest()
 
 
+def test_media_of_odd_rows(spark):
+    docs = frame(spark, [(1, "a", "en", "a"), (1, "a", "en", "a"), (None, None, None, None), (2, "é" * 200_000, "en", "a")])
+    got = media.probe(media.store_texts(docs.withColumns({"media": F.lit("clash"), "feature": F.lit(1)}))).collect()
+    assert len(got) == 4 and len({r["media_sha256"] for r in got}) == 3 and {r["n_bytes"] for r in got} == {1, 0, 400_000}
+    assert media.probe(media.store_texts(docs.limit(0))).count() == 0
+
+
 def test_media_of_other_shapes():
     assert media.describe(b"") == {"tracks": []} and media.describe(b"\0\0\0\x04junk") == {"tracks": []} and media.samples(b"moov") == b""
     payload = bytes(range(64)) * 130
@@ -323,6 +330,24 @@ def test_shards(spark):
     assert sum(fewer[s] != want[s] for s in want if want[s] != "s6") < 30
     with pytest.raises(ValueError):
         maglev.lookup_table(spark, shards, 100)
+    assert maglev.assign(rows.limit(0), "doc_id", shards, 101).count() == 0 and maglev.assign(rows.union(rows), "doc_id", shards, 101).distinct().count() == 2
+
+
+def test_shards_in_larger_tables(spark, monkeypatch):
+    """As many shards as slots nearly, and a table that is joined by a shuffle."""
+    number = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16)
+    for n, slots in ((300, 1009), (1000, 1009), (1, 13)):
+        shards = [f"s{i}" for i in range(n)]
+        orders = [[(number(s + "/offset") % slots + j * (number(s + "/skip") % (slots - 1) + 1)) % slots for j in range(slots)] for s in shards]
+        place, want = [0] * n, {}
+        for turn in range(slots):
+            i = turn % n
+            while orders[i][place[i]] in want:
+                place[i] += 1
+            want[orders[i][place[i]]] = shards[i]
+        assert {r["slot"]: r["shard"] for r in maglev.lookup_table(spark, shards, slots).collect()} == want
+    monkeypatch.setattr(maglev, "BROADCAST_SLOTS", 5)
+    assert maglev.assign(spark.range(50), "id", ["a"], 13).count() == 50
 
 
 def test_mix(spark, rows):
@@ -349,6 +374,11 @@ def test_mix(spark, rows):
         taken[r["source"]] += r["copies"] * r["size"]
     longest = {s: max(r["size"] for r in got if r["source"] == s) for s in order}
     assert all(abs(taken[s] - target[s]) <= 1.5 * longest[s] for s in order) and len(got) == len(rows)
+    many = frame(spark, [(i, "a b c", "en", f"host{i % 211}") for i in range(900)])
+    hosts = {r["source"]: (r["source_size"], r["target"]) for r in mixing.mix(many).collect()}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(hosts))}
+    level = max((t / weight[s] for s, (n, t) in hosts.items() if t < 2 * n - 1e-9), default=None)
+    assert abs(sum(t for _, t in hosts.values()) - 1.5 * 2700) < 1e-6 and all(abs(t - min(2 * n, level * weight[s])) < 1e-6 for s, (n, t) in hosts.items())
     again = mixing.mix(docs.repartition(5)).collect()
     assert collections.Counter(map(tuple, again)) == collections.Counter(map(tuple, got))
     out = mixing.sample(docs.withColumn("size", F.lit("clash")))
@@ -434,7 +464,10 @@ def test_packing_goes_on_across_groups(spark, monkeypatch):
 
 def test_rules_counts(spark, rows):
     more = [(600, "a b c d e f g h i\na b c d e f g h i\n\nx # $ |\nx # $ |", "en", "a")]
-    got = {(r["doc_id"], r["n_words"], r["word_chars"]): r for r in rules.judge(frame(spark, rows + more)).collect()}
+    docs = frame(spark, rows + more).withColumns({c: F.lit("clash") for c in ("n_words", "kept", "own", "_fences")})
+    got = {(r["doc_id"], r["n_words"], r["word_chars"]): r for r in rules.judge(docs).collect()}
+    kept = rules.keep_good(docs)
+    assert kept.columns == docs.columns and sum(r["kept"] for r in rules.judge(docs).collect()) == kept.count()
     for i, text, *_ in rows + more:
         t = text or ""
         w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", t) if x]

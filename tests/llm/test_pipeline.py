@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_exact import frame
 
@@ -32,3 +34,19 @@ def test_stages_take_empty_tables(spark):
     docs = frame(spark, [(1, "x", "en", "a")]).limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "").count() == 0
+
+
+def test_stages_take_rows_that_repeat_and_clashing_names(spark, tmp_path):
+    rng = random.Random(2)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    rows = [(i, text(80), "en", "a") for i in range(20)]
+    names = ("rk", "th", "spans", "size", "copies", "kept", "_doc", "id", "key", "family")
+    docs = frame(spark, rows + rows[:5] + [(None, text(80), None, None)]).withColumns({c: F.lit("clash") for c in names if c != "_doc"})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, "").write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == columns and docs.where("rk <> 'clash'").count() == 0
+        if name == "near_dedup":
+            assert docs.count() == 21
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
