@@ -32,8 +32,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     whole = summed.agg(F.sum("source_size").alias("_size"), F.sum("weight").alias("_weight"))  # one row
     level = (F.col("_size") * F.lit(share) - F.col("caps")) / (F.col("_weight") - F.col("weights"))
     levels = summed.join(F.broadcast(whole)).withColumn("level", level)
-    # The level of the first source that is not at its cap; without one, all are.
-    first = levels.where("ratio >= level").agg(F.min(F.struct("ratio", "level"))["level"].alias("_level"))
+    # The level of the first source that is not at its cap (of equal ratios the first has the highest); without one, all are.
+    first = levels.where("ratio >= level").agg((-F.min(F.struct("ratio", (-F.col("level")).alias("down")))["down"]).alias("_level"))
     at = F.coalesce(F.least("cap", F.col("_level") * F.col("weight")), F.col("cap"))
     return summed.join(F.broadcast(first)).select("source", "source_size", at.alias("target"))
 

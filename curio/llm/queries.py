@@ -110,7 +110,7 @@ ranked AS (SELECT *, ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source IS N
 capped AS (SELECT *, 2.0 * source_size AS cap, 2.0 * source_size / weight AS ratio FROM ranked),
 filled AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY ratio, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY ratio, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM capped),
-goals AS (SELECT source, source_size, least(cap, weight * (SELECT arg_min(level, ratio) FROM filled WHERE ratio >= level)) AS target,
+goals AS (SELECT source, source_size, least(cap, weight * (SELECT level FROM filled WHERE ratio >= level ORDER BY ratio, level DESC LIMIT 1)) AS target,
   ('0x' || md5('mix-1:source:' || coalesce(source, ''))[1:8])::BIGINT / 4294967296.0::DOUBLE AS shift FROM filled),
 placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY floor(ln(size + 1.0) / ln(2.0) * 4), h % 512, size, h, doc_id) AS nth FROM sized),
 mixed AS (SELECT p.doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, shift, nth FROM placed p JOIN goals g ON p.source IS NOT DISTINCT FROM g.source)
