@@ -160,7 +160,7 @@ def _look(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(at), column(batch, "rk").take(at), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "rk", "a", "b"])
 
 
-def repeats(docs: DataFrame, width: int = 200, grams: tuple[int, ...] = (64, 132)) -> DataFrame:
+def repeats(docs: DataFrame, width: int = 200, grams: tuple[int, ...] = (64, 132, 180)) -> DataFrame:
     """doc_id, rk and a, b: the bytes [a, b) of a document that strings of `width` bytes cover which start elsewhere, too.
 
     The index is built for each chunk of buckets, over their different strings with their numbers. What it says of a
@@ -175,13 +175,13 @@ def repeats(docs: DataFrame, width: int = 200, grams: tuple[int, ...] = (64, 132
         equal = equal.select("doc_id", "rk", F.col("start").cast("long").alias("a"), (F.col("start") + F.col("n") + (width - 1)).cast("long").alias("b"))
         spans = some.union(equal) if spans is None else spans.union(some).union(equal)
     if windows is not None:
-        often = windows.groupBy("h", "i").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        often = windows.where("h is not null").groupBy("h", "i").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
         hit = windows.where("flags = 0").join(often, ["h", "i"]).drop("c").unionByName(windows.where("flags > 0"), allowMissingColumns=True)  # some have equals in their own slice
-        spans = spans.union(hit.select("doc_id", "rk", F.col("start").cast("long").alias("a"), (F.col("start") + width).cast("long").alias("b")))
+        spans = spans.union(hit.select("doc_id", "rk", F.col("start").cast("long").alias("a"), (F.col("start") + F.col("n") + (width - 1)).cast("long").alias("b")))
     return spans
 
 
-def remove_repeats(docs: DataFrame, width: int = 200, grams: tuple[int, ...] = (64, 132)) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 200, grams: tuple[int, ...] = (64, 132, 180)) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) and kept_sha256 of every row of docs.
 
     Every byte goes that a string of `width` bytes covers which starts anywhere else in the texts, wherever it stands.
@@ -221,7 +221,7 @@ def whole_characters(text: bytes, out: np.ndarray) -> bytes:
     return data[np.repeat(whole, np.diff(np.append(starts, len(data)))) == 0].tobytes()
 
 
-def clean(docs: DataFrame, width: int = 200, grams: tuple[int, ...] = (64, 132)) -> DataFrame:
+def clean(docs: DataFrame, width: int = 200, grams: tuple[int, ...] = (64, 132, 180)) -> DataFrame:
     """docs with the repeated strings taken out of text (in whole characters), and n_chars, if there is one, renewed.
 
     Null texts stay null; other columns are kept, whatever their names; else as remove_repeats()."""

@@ -61,7 +61,7 @@ def _look(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(whose), column(batch, "rk").take(whose), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "rk", "a", "b"])
 
 
-def repeats(docs: DataFrame, width: int = 20, grams: tuple[int, ...] = (8, 14)) -> DataFrame:
+def repeats(docs: DataFrame, width: int = 20, grams: tuple[int, ...] = (8, 14, 18)) -> DataFrame:
     """doc_id, rk and a, b: the words of a document, [a, b), that windows cover which also start earlier.
 
     Of pieces that are equal as a whole only the first goes to the bucket, where sorting numbers its windows; the
@@ -80,7 +80,7 @@ def repeats(docs: DataFrame, width: int = 20, grams: tuple[int, ...] = (8, 14))
         open_ = windows.where(~settled)
         first = open_.groupBy("h", "i").agg(F.min(F.struct("doc_id", "rk", "start")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
         again = open_.join(first, ["h", "i"]).where("rk <> f.rk or start <> f.start or not doc_id <=> f.doc_id")
-        spans = spans.union(again.select("doc_id", "rk", *span(1))).union(windows.where(settled).select("doc_id", "rk", *span(1)))
+        spans = spans.union(again.select("doc_id", "rk", *span(1))).union(windows.where(settled).select("doc_id", "rk", *span(F.col("n"))))
     return spans
 
 
@@ -94,7 +94,7 @@ def covered(spans: list | None, n: int) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, width: int = 20, grams: tuple[int, ...] = (8, 14)) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 20, grams: tuple[int, ...] = (8, 14, 18)) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (binary: kept words joined by one space) and kept_sha256 of every row.
 
     A word goes if a window that covers it starts earlier, too: in a document of smaller doc_id (null counts as

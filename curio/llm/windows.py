@@ -312,7 +312,9 @@ def _crowds(rows: DataFrame, kind: Kind, n: int) -> list[np.ndarray]:
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
-    """doc_id, rk, start, two hashes and flags (EQUALS, SETTLED) of each window of the runs."""
+    """doc_id, rk, start, n, two hashes and flags of the windows of the runs: a row for each that must be looked for
+    elsewhere (n is 1; EQUALS if the slice has equal ones), and one for each stretch of n that an earlier one in the
+    task settles (SETTLED, no hashes)."""
     seen = _Seen()
     for batch in slices(batches, at_most=1_000_000):
         hashes = [kind.units(t)[1] for t in utf8(batch)]
@@ -326,9 +328,16 @@ def _window_rows(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.R
         with np.errstate(over="ignore"):
             h, i = (gram_hashes(every, kind.width, base)[begins[which] + start].view(np.int64) for base in (BASE, OTHER_BASE))
         flags, sent = seen.flags(h, i, which, start, column(batch, "doc_id"), column(batch, "rk").to_numpy())
-        at = pa.array(which[sent])
-        columns = [column(batch, "doc_id").take(at), column(batch, "rk").take(at), pa.array(start[sent], pa.int32()), pa.array(h[sent]), pa.array(i[sent]), pa.array(flags[sent], pa.int8())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rk", "start", "h", "i", "flags"])
+        done = sent & (flags & SETTLED > 0)
+        single, many = np.flatnonzero(sent & ~done), np.flatnonzero(done)
+        first = many[np.concatenate([[True], (np.diff(many) > 1) | (which[many[1:]] != which[many[:-1]]) | (np.diff(start[many]) > 1)])] if len(many) else many
+        length = np.diff(np.append(np.searchsorted(many, first), len(many)))
+        rows = np.concatenate([single, first])
+        at, none = pa.array(which[rows]), pa.nulls(len(first), pa.int64())
+        n = np.concatenate([np.ones(len(single), np.int64), length])
+        columns = [column(batch, "doc_id").take(at), column(batch, "rk").take(at), pa.array(start[rows], pa.int32()), pa.array(n, pa.int32())]
+        columns += [pa.concat_arrays([pa.array(x[single]), none]) for x in (h, i)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(flags[rows], pa.int8())], names=["doc_id", "rk", "start", "n", "h", "i", "flags"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
@@ -361,7 +370,7 @@ class Level(NamedTuple):
 
 def levels(docs: DataFrame, kind: Kind) -> tuple[list[Level], DataFrame | None]:
     """The pieces of a corpus whose windows may occur more than once, for each gram in turn, and for what is a crowd
-    with all of them doc_id, rk, start, h, i (128 bits of hashes), flags (as of pieces) of each window, or None.
+    with all of them a table of its windows, see _window_rows(), or None.
 
     Two passes over the texts for each gram: one makes a narrow row for each piece and brings equal minimisers together;
     only where these repeat, the other packs strings, and of equal pieces only the first one (by doc_id, null first,
@@ -373,8 +382,9 @@ def levels(docs: DataFrame, kind: Kind) -> tuple[list[Level], DataFrame | None]:
     head = f"doc_id {id_kind}, rk bigint, start int, "
     bit = lambda c, b: F.col(c).bitwiseAND(F.lit(b).cast("tinyint")) > 0
 
-    def with_runs(pieces: DataFrame, *columns) -> DataFrame:
+    def with_runs(pieces: DataFrame, crowd: bool, *columns) -> DataFrame:
         runs = pieces.groupBy(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk")).agg(F.collect_set(F.struct(*columns)).alias("runs"))
+        runs = cut_table(runs) if crowd else runs  # so that its size is known: if small enough, Spark sends it instead of the texts
         return rows.join(runs, (F.col("rk") == F.col("_rk")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "rk", "text", "runs")
 
     out, texts = [], rows
@@ -383,13 +393,13 @@ def levels(docs: DataFrame, kind: Kind) -> tuple[list[Level], DataFrame | None]:
         to = F.when(bit("flags", SETTLED), F.col("rk")).when(bit("flags", CROWDED), F.xxhash64("key", "sid")).otherwise(F.col("key"))
         places = cut_table(found.repartition(parts, to).sortWithinPartitions("key", "sid", "doc_id", "rk", "start").mapInArrow(_repeated, head + "n int, key bigint, sid bigint, kind tinyint"))
         first = places.where(bit("kind", FIRST))
-        packed = with_runs(first.where(~bit("kind", CROWD)), "start", "n", "key", bit("kind", AGAIN).alias("again"))
+        packed = with_runs(first.where(~bit("kind", CROWD)), bool(out), "start", "n", "key", bit("kind", AGAIN).alias("again"))
         out.append(Level(places, packed.mapInArrow(lambda b: _pack(b, kind), head + "n int, key bigint, again boolean, s binary")))
         crowd = first.where(bit("kind", CROWD))
         if crowd.isEmpty():
             return out, None
-        texts = with_runs(crowd, "start", "n")
-    return out, cut_table(texts.mapInArrow(lambda b: _window_rows(b, kind), head + "h bigint, i bigint, flags tinyint"))
+        texts = with_runs(crowd, True, "start", "n")
+    return out, cut_table(texts.mapInArrow(lambda b: _window_rows(b, kind), head + "n int, h bigint, i bigint, flags tinyint"))
 
 
 def gathered(spans: DataFrame, rows: DataFrame) -> DataFrame:
