@@ -25,7 +25,8 @@ def first_last_by_url(batch: DataFrame) -> DataFrame:
 
 def _tangled_labels(rows: DataFrame) -> DataFrame:
     """(id, final_url, component) of rows that hang together with one whose id has several URLs and whose URL several
-    ids. Grows from those rows along shared ids and URLs, by the smallest label, until nothing changes."""
+    ids. Grows from those rows along shared ids and URLs, by the smallest label, until nothing changes. A label is an
+    id, so a row also takes its label's label: the rounds grow with the logarithm of the longest path."""
     pairs = rows.select("id", "final_url").distinct()
     per_id = pairs.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("many_urls"))
     per_url = pairs.groupBy("final_url").agg((F.count(F.lit(1)) > 1).alias("many_ids"))
@@ -39,6 +40,8 @@ def _tangled_labels(rows: DataFrame) -> DataFrame:
         for key in ("id", "final_url"):
             least = now.groupBy(key).agg(F.min("component").alias("least"))
             now = now.join(least, key).select("id", "final_url", F.least("component", "least").alias("component"))
+        further = now.groupBy(F.col("id").alias("_to")).agg(F.min("component").alias("further"))
+        now = now.join(further, F.col("component") == F.col("_to"), "left").select("id", "final_url", F.least("component", "further").alias("component"))
         now = cut(now)
         mark = now.agg(F.count("component"), F.sum(F.xxhash64("id", "final_url", "component").cast("decimal(38,0)"))).first()
         if mark == seen:

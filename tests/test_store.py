@@ -114,3 +114,11 @@ def test_queries(spark):
     block = Q.export_markdown(store).first()["block"]
     assert block.startswith("### Title\n\n- Platform: GitHub\n") and "- Created: 2024-01-01 00:03:00 UTC\n" in block
     assert "- Total stored items: 3" in Q.markdown_header(store, F.lit(START)).first()["header"]
+
+
+def test_long_chains_are_one_component(spark):
+    """a1-u1, a1-u2, a2-u2, a2-u3, ...: one tangled component, found in few rounds, folded in order."""
+    rows_in = [item(f"a{k // 2:03d}", f"u{(k + 1) // 2:03d}", title=str(k)) for k in range(80)]
+    pairs = spark.createDataFrame([(r["id"], r["final_url"]) for r in rows_in], "id string, final_url string")
+    labels = {r["component"] for r in S._tangled_labels(pairs).collect()}
+    assert labels == {"a000"}
