@@ -42,10 +42,14 @@ def drop_tables(spark: SparkSession) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises df in the checkpoint folder, so that lost executors cost no recomputation."""
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """Materialises df in the checkpoint folder, so that lost executors cost no recomputation. free lets Spark's context
+    cleaner drop the shuffles that it replaces at once."""
     cut_dir(df.sparkSession)
-    return df.checkpoint()
+    done = df.checkpoint()
+    if free:
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return done
 
 
 def keyed(docs: DataFrame) -> DataFrame:

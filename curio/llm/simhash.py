@@ -318,7 +318,7 @@ def links(distinct: DataFrame, plan: Plan) -> DataFrame:
     """
     rows = distinct.select("f").mapInArrow(lambda x: _index(x, plan), ", ".join(["key bigint", *[f"f{k} bigint" for k in range(plan.carry)]]))
     parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    met = cut(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda x: _meet(x, plan), OUT))
+    met = cut(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda x: _meet(x, plan), OUT), free=True)
     near = met.where("a is not null").select("a", "b", "d")
     blocks = met.where("packed is not null").select("key", "block", "packed")
     if not blocks.isEmpty():
