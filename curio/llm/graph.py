@@ -38,8 +38,8 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], names=["a", "b"])
 
 
-#: A node with more than one of HEAVY links is joined on its own.
-HEAVY = 1000
+#: A node with more than one of HEAVY links is joined on its own; up to FEW links (16 MB) are no matter for one task.
+HEAVY, FEW = 1000, 1_000_000
 
 
 def _with_least(links: DataFrame, n: int) -> DataFrame:
@@ -49,7 +49,9 @@ def _with_least(links: DataFrame, n: int) -> DataFrame:
     their m, so that the links of a hub stay where they are; the others meet in a shuffle.
     """
     least = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d"))
-    hubs = F.col("d") > max(HEAVY, n // HEAVY)
+    if n <= FEW:
+        return links.join(least.select("u", "m"), "u")
+    hubs = F.col("d") > n // HEAVY
     some = cut(least)
     heavy = some.where(hubs).select(F.col("u").alias("h"), F.col("m").alias("hm"))
     if heavy.isEmpty():

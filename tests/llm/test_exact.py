@@ -268,7 +268,8 @@ def test_near_groups_of_odd_rows(spark):
 def test_hubs_are_joined_apart(spark, monkeypatch):
     from curio.llm import graph
 
-    monkeypatch.setattr(graph, "HEAVY", 3)
+    monkeypatch.setattr(graph, "HEAVY", 20)
+    monkeypatch.setattr(graph, "FEW", 0)
     rng = random.Random(7)
     edges = [(0, i) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(200 + i, 201 + i) for i in range(40)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(139, 200)]
     group = {x: x for e in edges for x in e}
