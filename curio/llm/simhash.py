@@ -53,7 +53,7 @@ def similarity_plan(shingle: int = 5, similarity: float = 0.8, miss: float = 0.0
 
     The plan is the same for every table. A key's rows are the texts over 2 ** (length - 1), so its work grows with
     the square of that; much larger tables want longer segments, at the price of more keys for each row: 272 of 16
-    bits, 580 of 20, 1,248 of 24. Only time depends on that choice, up to `miss` not the links.
+    bits, 580 of 20, 1,176 of 24. Only time depends on that choice, up to `miss` not the links.
     """
     wrong = math.acos(2 * similarity / (1 + similarity)) / math.pi  # a bit's chance to differ
     meet = (1 - wrong) ** length + length * wrong * (1 - wrong) ** (length - 1)
