@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curio.llm import maglev, media, mixing, packing, quality, rules, runindex, simhash, superkmer, toxicity
+from curio.llm import decontaminate, fim, maglev, media, mixing, packing, quality, rules, runindex, simhash, superkmer, toxicity, whiten
 from curio.llm.common import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
@@ -68,10 +68,28 @@ def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op11_ngram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document that stand in the benchmark."""
+    found = decontaminate.decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and arranged, and its text rebuilt from the output."""
+    both = fim.undo(fim.render(fim.describe(table(spark, sf_dir, "documents"))))
+    return fim.hashed(both, {"pieces": "output_sha256", "restoring": "restored_sha256"}, keep=["doc_id", "n", "form", "prefix_chars", "middle_chars"])
+
+
+def op13_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whitened components of every embedding."""
+    return whiten.components(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_iso_media, op2_maglev_shards, op3_simhash_groups, op4_run_index, op5_systematic_mix, op6_best_fit_packing, op7_toxicity, op8_ordinal_quality, op9_adaptive_rules, op10_super_kmers,
+        op11_ngram_decontamination, op12_fill_in_middle, op13_cholesky_whitening,
     )
 }
 
@@ -150,5 +168,30 @@ kept AS (SELECT words.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY words
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM docs d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
+OP11_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+wanted AS MATERIALIZED (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i + 1:i + 10], ' ') AS k FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)),
+starts AS (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM wanted) WHERE len(w) >= n),
+found AS MATERIALIZED (SELECT s.doc_id, s.i, s.n, t.item_id FROM (SELECT doc_id, i, n, array_to_string(w[i + 1:i + n], ' ') AS k FROM starts) s JOIN wanted t ON s.k = t.k AND s.n = t.n),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM found)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS k FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items, sha256(coalesce(i.k, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id
+"""
+
+OP12_SQL = """
+WITH drawn AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h FROM documents),
+told AS (SELECT doc_id, t, length(t)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM drawn),
+cut AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS z,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM told),
+parts AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, z - a) AS m, substring(t, z + 1, n - z) AS s FROM cut),
+made AS (SELECT *, CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END AS o FROM parts),
+placed AS (SELECT *, strpos(o, '<P>') AS ip, strpos(o, '<S>') AS i_s, strpos(o, '<M>') AS im FROM made)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN z - a END AS middle_chars, sha256(o) AS output_sha256,
+  sha256(CASE form WHEN 'psm' THEN substring(o, ip + 3, i_s - ip - 3) || substring(o, im + 3) || substring(o, i_s + 3, im - i_s - 3)
+    WHEN 'spm' THEN substring(o, ip + 3, im - ip - 3) || substring(o, im + 3) || substring(o, i_s + 3, ip - i_s - 3) ELSE o END) AS restored_sha256 FROM placed
+"""
+
 #: For ids that differ and aren't null, as the tables have them.
-ORACLES: dict[str, str] = {"op2_maglev_shards": OP2_SQL, "op4_run_index": OP4_SQL, "op5_systematic_mix": OP5_SQL, "op9_adaptive_rules": OP9_SQL, "op10_super_kmers": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_maglev_shards": OP2_SQL, "op4_run_index": OP4_SQL, "op5_systematic_mix": OP5_SQL, "op9_adaptive_rules": OP9_SQL, "op10_super_kmers": OP10_SQL, "op11_ngram_decontamination": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
