@@ -153,41 +153,84 @@ def rebuild_store(untouched_from: DataFrame, changed: DataFrame) -> DataFrame:
     return untouched_from.join(changed.select("id"), "id", "left_anti").unionByName(changed)
 
 
-def _patched(items: DataFrame, patches: DataFrame, values: dict[str, Column], now: Column) -> tuple[DataFrame, DataFrame]:
-    """(items with values where an id has a patch, ids that no item has). values see patch columns as p.<name>."""
-    one = patches.dropDuplicates(["id"])
-    packed = one.select(F.col("id").alias("_id"), F.struct(*one.columns).alias("p"))
+def fold_patches(patches: DataFrame, fields: list[str]) -> DataFrame:
+    """(id, fields): of each id and field the last value by seq that is not null, as if one patch after another were
+    applied. Aggregates, so many patches of one id are reduced where they are read. Of values with one seq the greatest
+    counts. Without a column seq nothing says which patch is the later, and a second one of an id fails."""
+    ordered = "seq" in patches.columns
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col("seq") if ordered else F.lit(0), F.col(c)))).alias(c)
+    folded = patches.groupBy("id").agg(*[last(c) for c in fields], F.count(F.lit(1)).alias("_n"))
+    if not ordered:
+        folded = folded.withColumn("id", F.when(F.col("_n") > 1, F.raise_error(F.lit("several patches of one id need a seq"))).otherwise(F.col("id")))
+    return folded.drop("_n")
+
+
+def _patched(items: DataFrame, patches: DataFrame, fields: list[str], now: Column) -> tuple[DataFrame, DataFrame]:
+    """(items with the last given value of each field where an id has patches, ids that no item has)."""
+    folded = fold_patches(patches, fields)
+    packed = folded.select(F.col("id").alias("_id"), F.struct(*fields).alias("_p"))
     joined = items.join(packed, F.col("id") == F.col("_id"), "left")
-    hit = F.col("_id").isNotNull()
-    values = {**values, "updated_at": now}
-    out = joined.select(*[F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in items.columns])
-    return out, one.join(items.select("id"), "id", "left_anti").select("id")
+    values = {c: F.coalesce(F.col(f"_p.{c}"), F.col(c)) for c in fields} | {"updated_at": F.when(F.col("_id").isNotNull(), now).otherwise(F.col("updated_at"))}
+    return joined.select(*[values.get(c, F.col(c)).alias(c) for c in items.columns]), folded.join(items.select("id"), "id", "left_anti").select("id")
 
 
 def update_status(items: DataFrame, patches: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(items, missing ids); patches (id, status) with a status that is none fail."""
+    """(items, missing ids); patches (id, status, seq) with a status that is none fail. Later patches win, see fold_patches()."""
     ok = F.coalesce(F.col("status").isin(lists.STATUSES), F.lit(False))
     checked = patches.withColumn("status", F.when(ok, F.col("status")).otherwise(F.raise_error(F.lit("status must be active, archived, or favorite"))))
-    return _patched(items, checked, {"status": F.col("p.status")}, now)
+    return _patched(items, checked, ["status"], now)
 
 
-def normalize_update(patches: DataFrame) -> DataFrame:
-    """Metadata patches with trimmed values, at most 20 different keywords; reject: a category that is blank."""
+METADATA_FIELDS = ["category", "keywords", "notes"]
+COVER_FIELDS = ["image_url", "remote_image_url", "cover_cached_at", "cover_checked_at"]
+
+
+def _tidied() -> dict[str, Column]:
     category = trim("category")
     words = F.slice(F.array_distinct(F.filter(F.transform("keywords", trim), lambda k: k != "")), 1, 20)
-    return patches.select("id", category.alias("category"), words.alias("keywords"), trim("notes").alias("notes"), (F.coalesce(category, F.lit("-")) == "").alias("reject"))
+    return {"category": category, "keywords": words, "notes": trim("notes"), "reject": F.coalesce(category, F.lit("-")) == ""}
+
+
+def normalize_update(patches: DataFrame) -> DataFrame:
+    """Metadata patches (and their seq) with trimmed values, at most 20 different keywords; reject: a category that is blank."""
+    order = ["seq"] if "seq" in patches.columns else []
+    return patches.select("id", *order, *[v.alias(c) for c, v in _tidied().items()])
 
 
 def update_metadata(items: DataFrame, patches: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(items, missing ids); only the given fields change; rejected patches change nothing."""
-    good = normalize_update(patches).where("not reject").drop("reject")
-    return _patched(items, good, {c: F.coalesce(F.col(f"p.{c}"), F.col(c)) for c in ("category", "keywords", "notes")}, now)
+    """(items, missing ids); only the given fields change, each to its last value by seq; rejected patches change nothing."""
+    return _patched(items, normalize_update(patches).where("not reject"), METADATA_FIELDS, now)
 
 
 def update_cover(items: DataFrame, patches: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(items, missing ids); cover_checked_at always changes, the others where given."""
-    values = {c: F.coalesce(F.col(f"p.{c}"), F.col(c)) for c in ("image_url", "remote_image_url", "cover_cached_at")}
-    return _patched(items, patches, {**values, "cover_checked_at": F.col("p.cover_checked_at")}, now)
+    """(items, missing ids); cover_checked_at is given by every patch, the others change where given."""
+    return _patched(items, patches, COVER_FIELDS, now)
+
+
+def apply_edits(items: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, outcome) after a log of edits of all kinds (schemas.EDIT_SCHEMA), one after another by seq, which differs.
+
+    A kind uses its own fields only: status, metadata (given ones change), cover (given ones change, cover_checked_at is
+    given), delete. updated_at becomes the time `at` of the item's last edit. outcome (seq, id, kind, result): rejected (a
+    status that is none, a blank category, an unknown kind: changes nothing), missing (no such item, or no longer), done.
+    An id's edits are folded field by field by aggregates, so an id may hold a large share of the log.
+    """
+    mine = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    tidy = F.struct(*[v.alias(c) for c, v in _tidied().items()])
+    known = F.coalesce(F.col("kind").isin("status", "metadata", "cover", "delete"), F.lit(False))
+    bad_status = (F.col("kind") == "status") & ~F.coalesce(F.col("status").isin(lists.STATUSES), F.lit(False))
+    checked = edits.withColumn("tidy", tidy).withColumn("_bad", ~known | bad_status | ((F.col("kind") == "metadata") & F.col("tidy.reject")))
+    fields = {"status": mine("status", "status")} | {c: mine("metadata", f"tidy.{c}") for c in METADATA_FIELDS} | {c: mine("cover", c) for c in COVER_FIELDS}
+    good = checked.where("not _bad").select("seq", "id", "kind", F.col("at").alias("updated_at"), *[v.alias(c) for c, v in fields.items()])
+    gone = good.where("kind = 'delete'").groupBy("id").agg(F.min("seq").alias("_gone"))
+    names = [*fields, "updated_at"]
+    folded = fold_patches(good, names).select(F.col("id").alias("_id"), F.struct(*names).alias("_p"))
+    left = items.join(gone.select("id"), "id", "left_anti").join(folded, F.col("id") == F.col("_id"), "left")
+    out = left.select(*[F.coalesce(F.col(f"_p.{c}"), F.col(c)).alias(c) if c in names else F.col(c) for c in items.columns])
+    here = items.select(F.col("id").alias("_here"))
+    told = checked.select("seq", "id", "kind", "_bad").join(gone, "id", "left").join(here, F.col("id") == F.col("_here"), "left")
+    result = F.when(F.col("_bad"), "rejected").when(F.col("_here").isNull() | (F.col("seq") > F.col("_gone")), "missing").otherwise("done")
+    return out, told.select("seq", "id", "kind", result.alias("result"))
 
 
 def delete_items(items: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -18,7 +18,7 @@ from curio.operators import store as S
 from curio.plans import demo as D
 from curio.plans.scratch import new_path, numbered
 from curio.sources import tables as R
-from curio.sources.schemas import ITEM_COLUMNS
+from curio.sources.schemas import EDIT_SCHEMA, ITEM_COLUMNS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -354,23 +354,67 @@ def _label_patches(spark, sf):
     return D.table(spark, sf, "labels").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), status.alias("status"), "quality", "toxic")
 
 
-@query(WITH_ITEMS + f"SELECT i.id, coalesce(CASE WHEN l.doc_id IS NULL THEN NULL WHEN l.quality = 0 THEN 'archived' ELSE 'favorite' END, i.status) AS status, epoch(CASE WHEN l.doc_id IS NULL THEN i.updated_at ELSE {NOW_SQL} END)::BIGINT AS updated_at FROM items i LEFT JOIN labels l ON i.id = 'doc-' || l.doc_id")
+def _edit_log(spark, sf):
+    """Events as edits of the items that their users' numbers name: many of an id, every kind, some of each rejected."""
+    n = F.col("event_id")
+    some = lambda m, value: F.when(n % m < 2, value)
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("status", "metadata", "cover", "metadata", "status", "cover", "like")]), (n % 7 + 1).cast("int"))
+    values = {
+        "seq": n, "id": F.concat(F.lit("doc-"), F.col("user_id").cast("string")), "kind": F.when(n % 211 == 0, "delete").otherwise(kind), "status": F.element_at(F.array(*[F.lit(s) for s in ("active", "archived", "favorite", "hidden")]), (F.floor(n / 7) % 4 + 1).cast("int")),
+        "category": some(3, F.when(n % 5 == 0, "  ").otherwise(F.concat(F.lit(" c"), (n % 10).cast("string"), F.lit(" ")))), "keywords": some(4, F.array(F.col("event_type"), F.lit(" "), F.concat(F.lit("k"), (n % 6).cast("string")))),
+        "notes": some(5, F.concat(F.lit(" note "), n.cast("string"))), "image_url": some(3, F.concat(F.lit("/media/"), n.cast("string"))), "remote_image_url": some(11, F.concat(F.lit("https://cdn.example.org/"), n.cast("string"))),
+        "cover_cached_at": some(4, F.timestamp_seconds(D.START + n)), "cover_checked_at": F.timestamp_seconds(D.START + n), "at": F.timestamp_seconds(D.START + 10 * n),
+    }
+    return D.table(spark, sf, "events").select(*[values[f.name].cast(f.dataType).alias(f.name) for f in EDIT_SCHEMA])
+
+
+EDITS_SQL = """raw_edits AS (SELECT event_id AS seq, 'doc-' || user_id AS id, event_type, CASE WHEN event_id % 211 = 0 THEN 'delete' ELSE (['status', 'metadata', 'cover', 'metadata', 'status', 'cover', 'like'])[event_id % 7 + 1] END AS kind,
+  (['active', 'archived', 'favorite', 'hidden'])[event_id // 7 % 4 + 1] AS status, CASE WHEN event_id % 3 < 2 THEN CASE WHEN event_id % 5 = 0 THEN '' ELSE 'c' || (event_id % 10) END END AS category,
+  CASE WHEN event_id % 4 < 2 THEN event_type || '|k' || (event_id % 6) END AS keywords, CASE WHEN event_id % 5 < 2 THEN 'note ' || event_id END AS notes, CASE WHEN event_id % 3 < 2 THEN '/media/' || event_id END AS image_url,
+  CASE WHEN event_id % 11 < 2 THEN 'https://cdn.example.org/' || event_id END AS remote_image_url, CASE WHEN event_id % 4 < 2 THEN 1700000000 + event_id END AS cover_cached_at, 1700000000 + event_id AS cover_checked_at, 1700000000 + 10 * event_id AS at_second FROM events),
+good_edits AS (SELECT * FROM raw_edits WHERE kind <> 'like' AND NOT (kind = 'status' AND status = 'hidden') AND NOT (kind = 'metadata' AND coalesce(category, '-') = ''))"""
+
+
+def _last(c: str, kind: str = "") -> str:
+    """The last value of a column that is given, of edits of a kind."""
+    return f"arg_max({c}, seq) FILTER (WHERE {c} IS NOT NULL" + (f" AND kind = '{kind}')" if kind else ")")
+
+
+@query(WITH_ITEMS + f", {EDITS_SQL}, p AS (SELECT id, {_last('status')} AS status FROM raw_edits WHERE status <> 'hidden' GROUP BY id) SELECT i.id, coalesce(p.status, i.status) AS status, epoch(CASE WHEN p.id IS NULL THEN i.updated_at ELSE {NOW_SQL} END)::BIGINT AS updated_at FROM items i LEFT JOIN p ON p.id = i.id")
 def update_status(spark, sf):
-    return flat(S.update_status(D.items(spark, sf), _label_patches(spark, sf), now())[0], "id", "status", "updated_at")
+    """Many patches of an id: the last counts."""
+    patches = _edit_log(spark, sf).where("status <> 'hidden'").select("seq", "id", "status")
+    return flat(S.update_status(D.items(spark, sf), patches, now())[0], "id", "status", "updated_at")
 
 
-@query(WITH_ITEMS + "SELECT i.id, CASE WHEN l.quality = 1 AND l.toxic = 1 THEN '新' ELSE i.category END AS category, CASE WHEN l.quality = 1 AND l.toxic = 1 THEN 'a|b' ELSE array_to_string(i.keywords, '|') END AS keywords, CASE WHEN l.quality = 1 THEN 'note' ELSE i.notes END AS notes FROM items i LEFT JOIN labels l ON i.id = 'doc-' || l.doc_id")
+@query(WITH_ITEMS + f", {EDITS_SQL}, p AS (SELECT id, {_last('category')} AS category, {_last('keywords')} AS keywords, {_last('notes')} AS notes FROM raw_edits WHERE coalesce(category, '-') <> '' GROUP BY id) SELECT i.id, coalesce(p.category, i.category) AS category, coalesce(p.keywords, array_to_string(i.keywords, '|')) AS keywords, coalesce(p.notes, i.notes) AS notes, epoch(CASE WHEN p.id IS NULL THEN i.updated_at ELSE {NOW_SQL} END)::BIGINT AS updated_at FROM items i LEFT JOIN p ON p.id = i.id")
 def update_metadata(spark, sf):
-    toxic = F.col("toxic") == 1
-    patches = _label_patches(spark, sf).where("quality = 1").select("id", F.when(toxic, " 新 ").alias("category"), F.when(toxic, F.array(F.lit("a"), F.lit(" b "), F.lit(""), F.lit("a"))).alias("keywords"), F.lit(" note").alias("notes"))
-    return flat(S.update_metadata(D.items(spark, sf), patches, now())[0], "id", "category", "keywords", "notes")
+    """Many patches of an id, each of some fields: of each field the last that was given counts."""
+    patches = _edit_log(spark, sf).select("seq", "id", "category", "keywords", "notes")
+    return flat(S.update_metadata(D.items(spark, sf), patches, now())[0], "id", "category", "keywords", "notes", "updated_at")
 
 
-@query(WITH_ITEMS + f"SELECT i.id, CASE WHEN l.quality = 1 THEN '/media/new.jpg' ELSE i.image_url END AS image_url, i.remote_image_url, epoch(CASE WHEN l.doc_id IS NULL THEN i.cover_checked_at ELSE {NOW_SQL} END)::BIGINT AS cover_checked_at FROM items i LEFT JOIN labels l ON i.id = 'doc-' || l.doc_id")
+@query(WITH_ITEMS + f", {EDITS_SQL}, p AS (SELECT id, {_last('image_url')} AS image_url, {_last('remote_image_url')} AS remote_image_url, {_last('cover_cached_at')} AS cached, {_last('cover_checked_at')} AS checked FROM raw_edits GROUP BY id) SELECT i.id, coalesce(p.image_url, i.image_url) AS image_url, coalesce(p.remote_image_url, i.remote_image_url) AS remote_image_url, cached::BIGINT AS cover_cached_at, coalesce(checked, epoch(i.cover_checked_at))::BIGINT AS cover_checked_at FROM items i LEFT JOIN p ON p.id = i.id")
 def update_cover(spark, sf):
-    none = F.lit(None).cast("string")
-    patches = _label_patches(spark, sf).select("id", F.when(F.col("quality") == 1, "/media/new.jpg").alias("image_url"), none.alias("remote_image_url"), F.lit(None).cast("timestamp").alias("cover_cached_at"), now().alias("cover_checked_at"))
-    return flat(S.update_cover(D.items(spark, sf), patches, now())[0], "id", "image_url", "remote_image_url", "cover_checked_at")
+    return flat(S.update_cover(D.items(spark, sf), _edit_log(spark, sf).drop("kind", "status", "category", "keywords", "notes", "at"), now())[0], "id", *S.COVER_FIELDS)
+
+
+GONE_SQL = "gone AS (SELECT id, min(seq) AS s FROM good_edits WHERE kind = 'delete' GROUP BY id)"
+
+
+@query(WITH_ITEMS + f""", {EDITS_SQL}, {GONE_SQL}, p AS (SELECT id, {_last('status', 'status')} AS status, {_last('category', 'metadata')} AS category, {_last('keywords', 'metadata')} AS keywords, {_last('notes', 'metadata')} AS notes, {_last('image_url', 'cover')} AS image_url,
+  {_last('remote_image_url', 'cover')} AS remote_image_url, {_last('cover_cached_at', 'cover')} AS cached, {_last('cover_checked_at', 'cover')} AS checked, arg_max(at_second, seq) AS updated FROM good_edits GROUP BY id)
+SELECT i.id, coalesce(p.status, i.status) AS status, coalesce(p.category, i.category) AS category, coalesce(p.keywords, array_to_string(i.keywords, '|')) AS keywords, coalesce(p.notes, i.notes) AS notes, coalesce(p.image_url, i.image_url) AS image_url, coalesce(p.remote_image_url, i.remote_image_url) AS remote_image_url,
+  cached::BIGINT AS cover_cached_at, coalesce(checked, epoch(i.cover_checked_at))::BIGINT AS cover_checked_at, coalesce(updated, epoch(i.updated_at))::BIGINT AS updated_at FROM items i LEFT JOIN p ON p.id = i.id WHERE i.id NOT IN (SELECT id FROM gone)""")
+def apply_edits(spark, sf):
+    """A log of edits of every kind, deletions among them."""
+    edited, _ = S.apply_edits(D.items(spark, sf), _edit_log(spark, sf))
+    return flat(edited, "id", "status", *S.METADATA_FIELDS, *S.COVER_FIELDS, "updated_at")
+
+
+@query(WITH_ITEMS + f""", {EDITS_SQL}, {GONE_SQL} SELECT seq, e.id, kind, CASE WHEN seq NOT IN (SELECT seq FROM good_edits) THEN 'rejected' WHEN e.id NOT IN (SELECT id FROM items) OR coalesce(seq > s, false) THEN 'missing' ELSE 'done' END AS result FROM raw_edits e LEFT JOIN gone g ON g.id = e.id""")
+def edit_outcomes(spark, sf):
+    return S.apply_edits(D.items(spark, sf), _edit_log(spark, sf))[1]
 
 
 @query(WITH_ITEMS + "SELECT id FROM items WHERE id NOT IN (SELECT 'doc-' || doc_id FROM labels)")

@@ -37,3 +37,7 @@ PAGE_SCHEMA = T.StructType([*_fields("source_url final_url"), T.StructField("htt
 RENDERED_SCHEMA = T.StructType([T.StructField("ok", T.BooleanType()), *_fields("source_url final_url? title? description? author? image_url? content_text? extractor?")])
 PAYLOAD_SCHEMA = T.StructType(_fields("platform post_id payload?"))
 REPLY_SCHEMA = T.StructType(_fields("item_key reply?"))
+#: A log of edits, see store.apply_edits(): of each row the fields of its kind count.
+EDIT_SCHEMA = T.StructType(
+    [T.StructField("seq", T.LongType()), *_fields("id kind status? category? keywords[] notes? image_url? remote_image_url?"), T.StructField("cover_cached_at", TIME), T.StructField("cover_checked_at", TIME), T.StructField("at", TIME)]
+)

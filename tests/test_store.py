@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from curio.operators import query as Q
 from curio.operators import store as S
-from curio.sources.schemas import ITEM_COLUMNS
+from curio.sources.schemas import EDIT_SCHEMA, ITEM_COLUMNS
 from tests.helpers import START, item, items
 
 
@@ -122,3 +122,54 @@ def test_long_chains_are_one_component(spark):
     pairs = spark.createDataFrame([(r["id"], r["final_url"]) for r in rows_in], "id string, final_url string")
     labels = {r["component"] for r in S._tangled_labels(pairs).collect()}
     assert labels == {"a000"}
+
+
+def sequential(rows, edits):
+    """A store that takes one edit after another."""
+    store, told = {r["id"]: dict(r) for r in rows}, {}
+    for e in sorted(edits, key=lambda e: e["seq"]):
+        tidy = lambda t: None if t is None else t.strip()
+        bad = e["kind"] == "like" or (e["kind"] == "status" and e["status"] not in ("active", "archived", "favorite")) or (e["kind"] == "metadata" and tidy(e["category"]) == "")
+        item = store.get(e["id"])
+        told[e["seq"]] = "rejected" if bad else "missing" if item is None else "done"
+        if told[e["seq"]] != "done":
+            continue
+        if e["kind"] == "delete":
+            del store[e["id"]]
+            continue
+        new = {"status": {"status": e["status"]}, "metadata": {"category": tidy(e["category"]), "keywords": e["keywords"] and [k for k in dict.fromkeys(x.strip() for x in e["keywords"]) if k][:20], "notes": tidy(e["notes"])}}
+        given = new.get(e["kind"]) or {c: e[c] for c in ("image_url", "remote_image_url", "cover_cached_at", "cover_checked_at")}
+        item.update({k: v for k, v in given.items() if v is not None} | {"updated_at": e["at"]})
+    return store, told
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_edits_as_one_after_another(spark, seed):
+    rng = random.Random(seed)
+    rows = [item(f"i{k}", f"https://example.org/{k}", k) for k in range(30)]
+    some = lambda *values: rng.choice([None, *values])
+    names = EDIT_SCHEMA.fieldNames()
+    edits = []
+    for seq in rng.sample(range(10_000), 400):
+        at = START + timedelta(hours=seq)
+        edits.append({
+            "seq": seq, "id": f"i{rng.choice([0, 0, 0, rng.randrange(40)])}", "kind": rng.choices(["status", "metadata", "cover", "delete", "like"], [9, 9, 9, 1, 1])[0], "status": some("active", "archived", "favorite", "gone"), "category": some(" 新 ", "b", "　"),
+            "keywords": some(["a", " a", " "], [], [str(k) for k in range(30)]), "notes": some("", " n "), "image_url": some("x", "y"), "remote_image_url": some("z"), "cover_cached_at": some(at), "cover_checked_at": at, "at": at,
+        })
+    log = spark.createDataFrame([tuple(e[c] for c in names) for e in edits], EDIT_SCHEMA).repartition(3)
+    got, told = S.apply_edits(items(spark, rows), log)
+    want, results = sequential(rows, edits)
+    assert {r["id"]: r.asDict() for r in got.collect()} == want
+    assert {r["seq"]: r["result"] for r in told.collect()} == results
+
+
+def test_two_patches_of_one_id(spark):
+    stored = items(spark, [item("i1"), item("i2", "https://example.org/2")])
+    now = F.lit(START + timedelta(days=9))
+    patches = spark.createDataFrame([(1, "i1", "c", None), (2, "i1", None, "n"), (3, "i9", "x", None)], "seq int, id string, category string, notes string").withColumn("keywords", F.lit(None).cast("array<string>"))
+    got, missing = S.update_metadata(stored, patches, now)
+    assert {r["id"]: (r["category"], r["notes"]) for r in got.collect()} == {"i1": ("c", "n"), "i2": ("技术", "")} and [r["id"] for r in missing.collect()] == ["i9"]
+    states = spark.createDataFrame([(1, "i1", "archived"), (2, "i1", "favorite")], "seq int, id string, status string")
+    assert S.update_status(stored, states, now)[0].where("id = 'i1'").first()["status"] == "favorite"
+    with pytest.raises(Exception, match="need a seq"):
+        S.update_status(stored, states.drop("seq"), now)[0].collect()
