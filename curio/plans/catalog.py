@@ -15,6 +15,7 @@ from curio.operators import items as I
 from curio.operators import pages as P
 from curio.operators import query as Q
 from curio.operators import store as S
+from curio.operators import trees as X
 from curio.plans import demo as D
 from curio.plans.scratch import new_path, numbered
 from curio.sources import tables as R
@@ -201,7 +202,7 @@ API_SQL = f"""api AS MATERIALIZED (SELECT doc_id, platform, (doc_id + 1000000000
 
 @query(f"WITH {API_SQL} SELECT platform, post_id, title, author, description, original_text FROM api WHERE title IS NOT NULL OR description IS NOT NULL OR original_text IS NOT NULL")
 def api_metadata(spark, sf):
-    parsed = _payloads(spark, sf).select("platform", "post_id", P.api_parse("platform", "payload").alias("m")).where(P.says_something("m"))
+    parsed = _payloads(spark, sf).select("platform", "post_id", X.api_payload("platform", "payload").alias("m")).where(P.says_something("m"))
     return parsed.select("platform", "post_id", "m.title", "m.author", "m.description", "m.original_text")
 
 
@@ -443,13 +444,13 @@ def merge_pages(spark, sf):
 
 @query()
 def page_metadata(spark, sf):
-    parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse("html", U.platform_for_url("url"), P.may_be_note(U.platform_for_url("url"), "url"), U.xhs_note_id("url")).alias("f"))
+    parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse("html", P.may_be_note(U.platform_for_url("url"), "url"), U.xhs_note_id("url")).alias("f"))
     return parsed.select("page_id", "f.page.title", "f.page.description", "f.page.author", "f.page.image_url", F.length("f.page.content_text").alias("visible"), F.length("f.page.original_text").alias("formatted"))
 
 
 @query()
 def visible_text(spark, sf):
-    parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse("html", F.lit(""), F.lit(False), F.lit("")).alias("f"))
+    parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse("html", F.lit(False), F.lit("")).alias("f"))
     return parsed.select("page_id", F.col("f.page.content_text").alias("content_text"), F.col("f.page.original_text").alias("original_text"))
 
 
@@ -461,15 +462,15 @@ def state_metadata(spark, sf):
     """Landed pages wrapped as page state of a video platform."""
     video = F.struct(F.concat(F.lit("Video "), "page_id").alias("title"), T.plain_text_preview("html").alias("desc"), F.struct(F.lit("up").alias("name")).alias("owner"), F.lit("//i.example.org/p").alias("pic"))
     state = F.concat(F.lit("<script>window.__INITIAL_STATE__="), F.to_json(F.struct(video.alias("videoData"))), F.lit(";</script>"))
-    parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse(state, F.lit("哔哩哔哩"), F.lit(False), F.lit("")).alias("f"))
-    return parsed.select("page_id", "f.state.*")
+    parsed = D.table(spark, sf, "pages").select("page_id", X.page_state(state, F.lit("哔哩哔哩")).alias("f"))
+    return parsed.select("page_id", "f.*")
 
 
 @query(f"SELECT page_id, url AS title, nullif({D.clean_sql('x')}, '') AS description, 'someone' AS author FROM (SELECT page_id, url, {PREVIEW_SQL} AS x FROM pages)")
 def xhs_metadata(spark, sf):
     """Landed pages wrapped as a note's page state."""
     state = F.concat(F.lit("<script>window.__S={\"noteDetailMap\":"), F.to_json(F.struct(F.col("url").alias("title"), T.plain_text_preview("html").alias("desc"), F.lit("someone").alias("nickname"))), F.lit("}</script>"))
-    parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse(state, F.lit(lists.NOTE_PLATFORM), F.lit(True), F.lit("")).alias("f"))
+    parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse(state, F.lit(True), F.lit("")).alias("f"))
     return parsed.select("page_id", "f.note.title", "f.note.description", "f.note.author")
 
 

@@ -61,7 +61,7 @@ def pages(n):
 def test_pages_of_known_parts(spark):
     made = list(pages(200))
     rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(made)], "i long, html string")
-    got = {r["i"]: r["page"] for r in rows.select("i", P.page_parse("html", F.lit(""), F.lit(False), F.lit("")).alias("f")).select("i", "f.page").collect()}
+    got = {r["i"]: r["page"] for r in rows.select("i", P.page_parse("html", F.lit(False), F.lit("")).alias("f")).select("i", "f.page").collect()}
     for i, (html, want) in enumerate(made):
         page = got[i]
         assert {k: page[k] for k in ("title", "description", "author", "image_url")} == {k: want[k] for k in ("title", "description", "author", "image_url")}, html
