@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,6 +120,11 @@ def _order(rest: Column, keys: list[str], others: bool = False) -> Column:
     return F.transform(rest, lambda s: F.when(s["key"].isNull(), s["at"]).when(rank(s) > 0, rank(s)).otherwise(len(keys) + 1 + s["at"] if others else F.lit(-1)))
 
 
+def _some(text: Column) -> Column:
+    """text, or null if it is empty."""
+    return once(text, lambda t: F.when(t != "", t))
+
+
 def _image(text: Column) -> Column:
     """A text as an image's URL, or null."""
     return once(clean_text(text), lambda u: F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).when(u.startswith("http://") | u.startswith("https://"), u))
@@ -129,9 +134,9 @@ def _ranked(reads: Column, keys: Column, mode: str) -> Column:
     """The readable leaves of reads (key, parent, rest, text, plain) under one of keys, as (rank, parent, order, value,
     steps); mode is how a value is read: clean, whole or image."""
     names, others = {"clean": (TEXT_KEYS, False), "whole": (WHOLE_KEYS, False), "image": (IMAGE_KEYS, True)}[mode]
-    value = {"clean": clean_text, "whole": clean_original_text, "image": _image}[mode]
+    value = {"clean": lambda c: _some(clean_text(c)), "whole": lambda c: _some(clean_original_text(c)), "image": _image}[mode]
     under = F.filter(reads, lambda r: F.array_contains(keys, r["key"]) & (r["plain"] if mode == "image" else F.lit(True)))
-    told = F.transform(under, lambda r: F.struct(F.array_position(keys, r["key"]).alias("rank"), r["parent"].alias("parent"), _order(r["rest"], names, others).alias("order"), F.nullif(value(r["text"]), F.lit("")).alias("value"), F.transform(r["rest"], lambda s: s["key"].isNotNull()).alias("named")))
+    told = F.transform(under, lambda r: F.struct(F.array_position(keys, r["key"]).alias("rank"), r["parent"].alias("parent"), _order(r["rest"], names, others).alias("order"), value(r["text"]).alias("value"), F.transform(r["rest"], lambda s: s["key"].isNotNull()).alias("named")))
     return F.filter(told, lambda r: r["value"].isNotNull() & ~F.array_contains(r["order"], -1))
 
 
@@ -199,8 +204,8 @@ def state_found(leaves: Column, platform: Column) -> Column:
         return of(
             lambda own: F.struct(
                 F.coalesce(first_meaningful_line(_joined(own, titles)), _first(own, titles, "clean")).alias("title"), plain_text_preview(_first(own, descriptions, "clean")).alias("description"),
-                truncate_chars(F.nullif(plain_text_preview(_first(own, authors, "clean")), F.lit("")), 80).alias("author"), _first(own, images, "image").alias("image_url"),
-                F.nullif(html_to_formatted_text(_joined(own, descriptions)), F.lit("")).alias("original_text"),
+                truncate_chars(_some(plain_text_preview(_first(own, authors, "clean"))), 80).alias("author"), _first(own, images, "image").alias("image_url"),
+                _some(html_to_formatted_text(_joined(own, descriptions))).alias("original_text"),
             )
         )
 
@@ -210,7 +215,7 @@ def state_found(leaves: Column, platform: Column) -> Column:
         places = [place(c) for c in ("title", "description", "image_url")]
         last = F.when((places[0] > 0) & (places[1] > 0) & (places[2] > 0), F.greatest(*places)).otherwise(F.size(each).cast("long"))
         seen = F.slice(each, F.lit(1), last.cast("int"))
-        whole = F.coalesce(first("original_text", seen), F.nullif(clean_original_text(first("description", seen)), F.lit("")))
+        whole = F.coalesce(first("original_text", seen), _some(clean_original_text(first("description", seen))))
         return F.struct(*[(whole if c == "original_text" else first(c, seen)).alias(c) for c in FOUND])
 
     wanted = F.concat(titles, descriptions, authors, images)
@@ -220,7 +225,12 @@ def state_found(leaves: Column, platform: Column) -> Column:
 
 def _at(leaves: Column, *path: str) -> Column:
     """Leaves at or below a path of keys, as the reads of its last key."""
-    along = lambda leaf: F.forall(F.sequence(F.lit(1), F.lit(len(path))), lambda i: F.coalesce(F.get(leaf["steps"], i - 1)["key"] == F.get(F.array(*[F.lit(p) for p in path]), i - 1), F.lit(False)))
+    def along(leaf: Column) -> Column:
+        out = F.lit(True)
+        for i, key in enumerate(path):
+            out = out & F.coalesce(F.get(leaf["steps"], F.lit(i))["key"] == key, F.lit(False))
+        return out
+
     return F.transform(
         F.filter(leaves, along),
         lambda leaf: F.struct(F.lit(path[-1]).alias("key"), F.array().cast("array<int>").alias("parent"), F.slice(leaf["steps"], len(path) + 1, F.size(leaf["steps"])).alias("rest"), leaf["text"].alias("text"), leaf["plain"].alias("plain")),
@@ -251,24 +261,26 @@ def payload_found(leaves: Column, platform: Column, payload: Column) -> Column:
         "original_text": once(read("whole", "content"), lambda t: F.when(t.isNotNull(), truncate_chars(html_to_formatted_text(t), 12_000)).otherwise(read("whole", "excerpt"))),
         "image_url": said([read("image", "thumbnail"), read("image", "author", "avatar_url")]),
     }
-    spoken = said([read("clean", "text_raw"), plain_text_preview(read("clean", "text"))])
     status = {
-        "title": truncate_chars(spoken, 80), "author": read("clean", "user", "screen_name"), "description": spoken, "original_text": said([read("whole", "text_raw"), html_to_formatted_text(read("whole", "text"))]),
+        "author": read("clean", "user", "screen_name"), "description": said([read("clean", "text_raw"), plain_text_preview(read("clean", "text"))]), "original_text": said([read("whole", "text_raw"), html_to_formatted_text(read("whole", "text"))]),
         "image_url": said([_first(_pictures(leaves), F.array(F.lit("url")), "image"), read("image", "page_info", "page_pic")]),
     }
     row = lambda values: F.struct(*[values[c].alias(c) for c in FOUND])
+    # A status is titled by what it says.
+    titled = once(F.struct(*[v.alias(c) for c, v in status.items()]), lambda f: F.struct(truncate_chars(f["description"], 80).alias("title"), *[f[c].alias(c) for c in FOUND[1:]]))
     failed = F.coalesce(F.array_contains(F.json_object_keys(payload), "error"), F.lit(False))
-    return meaningful(F.when(platform == "知乎", row(answer)).when((platform == "微博") & ~failed, row(status)))
+    return meaningful(F.when(platform == "知乎", row(answer)).when((platform == "微博") & ~failed, titled))
 
 
-def page_state(body: Column | str, platform: Column | str) -> Column:
-    """The struct FOUND of a page's state, null where there is none."""
-    named = lambda c: F.col(c) if isinstance(c, str) else c
-    return once(json_leaves(state_sources(named(body), named(platform))), lambda leaves: state_found(leaves, named(platform)))
+def with_page_state(rows: DataFrame, name: str, body: str = "body", platform: str = "platform") -> DataFrame:
+    """rows with the struct FOUND of a page's state, null where there is none. A generator of one row keeps later
+    filters and columns from working it out again."""
+    state = once(json_leaves(state_sources(F.col(body), F.col(platform))), lambda leaves: state_found(leaves, F.col(platform)))
+    return rows.select("*", F.explode(F.array(state)).alias(name))
 
 
-def api_payload(platform: Column | str, payload: Column | str) -> Column:
-    """The struct FOUND of an API payload, null where it says nothing."""
-    named = lambda c: F.col(c) if isinstance(c, str) else c
-    leaves = json_leaves(F.array_compact(F.array(F.concat(F.lit("="), named(payload)))))
-    return once(leaves, lambda found: payload_found(found, named(platform), named(payload)))
+def with_api_payload(rows: DataFrame, name: str, platform: str = "platform", payload: str = "payload") -> DataFrame:
+    """rows with the struct FOUND of an API payload, null where it says nothing."""
+    leaves = json_leaves(F.array_compact(F.array(F.concat(F.lit("="), F.col(payload)))))
+    found = once(leaves, lambda own: payload_found(own, F.col(platform), F.col(payload)))
+    return rows.select("*", F.explode(F.array(found)).alias(name))

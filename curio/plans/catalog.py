@@ -202,7 +202,7 @@ API_SQL = f"""api AS MATERIALIZED (SELECT doc_id, platform, (doc_id + 1000000000
 
 @query(f"WITH {API_SQL} SELECT platform, post_id, title, author, description, original_text FROM api WHERE title IS NOT NULL OR description IS NOT NULL OR original_text IS NOT NULL")
 def api_metadata(spark, sf):
-    parsed = _payloads(spark, sf).select("platform", "post_id", X.api_payload("platform", "payload").alias("m")).where(P.says_something("m"))
+    parsed = X.with_api_payload(_payloads(spark, sf), "m").where(P.says_something("m"))
     return parsed.select("platform", "post_id", "m.title", "m.author", "m.description", "m.original_text")
 
 
@@ -462,7 +462,7 @@ def state_metadata(spark, sf):
     """Landed pages wrapped as page state of a video platform."""
     video = F.struct(F.concat(F.lit("Video "), "page_id").alias("title"), T.plain_text_preview("html").alias("desc"), F.struct(F.lit("up").alias("name")).alias("owner"), F.lit("//i.example.org/p").alias("pic"))
     state = F.concat(F.lit("<script>window.__INITIAL_STATE__="), F.to_json(F.struct(video.alias("videoData"))), F.lit(";</script>"))
-    parsed = D.table(spark, sf, "pages").select("page_id", X.page_state(state, F.lit("哔哩哔哩")).alias("f"))
+    parsed = X.with_page_state(D.table(spark, sf, "pages").select("page_id", state.alias("body"), F.lit("哔哩哔哩").alias("platform")), "f")
     return parsed.select("page_id", "f.*")
 
 

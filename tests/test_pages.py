@@ -52,12 +52,12 @@ def test_note_state(spark):
 
 
 def state(spark, platform, html):
-    found = spark.createDataFrame([(platform, html)], "platform string, html string").select(X.page_state("html", "platform").alias("f")).first()["f"]
+    found = X.with_page_state(spark.createDataFrame([(platform, html)], "platform string, body string"), "f").first()["f"]
     return found and found.asDict()
 
 
 def payload(spark, platform, text):
-    found = spark.createDataFrame([(platform, text)], "platform string, p string").select(X.api_payload("platform", "p").alias("f")).first()["f"]
+    found = X.with_api_payload(spark.createDataFrame([(platform, text)], "platform string, payload string"), "f").first()["f"]
     return found and found.asDict()
 
 
