@@ -197,9 +197,9 @@ def meaningful(found: Column) -> Column:
 def state_found(leaves: Column, platform: Column) -> Column:
     """What page states say (FOUND), or null. Of each field the first source that has it counts; sources after the one
     that completes title, description and image count for nothing."""
-    titles, descriptions, authors, images = (_keys(platform, i) for i in range(1, 5))
 
-    def told(reads: Column, source: Column) -> Column:
+    def told(reads: Column, source: Column, keys: Column) -> Column:
+        titles, descriptions, authors, images = (keys[c] for c in ("t", "d", "a", "i"))
         of = lambda f: once(F.filter(reads, lambda r: r["source"] == source), f)
         return of(
             lambda own: F.struct(
@@ -218,8 +218,11 @@ def state_found(leaves: Column, platform: Column) -> Column:
         whole = F.coalesce(first("original_text", seen), _some(clean_original_text(first("description", seen))))
         return F.struct(*[(whole if c == "original_text" else first(c, seen)).alias(c) for c in FOUND])
 
-    wanted = F.concat(titles, descriptions, authors, images)
-    each = once(_reads(leaves, wanted), lambda reads: F.transform(F.array_sort(F.array_distinct(F.transform(reads, lambda r: r["source"]))), lambda s: told(reads, s)))
+    def by_source(keys: Column) -> Column:
+        sources = lambda reads: F.array_sort(F.array_distinct(F.transform(reads, lambda r: r["source"])))
+        return once(_reads(leaves, F.concat(*[keys[c] for c in "tdai"])), lambda reads: F.transform(sources(reads), lambda s: told(reads, s, keys)))
+
+    each = once(F.struct(*[_keys(platform, i + 1).alias(c) for i, c in enumerate("tdai")]), by_source)
     return meaningful(once(each, chosen))
 
 

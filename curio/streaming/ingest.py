@@ -1,4 +1,4 @@
-"""Shares that arrive as files become items of a store, batch by batch."""
+"""Shares that arrive as files become items of an addressed store, batch by batch."""
 
 from __future__ import annotations
 
@@ -6,11 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from curio.operators.addressed import Store
 from curio.operators.items import ingest_shares
-from curio.operators.store import upsert_changes
 from curio.plans.scratch import numbered
 from curio.sources import schemas as S
 
@@ -22,36 +21,31 @@ def read_share_stream(spark: SparkSession, folder: str, files_per_batch: int = 1
 
 
 def load(spark: SparkSession, store: str, before: int | None = None) -> DataFrame:
-    """The items of a store of ingest(), of the batches before that number if one is given: of each id the row of the
-    latest batch."""
-    rows = spark.read.schema(T.StructType([*S.ITEM_SCHEMA.fields, T.StructField("batch", T.LongType())])).parquet(store)
-    if before is not None:
-        rows = rows.where(F.col("batch") < before)
-    latest = rows.groupBy("id").agg(F.max_by(F.struct(*S.ITEM_COLUMNS), "batch").alias("i"))
-    return latest.select("i.*")
+    """The items of a store of ingest(), of the batches before that number if one is given."""
+    return Store.open(spark, store).load(before)
 
 
-def compact(spark: SparkSession, store: str, into: str) -> None:
-    """Writes the items of a store into a new one, as its first batch; for between two runs, when many batches lie there."""
-    load(spark, store).write.mode("overwrite").parquet(f"{into}/batch=-1")
+def compact(spark: SparkSession, store: str, into: str, buckets: int = 64) -> None:
+    """Writes the items of a store into a new one with that many buckets, as its first batch; for between two runs."""
+    Store.open(spark, store).rehash(into, buckets)
 
 
-def ingest(shares: DataFrame, pages: Callable[[], DataFrame], store: str, checkpoint: str, now: Callable | None = None) -> StreamingQuery:
-    """Runs until all shares that have arrived are in the store, a folder of tables named batch=<number>.
+def ordered(batch: DataFrame) -> DataFrame:
+    """The shares of a batch with seq: a total order, as the store's semantics ask."""
+    return numbered(batch, ["arrived", "file", "place", F.xxhash64("url", "shared_text", "source_app")], "seq").drop("arrived", "file", "place")
 
-    A batch writes the items that it makes or touches, nothing else, as newer rows of their ids. It reads the batches
-    before it, so one that is run again after a failure writes the same table once more, in place of the first. A late
-    share is merged by its keys like any other, so there is no watermark; ids come from URLs.
+
+def ingest(shares: DataFrame, pages: Callable[[], DataFrame], store: str, checkpoint: str, now: Callable | None = None, buckets: int = 64) -> StreamingQuery:
+    """Runs until all shares that have arrived are in the store.
+
+    A batch reads the buckets of the store that its ids and URLs fall into, of the batches before it, and writes the
+    items that it makes or touches into the same buckets. One that is run again after a failure writes the same once
+    more, in place of the first. A late share is merged by its keys like any other, so there is no watermark; ids come
+    from URLs.
     """
-    spark = shares.sparkSession
-    spark.createDataFrame([], S.ITEM_SCHEMA).write.mode("overwrite").parquet(f"{store}/batch=-2")
+    held = Store.open(shares.sparkSession, store, buckets)
 
     def take(batch: DataFrame, number: int) -> None:
-        # A total order, as the store's semantics ask.
-        order = ["arrived", "file", "place", F.xxhash64("url", "shared_text", "source_app")]
-        placed = numbered(batch, order, "seq").drop("arrived", "file", "place")
-        at = now() if now else F.current_timestamp()
-        _, changed, _, _ = upsert_changes(load(spark, store, number), ingest_shares(placed, pages(), at))
-        changed.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        held.upsert(number, ingest_shares(ordered(batch), pages(), now() if now else F.current_timestamp()))
 
     return shares.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -51,65 +51,62 @@ def test_note_state(spark):
     assert got["original_text"] == "第一行\n第二行" and got["content_text"] == "周末 第一行 第二行"
 
 
-def state(spark, platform, html):
-    found = X.with_page_state(spark.createDataFrame([(platform, html)], "platform string, body string"), "f").first()["f"]
-    return found and found.asDict()
+def states(spark, *pages):
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "i int, platform string, body string").coalesce(1)
+    return [r["f"] and r["f"].asDict() for r in sorted(X.with_page_state(rows, "f").collect())]
 
 
-def payload(spark, platform, text):
-    found = X.with_api_payload(spark.createDataFrame([(platform, text)], "platform string, payload string"), "f").first()["f"]
-    return found and found.asDict()
+def payloads(spark, *said):
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(said)], "i int, platform string, payload string").coalesce(1)
+    return [r["f"] and r["f"].asDict() for r in sorted(X.with_api_payload(rows, "f").collect())]
+
+
+def tree(value):
+    return "哔哩哔哩", f"x window.__INITIAL_STATE__={json.dumps(value)};(function(){{}})()"
 
 
 def test_platform_states(spark):
-    bili = state(spark, "哔哩哔哩", 'x window.__INITIAL_STATE__={"v":{"title":"标题够长","desc":"<b>d</b>","pic":"//i.org/p","owner":{"name":"up"}}};(function(){})()')
+    bili, ld, douyin, *nothing, zhihu = states(
+        spark, tree({"v": {"title": "标题够长", "desc": "<b>d</b>", "pic": "//i.org/p", "owner": {"name": "up"}}}),
+        ("YouTube", '<script type="application/ld+json">{"@graph":[{"name":"Video name","description":"d e","thumbnailUrl":["https://i.org/t"],"author":"ch"}]}</script>'),
+        ("抖音", '<script id="RENDER_DATA">%7B%22desc%22%3A%22hello%20there%22%7D</script>'), ("GitHub", ""), ("微博", "<p>"), ("微博", None), ("哔哩哔哩", "window.__INITIAL_STATE__={broken"),
+        ("知乎", '<script id="js-initialData">{"a":{"name":"Ann","question":{"title":"Why though"}},"excerpt":"short"}</script>'),
+    )
     assert bili == {"title": "标题够长", "description": "d", "author": "up", "image_url": "https://i.org/p", "original_text": "d"}
-    ld = state(spark, "YouTube", '<script type="application/ld+json">{"@graph":[{"name":"Video name","description":"d e","thumbnailUrl":["https://i.org/t"],"author":"ch"}]}</script>')
     assert (ld["title"], ld["image_url"], ld["author"]) == ("Video name", "https://i.org/t", "ch")
-    douyin = state(spark, "抖音", '<script id="RENDER_DATA">%7B%22desc%22%3A%22hello%20there%22%7D</script>')
-    assert douyin["title"] == "hello there"
-    assert state(spark, "GitHub", "") is None and state(spark, "微博", "<p>") is None and state(spark, "微博", None) is None
-    zhihu = state(spark, "知乎", '<script id="js-initialData">{"a":{"name":"Ann","question":{"title":"Why though"}},"excerpt":"short"}</script>')
+    assert douyin["title"] == "hello there" and nothing == [None] * 4
     assert (zhihu["title"], zhihu["author"], zhihu["description"]) == ("Why though", "Ann", "short")
 
 
 def test_order_of_a_tree(spark):
     """Key by key; for a key an object's own entry before those of its children, children by the order of their keys."""
-    def title(tree):
-        return (state(spark, "哔哩哔哩", f"window.__INITIAL_STATE__={json.dumps(tree)}") or {}).get("title")
-
-    assert title({"b": {"title": "deep one"}, "title": "own one"}) == "own one"
-    assert title({"b": {"title": "second"}, "a": {"c": {"title": "first"}}}) == "first"
-    assert title({"name": "by name", "z": {"title": "by title"}}) == "by title"
-    assert title({"a": {"title": ""}, "b": {"title": {"other": "x"}}, "c": {"title": {"text": "in text"}}}) == "in text"
-    assert title({"title": [{"title": "nope", "text": "yes yes"}, "more"]}) == "yes yes"
-    assert title({"title": 12345}) == "12345" and title({"title": True}) is None
-    assert title({"title": "abc"}) == "abc"  # too short for a line, but the only one
-    broken = state(spark, "哔哩哔哩", "window.__INITIAL_STATE__={broken")
-    assert broken is None
-
-
-def test_whole_texts_of_arrays_are_lines(spark):
-    text = {"desc": ["one", {"text": "two", "name": "no"}, {"name": ["three", "four"]}, {"other": "no"}]}
-    got = state(spark, "哔哩哔哩", f"window.__INITIAL_STATE__={json.dumps(text)}")
-    assert got["original_text"] == "one\ntwo\nthree\nfour" and got["description"] == "one"
+    cases = [
+        ({"b": {"title": "deep one"}, "title": "own one"}, "own one"), ({"b": {"title": "second"}, "a": {"c": {"title": "first"}}}, "first"), ({"name": "by name", "z": {"title": "by title"}}, "by title"),
+        ({"a": {"title": ""}, "b": {"title": {"other": "x"}}, "c": {"title": {"text": "in text"}}}, "in text"), ({"title": [{"title": "nope", "text": "yes yes"}, "more"]}, "yes yes"),
+        ({"title": 12345}, "12345"), ({"title": True}, None), ({"title": "abc"}, "abc"),
+    ]
+    got = states(spark, *[tree(t) for t, _ in cases], tree({"desc": ["one", {"text": "two", "name": "no"}, {"name": ["three", "four"]}, {"other": "no"}]}))
+    assert [g and g["title"] for g in got[:-1]] == [w for _, w in cases]
+    assert got[-1]["original_text"] == "one\ntwo\nthree\nfour" and got[-1]["description"] == "one"
 
 
 def test_sources_after_the_complete_one_say_nothing(spark):
     one = {"title": "the title", "description": "words", "thumbnailUrl": "https://i.org/1"}
     html = "".join(f'<script type="application/ld+json">{json.dumps(x)}</script>' for x in ({"headline": "x"}, one, {"author": "late", "title": "no"}))
-    got = state(spark, "YouTube", html)
+    got, later = states(spark, ("YouTube", html), ("YouTube", html.replace("https://i.org/1", "no")))
     assert got == {"title": "x", "description": "words", "author": None, "image_url": "https://i.org/1", "original_text": "words"}
-    assert state(spark, "YouTube", html.replace("https://i.org/1", "no"))["author"] == "late"
+    assert later["author"] == "late"
 
 
 def test_api_payloads(spark):
-    answer = payload(spark, "知乎", json.dumps({"question": {"title": "Q"}, "content": "<p>a</p><p>b</p>", "author": {"name": "n", "avatar_url": "//i.org/a"}}))
-    assert answer == {"title": "Q", "description": "a b", "author": "n", "image_url": "https://i.org/a", "original_text": "a\n\nb"}
-    assert payload(spark, "微博", '{"error": null, "text": "x"}') is None and payload(spark, "微博", "broken") is None and payload(spark, "微博", None) is None
-    assert payload(spark, "微博", '{"text": "<b>x</b> y", "pic_infos": {"p": {"large": {"url": "https://i.org/l"}}}}')["image_url"] == "https://i.org/l"
     pictures = {"b": {"largest": {"url": "https://i.org/2"}}, "a": {"thumbnail": {"url": "https://i.org/t"}, "original": {"url": "https://i.org/o"}}}
-    both = payload(spark, "微博", json.dumps({"text": "x", "text_raw": "raw", "pic_infos": pictures, "user": {"screen_name": "u"}}))
+    answer, *nothing, one, both = payloads(
+        spark, ("知乎", json.dumps({"question": {"title": "Q"}, "content": "<p>a</p><p>b</p>", "author": {"name": "n", "avatar_url": "//i.org/a"}})),
+        ("微博", '{"error": null, "text": "x"}'), ("微博", "broken"), ("微博", None),
+        ("微博", '{"text": "<b>x</b> y", "pic_infos": {"p": {"large": {"url": "https://i.org/l"}}}}'), ("微博", json.dumps({"text": "x", "text_raw": "raw", "pic_infos": pictures, "user": {"screen_name": "u"}})),
+    )
+    assert answer == {"title": "Q", "description": "a b", "author": "n", "image_url": "https://i.org/a", "original_text": "a\n\nb"}
+    assert nothing == [None] * 3 and one["image_url"] == "https://i.org/l"
     assert (both["image_url"], both["description"], both["title"], both["author"]) == ("https://i.org/o", "raw", "raw", "u")
 
 

@@ -38,7 +38,7 @@ def test_stream_is_the_batch_and_replays_change_nothing(spark, tmp_path):
     want, _, _ = upsert_items(spark.createDataFrame([], ITEM_SCHEMA), I.ingest_shares(whole, pages, F.lit(START)))
     assert rows(load(spark, store)) == rows(want) and want.count() == 3
     # A batch holds what it touched, no more.
-    sizes = {p: spark.read.parquet(p).count() for p in glob.glob(f"{store}/batch=*")}
+    sizes = {p: spark.read.parquet(p).count() for p in glob.glob(f"{store}/items/batch=*") if glob.glob(f"{p}/bucket=*")}
     assert sum(sizes.values()) == 2 + 3 + 1
     # The last batch again, as after a failure before it was noted down.
     done = sorted(int(os.path.basename(p)) for p in glob.glob(f"{check}/commits/[0-9]*"))
