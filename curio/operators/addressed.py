@@ -126,8 +126,7 @@ class Store:
         moved = touched.select("id", "final_url").join(items.select("id"), "id", "left_semi")
         left = moved.join(now.select("final_url"), "final_url", "left_anti").select("final_url", "id", F.lit(False).alias("live"))
         written = [self._write("items", items, number), self._write("urls", now.unionByName(left), number)]
-        log = cut(written[0].unionByName(written[1]))
-        log.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/delta={number}")
+        written[0].unionByName(written[1]).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/delta={number}")
         if number % self.full_every == self.full_every - 1:
             self.manifest(number + 1).write.mode("overwrite").parquet(f"{self.path}/manifest/full={number}")
 
@@ -138,9 +137,10 @@ class Store:
         hit = placed.select("bucket").distinct()
         folders = self.manifest(number).where(F.col("kind") == kind).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
         full = cut(hit.join(folders.where(F.col("n") >= self.deltas), "bucket", "left_semi"))
-        older = self.read(kind, full, number).join(placed.select(key), key, "left_anti")
-        kept = self.latest(kind, older).where("live").select(*schema.fieldNames(), "bucket")
-        every = placed.unionByName(kept)
+        every = placed
+        if not full.isEmpty():
+            older = self.read(kind, full, number).join(placed.select(key), key, "left_anti")
+            every = placed.unionByName(self.latest(kind, older).where("live").select(*schema.fieldNames(), "bucket"))
         every.repartition("bucket").sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{kind}/batch={number}")
         marked = hit.join(full.withColumn("base", F.lit(True)), "bucket", "left")
         return marked.select(F.lit(kind).alias("kind"), "bucket", F.lit(number).cast("long").alias("batch"), F.coalesce("base", F.lit(False)).alias("base"))
