@@ -41,12 +41,26 @@ def ingest_shares(shares: DataFrame, pages: DataFrame, now: Column, replies: Dat
     """Items with seq of share requests (url, shared_text, source_app, seq): each URL in them, landed page, renderings
     and payloads merged in, analysed. Requests without a URL, or with one that is none, give no items. Each URL is
     looked up once. seq orders them for the store's upsert, which merges repeats."""
-    spark = shares.sparkSession
-    found = resolve_requests(shares).where("reject is null").select("seq", "shared_text", "source_app", F.posexplode("urls").alias("at", "source_url"))
-    rows = P.merge_pages(P.seed_metadata(found), pages)
+    rows = P.merge_pages(P.seed_metadata(found_urls(shares)), pages)
     if rendered is not None:
         rows = P.merge_rendered(rows, rendered)
     if payloads is not None:
         rows = P.merge_api_payloads(rows, payloads)
-    analysed = merge_model_replies(P.finish_metadata(rows), replies if replies is not None else spark.createDataFrame([], REPLY_SCHEMA))
+    return _analysed(rows, now, replies)
+
+
+def found_urls(shares: DataFrame) -> DataFrame:
+    """A row (seq, shared_text, source_app, at, source_url) for each URL of share requests; other columns stay."""
+    rest = [c for c in shares.columns if c not in ("url", "shared_text", "source_app")]
+    return resolve_requests(shares).where("reject is null").select(*rest, "shared_text", "source_app", F.posexplode("urls").alias("at", "source_url"))
+
+
+def ingest_landed(found: DataFrame, now: Column, replies: DataFrame | None = None) -> DataFrame:
+    """As ingest_shares(), of found_urls() that are joined with their fetches already (struct _p, null where none came)."""
+    return _analysed(P.merge_landed(P.seed_metadata(found)), now, replies)
+
+
+def _analysed(rows: DataFrame, now: Column, replies: DataFrame | None) -> DataFrame:
+    none = rows.sparkSession.createDataFrame([], REPLY_SCHEMA)
+    analysed = merge_model_replies(P.finish_metadata(rows), replies if replies is not None else none)
     return build_items(analysed.withColumn("seq", F.col("seq") * 1_000_000 + F.col("at")), now, keep=["seq"])

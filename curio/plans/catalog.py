@@ -856,5 +856,55 @@ def stream_ingest(spark, sf):
     return flat(load(spark, store), "id", "final_url", "platform", "source_app", "status", "created_at")
 
 
+@query(f"WITH {SHARED_SQL}, found AS (SELECT DISTINCT url FROM shared_urls) SELECT sha256(url) AS id, url AS final_url, url NOT IN (SELECT url FROM pages) AS no_page, 'active' AS status, {NOW_SECONDS}::BIGINT AS created_at FROM found")
+def stream_waiting(spark, sf):
+    """Shares and their fetches as two streams of files, in whichever order they come."""
+    from curio.streaming.ingest import ingest_waiting, load, read_page_stream, read_share_stream
+
+    shares, pages, store = new_path(spark, "shares"), new_path(spark, "landed"), new_path(spark, "store")
+    _shares(spark, sf).select("url", "shared_text", "source_app").repartition(2).write.json(shares)
+    landed = R.landed(D.table(spark, sf, "pages"))
+    # What was never fetched has failed by the end.
+    seen = _shares(spark, sf).select(F.explode(U.extract_urls(F.col("shared_text"))).alias("source_url")).distinct().join(landed.select("source_url"), "source_url", "left_anti")
+    lost = seen.select("source_url", F.col("source_url").alias("final_url"), F.lit(None).cast("int").alias("http_status"), F.lit(None).cast("string").alias("body"), F.lit("unreachable").alias("error"))
+    landed.unionByName(lost).repartition(2).write.parquet(pages)
+    ingest_waiting(read_share_stream(spark, shares, 1), read_page_stream(spark, pages, 1), store, new_path(spark, "stream"), now=now, buckets=8).awaitTermination()
+    items = load(spark, store)
+    return flat(items.select("id", "final_url", F.col("description").contains("unreachable").alias("no_page"), "status", "created_at"))
+
+
+@query(WITH_EVENTS + """, rows AS (SELECT -1 AS seq, id, final_url, title, category, made FROM store UNION ALL SELECT seq, id, final_url, title, category, made FROM batch)
+SELECT arg_min(id, seq) AS id, final_url, arg_max(title, seq) AS title, arg_max(category, seq) AS category, arg_min(made, seq)::BIGINT AS created_at FROM rows GROUP BY final_url""")
+def addressed_store(spark, sf):
+    """The events in three batches, each of which reads and writes the buckets that it hits."""
+    from curio.operators.addressed import Store
+
+    held = Store.open(spark, new_path(spark, "store"), buckets=8, deltas=2, full_every=2)
+    first = D.event_store(spark, sf)
+    held.commit(0, first.limit(0), first)
+    batch = D.event_batch(spark, sf)
+    bounds = batch.agg(F.min("seq").alias("a"), F.max("seq").alias("z")).first()
+    third = (bounds["z"] - bounds["a"]) // 3 + 1
+    for k in range(3):
+        held.upsert(k + 1, batch.where(F.col("seq").between(bounds["a"] + k * third, bounds["a"] + (k + 1) * third - 1)))
+    return flat(held.load(), "id", "final_url", "title", "category", "created_at")
+
+
+NEEDLES = ["src1 link", "優惠", "优惠券", "kw3", "the ", "zh", "https://img.example.org/1"]
+
+
+@query(WITH_ITEMS + f", hay AS MATERIALIZED (SELECT id, {HAYSTACK_SQL} AS h FROM items), needles AS (SELECT unnest([{', '.join(repr(n) for n in NEEDLES)}]) AS needle) SELECT needle, id FROM hay, needles WHERE contains(h, trim(needle))")
+def search_index(spark, sf):
+    """Needles of several kinds: across fields, of no item, of few, of most, shorter than a gram."""
+    from curio.operators.index import SearchIndex
+
+    index = SearchIndex.build(D.items(spark, sf), new_path(spark, "index"))
+    found = [index.search(n).select(F.lit(n).alias("needle"), "id") for n in NEEDLES]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["collection_digest"](spark, sf_dir)

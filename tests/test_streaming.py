@@ -9,7 +9,7 @@ from curio.operators import items as I
 from curio.operators import store as S
 from curio.operators.store import upsert_items
 from curio.sources.schemas import ITEM_SCHEMA, PAGE_SCHEMA
-from curio.streaming.ingest import compact, ingest, load, read_share_stream
+from curio.streaming.ingest import compact, ingest, ingest_waiting, load, read_page_stream, read_share_stream
 from tests.helpers import START, item, items
 
 
@@ -71,3 +71,59 @@ def test_tangled_fold_follows_moves(spark):
     store, conflicts, _ = upsert_items(spark.createDataFrame([], ITEM_SCHEMA), batch)
     assert {(r["id"], r["final_url"], r["title"]) for r in store.collect()} == {("a", "u3", "6"), ("b", "u2", "2"), ("c", "u1", "4")}
     assert [(r["id"], r["final_url"]) for r in conflicts.collect()] == [("a", "u2")]
+
+
+def land(spark, folder, name, at, pages):
+    """Fetches as one file that landed at that second."""
+    spark.createDataFrame(pages, PAGE_SCHEMA).coalesce(1).write.parquet(f"{folder}-{name}")
+    (part,) = glob.glob(f"{folder}-{name}/*.parquet")
+    os.makedirs(folder, exist_ok=True)
+    os.utime(part, (at, at))
+    shutil.move(part, f"{folder}/{name}.parquet")
+
+
+def share(folder, name, at, *texts):
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{folder}/{name}.json", "w") as f:
+        f.writelines(json.dumps({"shared_text": t, "source_app": "app"}) + "\n" for t in texts)
+    os.utime(f"{folder}/{name}.json", (at, at))
+
+
+def test_shares_wait_for_their_pages(spark, tmp_path):
+    """Either order of arrival gives the same store; what never lands gets its note, and state goes, after the bound."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    at, hour = 1_700_000_000, 3_600
+    page = ("https://example.org/1", "https://example.org/moved", 200, "<title>The page's title</title>", None)
+    stores = {}
+    try:
+        for order in ("share first", "page first"):
+            base = str(tmp_path / order.replace(" ", "-"))
+            folders = [f"{base}/shares", f"{base}/pages"]
+            for f in folders:
+                os.makedirs(f)
+
+            def run():
+                stream = ingest_waiting(read_share_stream(spark, folders[0]), read_page_stream(spark, folders[1]), f"{base}/store", f"{base}/check", now=lambda: F.lit(START), buckets=2)
+                stream.awaitTermination()
+                return stream
+
+            steps = [lambda: share(folders[0], "a", at, "https://example.org/1", "https://example.org/never"), lambda: land(spark, folders[1], "a", at + 60, [page])]
+            for step in steps if order == "share first" else steps[::-1]:
+                step()
+                run()
+            assert {r["final_url"]: r["title"] for r in load(spark, f"{base}/store").collect()} == {"https://example.org/moved": "The page's title"}
+            if order == "share first":  # nothing of the first hour is waited for any more
+                share(folders[0], "z", at + 9 * hour, "no link")
+                land(spark, folders[1], "z", at + 9 * hour, [("https://example.org/z", "https://example.org/z", 200, "", None)])
+                last = run().recentProgress
+                share(folders[0], "zz", at + 10 * hour, "no link")
+                land(spark, folders[1], "zz", at + 10 * hour, [("https://example.org/zz", "https://example.org/zz", 200, "", None)])
+                last = [*last, *run().recentProgress]
+                found = {r["final_url"]: r for r in load(spark, f"{base}/store").collect()}
+                assert set(found) == {"https://example.org/moved", "https://example.org/never"} and "no landed page" in found["https://example.org/never"]["description"]
+                assert last[-1].stateOperators[0].numRowsTotal <= 2  # the pages of the last hours
+            stores[order] = rows(load(spark, f"{base}/store").where("final_url like '%moved'"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert stores["share first"] == stores["page first"]
