@@ -67,7 +67,6 @@ def ingest_waiting(shares: DataFrame, pages: DataFrame, store: str, checkpoint:
     may be `late` out of order). Then both rows leave the state: it holds what arrived in that time, not the store.
     """
     held = Store.open(shares.sparkSession, store, buckets)
-    # Every share tells the time, also one without a URL.
     urls = found_urls(shares.withWatermark("arrived", late).withColumn("_order", F.struct("arrived", "file", "place", F.xxhash64("url", "shared_text", "source_app").alias("of"))))
     urls = urls.drop("file", "place")
     fetches = pages.select(F.col("source_url").alias("_url"), F.struct(*LANDED).alias("_p"), "landed_at").withWatermark("landed_at", late)
