@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -71,8 +72,17 @@ def is_supported_host(c: Column | str) -> Column:
     return F.exists(F.array(*[F.lit(h) for h in lists.BARE_HOSTS]), lambda h: (host == h) | host.endswith(F.concat(F.lit("."), h)))
 
 
+@functools.cache
+def _platform_of(name: str) -> Column:
+    return _platform(F.col(name))
+
+
 def platform_for_url(c: Column | str) -> Column:
     """The platform's name; the host if no rule hits; UNKNOWN_PLATFORM for what is no URL."""
+    return _platform_of(c) if isinstance(c, str) else _platform(c)
+
+
+def _platform(c: Column) -> Column:
 
     def rules(host: Column) -> Column:
         out = F.when(host == "", F.lit(lists.UNKNOWN_PLATFORM))

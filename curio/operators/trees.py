@@ -6,6 +6,7 @@ is then a choice of the least leaf by (source, key, place of the object, way bel
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 
@@ -275,15 +276,24 @@ def payload_found(leaves: Column, platform: Column, payload: Column) -> Column:
     return meaningful(F.when(platform == "知乎", row(answer)).when((platform == "微博") & ~failed, titled))
 
 
+@functools.cache
+def _state_column(body: str, platform: str) -> Column:
+    """Thousands of expressions, which a stream's batches need not put together again."""
+    return once(json_leaves(state_sources(F.col(body), F.col(platform))), lambda leaves: state_found(leaves, F.col(platform)))
+
+
+@functools.cache
+def _payload_column(platform: str, payload: str) -> Column:
+    leaves = json_leaves(F.array_compact(F.array(F.concat(F.lit("="), F.col(payload)))))
+    return once(leaves, lambda own: payload_found(own, F.col(platform), F.col(payload)))
+
+
 def with_page_state(rows: DataFrame, name: str, body: str = "body", platform: str = "platform") -> DataFrame:
     """rows with the struct FOUND of a page's state, null where there is none. A generator of one row keeps later
     filters and columns from working it out again."""
-    state = once(json_leaves(state_sources(F.col(body), F.col(platform))), lambda leaves: state_found(leaves, F.col(platform)))
-    return rows.select("*", F.explode(F.array(state)).alias(name))
+    return rows.select("*", F.explode(F.array(_state_column(body, platform))).alias(name))
 
 
 def with_api_payload(rows: DataFrame, name: str, platform: str = "platform", payload: str = "payload") -> DataFrame:
     """rows with the struct FOUND of an API payload, null where it says nothing."""
-    leaves = json_leaves(F.array_compact(F.array(F.concat(F.lit("="), F.col(payload)))))
-    found = once(leaves, lambda own: payload_found(own, F.col(platform), F.col(payload)))
-    return rows.select("*", F.explode(F.array(found)).alias(name))
+    return rows.select("*", F.explode(F.array(_payload_column(platform, payload))).alias(name))
