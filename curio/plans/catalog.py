@@ -289,19 +289,40 @@ def covers_due(spark, sf):
     return S.covers_due(D.items(spark, sf), now()).select("id")
 
 
-@query(WITH_ITEMS + "SELECT id, contains(content_text, '网页验证拦截') OR contains(title, '网页验证拦截') AS blocked FROM items")
+def _walled(items):
+    """Items of which some have a wall's title, others one of a wall's texts, short texts or nothing but a URL, on all
+    kinds of platforms."""
+    n = _number()
+    other = F.element_at(F.array(*[F.lit(p) for p in (*lists.RENDERED_PLATFORMS, "知乎")]), (n % 3 + 1).cast("int"))
+    short = F.when(n % 7 == 0, F.lit("")).when(n % 7 == 1, F.lit("https://a.b/c ")).when(n % 7 == 2, F.lit(lists.NOTE_GONE_TEXT)).when(n % 7 == 3, F.substring("content_text", 1, 60)).otherwise(F.col("content_text"))
+    text = F.when(n % 13 == 0, F.concat(short, F.lit(lists.BLOCKED_TEXTS[0]))).when(n % 17 == 0, F.concat(F.lit(lists.BLOCKED_TEXTS[1]), short)).otherwise(short)
+    return items.select("id", F.when(n % 11 == 0, F.concat("title", F.lit(lists.BLOCKED_TITLE))).otherwise(F.col("title")).alias("title"), F.when(n % 2 == 0, other).otherwise(F.col("platform")).alias("platform"), text.alias("content_text"))
+
+
+WALLED_SQL = f""", numbered AS (SELECT *, CAST(replace(id, 'doc-', '') AS BIGINT) AS n FROM items),
+short AS (SELECT *, CASE n % 7 WHEN 0 THEN '' WHEN 1 THEN 'https://a.b/c ' WHEN 2 THEN '{lists.NOTE_GONE_TEXT}' WHEN 3 THEN content_text[1:60] ELSE content_text END AS text FROM numbered),
+walled AS (SELECT id, n, CASE WHEN n % 11 = 0 THEN title || '{lists.BLOCKED_TITLE}' ELSE title END AS title, CASE WHEN n % 2 = 0 THEN (['今日头条', '小红书', '知乎'])[n % 3 + 1] ELSE platform END AS platform,
+  CASE WHEN n % 13 = 0 THEN text || '{lists.BLOCKED_TEXTS[0]}' WHEN n % 17 = 0 THEN '{lists.BLOCKED_TEXTS[1]}' || text ELSE text END AS content_text FROM short),
+judged AS (SELECT *, contains(title, '{lists.BLOCKED_TITLE}') OR contains(content_text, '{lists.BLOCKED_TEXTS[0]}') OR contains(content_text, '{lists.BLOCKED_TEXTS[1]}') AS blocked FROM walled)"""
+
+
+@query(WITH_ITEMS.rstrip() + WALLED_SQL + " SELECT id, blocked FROM judged")
 def is_blocked(spark, sf):
-    return D.items(spark, sf).select("id", C.is_blocked("title", "content_text").alias("blocked"))
+    return _walled(D.items(spark, sf)).select("id", C.is_blocked("title", "content_text").alias("blocked"))
 
 
-@query(WITH_ITEMS + "SELECT id, CASE WHEN platform = '小红书' AND trim(content_text) <> '' THEN false ELSE platform IN ('今日头条', '小红书') AND length(content_text) < 120 END AS needed FROM items")
+@query(WITH_ITEMS.rstrip() + WALLED_SQL + f""" SELECT id, CASE WHEN blocked THEN true WHEN platform = '小红书' AND NOT contains(content_text, '{lists.NOTE_GONE_TEXT}') AND {D.trim_sql('content_text')} NOT IN ('', 'https://a.b/c') THEN false ELSE platform IN ('今日头条', '小红书') AND length(content_text) < 120 END AS needed FROM judged""")
 def needs_render(spark, sf):
-    return D.items(spark, sf).select("id", P.needs_render().alias("needed"))
+    return _walled(D.items(spark, sf)).select("id", P.needs_render().alias("needed"))
 
 
-@query("SELECT conv_id * 1000 + turn AS seq, coalesce(p.url || CASE WHEN p.url LIKE 'http://www.%' THEN '|https://' || p.url[8:] ELSE '' END, '') AS urls, CASE WHEN p.page_id IS NULL THEN 'no URL' END AS reject FROM conversations c LEFT JOIN pages p ON p.page_id = c.conv_id WHERE role = 'user'")
+@query("""SELECT conv_id * 1000 + turn AS seq, concat_ws('|', p.url, CASE WHEN p.url LIKE 'http://www.%' THEN 'https://' || p.url[8:] END, CASE WHEN conv_id % 5 = 0 THEN 'http:///broken' END) AS urls,
+  CASE WHEN conv_id % 5 = 0 THEN 'invalid URL' WHEN p.page_id IS NULL THEN 'no URL' END AS reject FROM conversations c LEFT JOIN pages p ON p.page_id = c.conv_id WHERE role = 'user'""")
 def resolve_requests(spark, sf):
-    return flat(U.resolve_requests(_shares(spark, sf)), "seq", "urls", "reject")
+    """Requests with URLs, without any, and with one that has no host."""
+    broken = F.when(F.floor(F.col("seq") / 1000) % 5 == 0, F.lit(" http:///broken"))
+    shares = _shares(spark, sf).withColumn("shared_text", F.concat("shared_text", F.coalesce(broken, F.lit(""))))
+    return flat(U.resolve_requests(shares), "seq", "urls", "reject")
 
 
 @query("SELECT conv_id * 1000 + turn AS seq, CASE WHEN p.page_id IS NULL THEN '' ELSE p.url || CASE WHEN p.url LIKE 'http://www.%' THEN '|https://' || p.url[8:] ELSE '' END || '|https://www.' || conv_id || '.org/a|https://m.weibo.cn/' || conv_id END AS urls FROM conversations c LEFT JOIN pages p ON p.page_id = c.conv_id WHERE role = 'user'")
@@ -324,10 +345,27 @@ UPSERT_SQL = WITH_EVENTS + """, rows AS (SELECT -1 AS seq, id, final_url, title,
 SELECT arg_min(id, seq) AS id, final_url, arg_max(title, seq) AS title, arg_max(category, seq) AS category, arg_min(made, seq)::BIGINT AS created_at FROM rows GROUP BY final_url"""
 
 
-@query(UPSERT_SQL)
+CLASHES_SQL = UPSERT_SQL.split("SELECT arg_min")[0].replace("SELECT seq, id, final_url", "SELECT seq, CASE WHEN own THEN 'old-' || user_id ELSE id END AS id, final_url").replace("FROM batch)", """FROM taken)
+""").replace(", rows AS", """, marked AS (SELECT b.*, event_id % 10 = 0 AND user_id IN (SELECT replace(id, 'old-', '')::BIGINT FROM store) AS own,
+  event_id % 10 = 1 AND user_id % 4 = 0 AND user_id IN (SELECT replace(id, 'old-', '')::BIGINT FROM store) AND user_id + 2 IN (SELECT replace(id, 'old-', '')::BIGINT FROM store) AS clash FROM (SELECT *, seq AS event_id FROM batch) b),
+taken AS (SELECT * FROM marked WHERE NOT clash), rows AS""")
+
+
+@query(CLASHES_SQL + """SELECT arg_min(id, seq) AS id, final_url, arg_max(title, seq) AS title, arg_max(category, seq) AS category, arg_min(made, seq)::BIGINT AS created_at, arg_max(made, seq)::BIGINT AS updated_at, false AS conflict FROM rows GROUP BY final_url
+UNION ALL SELECT 'old-' || user_id, 'https://example.org/u/' || (user_id + 2), title, category, made::BIGINT, made::BIGINT, true FROM marked WHERE clash""")
 def upsert_items(spark, sf):
-    store, _, _ = S.upsert_items(D.event_store(spark, sf), D.event_batch(spark, sf))
-    return flat(store, "id", "final_url", "title", "category", "created_at")
+    """Rows that match by URL, by id and URL, and not at all; others whose id is one item's and whose URL another's."""
+    store = D.event_store(spark, sf)
+    user = F.regexp_extract("final_url", "([0-9]+)$", 1).cast("long")
+    known = store.select(F.regexp_extract("id", "([0-9]+)$", 1).cast("long").alias("_k"))
+    batch = D.event_batch(spark, sf).withColumn("_user", user)
+    batch = batch.join(known, F.col("_user") == F.col("_k"), "left").join(known.select(F.col("_k").alias("_k2")), F.col("_user") + 2 == F.col("_k2"), "left")
+    own = F.col("_k").isNotNull() & (F.col("seq") % 10 == 0)
+    clash = F.col("_k").isNotNull() & F.col("_k2").isNotNull() & (F.col("seq") % 10 == 1) & (F.col("_user") % 4 == 0)
+    batch = batch.withColumns({"id": F.when(own | clash, F.concat(F.lit("old-"), F.col("_user").cast("string"))).otherwise(F.col("id")), "final_url": F.when(clash, F.concat(F.lit("https://example.org/u/"), F.col("_k2").cast("string"))).otherwise(F.col("final_url"))})
+    stored, lost, _ = S.upsert_items(store, batch.drop("_user", "_k", "_k2"))
+    both = stored.withColumn("conflict", F.lit(False)).unionByName(lost.withColumn("conflict", F.lit(True)))
+    return flat(both, "id", "final_url", "title", "category", "created_at", "updated_at", "conflict")
 
 
 REPORT_SQL = WITH_EVENTS + """SELECT count(*)::BIGINT AS imported, (SELECT count(DISTINCT final_url) FROM batch WHERE user_id % 2 = 1)::BIGINT AS created,
@@ -474,9 +512,15 @@ def xhs_metadata(spark, sf):
     return parsed.select("page_id", "f.note.title", "f.note.description", "f.note.author")
 
 
-@query("SELECT page_id, CASE WHEN contains(lower(html), 'byted_acrawler') OR contains(lower(html), '__ac_signature') OR contains(lower(html), '__ac_nonce') THEN 1 WHEN contains(lower(html), 'sina visitor system') OR contains(lower(html), 'visitor.passport.weibo') THEN 2 WHEN contains(lower(html), 'zse-ck') THEN 3 WHEN contains(lower(html), 'captcha') OR contains(lower(html), '访问验证') OR contains(lower(html), '安全验证') THEN 4 ELSE 0 END AS wall FROM pages")
+WALL_MARKS = ["x BYTED_acrawler", "__ac_nonce=1", "Sina Visitor System", "visitor.passport.weibo", "zh-ZSE-ck", "Captcha", "请完成安全验证", "", "__ac_signature captcha"]
+
+
+@query(f"""WITH marked AS (SELECT page_id, lower(html || ([{', '.join(repr(m) for m in WALL_MARKS)}])[page_id % {len(WALL_MARKS)} + 1]) AS low FROM pages)
+SELECT page_id, CASE WHEN contains(low, 'byted_acrawler') OR contains(low, '__ac_signature') OR contains(low, '__ac_nonce') THEN 1 WHEN contains(low, 'sina visitor system') OR contains(low, 'visitor.passport.weibo') THEN 2 WHEN contains(low, 'zse-ck') THEN 3 WHEN contains(low, 'captcha') OR contains(low, '访问验证') OR contains(low, '安全验证') THEN 4 ELSE 0 END AS wall FROM marked""")
 def access_block_reason(spark, sf):
-    reason = P.access_block_reason("html")
+    """Pages with the marks of every wall, of several, and of none."""
+    mark = F.element_at(F.array(*[F.lit(m) for m in WALL_MARKS]), (F.col("page_id") % len(WALL_MARKS) + 1).cast("int"))
+    reason = P.access_block_reason(F.concat("html", mark))
     wall = F.lit(0)
     for i, (_, text) in enumerate(lists.WALLS):
         wall = F.when(reason == text, i + 1).otherwise(wall)
@@ -489,7 +533,7 @@ def merge_platform_metadata(spark, sf):
     found = F.struct(F.lit(None).cast("string").alias("title"), T.truncate_chars("content_text", 160).alias("description"), F.col("author"), F.lit(None).cast("string").alias("image_url"), F.col("content_text").alias("original_text"))
     rows = D.items(spark, sf).where("content_text <> ''").withColumn("found", found).withColumns({"title": F.lit("kept"), "content_text": F.lit("")})
     merged = P.merge_platform_metadata(rows, "found")
-    return merged.select("id", "description", F.substring("original_text", 1, 1_000_000_000).alias("content_text"))
+    return merged.select("id", "description", F.col("original_text").alias("content_text"))
 
 
 @query(f"""WITH r AS (SELECT source_url, any_value(final_url) AS final_url, arg_min(title, title) AS title, arg_min({D.original_sql('content_text')}, title) AS whole FROM ({RENDERED_SQL}) GROUP BY source_url),
@@ -562,9 +606,24 @@ def count_categories(spark, sf):
     return Q.count_categories(D.items(spark, sf))
 
 
-@query(f"SELECT {D.platform_sql('url')} AS label, count(*) AS count FROM pages GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+#: A host for every part of every platform rule; what a rule only takes as a whole host also stands inside another.
+RULE_HOSTS = [h for _, parts in lists.PLATFORMS for p in parts for h in (["x-" + p[1:], p[1:]] if p[0] == "=" else [p.split("/")[0].rstrip(".") + (".com" if p[-1] == "." else "")])]
+
+
+def _rule_urls(spark, sf):
+    """(page_id, url): the landed pages, and for each of them one more on the host of a platform rule."""
+    pages = D.table(spark, sf, "pages").select("page_id", "url")
+    host = F.element_at(F.array(*[F.lit(h) for h in RULE_HOSTS]), (F.col("page_id") % len(RULE_HOSTS) + 1).cast("int"))
+    front = F.when(F.col("page_id") % 3 == 0, "https://www.").when(F.col("page_id") % 3 == 1, "http://m.").otherwise("HTTPS://")
+    return pages.union(pages.select("page_id", F.concat(front, host, F.lit("/maps/"), F.col("page_id").cast("string"))))
+
+
+RULE_URLS_SQL = f"""WITH urls AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://www.' WHEN 1 THEN 'http://m.' ELSE 'HTTPS://' END || ([{', '.join(repr(h) for h in RULE_HOSTS)}])[page_id % {len(RULE_HOSTS)} + 1] || '/maps/' || page_id FROM pages) """
+
+
+@query(RULE_URLS_SQL + f"SELECT {D.platform_sql('url')} AS label, count(*) AS count FROM urls GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def count_platforms(spark, sf):
-    return Q.count_platforms(D.table(spark, sf, "pages").select(U.platform_for_url("url").alias("platform")))
+    return Q.count_platforms(_rule_urls(spark, sf).select(U.platform_for_url("url").alias("platform")))
 
 
 @query(WITH_ITEMS + _top_sql("keyword", "(SELECT unnest(keywords) AS keyword FROM items)"))
@@ -687,9 +746,9 @@ def html_to_formatted_text(spark, sf):
     return D.table(spark, sf, "pages").select("page_id", T.html_to_formatted_text("html").alias("value"))
 
 
-@query(f"SELECT page_id, {D.platform_sql('url')} AS platform, {D.host_sql('url')} AS host FROM pages")
+@query(RULE_URLS_SQL + f"SELECT page_id, {D.platform_sql('url')} AS platform, {D.host_sql('url')} AS host FROM urls")
 def platform_for_url(spark, sf):
-    return D.table(spark, sf, "pages").select("page_id", U.platform_for_url("url").alias("platform"), U.host_of("url").alias("host"))
+    return _rule_urls(spark, sf).select("page_id", U.platform_for_url("url").alias("platform"), U.host_of("url").alias("host"))
 
 
 @query(WITH_ITEMS + f"SELECT id, list_contains([{', '.join(repr(h) for h in lists.BARE_HOSTS)}], {D.host_sql('final_url')}) OR list_has_any([{', '.join(repr(h) for h in lists.BARE_HOSTS)}], [regexp_replace({D.host_sql('final_url')}, '^[^.]+\\.', '')]) AS supported FROM items")
