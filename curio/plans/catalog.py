@@ -108,6 +108,15 @@ def read_backup_json(spark, sf):
     return flat(R.read_backup_json(spark, path), "schema_version", "seq", "id", "title", "created_at")
 
 
+@query(WITH_ITEMS + f"SELECT 1::SMALLINT AS schema_version, {ITEM_FLAT}, original_text, row_number() OVER (ORDER BY created_at DESC, title, id) - 1 AS seq FROM items")
+def read_backup_parts(spark, sf):
+    """One file with the whole collection in one array, read in parts."""
+    path = new_path(spark, "backup")
+    lines = Q.export_json(D.items(spark, sf), now()).repartition(1).sortWithinPartitions("part", "place")  # one file, as a backup is
+    lines.select("line").write.text(path)
+    return flat(R.read_backup_parts(spark, path), "schema_version", *ITEM_FLAT_COLUMNS, "original_text", "seq").withColumn("seq", F.col("seq").cast("long"))
+
+
 @query(WITH_ITEMS + f"SELECT 1 AS schema_version, (SELECT count(*) FROM items) AS item_count, (SELECT count(*) FROM items WHERE status <> 'archived') AS total, {ITEM_FLAT} FROM items")
 def export_json(spark, sf):
     """The document written, its lines read back: every item with what the envelope says."""

@@ -43,3 +43,14 @@ def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
     starts = sizes.select("_part", before.alias("_before"))
     place = (F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name)
     return held.join(F.broadcast(starts), part == F.col("_part")).select(*rows.columns, place)  # a row for each range
+
+
+def running(rows: DataFrame, by: str, order: str, value, name: str) -> DataFrame:
+    """rows with the sum of value over the rows before them in that order, for each `by`. Ranges are summed by
+    themselves; only the sums of ranges, a row each, go through one window."""
+    held = cut(rows.withColumn("_v", value).repartitionByRange(by, order).withColumn("_range", F.spark_partition_id()))
+    upto = lambda *keys: W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    sums = held.groupBy(by, "_range").agg(F.sum("_v").alias("_s"))
+    starts = sums.select(by, "_range", F.coalesce(F.sum("_s").over(upto(by).orderBy("_range")), F.lit(0)).alias("_before"))
+    own = F.coalesce(F.sum("_v").over(upto(by, "_range").orderBy(order)), F.lit(0))
+    return held.join(starts, [by, "_range"]).select(*rows.columns, (F.col("_before") + own).alias(name))

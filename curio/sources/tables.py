@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curio.plans.scratch import running
 from curio.sources import schemas as S
 
 #: What Spark reads of timestamps as RFC 3339 writes them.
@@ -73,6 +74,50 @@ def read_backup_json(spark: SparkSession, path: str) -> DataFrame:
     return _settled(rows.where("i is not null").select("schema_version", "seq", "i.*"))
 
 
+def _count(text: Column, *marks: str) -> Column:
+    return sum((F.char_length(text) - F.char_length(F.replace(text, F.lit(m), F.lit(""))) for m in marks), F.lit(0))
+
+
+def json_elements(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """(file, seq, element, version): the objects of the JSON array in each file, as text, read by all cores.
+
+    The file is cut after every closing brace, wherever it stands, so any task can read any part of it. Prefix sums over
+    the cuts say first which begin inside a string (quotes before it), then how deep each is (brackets outside of
+    strings), then which element it belongs to (braces that close one): no task sees more than its cuts, and the cuts of
+    one element meet. With key the array is that entry of a top-level object, the only one there that holds objects;
+    version is the object's schema_version.
+    """
+    cuts = spark.read.option("lineSep", "}").text(path)
+    cuts = cuts.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth")).alias("at"), F.col("value").alias("text"))
+    bare = F.regexp_replace("text", r"(?s)\\.", "")
+    cuts = running(cuts.withColumn("quotes", _count(bare, '"')), "file", "at", F.col("quotes"), "before")
+    inside, still = F.col("before") % 2 == 1, (F.col("before") + F.col("quotes")) % 2 == 1
+    outside = F.regexp_replace(F.when(inside, F.concat(F.lit('"'), bare)).otherwise(bare), '"[^"]*("|$)', "")
+    cuts = cuts.withColumns({"net": _count(outside, "{", "[") - _count(outside, "]") - F.when(still, 0).otherwise(1), "still": still}).drop("quotes", "before")
+    cuts = running(cuts, "file", "at", F.col("net"), "depth")
+    closes = ~F.col("still") & (F.col("depth") + F.col("net") == (1 if key is None else 2))
+    cuts = running(cuts.withColumn("closes", closes).drop("net", "depth", "still"), "file", "at", F.col("closes").cast("int"), "seq")
+    each = cuts.groupBy("file", "seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda c: c["text"]), "}").alias("text"), F.max("closes").alias("whole"))
+    head = r"^[\s,\[]+" if key is None else rf'(?s)^\s*\{{.*?"{key}"\s*:\s*\[\s*'
+    element = F.when(F.col("seq") == 0, F.regexp_replace("text", head, "")).otherwise(F.regexp_replace("text", r"^[\s,]+", ""))
+    found = each.where("whole").select("file", "seq", F.concat(element, F.lit("}")).alias("element"))
+    around = F.when(F.col("whole"), F.regexp_extract("text", head, 0)).otherwise(F.col("text"))
+    versions = each.where("seq = 0 or not whole").select("file", F.nullif(F.regexp_extract(around, r'"schema_version"\s*:\s*([0-9]+)', 1), F.lit("")).cast("smallint").alias("v"))
+    return found.join(versions.groupBy("file").agg(F.max("v").alias("version")), "file", "left")
+
+
+def read_items_array(spark: SparkSession, path: str) -> DataFrame:
+    """The items of a JSON array, as read_items_json() gives them, with seq: a large file is read in parts."""
+    rows = json_elements(spark, path).select("seq", F.from_json("element", S.ITEM_SCHEMA, JSON).alias("i"))
+    return _settled(_complete(rows.select("seq", "i.*")))
+
+
+def read_backup_parts(spark: SparkSession, path: str) -> DataFrame:
+    """As read_backup_json(): a large backup is read in parts, and no row holds more than one item."""
+    rows = json_elements(spark, path, "items").select(F.col("version").alias("schema_version"), F.col("seq").cast("int").alias("seq"), F.from_json("element", S.ITEM_SCHEMA, JSON).alias("i"))
+    return _settled(rows.select("schema_version", "seq", "i.*"))
+
+
 def read_shares(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.SHARE_SCHEMA).option("mode", "FAILFAST").json(path)
 

@@ -1,5 +1,7 @@
 import glob
 import json
+import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from curio.functions import classify as C
 from curio.operators import query as Q
 from curio.sources import tables as R
+from curio.sources.schemas import ITEM_COLUMNS
 from tests.helpers import START, item, items
 
 
@@ -52,3 +55,27 @@ def test_jdbc_round_trip(spark, tmp_path):
     assert sorted(map(repr, R.read_items_jdbc(spark, url, "staging", **options).collect())) == sorted(map(repr, store.collect()))
     split = R.read_items_jdbc(spark, url, "staging", parts=3, bounds=("2024-01-01 00:00:00", "2024-01-02 00:00:00"), **options)
     assert split.count() == 2 and split.rdd.getNumPartitions() == 3
+
+
+def test_one_array_in_parts(spark, tmp_path):
+    """Braces, quotes and backslashes in texts; files cut into parts of a few hundred bytes."""
+    odd = ["}", "{", '"', "\\", '\\"}', "]}", "},{", "[", "é\n", "a", ":", '"items":[']
+    rng = random.Random(4)
+    made = [item(f"i{k}", f"https://example.org/{k}", k, title="".join(rng.choice(odd) for _ in range(rng.randint(0, 12))) or "t", notes="".join(rng.choice(odd) for _ in range(6)), keywords=["}", "{"], original_text="") for k in range(60)]
+    form = lambda r: {k: (v.isoformat() + "Z" if isinstance(v, datetime) else v) for k, v in r.items()}
+    for folder, value in (("bare", [form(r) for r in made]), ("envelope", {"digest": {"recent": [{"a": "}"}], "n": 1}, "items": [form(r) for r in made], "schema_version": 1}), ("pretty", {"schema_version": 1, "items": [form(r) for r in made]})):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.json").write_text(json.dumps(value, ensure_ascii=folder == "bare", indent=2 if folder == "pretty" else None))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        bare = R.read_items_array(spark, str(tmp_path / "bare")).collect()
+        assert spark.read.option("lineSep", "}").text(str(tmp_path / "bare")).rdd.getNumPartitions() > 4
+        backups = [R.read_backup_parts(spark, str(tmp_path / f)).collect() for f in ("envelope", "pretty")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for got in (bare, *backups):
+        assert [{k: r[k] for k in ITEM_COLUMNS} for r in sorted(got, key=lambda r: r["seq"])] == made and [r["seq"] for r in sorted(got, key=lambda r: r["seq"])] == list(range(60))
+    assert all(r["schema_version"] == 1 for got in backups for r in got)
+    (tmp_path / "bare" / "x.json").write_text("[]")
+    assert R.read_items_array(spark, str(tmp_path / "bare")).count() == 0
