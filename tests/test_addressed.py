@@ -32,9 +32,9 @@ def narrow(spark):
 def test_batches_as_one_table(narrow, tmp_path):
     """Batch after batch as the upsert of the whole store, with moves, conflicts, bases and full manifests; replays."""
     spark, rng = narrow, random.Random(7)
-    store = Store.open(spark, str(tmp_path / "s"), buckets=3, deltas=2, full_every=3)
+    store = Store.open(spark, str(tmp_path / "s"), buckets=3, deltas=2, full_every=2)
     plain = items(spark, [])
-    for n in range(5):
+    for n in range(4):
         made = [item(f"i{rng.randrange(12)}", f"https://example.org/{rng.randrange(12)}", n, title=f"t{n}-{k}") for k in range(6)]
         batch = batch_of(spark, made)
         want, lost, _ = upsert_items(plain, batch)
@@ -44,10 +44,10 @@ def test_batches_as_one_table(narrow, tmp_path):
         assert rows(store.load()) == rows(plain)
     assert {r["n"] for r in store.manifest().groupBy("kind", "bucket").agg(F.count("*").alias("n")).collect()} <= {1, 2, 3}
     before = rows(store.load())
-    store.upsert(4, batch)
+    store.upsert(3, batch)
     assert rows(store.load()) == before
     assert rows(store.lookup(urls=plain.select("final_url"))) == before and rows(store.lookup(ids=plain.select("id").limit(1))) == rows(plain.limit(1))
-    gone = store.vacuum(5)
+    gone = store.vacuum(4)
     assert gone and rows(store.load()) == before and rows(store.lookup(urls=plain.select("final_url"))) == before
     assert rows(store.rehash(str(tmp_path / "wide"), 8).load()) == before
 
