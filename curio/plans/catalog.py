@@ -17,7 +17,7 @@ from curio.operators import query as Q
 from curio.operators import store as S
 from curio.operators import trees as X
 from curio.plans import demo as D
-from curio.plans.scratch import new_path, numbered
+from curio.plans.scratch import cut, new_path, numbered
 from curio.sources import tables as R
 from curio.sources.schemas import EDIT_SCHEMA, ITEM_COLUMNS
 
@@ -262,8 +262,8 @@ HAYSTACK_SQL = "lower(title || ' ' || description || ' ' || summary || ' ' || ca
 
 @query(WITH_ITEMS + f"SELECT id FROM items WHERE contains({HAYSTACK_SQL}, 'src1 link')")
 def search_items(spark, sf):
-    """A needle that runs over a border of fields: author, then content type."""
-    return Q.search_items(D.items(spark, sf), "  SRC1 link ").select("id")
+    """A needle that runs over a border of fields, author and content type, in items that are stored."""
+    return Q.search_items(cut(D.items(spark, sf)), "  SRC1 link ").select("id")
 
 
 @query(WITH_ITEMS + "SELECT id, status FROM items WHERE status <> 'archived'")

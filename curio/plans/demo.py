@@ -36,17 +36,19 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = {
         "id": F.concat(F.lit("doc-"), n.cast("string")), "source_url": F.concat(url, F.lit("?from=share")), "final_url": url,
         "source_app": F.when(n % 3 > 0, F.concat(F.lit("app"), (n % 3).cast("string"))), "platform": platform_for_url(url),
-        "title": F.coalesce(first_meaningful_line(text), F.lit(lists.PLACEHOLDER_TITLE)), "description": truncate_chars(clean_text(text), 200),
+        "title": F.coalesce(first_meaningful_line(text), F.lit(lists.PLACEHOLDER_TITLE)), "description": truncate_chars("_clean", 200),
         "author": F.when(n % 4 > 0, F.col("source")), "image_url": F.when(n % 5 > 0, F.concat(F.lit("https://img.example.org/"), n.cast("string"), F.lit(".jpg"))).otherwise(F.lit("/media/cover-1.jpg")),
         "remote_image_url": F.when(n % 2 > 0, F.concat(F.lit("https://cdn.example.org/"), n.cast("string"), F.lit(".jpg"))),
         "cover_cached_at": F.lit(None), "cover_checked_at": F.when(n % 3 > 0, F.timestamp_seconds(F.lit(START) + minutes * 60 + n % 13 * 3600)),
-        "content_text": clean_text(text), "original_text": text, "summary": truncate_chars(clean_text(text), 160), "category": pick(CATEGORIES), "keywords": words,
+        "content_text": F.col("_clean"), "original_text": text, "summary": truncate_chars("_clean", 160), "category": pick(CATEGORIES), "keywords": words,
         "entities": F.array_compact(F.array("source")), "sentiment": F.lit("neutral"), "content_type": F.lit("link"), "importance_score": F.coalesce("n_chars", F.lit(0)) % 101,
         "notes": F.when(n % 9 == 0, F.lit("seen  twice")).otherwise(F.lit("")), "status": F.element_at(F.array(*[F.lit(s) for s in ["active", "active", "archived", "favorite"]]), (n % 4 + 1).cast("int")),
         "created_at": at, "updated_at": at,
     }
     kinds = {f.name: f.dataType for f in ITEM_SCHEMA}
-    return table(spark, sf_dir, "documents").where("doc_id is not null").select(*[values[c].cast(kinds[c]).alias(c) for c in ITEM_COLUMNS])
+    # Cleaned once, for three columns.
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").withColumn("_clean", clean_text(text))
+    return docs.select(*[values[c].cast(kinds[c]).alias(c) for c in ITEM_COLUMNS])
 
 
 def event_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
