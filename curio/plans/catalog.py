@@ -360,23 +360,38 @@ CLASHES_SQL = UPSERT_SQL.split("SELECT arg_min")[0].replace("SELECT seq, id, fin
 taken AS (SELECT * FROM marked WHERE NOT clash), rows AS""")
 
 
-@query(CLASHES_SQL + """SELECT arg_min(id, seq) AS id, final_url, arg_max(title, seq) AS title, arg_max(category, seq) AS category, arg_min(made, seq)::BIGINT AS created_at, arg_max(made, seq)::BIGINT AS updated_at, false AS conflict FROM rows GROUP BY final_url
-UNION ALL SELECT 'old-' || user_id, 'https://example.org/u/' || (user_id + 2), title, category, made::BIGINT, made::BIGINT, true FROM marked WHERE clash""")
-def upsert_items(spark, sf):
-    """Rows that match by URL, by id and URL, and not at all; others whose id is one item's and whose URL another's."""
-    store = D.event_store(spark, sf)
+MERGED_SQL = "SELECT arg_min(id, seq) AS id, final_url, arg_max(title, seq) AS title, arg_max(category, seq) AS category, arg_min(made, seq)::BIGINT AS created_at, arg_max(made, seq)::BIGINT AS updated_at, false AS conflict FROM rows GROUP BY final_url"
+
+
+def _upsert(spark, sf, clashes: bool):
+    """The store of events after a batch of which some rows have the id of their URL's item; with clashes others have
+    one item's id and another's URL. Conflicts are listed below the store's items."""
+    store = cut(D.event_store(spark, sf))
     user = F.regexp_extract("final_url", "([0-9]+)$", 1).cast("long")
     known = store.select(F.regexp_extract("id", "([0-9]+)$", 1).cast("long").alias("_k"))
     batch = D.event_batch(spark, sf).withColumn("_user", user)
     batch = batch.join(known, F.col("_user") == F.col("_k"), "left").join(known.select(F.col("_k").alias("_k2")), F.col("_user") + 2 == F.col("_k2"), "left")
     own = F.col("_k").isNotNull() & (F.col("seq") % 10 == 0)
     clash = F.col("_k").isNotNull() & F.col("_k2").isNotNull() & (F.col("seq") % 10 == 1) & (F.col("_user") % 4 == 0)
-    batch = batch.withColumns({"id": F.when(own | clash, F.concat(F.lit("old-"), F.col("_user").cast("string"))).otherwise(F.col("id")), "final_url": F.when(clash, F.concat(F.lit("https://example.org/u/"), F.col("_k2").cast("string"))).otherwise(F.col("final_url"))})
-    stored, lost, _ = S.upsert_items(store, batch.drop("_user", "_k", "_k2"))
+    ids = F.when(own | clash, F.concat(F.lit("old-"), F.col("_user").cast("string"))).otherwise(F.col("id"))
+    batch = batch.withColumns({"id": ids, "final_url": F.when(clash, F.concat(F.lit("https://example.org/u/"), F.col("_k2").cast("string"))).otherwise(F.col("final_url"))})
+    stored, lost, _ = S.upsert_items(store, cut(batch.where(F.lit(clashes) | ~clash).drop("_user", "_k", "_k2")))
     both = stored.withColumn("conflict", F.lit(False)).unionByName(lost.withColumn("conflict", F.lit(True)))
     return flat(both, "id", "final_url", "title", "category", "created_at", "updated_at", "conflict")
 
 
+@query(CLASHES_SQL + MERGED_SQL)
+def upsert_items(spark, sf):
+    """Rows that match by URL, by id and URL, and not at all."""
+    return _upsert(spark, sf, False)
+
+
+@query(CLASHES_SQL + MERGED_SQL + " UNION ALL SELECT 'old-' || user_id, 'https://example.org/u/' || (user_id + 2), title, category, made::BIGINT, made::BIGINT, true FROM marked WHERE clash")
+def upsert_conflicts(spark, sf):
+    """And rows whose id is one item's and whose URL another's, in tangled groups."""
+    return _upsert(spark, sf, True)
+
+
 REPORT_SQL = WITH_EVENTS + """SELECT count(*)::BIGINT AS imported, (SELECT count(DISTINCT final_url) FROM batch WHERE user_id % 2 = 1)::BIGINT AS created,
 (count(*) - (SELECT count(DISTINCT final_url) FROM batch WHERE user_id % 2 = 1))::BIGINT AS merged, (SELECT count(DISTINCT final_url) FROM batch)::BIGINT AS total FROM batch"""
 
