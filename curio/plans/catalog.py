@@ -13,6 +13,7 @@ from curio.functions import text as T
 from curio.functions import urls as U
 from curio.operators import items as I
 from curio.operators import pages as P
+from curio.operators.markup import with_page_metadata
 from curio.operators import query as Q
 from curio.operators import store as S
 from curio.operators import trees as X
@@ -506,14 +507,14 @@ def merge_pages(spark, sf):
 
 @query()
 def page_metadata(spark, sf):
-    parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse("html", P.may_be_note(U.platform_for_url("url"), "url"), U.xhs_note_id("url")).alias("f"))
-    return parsed.select("page_id", "f.page.title", "f.page.description", "f.page.author", "f.page.image_url", F.length("f.page.content_text").alias("visible"), F.length("f.page.original_text").alias("formatted"))
+    parsed = with_page_metadata(D.table(spark, sf, "pages").select("page_id", "html"), "html", "page")
+    return parsed.select("page_id", "page.title", "page.description", "page.author", "page.image_url", F.length("page.content_text").alias("visible"), F.length("page.original_text").alias("formatted"))
 
 
 @query()
 def visible_text(spark, sf):
-    parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse("html", F.lit(False), F.lit("")).alias("f"))
-    return parsed.select("page_id", F.col("f.page.content_text").alias("content_text"), F.col("f.page.original_text").alias("original_text"))
+    parsed = with_page_metadata(D.table(spark, sf, "pages").select("page_id", "html"), "html", "page")
+    return parsed.select("page_id", "page.content_text", "page.original_text")
 
 
 PREVIEW_SQL = D.clean_sql(D.untagged_sql("html"))
@@ -532,8 +533,8 @@ def state_metadata(spark, sf):
 def xhs_metadata(spark, sf):
     """Landed pages wrapped as a note's page state."""
     state = F.concat(F.lit("<script>window.__S={\"noteDetailMap\":"), F.to_json(F.struct(F.col("url").alias("title"), T.plain_text_preview("html").alias("desc"), F.lit("someone").alias("nickname"))), F.lit("}</script>"))
-    parsed = D.table(spark, sf, "pages").select("page_id", P.page_parse(state, F.lit(True), F.lit("")).alias("f"))
-    return parsed.select("page_id", "f.note.title", "f.note.description", "f.note.author")
+    parsed = D.table(spark, sf, "pages").select("page_id", P.note_metadata(state, F.lit("")).alias("note"))
+    return parsed.select("page_id", "note.title", "note.description", "note.author")
 
 
 WALL_MARKS = ["x BYTED_acrawler", "__ac_nonce=1", "Sina Visitor System", "visitor.passport.weibo", "zh-ZSE-ck", "Captcha", "请完成安全验证", "", "__ac_signature captcha"]

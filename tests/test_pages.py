@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from curio.operators import items as I
 from curio.operators import pages as P
 from curio.operators import trees as X
+from curio.operators.markup import decoded, with_page_metadata
 from curio.plans import catalog
 from curio.sources import tables as R
 from curio.sources.schemas import PAGE_SCHEMA
@@ -19,6 +20,11 @@ def one(spark, url, html, text=None, status=200):
     return P.finish_metadata(P.merge_pages(seeds, pages)).first()
 
 
+def read(spark, *pages):
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, body string")
+    return [r["page"] for r in with_page_metadata(rows).orderBy("i").collect()]
+
+
 def test_generic_page(spark):
     html = f"<html><head><meta property='og:title' content=' A &amp; B '><meta name=author content=Ann></head><body><script>var x = '<p>{LONG}</p>'</script><article><p>{LONG}<p><b>second</b> paragraph here</article><p>short</body>"
     got = one(spark, "https://example.org/a", html)
@@ -26,8 +32,8 @@ def test_generic_page(spark):
     assert got["content_text"] == f"{LONG} second paragraph here" or got["content_text"].split("\n") == [f"{LONG} second paragraph here"]
 
 
-def test_visible_text_has_no_repeats_and_prefers_articles():
-    page = P.parse_page(f"<main><p>{LONG}</p></main><ul><li>{LONG}<li>another list entry</ul>")
+def test_visible_text_has_no_repeats_and_prefers_articles(spark):
+    page = read(spark, f"<main><p>{LONG}</p></main><ul><li>{LONG}<li>another list entry</ul>")[0]
     assert page["content_text"] == f"{LONG}\nanother list entry" and page["original_text"] == f"{LONG}\n\nanother list entry"
 
 

@@ -6,7 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from curio.functions import text as T
-from curio.operators import pages as P
+from curio.operators.markup import with_page_metadata
+from tests import page_model as M
 from tests.test_pages import one
 
 ODD = ["a", "Bc", " ", "  ", "\n", "\r\n", "\t", "　", " ", "&nbsp;", "&amp;", "&lt;b&gt;", "&quot;", "&#39;", "<b>", "</p>", "<br>", "<br/>", "<H2 x='1'>", "http", "链接", "é", "...", "<", ">"]
@@ -23,7 +24,7 @@ def test_python_text_rules_are_the_columns(spark):
     got = rows.select("i", T.one_line("t"), T.clean_text("t"), T.clean_original_text("t"), T.plain_text_preview("t"), T.html_to_formatted_text("t"), T.first_meaningful_line("t"), T.truncate_chars("t", 20)).collect()
     for r in got:
         t = texts[r[0]]
-        assert tuple(r)[1:] == (P._line(t), P._clean(t), P._original(t), P._preview(t), P._formatted(t), P._first_line(t), P._cut(t, 20)), repr(t)
+        assert tuple(r)[1:] == (M._line(t), M._clean(t), M._original(t), M._preview(t), M._formatted(t), M._first_line(t), M._cut(t, 20)), repr(t)
 
 
 def pages(n):
@@ -61,7 +62,7 @@ def pages(n):
 def test_pages_of_known_parts(spark):
     made = list(pages(200))
     rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(made)], "i long, html string")
-    got = {r["i"]: r["page"] for r in rows.select("i", P.page_parse("html", F.lit(False), F.lit("")).alias("f")).select("i", "f.page").collect()}
+    got = {r["i"]: r["page"] for r in with_page_metadata(rows, "html").collect()}
     for i, (html, want) in enumerate(made):
         page = got[i]
         assert {k: page[k] for k in ("title", "description", "author", "image_url")} == {k: want[k] for k in ("title", "description", "author", "image_url")}, html
