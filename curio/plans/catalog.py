@@ -13,7 +13,7 @@ from curio.functions import text as T
 from curio.functions import urls as U
 from curio.operators import items as I
 from curio.operators import pages as P
-from curio.operators.markup import with_page_metadata
+from curio.operators.markup import AROUND, GROUPS, with_page_metadata
 from curio.operators import query as Q
 from curio.operators import store as S
 from curio.operators import trees as X
@@ -499,19 +499,64 @@ def _page_metadata(spark, sf):
     return P.seed_metadata(pages.select(F.col("url").alias("source_url"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("看看这个 "), "url")).alias("shared_text")).dropDuplicates(["source_url"]))
 
 
-@query()
+def _page_sql() -> str:
+    """The pages' tables in SQL: t, tags with places and the text after each; e, elements with their spans; said, their
+    texts; content and formatted, the pages' texts. References: those that the pages have."""
+    tag = r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script[^>]*>|\z)|<style\b[^>]*>.*?(?:</style[^>]*>|\z)|</?[a-z][^>\"'']*(?:\"[^\"]*\"[^>\"'']*|''[^'']*''[^>\"'']*)*>|<[a-z/!?][^>]*(?:>|\z)"
+    decoded = "x"
+    for ref, plain in (("&copy;?", "©"), ("&middot;?", "·"), ("&quot;?", '"'), ("&amp;?", "&")):
+        decoded = f"regexp_replace({decoded}, '{ref}', '{plain}', 'g')"
+    around = ", ".join(f"'{n}', '/{n}'" for n in ["p", *AROUND])
+    own = lambda n: f"min(CASE WHEN name IN ('{n}', '/{n}') THEN i END) OVER later"
+    text = lambda name, value, most, joint, enough: f"""{name}_chunks AS (SELECT page_id, nth, i, x FROM (
+      SELECT page_id, g.nth, i, {value} AS x, row_number() OVER (PARTITION BY page_id, g.nth ORDER BY i) AS n FROM said JOIN groups g ON g.name = said.name AND (g.inside IS NULL OR (g.inside = 'article' AND article) OR (g.inside = 'main' AND main))) WHERE n <= {most} AND length(x) >= 12
+      QUALIFY row_number() OVER (PARTITION BY page_id, x ORDER BY nth, i) = 1),
+    {name}_sizes AS (SELECT *, coalesce(sum(length(x) + {len(joint)}) OVER (PARTITION BY page_id ORDER BY nth, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {len(joint)}, 0) AS before,
+      coalesce(sum(length(x) + {len(joint)}) OVER (PARTITION BY page_id ORDER BY nth RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {len(joint)}, 0) AS base FROM {name}_chunks),
+    {name} AS (SELECT page_id, string_agg(x, {' || '.join(['chr(10)'] * len(joint))} ORDER BY nth, i) AS x FROM {name}_sizes WHERE before <= 12000 AND base <= {enough} GROUP BY page_id)"""
+    meta = lambda key, value: f"(SELECT trim(regexp_extract(tag, '(?i)\\bcontent\\s*=\\s*[\"'']([^\"'']*)', 1)) AS x FROM t WHERE t.page_id = p.page_id AND regexp_matches(tag, '(?i)^<meta\\b.*\\b{key}\\s*=\\s*[\"'']?{value}[\"''\\s>]') ORDER BY i LIMIT 1)"
+    some = lambda *values: "coalesce(" + ", ".join(f"nullif({D.clean_sql(v)}, '')" for v in values) + ")"
+    first = lambda n: D.clean_sql(f"(SELECT x FROM said WHERE said.page_id = p.page_id AND said.name = '{n}' ORDER BY i LIMIT 1)")
+    return f"""WITH cut AS (SELECT page_id, regexp_extract_all(html, '{tag}') AS tags, regexp_split_to_array(html, '{tag}') AS texts FROM pages),
+    t AS (SELECT page_id, i, tags[i] AS tag, texts[i + 1] AS text, lower(regexp_extract(tags[i], '^<(/?[A-Za-z][A-Za-z0-9]*)', 1)) AS name FROM (SELECT *, unnest(range(1, len(tags) + 1)) AS i FROM cut)),
+    sums AS (SELECT page_id, i, name, {', '.join(f"sum(CASE WHEN name IN ({a}) THEN 1 WHEN name IN ({b}) THEN -1 ELSE 0 END) OVER upto AS {k}" for k, a, b in (("a", "'article'", "'/article'"), ("m", "'main'", "'/main'"), ("l", "'ul', 'ol'", "'/ul', '/ol'")))} FROM t WINDOW upto AS (PARTITION BY page_id ORDER BY i)),
+    depths AS (SELECT page_id, i, name, {', '.join(f"{k} - least(0, min({k}) OVER (PARTITION BY page_id ORDER BY i)) AS {k}" for k in "aml")} FROM sums),
+    spans AS (SELECT *, CASE name WHEN 'p' THEN min(CASE WHEN name IN ({around}) THEN i END) OVER later WHEN 'title' THEN {own('title')} WHEN 'h1' THEN {own('h1')} WHEN 'h2' THEN {own('h2')}
+      WHEN 'li' THEN min(CASE WHEN name IN ('li', '/li', '/ul', '/ol') THEN i END) OVER (PARTITION BY page_id, l + CASE WHEN name IN ('/ul', '/ol') THEN 1 ELSE 0 END ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) END AS stop
+      FROM depths WINDOW later AS (PARTITION BY page_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+    e AS (SELECT page_id, i, stop, name, a > 0 AS article, m > 0 AS main FROM spans WHERE name IN ('p', 'title', 'h1', 'h2', 'li')),
+    said AS (SELECT page_id, i, name, article, main, {decoded} AS x FROM (SELECT e.page_id, e.i, e.name, any_value(article) AS article, any_value(main) AS main, string_agg(text, ' ' ORDER BY t.i) AS x
+      FROM e JOIN t ON t.page_id = e.page_id AND t.i >= e.i AND (e.stop IS NULL OR t.i < e.stop) GROUP BY e.page_id, e.i, e.name)),
+    groups(nth, name, inside) AS (VALUES {', '.join(f"({n}, '{k}', {f"'{inside}'" if inside else 'NULL'})" for n, (k, inside) in enumerate(GROUPS))}),
+    {text('content', D.clean_sql('x'), 80, ' ', 1500)}, {text('formatted', D.original_sql('x'), 120, '  ', 2000)},
+    read AS (SELECT page_id, {some(meta('property', 'og:title'), meta('name', 'twitter:title'), first('title'), first('h1'))} AS title, {some(meta('property', 'og:description'), meta('name', 'description'), meta('name', 'twitter:description'))} AS description,
+      {some(meta('name', 'author'), meta('property', 'article:author'))} AS author, {some(meta('property', 'og:image'), meta('name', 'twitter:image'))} AS image_url, coalesce(c.x, '') AS content_text, CASE WHEN c.x IS NULL THEN '' ELSE coalesce(f.x, '') END AS original_text
+      FROM pages p LEFT JOIN content c USING (page_id) LEFT JOIN formatted f USING (page_id)) """
+
+
+PAGE_SQL = _page_sql()
+
+
+@query(PAGE_SQL + f""", seeds AS (SELECT page_id, url, html, length(html) % 5 = 0 AS lost, CASE WHEN page_id % 2 = 0 THEN '看看这个 ' || url ELSE '' END AS said FROM pages),
+merged AS (SELECT s.*, coalesce({D.cut_sql(D.first_line_sql('said'), 120)}, '{lists.PLACEHOLDER_TITLE}') AS own, r.* EXCLUDE (page_id), '{lists.PAGE_STATUS[0]}404{lists.PAGE_STATUS[1]}' AS note FROM seeds s JOIN read r USING (page_id)),
+texts AS (SELECT url, author, image_url, lost, CASE WHEN lost THEN own ELSE coalesce(title, own) END AS title,
+  CASE WHEN NOT lost THEN coalesce(description, said) WHEN said = '' THEN note ELSE said || chr(10) || note END AS description,
+  CASE WHEN lost THEN CASE WHEN said = '' THEN {D.clean_sql(D.untagged_sql('html'))} ELSE said END WHEN content_text <> '' THEN content_text ELSE said END AS content,
+  CASE WHEN NOT lost AND content_text <> '' THEN original_text ELSE said END AS original FROM merged)
+SELECT url AS source_url, url AS final_url, {D.platform_sql('url')} AS platform, {D.clean_sql('title')} AS title, {D.clean_sql('description')} AS description, CASE WHEN NOT lost THEN author END AS author,
+  CASE WHEN NOT lost THEN image_url END AS image_url, {D.clean_sql('content')} AS content_text, CASE WHEN {D.original_sql('original')} = '' THEN {D.clean_sql('content')} ELSE {D.original_sql('original')} END AS original_text FROM texts""")
 def merge_pages(spark, sf):
     pages = R.landed(D.table(spark, sf, "pages")).withColumn("http_status", F.when(F.length("body") % 5 == 0, 404).otherwise(200))
     return P.finish_metadata(P.merge_pages(_page_metadata(spark, sf), pages)).select(*"source_url final_url platform title description author image_url content_text original_text".split())
 
 
-@query()
+@query(PAGE_SQL + "SELECT page_id, title, description, author, image_url, length(content_text)::INTEGER AS visible, length(original_text)::INTEGER AS formatted FROM read")
 def page_metadata(spark, sf):
     parsed = with_page_metadata(D.table(spark, sf, "pages").select("page_id", "html"), "html", "page")
     return parsed.select("page_id", "page.title", "page.description", "page.author", "page.image_url", F.length("page.content_text").alias("visible"), F.length("page.original_text").alias("formatted"))
 
 
-@query()
+@query(PAGE_SQL + "SELECT page_id, content_text, original_text FROM read")
 def visible_text(spark, sf):
     parsed = with_page_metadata(D.table(spark, sf, "pages").select("page_id", "html"), "html", "page")
     return parsed.select("page_id", "page.content_text", "page.original_text")

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-NAMES = "collection_digest upsert_items import_report count_platforms clean_original_text extract_keywords heuristic_analysis merge_model_replies export_markdown validate_import".split()
+NAMES = "collection_digest upsert_items import_report count_platforms clean_original_text extract_keywords heuristic_analysis merge_model_replies export_markdown validate_import page_metadata visible_text merge_pages xhs_metadata".split()
 
 
 def test_entry(spark):
