@@ -16,7 +16,6 @@ that the body ends in is none. A null or empty body has no title, description, a
 from __future__ import annotations
 
 import html
-import json
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
@@ -46,20 +45,24 @@ GROUPS = (("p", "article"), ("p", "main"), ("p", None), ("h1", None), ("h2", Non
 
 _LEGACY = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 REFERENCE = rf"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;|{_LEGACY})"
+#: What names and the lowest numbers stand for, as one text: a map of thousands of literals would take the planner long.
+_COMMON = ("amp;", "quot;", "lt;", "gt;", "nbsp;")
+_MEANINGS = "\x01" + "".join(f"{n}={v}\x01" for n, v in [*((n, html5[n]) for n in _COMMON), *sorted(html5.items()), *((f"#{n}", html.unescape(f"&#{n};")) for n in range(160))])
 
 
 def decoded(c: Column) -> Column:
     """Character references replaced by what they stand for, each once; unknown names stay as they are."""
-    # Read from one literal, as a map of thousands of literals would take the planner long.
-    table = lambda d: F.from_json(F.lit(json.dumps(d)), "map<string,string>")
-    names, odd = table(html5), table({n: html.unescape(f"&#{n};") for n in range(160)})
+    def named(key: Column) -> Column:
+        whole = F.concat(F.lit("\x01"), key, F.lit("="))
+        found = lambda at: F.when(at > 0, F.substring_index(F.substr(F.lit(_MEANINGS), at + F.char_length(whole), F.lit(12)), "\x01", 1))
+        return once(F.position(whole, F.lit(_MEANINGS)), found)
 
     def meaning(ref: Column) -> Column:
         body = F.regexp_replace(ref, "^&#?[xX]?|;$", "")
         number = F.when(ref.rlike("^&#[xX]"), F.conv(body, 16, 10)).otherwise(body)
         point = F.when(F.length(body) > 9, F.lit(1 << 30)).otherwise(number.cast("long"))
-        said = lambda n: F.when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit("�")).when(n < 160, F.element_at(odd, n.cast("string"))).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
-        return F.when(ref.startswith("&#"), once(point, said)).otherwise(F.coalesce(F.element_at(names, F.substring(ref, 2, 1 << 30)), ref))
+        said = lambda n: F.when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit("�")).when(n < 160, named(F.concat(F.lit("#"), n.cast("string")))).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+        return F.when(ref.startswith("&#"), once(point, said)).otherwise(F.coalesce(named(F.substring(ref, 2, 1 << 30)), ref))
 
     def replaced(s: Column) -> Column:
         refs = F.transform(F.regexp_extract_all(s, F.lit(REFERENCE), F.lit(0)), meaning)
