@@ -159,14 +159,12 @@ def with_page_metadata(rows: DataFrame, body: str = "body", name: str = "page")
         entry = lambda key, value: F.try_element_at(F.filter(meta, lambda m: (m[key] == value) & m["content"].isNotNull()), F.lit(1))["content"]
         content = text(clean_text, 80, "\n", 1_500)
         original = text(clean_original_text, MOST, "\n\n", 2_000)
-        return F.struct(
+        return once(content, lambda shown: F.struct(
             first_non_empty(entry("property", "og:title"), entry("name", "twitter:title"), first("title"), first("h1")).alias("title"),
             first_non_empty(entry("property", "og:description"), entry("name", "description"), entry("name", "twitter:description")).alias("description"),
             first_non_empty(entry("name", "author"), entry("property", "article:author")).alias("author"),
             first_non_empty(entry("property", "og:image"), entry("name", "twitter:image")).alias("image_url"),
-            content.alias("content_text"), original.alias("original_text"),
-        )
+            shown.alias("content_text"), F.when(shown == "", F.lit("")).otherwise(original).alias("original_text"),
+        ))
 
-    found = parts.select(*rows.columns, once("_parts", page).alias(name))
-    whole = F.when(F.col(f"{name}.content_text") == "", F.lit("")).otherwise(F.col(f"{name}.original_text"))
-    return found.withColumn(name, F.col(name).withField("original_text", whole))
+    return parts.select(*rows.columns, once("_parts", page).alias(name))
