@@ -1,3 +1,4 @@
+import html
 import json
 
 from pyspark.sql import functions as F
@@ -144,3 +145,9 @@ def test_page_states_hold_whole_pages(spark, tmp_path):
     spark.createDataFrame([(1, "https://example.org/a", f"<p>{words}</p>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     for name in ("state_metadata", "xhs_metadata"):
         assert catalog.QUERIES[name](spark, str(tmp_path)).first()["description"] == words
+
+
+def test_references(spark):
+    texts = ["&amp;", "&amp", "&#39;", "&#x27;", "&copy", "&unknown;", "&#128;", "&#99999999;", "&#xD800;", "&hellip;&mdash", "a & b", "&&amp;&", "&#x1F600;", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r["d"] for r in rows.select("i", decoded(F.col("t")).alias("d")).orderBy("i").collect()] == [html.unescape(t) for t in texts]

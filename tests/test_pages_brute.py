@@ -3,8 +3,6 @@
 import json
 import random
 
-from pyspark.sql import functions as F
-
 from curio.functions import text as T
 from curio.operators.markup import with_page_metadata
 from tests import page_model as M
