@@ -6,10 +6,15 @@ batch, not on the store. Tables are plain Parquet folders:
     layout/                          one row: the number of buckets
     items/batch=<n>/bucket=<b>/      items that batch n made, changed or deleted (live = false)
     urls/batch=<n>/bucket=<b>/       (final_url, id, live): whose URL it is since batch n, or no one's
+    labels/batch=<n>/bucket=<b>/     if the store is counted: (status, dim, label, n), what batch n adds to a count or takes from it
+    recent/batch=<n>/bucket=0/       if it is counted: the newest active items after batch n, a bounded number
     manifest/delta=<n>/, full=<n>/   (kind, bucket, batch, base): the folders that batch n wrote; now and then all that count
 
 A folder marked base has all rows of its bucket, so older ones of that bucket no longer count. A bucket with `deltas`
 folders is written as a base by the next batch that reads it anyway: a bucket is never more than deltas + 1 folders.
+
+A counted store keeps the counts of its labels up to date: a batch takes the labels of the items as they were from the
+counts and adds those of the items as they are. label_counts(), stats() and digest() read counts, not items.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curio.functions import lists
+from curio.operators import query as Q
 from curio.operators.store import apply_edits, upsert_changes
 from curio.plans.scratch import cut
 from curio.sources.schemas import ITEM_COLUMNS, ITEM_SCHEMA
@@ -29,7 +36,21 @@ LIVE = T.StructField("live", T.BooleanType())
 KINDS = {
     "items": ("id", T.StructType([*ITEM_SCHEMA.fields, LIVE])),
     "urls": ("final_url", T.StructType([T.StructField("final_url", T.StringType()), T.StructField("id", T.StringType()), LIVE])),
+    "labels": ("label", T.StructType([*[T.StructField(c, T.StringType()) for c in ("status", "dim", "label")], T.StructField("n", T.LongType())])),
+    # A row without an id has the floor: the place in the order down to which all active items are there; null: all are.
+    "recent": ("id", T.StructType([ITEM_SCHEMA[c] for c in "id title platform category summary created_at".split()])),
 }
+#: The dimension under which items themselves are counted.
+ITEMS = "item"
+#: What stats() takes for all statuses but 'archived'.
+LISTED = "active or favorite"
+
+
+def label_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(status, dim, label, n): by how much counts change when the items `before` become those `after`."""
+    own = lambda items: Q.label_rows(items, "status").unionByName(items.select("status", F.lit(ITEMS).alias("dim"), F.lit("").alias("label")))
+    both = own(after).withColumn("n", F.lit(1)).unionByName(own(before).withColumn("n", F.lit(-1)))
+    return both.groupBy("status", "dim", "label").agg(F.sum("n").alias("n")).where("n <> 0")
 MANIFEST = T.StructType([T.StructField("kind", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType()), T.StructField("base", T.BooleanType())])
 PLACES = [T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())]
 
@@ -49,16 +70,22 @@ class Store:
     buckets: int
     deltas: int = 8
     full_every: int = 16
+    counted: bool = False
+    #: Of the newest active items `keep` are held; with fewer than `least` left, they are looked up among all items.
+    keep: int = 1024
+    least: int = 64
 
     @staticmethod
-    def open(spark: SparkSession, path: str, buckets: int = 64, **more) -> Store:
+    def open(spark: SparkSession, path: str, buckets: int = 64, counted: bool = False, **more) -> Store:
         """The store of a folder, with the number of buckets that it was made with; a new one is made with `buckets`.
-        Some hundred thousand items a bucket are fine; rehash() makes a store with more buckets of one that has grown."""
+        Some hundred thousand items a bucket are fine; rehash() makes a store with more buckets of one that has grown.
+        Whether a store is counted is settled when it is made, too; rehash() can make a counted one of one that is not."""
         layout = f"{path}/layout"
         at = spark._jvm.org.apache.hadoop.fs.Path(layout)
         if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-            spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(layout)
-        return Store(spark, path, spark.read.schema("buckets int").parquet(layout).first()["buckets"], **more)
+            spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(counted).alias("counted")).write.parquet(layout)
+        made = spark.read.schema("buckets int, counted boolean").parquet(layout).first()
+        return Store(spark, path, made["buckets"], counted=bool(made["counted"]), **more)
 
     def bucket(self, key: Column | str) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
@@ -87,8 +114,10 @@ class Store:
         return self.spark.read.schema(schema).option("basePath", root).parquet(*[f"{root}/batch={r['batch']}/bucket={r['bucket']}" for r in folders])
 
     def latest(self, kind: str, rows: DataFrame) -> DataFrame:
-        """Of each key the row of the latest batch, also if it is not live."""
+        """Of each key the row of the latest batch, also if it is not live; of labels the sums over all batches."""
         key, schema = KINDS[kind]
+        if kind == "labels":
+            return rows.groupBy("status", "dim", "label", "bucket").agg(F.sum("n").alias("n")).select(*schema.fieldNames(), "bucket")
         rest = [c for c in schema.fieldNames() if c != key]
         newest = rows.groupBy(key).agg(F.max_by(F.struct(*rest, "bucket"), "batch").alias("_r"))
         return newest.select(*[F.col(c) if c == key else F.col(f"_r.{c}").alias(c) for c in [*schema.fieldNames(), "bucket"]])
@@ -106,13 +135,17 @@ class Store:
         rows = self.read("items", wanted.select(self.bucket("id").alias("bucket")), before).join(wanted, "id", "left_semi")
         return self.latest("items", rows).where("live").select(*ITEM_COLUMNS)
 
+    def folders(self, kind: str, before: int | None = None) -> DataFrame:
+        """All rows of the folders that count, with batch and bucket."""
+        live = self.manifest(before).where(F.col("kind") == kind).select("batch", "bucket")
+        schema = T.StructType([*KINDS[kind][1].fields, *PLACES])
+        if live.isEmpty():
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{kind}").join(live, ["batch", "bucket"], "left_semi")
+
     def load(self, before: int | None = None) -> DataFrame:
         """All items."""
-        live = self.manifest(before).where("kind = 'items'").select("batch", "bucket")
-        if live.isEmpty():
-            return self.spark.createDataFrame([], ITEM_SCHEMA)
-        rows = self.spark.read.schema(T.StructType([*KINDS["items"][1].fields, *PLACES])).parquet(f"{self.path}/items")
-        return self.latest("items", rows.join(live, ["batch", "bucket"], "left_semi")).where("live").select(*ITEM_COLUMNS)
+        return self.latest("items", self.folders("items", before)).where("live").select(*ITEM_COLUMNS)
 
     def commit(self, number: int, touched: DataFrame, changed: DataFrame, gone: DataFrame | None = None) -> None:
         """Writes a batch: changed, the items that are new or differ, and tombstones of the ids gone. touched are the
@@ -125,8 +158,11 @@ class Store:
         # URLs that a touched item had: no longer its own, unless an item of this batch has it now.
         moved = touched.select("id", "final_url").join(items.select("id"), "id", "left_semi")
         left = moved.join(now.select("final_url"), "final_url", "left_anti").select("final_url", "id", F.lit(False).alias("live"))
-        written = [self._write("items", items, number), self._write("urls", now.unionByName(left), number)]
-        written[0].unionByName(written[1]).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/delta={number}")
+        written = self._write("items", items, number).unionByName(self._write("urls", now.unionByName(left), number))
+        if self.counted:
+            before = touched.join(items.select("id"), "id", "left_semi")
+            written = written.unionByName(self._write("labels", label_changes(before, items.where("live")), number)).unionByName(self._write_recent(items, number))
+        written.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/delta={number}")
         if number % self.full_every == self.full_every - 1:
             self.manifest(number + 1).write.mode("overwrite").parquet(f"{self.path}/manifest/full={number}")
 
@@ -139,12 +175,67 @@ class Store:
         full = cut(hit.join(folders.where(F.col("n") >= self.deltas), "bucket", "left_semi"))
         every = placed
         if not full.isEmpty():
-            older = self.read(kind, full, number).join(placed.select(key), key, "left_anti")
-            every = placed.unionByName(self.latest(kind, older).where("live").select(*schema.fieldNames(), "bucket"))
+            older = self.read(kind, full, number)
+            if kind == "labels":
+                every = self.latest(kind, placed.unionByName(older.select(*placed.columns)))
+            else:
+                older = self.latest(kind, older.join(placed.select(key), key, "left_anti"))
+                every = placed.unionByName(older.where("live").select(*schema.fieldNames(), "bucket"))
         every.repartition("bucket").sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{kind}/batch={number}")
         marked = hit.join(full.withColumn("base", F.lit(True)), "bucket", "left")
         return marked.select(F.lit(kind).alias("kind"), "bucket", F.lit(number).cast("long").alias("batch"), F.coalesce("base", F.lit(False)).alias("base"))
 
+    def _write_recent(self, items: DataFrame, number: int) -> DataFrame:
+        """The newest active items after a batch, of those before it and its own. Gives the manifest's row."""
+        order, place = Q.order_of("newest"), F.struct((-F.unix_micros("created_at")).alias("micros"), "title", "id")
+        fields = KINDS["recent"][1].fieldNames()
+        bucket = self.spark.range(1).select(F.lit(0).alias("bucket"))
+        held = cut(self.read("recent", bucket, number).select(*fields))
+        floor = held.where("id is null and created_at is not null").first()
+        fresh = Q.active_items(items.where("live")).select(*fields)
+        ids = items.select("id")
+        known = held.where("id is not null").join(ids, "id", "left_anti").unionByName(fresh)
+        if floor is not None:
+            known = known.where(place <= F.struct(-F.unix_micros(F.lit(floor["created_at"])), F.lit(floor["title"]), F.lit(floor["summary"])))
+        top = cut(known.orderBy(*order).limit(self.keep + 1))
+        if floor is not None and top.count() < self.least:
+            every = Q.active_items(self.load(number)).select(*fields).join(ids, "id", "left_anti").unionByName(fresh)
+            floor, top = None, cut(every.orderBy(*order).limit(self.keep + 1))
+        ranked = top.withColumn("_n", F.row_number().over(W.orderBy(*order)))  # at most keep + 1 rows
+        if top.count() > self.keep:
+            mark = ranked.where(F.col("_n") == self.keep).select("title", F.col("id").alias("summary"), "created_at")
+        else:
+            mark = held.where("id is null").select("title", "summary", "created_at").limit(1) if floor is not None else self.spark.createDataFrame([(None, None, None)], "title string, summary string, created_at timestamp")
+        rows = ranked.where(F.col("_n") <= self.keep).select(*fields).unionByName(mark, allowMissingColumns=True)
+        rows.withColumn("bucket", F.lit(0)).coalesce(1).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/recent/batch={number}")
+        return bucket.select(F.lit("recent").alias("kind"), "bucket", F.lit(number).cast("long").alias("batch"), F.lit(True).alias("base"))
+
+    def label_counts(self, before: int | None = None) -> DataFrame:
+        """(status, dim, label, count) of all items, of the batches before that number if one is given: dim is category,
+        platform or keyword, or ITEMS with an empty label for the items themselves. Reads the counts alone."""
+        if not self.counted:
+            raise ValueError("this store is not counted")
+        rows = self.latest("labels", self.folders("labels", before))
+        return rows.groupBy("status", "dim", "label").agg(F.sum("n").alias("count")).where("count <> 0")
+
+    def stats(self, status: str | None = None, before: int | None = None) -> DataFrame:
+        """As query.collection_stats() of all items, of one status, or of the status 'active or favorite', which are all
+        that are not archived."""
+        counts = self.label_counts(before)
+        if status == LISTED:
+            counts = Q.active_items(counts)
+        elif status is not None:
+            counts = counts.where(F.col("status") == status)
+        held = cut(counts.groupBy("dim", "label").agg(F.sum("count").alias("count")))
+        total = held.where(F.col("dim") == ITEMS).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
+        return total.join(Q.buckets_of(Q.rank_labels(held.where(F.col("dim") != ITEMS))))  # two tables of one row
+
+    def digest(self, generated_at: Column, first_hint: str = lists.HINT_FIRST, before: int | None = None) -> DataFrame:
+        """As query.collection_digest() of all items, from the counts and the newest items that the store keeps."""
+        stats = self.stats(LISTED, before)
+        newest = self.folders("recent", before).where("id is not null")
+        return Q.digest_row(stats, newest, generated_at, first_hint)
+
     def upsert(self, number: int, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(conflicts, changed items) of a batch with seq taken in as batch `number`, see store.upsert_changes()."""
         batch = cut(incoming)
@@ -164,9 +255,10 @@ class Store:
         self.commit(number, touched, changed, touched.join(after.select("id"), "id", "left_anti"))
         return done
 
-    def rehash(self, path: str, buckets: int) -> Store:
-        """A new store of the same items with that many buckets; for between two runs."""
-        out = Store.open(self.spark, path, buckets, deltas=self.deltas, full_every=self.full_every)
+    def rehash(self, path: str, buckets: int, counted: bool | None = None) -> Store:
+        """A new store of the same items with that many buckets, counted as this one or as told; for between two runs."""
+        counted = self.counted if counted is None else counted
+        out = Store.open(self.spark, path, buckets, counted, deltas=self.deltas, full_every=self.full_every, keep=self.keep, least=self.least)
         out.commit(-1, self.spark.createDataFrame([], ITEM_SCHEMA), self.load())
         return out
 

@@ -75,6 +75,23 @@ def list_items(items: DataFrame, sort: str | None = None, limit: int | None = No
     return found.limit(limit) if limit else found
 
 
+def list_page(items: DataFrame, size: int, after: dict | None = None, sort: str | None = None, **filters) -> DataFrame:
+    """The page of a listing that follows the item `after` (its id and the columns of the order; None: the first page).
+    The place is a condition on the order's own columns, not a number of rows to skip: the scan takes its first part as
+    a filter, each task keeps at most `size` rows, and items added meanwhile shift no page. Needs no nulls in the
+    columns of the order, which items do not have."""
+    found = filter_items(items, **filters)
+    if after is not None:
+        keys = [*ORDERS.get(sort or "newest", ORDERS["newest"]), ("id", False)]
+        beyond, first = F.lit(False), keys[0]
+        for name, down in reversed(keys):
+            at = F.lit(after[name])
+            beyond = (F.col(name) < at if down else F.col(name) > at) | ((F.col(name) == at) & beyond)
+        bound = F.lit(after[first[0]])
+        found = found.where(F.col(first[0]) <= bound if first[1] else F.col(first[0]) >= bound).where(beyond)
+    return sort_items(found, sort).limit(size)
+
+
 def recent_items(items: DataFrame, most: int = 8) -> DataFrame:
     return project_digest_item(sort_items(active_items(items)).limit(most))
 
@@ -101,22 +118,29 @@ def count_keywords(items: DataFrame) -> DataFrame:
     return count_by(items.select(F.explode("keywords").alias("keyword")), "keyword")
 
 
-def top_labels_per_dimension(items: DataFrame, most: int = TOP) -> DataFrame:
-    """(dim, label, count, place): categories, platforms and keywords in one pass over items, counted before ranking."""
+def label_rows(items: DataFrame, *keep: str) -> DataFrame:
+    """(dim, label) and the columns kept, for each trimmed, non-blank category, platform and keyword of items."""
     pair = lambda name, c: F.struct(F.lit(name).alias("dim"), c.alias("label"))
     pairs = F.concat(
         F.array(pair("category", F.col("category")), pair("platform", F.col("platform"))),
         F.coalesce(F.transform("keywords", lambda k: pair("keyword", k)), F.array().cast("array<struct<dim:string,label:string>>")),
     )
-    labels = items.select(F.explode(pairs).alias("p")).select("p.dim", trim("p.label").alias("label")).where("label <> ''")
-    counted = labels.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("count"))
+    return items.select(*keep, F.explode(pairs).alias("p")).select(*keep, "p.dim", trim("p.label").alias("label")).where("label <> ''")
+
+
+def rank_labels(counted: DataFrame, most: int = TOP) -> DataFrame:
+    """(dim, label, count, place) of (dim, label, count): the most frequent of each dimension, ties by label."""
     place = F.row_number().over(W.partitionBy("dim").orderBy(F.desc("count"), "label"))
     return counted.withColumn("place", place).where(F.col("place") <= most)
 
 
-def _buckets(items: DataFrame) -> DataFrame:
+def top_labels_per_dimension(items: DataFrame, most: int = TOP) -> DataFrame:
+    """(dim, label, count, place): categories, platforms and keywords in one pass over items, counted before ranking."""
+    return rank_labels(label_rows(items).groupBy("dim", "label").agg(F.count(F.lit(1)).alias("count")), most)
+
+
+def buckets_of(top: DataFrame) -> DataFrame:
     """One row: the three top lists as arrays of (label, count)."""
-    top = top_labels_per_dimension(items)
     take = lambda dim: F.transform(
         F.array_sort(F.collect_list(F.when(F.col("dim") == dim, F.struct("place", "label", "count")))), lambda b: F.struct(b["label"].alias("label"), b["count"].alias("count"))
     )
@@ -127,7 +151,7 @@ def collection_stats(items: DataFrame, **filters) -> DataFrame:
     """One row: total (blank labels too), categories, platforms, keywords of the filtered items."""
     found = filter_items(items, **filters)
     total = found.agg(F.count(F.lit(1)).alias("total"))
-    return total.join(_buckets(found))  # two tables of one row
+    return total.join(buckets_of(top_labels_per_dimension(found)))  # two tables of one row
 
 
 def focus_summary() -> Column:
@@ -165,10 +189,15 @@ def collection_digest(items: DataFrame, generated_at: Column, first_hint: str =
     """One row: total, generated_at, focus_summary, category_summaries, recent_items, suggestions of the active items."""
     # The few columns that count are worked out once, for three uses.
     active = cut(active_items(items).select("id", "title", "platform", "category", "keywords", "summary", "created_at"))
+    return digest_row(collection_stats(active), active, generated_at, first_hint)
+
+
+def digest_row(stats: DataFrame, active: DataFrame, generated_at: Column, first_hint: str = lists.HINT_FIRST) -> DataFrame:
+    """The digest of collection_stats()' row and a table that holds at least the eight newest active items."""
     newest = project_digest_item(sort_items(active).limit(8)).select(F.struct((-F.unix_micros("created_at")).alias("order"), "title", "id", "platform", "category", "summary", "created_at").alias("r"))
     fields = "id title platform category summary created_at".split()
     recent = newest.agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias("recent_items"))
-    row = collection_stats(active).join(recent)
+    row = stats.join(recent)
     return row.select("total", generated_at.alias("generated_at"), focus_summary().alias("focus_summary"), F.col("categories").alias("category_summaries"), "recent_items", digest_suggestions(first_hint).alias("suggestions"))
 
 

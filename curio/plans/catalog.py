@@ -776,6 +776,23 @@ def list_items(spark, sf):
     return numbered(Q.list_items(D.items(spark, sf), sort="oldest", status="active").select("id", "created_at", "title"), Q.order_of("oldest"), "place").select("id", "place")
 
 
+@query(WITH_ITEMS + ", placed AS (SELECT id, status, row_number() OVER (PARTITION BY status ORDER BY importance_score DESC, created_at DESC, title, id) AS place FROM items) SELECT status, id, place FROM placed WHERE place BETWEEN 26 AND 50")
+def list_page(spark, sf):
+    """The second page of each status's listing by importance, found from the last item of the first."""
+    items = cut(D.items(spark, sf).select("id", "title", "importance_score", "created_at", "status"))
+    out = []
+    for status in lists.STATUSES:
+        first = Q.list_page(items, 25, sort="importance", status=status)
+        last = first.orderBy(*[c for c in _reversed("importance")]).first()  # one row: where the reader stands
+        page = Q.list_page(items, 25, last.asDict() if last else None, "importance", status=status)
+        out.append(numbered(page, Q.order_of("importance"), "place").select("status", "id", (F.col("place") + 25).alias("place")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def _reversed(sort: str) -> list:
+    return [F.asc(c) if down else F.desc(c) for c, down in Q.ORDERS[sort]] + [F.desc("id")]
+
+
 @query(ACTIVE_SQL + f"SELECT {DIGEST_ITEM_SQL} FROM (SELECT * FROM items ORDER BY created_at DESC, title, id LIMIT 8)")
 def recent_items(spark, sf):
     return flat(Q.recent_items(D.items(spark, sf)))
@@ -1019,6 +1036,41 @@ def addressed_store(spark, sf):
     return flat(held.load(), "id", "final_url", "title", "category", "created_at")
 
 
+#: Items as they are after the batches of _counted(): some told anew with another category, some archived, some gone.
+COUNTED_SQL = WITH_ITEMS.replace("items AS MATERIALIZED (", "told AS MATERIALIZED (").rstrip() + """, every AS MATERIALIZED (SELECT * REPLACE (CASE WHEN n % 5 = 0 THEN 'anew' ELSE category END AS category, CASE WHEN n % 7 = 0 THEN 'archived' ELSE status END AS status)
+  FROM (SELECT *, CAST(replace(id, 'doc-', '') AS BIGINT) AS n FROM told) WHERE n % 11 <> 0), items AS (SELECT * FROM every WHERE status <> 'archived') """
+
+
+def _counted(spark, sf):
+    """A counted store of the items in three batches: new ones, new and changed ones, edits and deletions."""
+    from curio.operators.addressed import Store
+
+    told = cut(D.items(spark, sf).withColumn("seq", F.regexp_extract("id", "([0-9]+)$", 1).cast("long")))
+    n = F.col("seq")
+    held = Store.open(spark, new_path(spark, "store"), buckets=8, counted=True, deltas=2, full_every=2)
+    held.commit(0, told.limit(0), told.where(n % 3 > 0))
+    anew = told.where(n % 5 == 0).withColumns({"category": F.lit("anew"), "seq": n + 2**40})
+    held.upsert(1, told.where(n % 3 == 0).unionByName(anew))
+    edits = told.where((n % 7 == 0) | (n % 11 == 0)).select(n.alias("seq"), "id", F.when(n % 11 == 0, "delete").otherwise("status").alias("kind"), F.lit("archived").alias("status"), now().alias("at"))
+    held.edit(2, spark.createDataFrame([], EDIT_SCHEMA).unionByName(edits, allowMissingColumns=True))
+    return held
+
+
+@query(COUNTED_SQL + f"""SELECT status, dim, label, count(*) AS count FROM (SELECT status, 'category' AS dim, {D.trim_sql('category')} AS label FROM every UNION ALL SELECT status, 'platform', {D.trim_sql('platform')} FROM every
+  UNION ALL SELECT status, 'keyword', {D.trim_sql('k')} FROM (SELECT status, unnest(keywords) AS k FROM every)) WHERE label <> '' GROUP BY ALL UNION ALL SELECT status, 'item', '', count(*) FROM every GROUP BY ALL""")
+def counted_labels(spark, sf):
+    """Counts that batches kept up to date."""
+    return _counted(spark, sf).label_counts()
+
+
+@query(COUNTED_SQL + f", {DIMS_SQL} SELECT (SELECT count(*) FROM items) AS total, {FOCUS_SQL} AS focus_summary, {_buckets_sql('category')} AS category_summaries, {HINTS_SQL} AS suggestions, (SELECT string_agg(id, '|' ORDER BY created_at DESC, title, id) FROM (SELECT * FROM items ORDER BY created_at DESC, title, id LIMIT 8)) AS recent")
+def counted_digest(spark, sf):
+    """The digest from counts and the newest items that the store keeps: no item is read."""
+    digest = _counted(spark, sf).digest(now())
+    recent = F.array_join(F.transform("recent_items", lambda r: r["id"]), "|").alias("recent")
+    return _texts(digest, "category_summaries").select("total", "focus_summary", "category_summaries", F.array_join("suggestions", "|").alias("suggestions"), recent)
+
+
 NEEDLES = ["src1 link", "優惠", "优惠券", "kw3", "the ", "zh", "https://img.example.org/1"]
 
 
