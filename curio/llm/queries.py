@@ -147,7 +147,7 @@ based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_
 binned AS (SELECT doc_id, lang, source, base_failed, unnest(range(0, 5)) AS m, unnest([CASE WHEN word_chars > 0 THEN floor(n_symbols * 1000 / word_chars) ELSE 0 END, CASE WHEN n_words > 0 THEN floor(n_repeat_words * 1000 / n_words) ELSE 0 END,
   CASE WHEN n_words > 0 THEN floor(n_dup_lines * 1000 / n_words) ELSE 0 END, CASE WHEN word_chars > 0 THEN floor(n_upper * 1000 / word_chars) ELSE 0 END, CASE WHEN n_words > 0 THEN floor(word_chars * 100 / n_words) ELSE 0 END])::BIGINT AS bin,
   unnest([10, 60, 20, 60, 150]) AS least FROM based),
-good AS (SELECT * FROM binned WHERE NOT base_failed),
+good AS (SELECT * REPLACE ((bin >> greatest(length(bin(bin)) - 10, 0)) << greatest(length(bin(bin)) - 10, 0) AS bin) FROM binned WHERE NOT base_failed),
 quartiles AS (SELECT 0 AS level, lang, source, m, any_value(least) AS least, count(*) AS n, quantile_disc(bin, 0.25) AS low, quantile_disc(bin, 0.75) AS high FROM good GROUP BY lang, source, m
   UNION ALL SELECT 1, lang, NULL, m, any_value(least), count(*), quantile_disc(bin, 0.25), quantile_disc(bin, 0.75) FROM good GROUP BY lang, m
   UNION ALL SELECT 2, NULL, NULL, m, any_value(least), count(*), quantile_disc(bin, 0.25), quantile_disc(bin, 0.75) FROM good GROUP BY m),

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -83,13 +83,25 @@ def _parts(over: str, under: str, factor: int):
     return F.when(F.col(under) > 0, F.floor(F.col(over) * factor / F.col(under))).otherwise(F.lit(0)).cast("long")
 
 
+#: Leading binary digits of a value that a sketch keeps.
+DIGITS = 10
+
+
+def _bin(value: Column) -> Column:
+    """The least value with the same leading digits, of a value that is not negative."""
+    step = F.pow(F.lit(2.0), F.greatest(F.length(F.bin(value)) - DIGITS, F.lit(0))).cast("long")
+    return value - value % step
+
+
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, measure, bin, n): mergeable quantile sketches of the rows that pass the base rules.
 
-    A sketch is a histogram with bins of fixed width, so two are merged by adding counts in any order, and its
-    quantiles are right to one bin. Ratios bound the number of bins, not the rows.
+    A bin holds the values that agree in their DIGITS leading binary digits and is named by the least of them, so two
+    sketches are merged by adding counts in any order. A quantile is at most 1 part in 2^(DIGITS - 1) below the exact
+    one, and is exact below 2^DIGITS. A sketch has at most 2^DIGITS + (63 - DIGITS) * 2^(DIGITS - 1) bins, whatever the
+    rows: 28,160, of which texts of words that one can read use some hundred.
     """
-    bins = F.array(*[F.struct(F.lit(i).alias("measure"), _parts(over, under, factor).alias("bin")) for i, (_, over, under, factor, _) in enumerate(MEASURES)])
+    bins = F.array(*[F.struct(F.lit(i).alias("measure"), _bin(_parts(over, under, factor)).alias("bin")) for i, (_, over, under, factor, _) in enumerate(MEASURES)])
     return (
         measured.where(~F.col("base_failed"))
         .select("lang", "source", F.explode(bins).alias("b"))

@@ -410,12 +410,12 @@ def _grouped(docs: DataFrame, similarity: float, plan: Plan) -> tuple[DataFrame,
     nodes = components(links(texts.groupBy("node").agg(F.first("f").alias("f")).select("f"), plan))
     of = texts.join(nodes.withColumnRenamed("component", "family"), "node", "left").withColumn("family", F.coalesce("family", "node"))
     carried = [F.col("f")[k].alias(f"f{k}") for k in range(plan.carry)]
-    narrow = cut(of.select("id", "family", "bytes", "row.rk", *carried))
+    narrow = cut(of.select("id", "family", "bytes", "row.rk", "row.th", *carried))
     many = F.greatest(F.ceil(F.count(F.lit(1)) / FAMILY), F.ceil(F.sum("bytes") / FAMILY_BYTES))
     parts = narrow.groupBy("family").agg(many.alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = narrow.join(parts, "family").drop("bytes")
-    # One row's text for each; rows that repeat stand in one place after the join.
-    rows = keyed(docs).select("rk", F.coalesce("text", F.lit("")).alias("s")).join(members, "rk").dropDuplicates(["rk", "id"])
+    # One row's text for each, by two hashes; rows that repeat stand in one place after the join.
+    rows = keyed(docs).select("rk", "th", F.coalesce("text", F.lit("")).alias("s")).join(members, ["rk", "th"]).dropDuplicates(["rk", "th", "id"])
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), "m")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
     # A text of part p is in the tiles (p, q) of all q; the tile (p, p) compares its own texts.
     tiles = dealt.withColumn("key", F.xxhash64("family", F.least("part", "other"), F.greatest("part", "other")))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -480,6 +481,21 @@ def test_rules_counts(spark, rows):
         assert r["base_failed"] == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (r["base_failed"] and r["kept"])
 
 
+def test_sketches_are_bounded_and_near(spark):
+    """Lengths of words over nine orders of magnitude: few bins, quantiles within the stated bound, merged in any order."""
+    rng = random.Random(4)
+    values = [int(10 ** rng.uniform(0, 9)) for _ in range(4000)] + [0, 1, 1023, 1024, 1025, 2**40, 2**62]
+    got = [r["b"] for r in spark.createDataFrame([(v,) for v in values], "v bigint").select(rules._bin(F.col("v")).alias("b")).collect()]
+    assert all(b == v if v < 1024 else b <= v and (v - b) * 512 < v for v, b in zip(values, got, strict=True))
+    assert all(a <= b for (_, a), (_, b) in itertools.pairwise(sorted(zip(values, got, strict=True))))
+    one = lambda a, b: [("en", "a", False, v, 0, 0, 0, 1, 0) for v in values[a:b]]
+    names = "lang string, source string, base_failed boolean, word_chars bigint, n_symbols bigint, n_repeat_words bigint, n_dup_lines bigint, n_words bigint, n_upper bigint"
+    sketch = lambda rows: rules.sketches(spark.createDataFrame(rows, names).withColumn("word_chars", F.least("word_chars", F.lit(2**53))))
+    merged = sketch(one(0, 1500)).unionByName(sketch(one(1500, 5000))).groupBy("measure", "bin").agg(F.sum("n").alias("n"))
+    whole = sketch(one(0, 5000)).select("measure", "bin", "n")
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, whole.collect())) and whole.count() < 4000
+
+
 def test_rules_adapt(spark):
     rng = random.Random(8)
     plain = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40))
