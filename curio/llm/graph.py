@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curio.llm.common import cut
+from curio.llm.common import cut, cut_table, drop_shuffles
 
 
 def forest(a: np.ndarray, b: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
@@ -69,7 +69,7 @@ def components(links: DataFrame) -> DataFrame:
     each link it read, groups nothing but minima, and is written to the checkpoint folder. Only a count and a checksum
     reach the driver. No links, no rows.
     """
-    now = cut(links.select("a", "b").where("a <> b").mapInArrow(_thin, "a bigint, b bigint"))
+    now = cut_table(links.select("a", "b").where("a <> b").mapInArrow(_thin, "a bigint, b bigint"))
     seen, n = None, now.count()
     while n:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
@@ -80,4 +80,5 @@ def components(links: DataFrame) -> DataFrame:
         if mark == seen or mark[0] == 0:
             break
         seen, n = mark, mark[0]
+    drop_shuffles(now.sparkSession)  # what the links came from, too
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -318,7 +318,7 @@ def links(distinct: DataFrame, plan: Plan) -> DataFrame:
     """
     rows = distinct.select("f").mapInArrow(lambda x: _index(x, plan), ", ".join(["key bigint", *[f"f{k} bigint" for k in range(plan.carry)]]))
     parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    met = cut(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda x: _meet(x, plan), OUT), free=True)
+    met = cut_table(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda x: _meet(x, plan), OUT))
     near = met.where("a is not null").select("a", "b", "d")
     blocks = met.where("packed is not null").select("key", "block", "packed")
     if not blocks.isEmpty():
@@ -404,13 +404,13 @@ def _grouped(docs: DataFrame, similarity: float, plan: Plan) -> tuple[DataFrame,
 
     once = found.groupBy("th", "t2").agg(F.first("bytes").alias("bytes"), F.first("f").alias("f"), F.min(F.struct("doc_id", "th", "rk")).alias("row")).withColumn("id", F.monotonically_increasing_id())
     kind = dict(docs.dtypes)["doc_id"]
-    texts = cut(once.mapInArrow(named, f"th bigint, t2 bigint, bytes bigint, f array<bigint>, row struct<doc_id:{kind},th:bigint,rk:bigint>, id bigint, node bigint"))
+    texts = cut_table(once.mapInArrow(named, f"th bigint, t2 bigint, bytes bigint, f array<bigint>, row struct<doc_id:{kind},th:bigint,rk:bigint>, id bigint, node bigint"))
 
     # Families: texts that proposed links hold together, over any number of links.
     nodes = components(links(texts.groupBy("node").agg(F.first("f").alias("f")).select("f"), plan))
     of = texts.join(nodes.withColumnRenamed("component", "family"), "node", "left").withColumn("family", F.coalesce("family", "node"))
     carried = [F.col("f")[k].alias(f"f{k}") for k in range(plan.carry)]
-    narrow = cut(of.select("id", "family", "bytes", "row.rk", "row.th", *carried))
+    narrow = cut_table(of.select("id", "family", "bytes", "row.rk", "row.th", *carried))
     many = F.greatest(F.ceil(F.count(F.lit(1)) / FAMILY), F.ceil(F.sum("bytes") / FAMILY_BYTES))
     parts = narrow.groupBy("family").agg(many.alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = narrow.join(parts, "family").drop("bytes")
