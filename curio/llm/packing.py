@@ -26,7 +26,8 @@ KEPT = 8_000_000
 
 #: Letters in every version of Unicode that a library may know, as a class of a pattern.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-_MARK = ",.;:!?"
+#: Symbols, none of which stands next to a letter in a special token.
+_MARK = ",.;:!?#$%&*"
 
 
 class Encoder:
@@ -38,11 +39,17 @@ class Encoder:
     and a letter is a part. A text may thus be cut between a letter and a mark, between either and a space before a
     letter, and around such a line feed: the ids of its stretches, in turn, are those of the text. No special token has
     such a place in it (else texts stay whole).
+
+    Most of a text is words between single spaces, so these are looked up first, each with the space before it; only
+    what stands around words of another form is searched for the other places.
     """
 
     BREAK = re.compile(f"(?<=[{_LETTER}{_MARK}])(?=[ \n][{_LETTER}])|(?<=[{_LETTER}])(?=[{_MARK}])|(?<=[{_LETTER}{_MARK}]\n)(?=[{_LETTER}])")
     #: A stretch that is one part of the pattern; the merges may be asked for it without the rest of the library.
     PART = re.compile(f" ?[{_LETTER}]+")
+    #: Between spaces: letters and marks behind them; and all that may be cut from the like at the space before it.
+    WORD = re.compile(f"([{_LETTER}]+)([{_MARK}]*)")
+    APART = re.compile(f"[{_LETTER}](?:.*[{_LETTER}{_MARK}])?", re.DOTALL)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -50,6 +57,7 @@ class Encoder:
         self.exact = Tokenizer.from_file(path)
         self.whole = any(self.BREAK.search(t.content) for t in self.exact.get_added_tokens_decoder().values()) or "ByteLevel" not in str(self.exact.pre_tokenizer) or self.exact.normalizer is not None
         self.known: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # the ids of a word with a space before it
         self.held = 0
         if not self.whole:
             letters = [chr(c) for c in range(32, 0x250) if self.PART.fullmatch(chr(c))]
@@ -58,21 +66,63 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if self.whole:
-            return self.ids(text)
+    def merged(self, part: str) -> bytes:
+        return array("I", [t.id for t in self.exact.model.tokenize(part.translate(self.bytes_as_letters))]).tobytes()
+
+    def stretches(self, text: str) -> bytes:
         known, stretches = self.known, self.BREAK.split(text)
         for part in set(stretches).difference(known):
-            if self.PART.fullmatch(part):
-                known[part] = array("I", [t.id for t in self.exact.model.tokenize(part.translate(self.bytes_as_letters))]).tobytes()
-            else:
-                known[part] = self.ids(part)
+            known[part] = self.merged(part) if self.PART.fullmatch(part) else self.ids(part)
             self.held += len(part)
-        out = b"".join(map(known.__getitem__, stretches))
+        return b"".join(map(known.__getitem__, stretches))
+
+    def word(self, word: str) -> bytes | None:
+        """The ids of a word with a space before it; None if it may not be cut from the words beside it."""
+        spaced = self.spaced
+        ids = spaced.get(word)
+        if ids is None and (form := self.WORD.fullmatch(word)):
+            letters, marks = form.groups()
+            ids = spaced.get(letters)
+            if ids is None:
+                ids = spaced[letters] = self.merged(" " + letters)
+                self.held += len(letters)
+            if marks:
+                ids = spaced[word] = ids + self.stretches(marks)
+                self.held += len(word)
+        elif ids is None and self.APART.fullmatch(word):
+            line, feed, more = word.partition("\n")
+            if feed and self.WORD.fullmatch(line) and self.PART.match(more):
+                return self.word(line) + self.stretches(feed) + self.stretches(more)
+            return self.stretches(" " + word)
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if self.whole:
+            return self.ids(text)
+        words = text.split(" ")
+        ids = list(map(self.spaced.get, words))
+        ids[0] = self.stretches(words[0]) if self.APART.fullmatch(words[0]) else None  # no space before it
+        odd = []
+        if None in ids:
+            for i in [i for i, x in enumerate(ids) if x is None]:
+                ids[i] = self.word(words[i]) if i else None
+                if ids[i] is None:
+                    odd.append(i)
+        if odd:  # each stays with its neighbours, and what neighbours it has in common with the next, with that, too
+            out, at, k = [], 0, 0
+            while k < len(odd):
+                begin, end = max(odd[k] - 1, 0), odd[k] + 2
+                while (k := k + 1) < len(odd) and odd[k] <= end:
+                    end = odd[k] + 2
+                out += ids[at:begin]
+                out.append(self.stretches(" " * (begin > 0) + " ".join(words[begin:end])))
+                at = end
+            ids = out + ids[at:]
         if self.held > KEPT:
-            known.clear()
+            self.known.clear()
+            self.spaced.clear()
             self.held = 0
-        return out
+        return b"".join(ids)
 
 
 _encoders: dict[str, Encoder] = {}

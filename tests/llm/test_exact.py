@@ -425,6 +425,27 @@ def test_stretches_have_the_ids_of_the_text():
     assert encoder.known and not encoder.whole
 
 
+def test_words_between_spaces_are_not_searched():
+    encoder = packing.Encoder(packing.tokenizer_file())
+    rng = random.Random(8)
+    words = ["one", "two,", "Drei.", "vier.\nFünf", "six%%%", "été$$$", "", "###", "|", "18.1", "don't", "a\n\nb", "x.\n", "\ny", "(z)", "#a", "a@b.c", "<|endoftext|>", "q'", "é\n#", "\t", "b\tc"]
+    plain = 6
+    for n in (1, 2, 3, 4, 5, 8, 40):
+        for _ in range(300):
+            text = " ".join(rng.choice(words if rng.random() < 0.4 else words[:plain]) for _ in range(n))
+            assert encoder.encode(text) == encoder.ids(text)
+    searched = []
+
+    class Counted:
+        def split(self, text, find=encoder.BREAK):
+            searched.append(len(text))
+            return find.split(text)
+
+    encoder.BREAK = Counted()
+    text = " ".join(rng.choice(words[:plain]) for _ in range(5000)) + " ### end"
+    assert encoder.encode(text) == encoder.ids(text) and sum(searched) < len(text) / 2
+
+
 def test_local_search_empties_bins():
     lengths = [60, 30, 50, 40, 20]
     worse = [[0, 1], [2], [3, 4]]  # 90, 50, 60 of 100: the 50 can be had as 10 and 40
