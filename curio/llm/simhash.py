@@ -420,7 +420,7 @@ def _grouped(docs: DataFrame, similarity: float, plan: Plan) -> tuple[DataFrame,
     # A text of part p is in the tiles (p, q) of all q; the tile (p, p) compares its own texts.
     tiles = dealt.withColumn("key", F.xxhash64("family", F.least("part", "other"), F.greatest("part", "other")))
     near = by_bucket(tiles.select("key", "family", "id", "part", "s", *[f"f{k}" for k in range(plan.carry)]), lambda b: _compare(b, plan, similarity), "a bigint, b bigint")
-    joined = components(near)
+    joined = components(cut_table(near))  # else a task would hold two Python workers, one for either's helper
     out = texts.select("id", "th", "t2", "row").join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
     return found.select("doc_id", "rk", "th", "t2"), out.withColumn("group", F.coalesce("component", "id")).drop("component")
 
