@@ -36,3 +36,17 @@ def test_merge_pages_of_one_url(spark, tmp_path):
     said = {r[0][-1]: r[4] for r in got}
     assert said["a"].startswith("看看这个") and said["b"] == "" and "HTTP 404" in said["c"]
     assert {r[0][-1]: r[3] for r in got}["a"] == "Page b"
+
+
+def test_notes_longer_than_their_section(spark, tmp_path):
+    """Texts that end before, at and after the 120,000 bytes that are looked at, or whose characters are cut there."""
+    sizes = [10, 100, 119_900, *range(119_920, 119_960), 119_970, 130_000]
+    rows = [(k, f"https://e.org/{k:03}", "<p>" + "x" * n) for k, n in enumerate(sizes)]
+    rows += [(100 + n, f"https://e.org/{100 + n}", "<p>" + "x" * n + "链" * 41_000) for n in range(4)]
+    rows += [(200, "https://e.org/200", "\\\\\" \"desc\":\"" + "\"" * 59_000), (201, "https://e.org/201", "\\\"" * 31_000), (202, "https://e.org/202", "a\x01\x1fb\x7f é&amp;amp;"), (203, "https://e.org/203", "<p>"), (204, "https://e.org/204", None), (205, None, "text"), (206, None, None), (207, None, "y" * 121_000)]
+    write_pages(spark, tmp_path, rows)
+    got, want = both(spark, "xhs_metadata", tmp_path)
+    assert got == want and len(got) == len(rows)
+    held = {r[0]: r[1:] for r in got}
+    assert held[0] == ("https://e.org/000", "x" * 10, "someone") and held[len(sizes) - 1] == (rows[len(sizes) - 1][1], None, None)
+    assert [n for n in range(4) if held[100 + n] == (None, None, None)] and [n for n in range(4) if held[100 + n][0]]
