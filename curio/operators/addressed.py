@@ -4,7 +4,7 @@ A batch reads the buckets that its ids and URLs fall into and writes the same bu
 batch, not on the store. Tables are plain Parquet folders:
 
     layout/                          one row: the number of buckets
-    items/batch=<n>/bucket=<b>/      items that batch n made, changed or deleted (live = false)
+    items/batch=<n>/bucket=<b>/      items that batch n made, changed or deleted (live = false); in files of a base, older ones too (fresh = false)
     urls/batch=<n>/bucket=<b>/       (final_url, id, live): whose URL it is since batch n, or no one's
     labels/batch=<n>/bucket=<b>/     if the store is counted: (status, dim, label, n), what batch n adds to a count or takes from it
     recent/batch=<n>/bucket=0/       if it is counted: the newest active items after batch n, a bounded number
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from curio.functions import lists
 from curio.operators import query as Q
 from curio.operators.store import apply_edits, upsert_changes
-from curio.plans.scratch import cut
+from curio.plans.scratch import PACKED, cut, passing
 from curio.sources.schemas import ITEM_COLUMNS, ITEM_SCHEMA
 
 LIVE = T.StructField("live", T.BooleanType())
@@ -113,9 +113,12 @@ class Store:
         root = f"{self.path}/{kind}"
         return self.spark.read.schema(schema).option("basePath", root).parquet(*[f"{root}/batch={r['batch']}/bucket={r['bucket']}" for r in folders])
 
-    def latest(self, kind: str, rows: DataFrame) -> DataFrame:
-        """Of each key the row of the latest batch, also if it is not live; of labels the sums over all batches."""
+    def latest(self, kind: str, rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+        """Of each key the row of the latest batch, also if it is not live; of labels the sums over all batches. With
+        columns, which hold the key, only those are moved."""
         key, schema = KINDS[kind]
+        if columns:
+            schema = T.StructType([schema[c] for c in columns])
         if kind == "labels":
             return rows.groupBy("status", "dim", "label", "bucket").agg(F.sum("n").alias("n")).select(*schema.fieldNames(), "bucket")
         rest = [c for c in schema.fieldNames() if c != key]
@@ -143,22 +146,28 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{kind}").join(live, ["batch", "bucket"], "left_semi")
 
-    def load(self, before: int | None = None) -> DataFrame:
-        """All items."""
-        return self.latest("items", self.folders("items", before)).where("live").select(*ITEM_COLUMNS)
+    def load(self, before: int | None = None, columns: list[str] = ITEM_COLUMNS) -> DataFrame:
+        """All items, or those of their columns, id among them."""
+        return self.latest("items", self.folders("items", before), [*columns, "live"]).where("live").select(*columns)
 
     def commit(self, number: int, touched: DataFrame, changed: DataFrame, gone: DataFrame | None = None) -> None:
         """Writes a batch: changed, the items that are new or differ, and tombstones of the ids gone. touched are the
         items as they were that changed or gone may concern, as lookup() gave them. A batch that is written again
-        replaces itself; its manifest, written last, makes it count."""
+        replaces itself; its manifest, written last, makes it count. Items are written once, without a copy beside, and
+        what else depends on them reads the few columns that it needs from there."""
+        with passing(self.spark):
+            self._commit(number, touched, changed, gone)
+
+    def _commit(self, number: int, touched: DataFrame, changed: DataFrame, gone: DataFrame | None) -> None:
         none = self.spark.createDataFrame([], "id string")
         dead = touched.join((gone if gone is not None else none).select("id").distinct(), "id", "left_semi")
-        items = cut(changed.select(*ITEM_COLUMNS).withColumn("live", F.lit(True)).unionByName(dead.select(*ITEM_COLUMNS).withColumn("live", F.lit(False))))
+        marked = self._write_items(changed.select(*ITEM_COLUMNS).withColumn("live", F.lit(True)).unionByName(dead.select(*ITEM_COLUMNS).withColumn("live", F.lit(False))), number)
+        items = self._fresh(number)
         now = items.where("live").select("final_url", "id", "live")
         # URLs that a touched item had: no longer its own, unless an item of this batch has it now.
         moved = touched.select("id", "final_url").join(items.select("id"), "id", "left_semi")
         left = moved.join(now.select("final_url"), "final_url", "left_anti").select("final_url", "id", F.lit(False).alias("live"))
-        written = self._write("items", items, number).unionByName(self._write("urls", now.unionByName(left), number))
+        written = marked.unionByName(self._write("urls", now.unionByName(left), number))
         if self.counted:
             before = touched.join(items.select("id"), "id", "left_semi")
             written = written.unionByName(self._write("labels", label_changes(before, items.where("live")), number)).unionByName(self._write_recent(items, number))
@@ -166,13 +175,45 @@ class Store:
         if number % self.full_every == self.full_every - 1:
             self.manifest(number + 1).write.mode("overwrite").parquet(f"{self.path}/manifest/full={number}")
 
+    def _fresh(self, number: int) -> DataFrame:
+        """The items that a batch made, changed or deleted, as it has written them."""
+        schema = T.StructType([*KINDS["items"][1].fields, T.StructField("fresh", T.BooleanType()), PLACES[1]])
+        return self.spark.read.schema(schema).parquet(f"{self.path}/items/batch={number}").where("fresh").drop("fresh")
+
+    def _full(self, kind: str, hit: DataFrame, number: int) -> DataFrame:
+        """Of the buckets in hit those that have so many folders that they are written whole."""
+        folders = self.manifest(number).where(F.col("kind") == kind).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+        return cut(hit.join(folders.where(F.col("n") >= self.deltas), "bucket", "left_semi"))
+
+    def _marked(self, kind: str, hit: DataFrame, full: DataFrame, number: int) -> DataFrame:
+        """The manifest's rows of a batch."""
+        marked = hit.join(full.withColumn("base", F.lit(True)), "bucket", "left")
+        return marked.select(F.lit(kind).alias("kind"), "bucket", F.lit(number).cast("long").alias("batch"), F.coalesce("base", F.lit(False)).alias("base"))
+
+    def _write_items(self, rows: DataFrame, number: int) -> DataFrame:
+        """As _write(), for rows with texts: the batch's own are dealt to their buckets once, a large bucket to several
+        tasks. Older ones are in theirs already, so they go from folder to folder without a shuffle; which of them
+        count is found by ids and batches alone."""
+        fields = KINDS["items"][1].fieldNames()
+        into = lambda df, fresh, mode: df.select(*fields, "bucket", F.lit(fresh).alias("fresh")).write.options(**PACKED).mode(mode).partitionBy("bucket").parquet(f"{self.path}/items/batch={number}")
+        into(rows.select(*fields, self.bucket("id").alias("bucket")).hint("rebalance", F.col("bucket")), True, "overwrite")
+        ids = cut(self._fresh(number).select("id", "bucket"))
+        hit = ids.select("bucket").distinct()
+        full = self._full("items", hit, number)
+        if not full.isEmpty():
+            older = self.read("items", full, number)
+            known = cut(older.select("id", "batch", "live"))
+            last = known.groupBy("id").agg(F.max("batch").alias("_last"), F.max_by("live", "batch").alias("_live"))
+            stale = known.join(last, "id").where("batch < _last or not _live").select("id", "batch").union(known.join(ids, "id", "left_semi").select("id", "batch"))
+            into(older.join(cut(stale.distinct()), ["id", "batch"], "left_anti"), False, "append")
+        return self._marked("items", hit, full, number)
+
     def _write(self, kind: str, rows: DataFrame, number: int) -> DataFrame:
         """rows into their buckets; those that have many folders are written whole. Gives the manifest's rows."""
         key, schema = KINDS[kind]
         placed = cut(rows.select(*schema.fieldNames(), self.bucket(key).alias("bucket")))
         hit = placed.select("bucket").distinct()
-        folders = self.manifest(number).where(F.col("kind") == kind).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-        full = cut(hit.join(folders.where(F.col("n") >= self.deltas), "bucket", "left_semi"))
+        full = self._full(kind, hit, number)
         every = placed
         if not full.isEmpty():
             older = self.read(kind, full, number)
@@ -181,9 +222,8 @@ class Store:
             else:
                 older = self.latest(kind, older.join(placed.select(key), key, "left_anti"))
                 every = placed.unionByName(older.where("live").select(*schema.fieldNames(), "bucket"))
-        every.repartition("bucket").sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{kind}/batch={number}")
-        marked = hit.join(full.withColumn("base", F.lit(True)), "bucket", "left")
-        return marked.select(F.lit(kind).alias("kind"), "bucket", F.lit(number).cast("long").alias("batch"), F.coalesce("base", F.lit(False)).alias("base"))
+        every.repartition("bucket").sortWithinPartitions("bucket", key).write.options(**PACKED).mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{kind}/batch={number}")
+        return self._marked(kind, hit, full, number)
 
     def _write_recent(self, items: DataFrame, number: int) -> DataFrame:
         """The newest active items after a batch, of those before it and its own. Gives the manifest's row."""
@@ -199,7 +239,7 @@ class Store:
             known = known.where(place <= F.struct(-F.unix_micros(F.lit(floor["created_at"])), F.lit(floor["title"]), F.lit(floor["summary"])))
         top = cut(known.orderBy(*order).limit(self.keep + 1))
         if floor is not None and top.count() < self.least:
-            every = Q.active_items(self.load(number)).select(*fields).join(ids, "id", "left_anti").unionByName(fresh)
+            every = Q.active_items(self.load(number, [*fields, "status"])).select(*fields).join(ids, "id", "left_anti").unionByName(fresh)
             floor, top = None, cut(every.orderBy(*order).limit(self.keep + 1))
         ranked = top.withColumn("_n", F.row_number().over(W.orderBy(*order)))  # at most keep + 1 rows
         if top.count() > self.keep:
@@ -238,21 +278,24 @@ class Store:
 
     def upsert(self, number: int, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(conflicts, changed items) of a batch with seq taken in as batch `number`, see store.upsert_changes()."""
-        batch = cut(incoming)
-        touched = cut(self.lookup(batch.select("id"), batch.select("final_url"), number))
-        _, changed, conflicts, _ = upsert_changes(touched, batch)
-        self.commit(number, touched, changed)
-        return conflicts, changed
+        with passing(self.spark):
+            batch = cut(incoming)
+            touched = cut(self.lookup(batch.select("id"), batch.select("final_url"), number))
+            _, changed, conflicts, _ = upsert_changes(touched, batch)
+            self.commit(number, touched, changed)
+            lost = cut(conflicts, keep=True)
+        return lost, self._fresh(number).where("live").select(*ITEM_COLUMNS)
 
     def edit(self, number: int, edits: DataFrame) -> DataFrame:
         """The outcome of a log of edits taken in as batch `number`, see store.apply_edits()."""
-        log = cut(edits)
-        touched = cut(self.lookup(log.select("id"), before=number))
-        edited, outcome = apply_edits(touched, log)
-        after = cut(edited)
-        done = cut(outcome)
-        changed = after.join(done.where("result = 'done'").select("id").distinct(), "id", "left_semi")
-        self.commit(number, touched, changed, touched.join(after.select("id"), "id", "left_anti"))
+        with passing(self.spark):
+            log = cut(edits)
+            touched = cut(self.lookup(log.select("id"), before=number))
+            edited, outcome = apply_edits(touched, log)
+            done = cut(outcome, keep=True)
+            ids = cut(done.where("result = 'done'").select("id").distinct())
+            left = cut(edited.select("id"))
+            self.commit(number, touched, edited.join(ids, "id", "left_semi"), touched.join(left, "id", "left_anti"))
         return done
 
     def rehash(self, path: str, buckets: int, counted: bool | None = None) -> Store:
