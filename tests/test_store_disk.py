@@ -1,13 +1,16 @@
-"""What a batch of the store leaves on disk besides the store."""
+"""What a batch of the store leaves on disk besides the store, and what a reader leaves besides its file."""
 
 import glob
+import json
 import os
 import random
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from curio.operators.addressed import Store
 from curio.plans.scratch import folder
+from curio.sources import tables as R
 from curio.sources.schemas import EDIT_SCHEMA
 from tests.helpers import item, items
 from tests.test_addressed import batch_of, narrow, rows  # noqa: F401
@@ -41,3 +44,17 @@ def test_batches_leave_no_copies(narrow, tmp_path):  # noqa: F811
     assert {r["id"]: (r["title"], r["content_text"]) for r in store.load().collect()} == {k: (v["title"], v["content_text"]) for k, v in want.items() if k != "i3"}
     assert store.folders("items").where("id = 'i1'").count() == 1 and rows(store.lookup(ids=store.load().select("id"))) == rows(store.load())
     assert store.load().where(F.col("status") == "archived").select("id").first()["id"] == "i4"
+
+
+def test_one_array_is_copied_once(narrow, tmp_path):  # noqa: F811
+    """Reading a backup in parts writes its texts once; only those of elements in several cuts are moved."""
+    spark, rng = narrow, random.Random(7)
+    text = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))
+    made = [item(f"i{k}", f"https://example.org/{k}", k, original_text=text() + ("}{" if k % 10 == 0 else "")) for k in range(60)]
+    form = lambda r: {k: (v.isoformat() + "Z" if isinstance(v, datetime) else v) for k, v in r.items()}
+    (tmp_path / "x.json").write_text(json.dumps({"schema_version": 1, "items": [form(r) for r in made]}))
+    held = folder(spark).removeprefix("file:")
+    before = size(held)
+    got = R.read_backup_parts(spark, str(tmp_path / "x.json")).collect()
+    assert size(held) - before < os.path.getsize(tmp_path / "x.json") * 1.2
+    assert [(r["id"], r["original_text"], r["schema_version"]) for r in sorted(got, key=lambda r: r["seq"])] == [(m["id"], m["original_text"], 1) for m in made]
